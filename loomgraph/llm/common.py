@@ -92,10 +92,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words [^\\x20\\x09-\\x0D]+ of several texts: byte ranges, the text each belongs to, and a 64-bit hash of each."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, lower: bool, hashed: bool = True):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, lower: bool, hashed: bool = True, between: np.ndarray = _WS):
+        """between: which bytes stand between words."""
         self.buf, self.offsets, self.docs = buf, offsets, len(offsets) - 1
         n = len(buf)
-        ws = _WS[buf]
+        ws = between[buf]
         before, after = np.empty(n + 1, bool), np.empty(n + 1, bool)
         before[0] = after[n - 1 :] = True
         before[1:] = ws

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomgraph.llm import bpe, secrets
+from loomgraph.llm import bpe, mixing, quality, secrets
 
 QUERIES: dict[str, Callable] = {
+    "op1_quality_classifier": quality.op1,
     "op2_secret_scans": secrets.op2,
     "op4_bpe": bpe.op4,
+    "op6_mixing": mixing.op6,
+}
+ORACLES: dict[str, str] = {
+    "op6_mixing": mixing.OP6_SQL,
 }
-ORACLES: dict[str, str] = {}

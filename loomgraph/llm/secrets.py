@@ -12,7 +12,6 @@ results. Texts of any length are scanned whole; offsets are code points. With no
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -60,6 +59,16 @@ def _overlaps(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
     return any(a < end and start < b for a, _, b in spans)
 
 
+def _outside(text: str, spans: list[tuple[int, int, int]], by: str) -> str:
+    """text with the spans, which may overlap, replaced."""
+    done, parts = 0, []
+    for start, _, end in spans:
+        if start >= done:
+            parts += [text[done:start], by]
+        done = max(done, end)
+    return "".join(parts) + text[done:]
+
+
 def transitions(tokens: list[str]) -> np.ndarray:
     """Counts of (character, next character) over tokens, flattened; tokens' edges count as a character."""
     codes = _CODE[np.frombuffer(("\n" + "\n".join(tokens) + "\n").encode("ascii", "replace"), np.uint8) & 127]
@@ -89,8 +98,7 @@ def train(docs: DataFrame, text: str = "text") -> MarkovPair:
                 spans = base_spans(x or "")
                 if spans:
                     sums[0] += transitions(list(_values(x, spans)))
-                    for start, _, end in reversed(spans):
-                        x = x[:start] + " " + x[end:]
+                    x = _outside(x, spans, " ")
                 if x and (plain := _IDENTIFIER.findall(x)):
                     sums[1] += transitions(plain)
         kind, cell = np.nonzero(sums)
@@ -133,12 +141,7 @@ def scan(docs: DataFrame, model: MarkovPair, id: str = "doc_id", text: str = "te
                 cols["base_spans"].append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base))
                 cols["spans"].append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans))
                 if redact:
-                    done, parts = 0, []
-                    for a, _, b in spans:
-                        if b > done:
-                            parts += [x[done:a], "[SECRET]"] if a >= done else []
-                            done = b
-                    cols["redacted"].append("".join(parts) + x[done:])
+                    cols["redacted"].append(_outside(x, spans, "[SECRET]"))
             if not redact:
                 del cols["redacted"]
             yield pa.record_batch([batch.column(0), *(pa.array(v, pa.string() if k in ("base_spans", "spans", "redacted") else pa.int64()) for k, v in cols.items())], names=["id", *cols])
