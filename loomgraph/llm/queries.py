@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomgraph.llm import bpe, mixing, quality, secrets
+from loomgraph.llm import bpe, mixing, quality, secrets, substring
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_classifier": quality.op1,
     "op2_secret_scans": secrets.op2,
     "op4_bpe": bpe.op4,
     "op6_mixing": mixing.op6,
+    "op7_substring_dedup": substring.op7,
 }
 ORACLES: dict[str, str] = {
     "op6_mixing": mixing.OP6_SQL,
