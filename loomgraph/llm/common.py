@@ -176,7 +176,7 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = scratch.table(small.select("e.u", "e.v").where("u <> v").distinct())
-        now = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum("v")).first()
+        now = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         scratch.drop(edges)
         edges = after
         if now == before:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomgraph.llm import bpe, mixing, quality, secrets, substring
+from loomgraph.llm import bpe, jaccard, lm, mixing, quality, secrets, substring
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_classifier": quality.op1,
@@ -12,6 +12,8 @@ QUERIES: dict[str, Callable] = {
     "op4_bpe": bpe.op4,
     "op6_mixing": mixing.op6,
     "op7_substring_dedup": substring.op7,
+    "op9_lm_scoring": lm.op9,
+    "op10_ngram_jaccard_join": jaccard.op10,
 }
 ORACLES: dict[str, str] = {
     "op6_mixing": mixing.OP6_SQL,
