@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomgraph.llm import bpe, jaccard, lm, mixing, quality, secrets, substring
+from loomgraph.llm import bpe, jaccard, lines, lm, mixing, quality, secrets, substring
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_classifier": quality.op1,
     "op2_secret_scans": secrets.op2,
+    "op3_line_dedup": lines.op3,
     "op4_bpe": bpe.op4,
     "op6_mixing": mixing.op6,
     "op7_substring_dedup": substring.op7,
@@ -16,5 +17,6 @@ QUERIES: dict[str, Callable] = {
     "op10_ngram_jaccard_join": jaccard.op10,
 }
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": lines.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
 }
