@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomgraph.llm import bpe, jaccard, lines, lm, mixing, quality, secrets, substring
+from loomgraph.llm import ann, bpe, jaccard, lines, lm, mixing, neardup, quality, secrets, substring
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_classifier": quality.op1,
     "op2_secret_scans": secrets.op2,
     "op3_line_dedup": lines.op3,
     "op4_bpe": bpe.op4,
+    "op5_ann": ann.op5,
     "op6_mixing": mixing.op6,
     "op7_substring_dedup": substring.op7,
+    "op8_embedding_near_dedup": neardup.op8,
     "op9_lm_scoring": lm.op9,
     "op10_ngram_jaccard_join": jaccard.op10,
 }
