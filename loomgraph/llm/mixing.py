@@ -27,17 +27,20 @@ HASH_BITS, STEP_BITS, LEVELS = 60, 12, 3
 BROADCAST_SOURCES = 200_000
 
 
-def sizes(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(id, source, size, h): words [^\\x20\\x09-\\x0D]+ of each text, and a 60-bit hash of the id."""
+def sizes(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> DataFrame:
+    """(id, source, size, h): words [^\\x20\\x09-\\x0D]+ of each text, and a 60-bit hash of the id. With carry also docs' own
+    columns, as __0, __1 and so on."""
 
     def run(batches):
         for batch in batches:
             n = [np.empty(0, np.int64)]
             n += [Words(b, o, False, hashed=False).count for _, b, o in chunks(batch.column(2))]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.concatenate(n).astype(np.int64))], names=["id", "source", "size"])
+            rest = [batch.column(i) for i in range(batch.num_columns) if i != 2]
+            yield pa.record_batch([*rest, pa.array(np.concatenate(n).astype(np.int64))], names=[*(x for x in names if x != "text"), "size"])
 
-    kinds = [docs.schema[c].dataType.simpleString() for c in (id, source)]
-    counted = docs.select(F.col(id), F.col(source), F.col(text)).toDF("id", "source", "text").mapInArrow(run, f"id {kinds[0]}, source {kinds[1]}, size long")
+    names = ["id", "source", "text", *(f"__{i}" for i in range(len(docs.columns) if carry else 0))]
+    d = docs.select(F.col(id), F.col(source), F.col(text), *(docs.columns if carry else [])).toDF(*names)
+    counted = d.mapInArrow(run, d.drop("text").schema.add("size", "long"))
     return counted.withColumn("h", F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long"))
 
 
@@ -97,10 +100,8 @@ def _threshold(scratch: Scratch, sized: DataFrame, state: DataFrame, level: int,
         shift -= STEP_BITS
 
 
-def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(id, size, source_size, target, copies, taken) for each row of docs: the document is taken `copies` times, 0 to 2."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
+def _mixed(docs: DataFrame, id: str, text: str, source: str, weights: tuple[float, ...], share: float, most: float, carry: bool) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "mixing")
     sized = scratch.table(sizes(docs, id, text, source))
     state = scratch.table(targets(sized, weights, share, most))
     near = F.broadcast if state.count() <= BROADCAST_SOURCES else (lambda x: x)
@@ -112,9 +113,23 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
         fits = open_ & ~chosen & (F.col("size") <= F.col(f"room{level}")) if level > 1 else open_
         state = _threshold(scratch, sized, state, level, fits, near)
         chosen = chosen | (fits & (F.col("h") < F.col(f"t{level}")))
-    d = sized.alias("d").join(near(state.alias("s")), F.col("d.source").eqNullSafe(F.col("s.source")))
-    copies = F.col("times") + F.when(chosen, 1).otherwise(0)
-    return d.select(F.col("d.id").alias(id), F.col("d.source").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    # With carry the sizes are counted again, on the rows themselves, which so need no join.
+    d = (sizes(docs, id, text, source, carry=True) if carry else sized).alias("d").join(near(state.alias("s")), F.col("d.source").eqNullSafe(F.col("s.source")))
+    return d.withColumn("copies", F.col("times") + F.when(chosen, 1).otherwise(0))
+
+
+def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) for each row of docs: the document is taken `copies` times, 0 to 2."""
+    d = _mixed(docs, id, text, source, weights, share, most, carry=False)
+    return d.select(F.col("d.id").alias(id), F.col("d.source").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def sample(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """docs as the mix takes them: each row as often as it is taken. Rows without words, of no size, stay once."""
+    d = _mixed(docs, id, text, source, weights, share, most, carry=True)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int")
+    d = d.where(times > 0).withColumn("__each", F.explode(F.sequence(F.lit(1), times)))
+    return d.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

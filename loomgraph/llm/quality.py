@@ -202,6 +202,14 @@ def classify(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     return d.select(*[F.col(f"d.{c}").alias(c) for c in keep], p.alias("p_doc"), rest.alias("p_path"), q.alias("p_quality"), (q >= cut).alias("keep"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", cut: float = 0.5) -> DataFrame:
+    """The rows of docs that classify() keeps, with docs' own columns, whatever their names."""
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    safe, labels = docs.toDF(*names.values()), labels.withColumnRenamed(id, names[id])
+    found = classify(safe, labels, names[id], names[text], names[host], names[path], cut, carry=list(names.values()))
+    return found.where("keep").select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def url_site(url) -> tuple:
     """(host, first section of the path) of a url column, for pages."""
     return F.lower(F.regexp_extract(url, r"^[a-z]+://([^/?#]*)", 1)), F.regexp_extract(url, r"^[a-z]+://[^/?#]*(/[^/?#]*)", 1)

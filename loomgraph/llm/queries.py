@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from loomgraph.llm import ann, bpe, jaccard, lines, lm, mixing, neardup, quality, secrets, substring
 
 QUERIES: dict[str, Callable] = {
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable] = {
     "op8_embedding_near_dedup": neardup.op8,
     "op9_lm_scoring": lm.op9,
     "op10_ngram_jaccard_join": jaccard.op10,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op3_line_dedup": lines.OP3_SQL,
