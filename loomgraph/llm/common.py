@@ -69,10 +69,9 @@ _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    size = 1 << max(12, int(n).bit_length())
+    size = 1 << max(CHUNK_BYTES.bit_length() - 1, max(1, int(n) - 1).bit_length())
     if size not in _pow:
-        if len(_pow) > 2:
-            _pow.clear()
+        _pow.clear()  # one pair of tables at a time: 32 MB, but for texts that are longer than a chunk
         up, down = np.full(size, _B), np.full(size, _B_INV)
         up[0] = down[0] = 1
         _pow[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)

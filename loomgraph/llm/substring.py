@@ -21,10 +21,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, Words, as_long, chunks, mix
+from loomgraph.llm.common import CHUNK_BYTES, Scratch, Words, as_long, chunks, mix
 
 WINDOW, M, HOT = 50, 8, 2000
 
@@ -131,16 +132,23 @@ def _later(ids: np.ndarray, rows: np.ndarray, at: np.ndarray, packed: list[bytes
     return rows[r[a]], place[a], place[b] + window
 
 
-def _buckets(batches, window: int, limit: int = 8 << 20):
+def _buckets(batches, window: int, limit: int = CHUNK_BYTES):
     """Over rows sorted by minimiser: whole buckets together, as many as make up about `limit` bytes."""
-    names = ["row", "from", "to"]
     held: list[pa.RecordBatch] = []
 
     def work(part: pa.Table):
-        if part.num_rows:
-            got = _later(part["id"].to_numpy(), part["row"].to_numpy(), part["at"].to_numpy(), part["packed"].to_pylist(), window)
+        """part: whole buckets."""
+        m = part["m"].to_numpy()
+        size = np.cumsum(pc.binary_length(part["packed"]).to_numpy().astype(np.int64))
+        i = 0
+        while i < len(m):
+            j = int(np.searchsorted(size, (size[i - 1] if i else 0) + limit, "right"))
+            j = int(np.searchsorted(m, m[min(max(j, i + 1), len(m)) - 1], "right"))
+            x = part.slice(i, j - i)
+            got = _later(x["id"].to_numpy(), x["row"].to_numpy(), x["at"].to_numpy(), x["packed"].to_pylist(), window)
             if got:
-                yield pa.record_batch([pa.array(x.astype(np.int64)) for x in got], names=names)
+                yield pa.record_batch([pa.array(y.astype(np.int64)) for y in got], names=["row", "from", "to"])
+            i = j
 
     for batch in batches:
         held.append(batch)
