@@ -2,7 +2,7 @@
 
 Method. Two adjacent bytes that stand side by side inside no token of the vocabulary can never be merged across, so a
 word may be cut between them. Each fragment is encoded by the merges on its own, and the fragments' ids are concatenated;
-results equal those of merging the whole word. Fragments repeat far more often than words, so their encodings are kept.
+results equal those of merging the whole word. Encodings of recent words are kept, as words repeat.
 
 The vocabulary file is one of the tokenizers library with a byte-level BPE that marks word ends; nothing is trained here.
 
@@ -15,14 +15,17 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from itertools import pairwise
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from tokenizers.models import BPE
 
 #: Results kept in a worker for chunks of text without white space; beyond that the store starts anew. Bounds memory only.
-KEPT = 200_000
+KEPT = 400_000
 
 #: The white space of the library's regular expressions (Unicode's White_Space); Python's own also has U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -46,9 +49,12 @@ class WordBpe:
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
-        self.rank = {(a, b): i for i, (a, b) in enumerate(map(tuple, model["merges"]))}
+        pairs = list(map(tuple, model["merges"]))
+        end = {"end_of_word_suffix": self.end} if self.end else {}
+        self.merges = [BPE(vocab=self.vocab, merges=pairs, cache_capacity=0, **e) for e in ({}, end)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.digits = {i: str(i) for i in self.token}
         self.chars = _byte_chars()
         inside = set()
         for t in self.vocab:
@@ -58,43 +64,21 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.fragments: dict[tuple[str, bool], list[int]] = {}
         self.chunks: dict[str, tuple[int, str, str]] = {}
 
     def fragment(self, chars: str, last: bool) -> list[int]:
-        """Ids of a fragment: merges in order of rank, the leftmost first."""
-        got = self.fragments.get((chars, last))
-        if got is None:
-            parts = list(chars)
-            if last:
-                parts[-1] += self.end
-            while len(parts) > 1:
-                best = min(((self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False))), default=(1 << 60, 0))
-                if best[0] == 1 << 60:
-                    break
-                a, b = parts[best[1]], parts[best[1] + 1]
-                merged, i = [], 0
-                while i < len(parts):
-                    if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                        merged.append(a + b)
-                        i += 2
-                    else:
-                        merged.append(parts[i])
-                        i += 1
-                parts = merged
-            got = [self.vocab[p] for p in parts if p in self.vocab]
-            if len(self.fragments) >= KEPT:
-                self.fragments.clear()
-            self.fragments[chars, last] = got
-        return got
+        """Ids of a fragment, by the library's merges; only a word's last fragment bears the mark of the end."""
+        return [t.id for t in self.merges[last].tokenize(chars)]
 
     def word(self, word: str) -> list[int]:
         """Ids of one word: cut at every pair of bytes that no token holds."""
-        chars = "".join(self.chars[b] for b in word.encode())
+        chars = word if word.isascii() and word.isprintable() else "".join([self.chars[b] for b in word.encode()])
+        if self.inside.issuperset(pairwise(chars)):
+            return self.fragment(chars, True)
         out: list[int] = []
         at = 0
-        for i in range(1, len(chars)):
-            if (chars[i - 1], chars[i]) not in self.inside:
+        for i, p in enumerate(pairwise(chars), 1):
+            if p not in self.inside:
                 out += self.fragment(chars[at:i], False)
                 at = i
         return out + self.fragment(chars[at:], True)
@@ -105,8 +89,9 @@ class WordBpe:
         if got is None:
             # Lower case goes by single characters in the library, so a sigma at a word's end stays an ordinary one.
             plain = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            ids = [i for w in self.pattern.findall(plain) for i in self.word(w)]
-            got = len(ids), " ".join(map(str, ids)), " ".join(map(self.token.__getitem__, ids))
+            words = [plain] if plain.isalpha() else self.pattern.findall(plain)
+            ids = self.word(words[0]) if len(words) == 1 else [i for w in words for i in self.word(w)]
+            got = len(ids), " ".join([self.digits[i] for i in ids]), " ".join([self.token[i] for i in ids])
             if len(self.chunks) >= KEPT:
                 self.chunks.clear()
             self.chunks[chunk] = got
@@ -147,25 +132,29 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, digests: bool = False) -> DataFrame:
-    """One row per row of docs: id, n_tokens, ids array<int> and decoded string; with digests, ids_sha256 and decoded_sha256
-    instead of the last two. path: the vocabulary file; by default each executor's public copy. No shuffle."""
+def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, digests: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id and the columns carry, n_tokens, ids array<int> and decoded string; with digests,
+    ids_sha256 and decoded_sha256 instead of the last two. path: the vocabulary file; by default each executor's public
+    copy. No shuffle."""
 
     def run(batches):
         bpe = load(path or vocabulary_path())
         for batch in batches:
-            got = [bpe.encode(x or "") for x in batch.column(1).to_pylist()]
+            got = [bpe.encode(x or "") for x in batch.column(batch.num_columns - 1).to_pylist()]
             n = pa.array([g[0] for g in got], pa.int64())
             if digests:
                 cols = [pa.array([hashlib.sha256(g[k].encode()).hexdigest() for g in got], pa.string()) for k in (1, 2)]
             else:
                 cols = [pa.array([[int(i) for i in g[1].split()] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())]
-            yield pa.record_batch([batch.column(0), n, *cols], names=["id", "n_tokens", *last])
+            yield pa.record_batch([*(batch.column(i) for i in range(len(keep))), n, *cols], names=[*keep, *last])
 
-    last = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-    kind = docs.schema[id].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, " + (", ".join(f"{c} string" for c in last) if digests else "ids array<int>, decoded string")
-    return docs.select(F.col(id), F.col(text)).toDF("id", "text").mapInArrow(run, schema).withColumnRenamed("id", id)
+    keep = list(dict.fromkeys([id, *carry]))
+    last = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
+    d = docs.select(*keep, F.col(text).alias("__text"))
+    out = d.drop("__text").schema
+    for c, kind in zip(last, [T.LongType(), T.StringType() if digests else T.ArrayType(T.IntegerType()), T.StringType()], strict=True):
+        out = out.add(c, kind)
+    return d.mapInArrow(run, out)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -179,7 +168,7 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> Dat
 
     keep = [c for c in encoded.columns if c != "decoded"]
     source = encoded.select(*keep)
-    return source.mapInArrow(run, source.schema.add("decoded", "string"))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
