@@ -6,10 +6,12 @@ member of a group is at most its overlap with the union, so only groups whose bo
 
 The matrix is kept sparse without losing a link: under one order of tokens for all (frequent ones last), sets with
 Jaccard >= t share one of their first n - ceil(t n) + 1 tokens each, so a group whose union of these meets none of a query's
-has a bound below t and is never opened. Groups grow in two rounds. First, each token's classes are compared with the
-smallest of them: links make the groups (components). Then every class asks the matrix for other groups that it may
-overlap, and is compared with the members of those that qualify; inside a group nothing more is compared. So a group of
-thousands of near copies costs about as many comparisons as it has members, and components are exact.
+has a bound below t and is never opened. A class with too few
+tokens in common with any others to reach the threshold is set aside first. Groups grow in a few rounds: each token has a
+hub among its classes, and classes are compared with the hubs that they share many tokens with; links make the groups
+(components). Then every class asks the matrix for other groups that it may overlap, and is compared with the members of
+those that qualify; inside a group nothing more is compared. So a group of thousands of near copies costs a few times as
+many comparisons as it has members, and components are exact.
 
 Which tokens count as frequent bears on speed alone. They are counted over all documents by 44-bit codes; the number that
 is sent to the tasks is bounded by raising the limit of frequency.
@@ -29,11 +31,15 @@ from loomgraph.llm.common import Scratch, Words, as_long, chunks, components, mi
 
 SHINGLE, THRESHOLD = 5, 75
 #: Tokens of more than FREQUENT documents come last in the order; FREQUENT doubles until there are at most LISTED of them.
-FREQUENT, LISTED = 24, 500_000
+FREQUENT, LISTED = 24, 2_000_000
+#: Rounds in which groups grow before the exact one, and the hubs that a similar set of classes is compared with in each.
+ROUNDS, HUBS = 2, 4
 #: Codes of tokens: CODE_BITS of the hash, of which the highest say the part. Only the lower COUNTED of 256 ranges of hashes
 #: are counted, as later tokens get into a prefix only where most of a set is frequent.
-CODE_BITS, COUNTED = 44, 160
+CODE_BITS, COUNTED = 44, 104
 PART, GATHERED = 3_000_000, 2_000_000
+#: Ids (8 bytes each) that are broadcast at most, to fetch the texts of candidates; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 
 
 def shingles(texts: pa.Array, k: int = SHINGLE):
@@ -70,7 +76,7 @@ def _summaries(batches, k: int):
     for batch in batches:
         for first, docs, h, doc, _ in shingles(batch.column(1), k):
             key, n, _ = _keys(h, doc, docs)
-            yield pa.record_batch([batch.column(0).slice(first, docs), pa.array(n.astype(np.int64)), pa.array(as_long(key))], names=["id", "n", "k"])
+            yield pa.record_batch([batch.column(0).slice(first, docs), batch.column(2).slice(first, docs), pa.array(n.astype(np.int64)), pa.array(as_long(key))], names=["id", "row", "n", "k"])
 
 
 def _codes(batches, k: int, bits: int):
@@ -206,13 +212,34 @@ def _check(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """Of pairs(a, b), those with 100 * intersection >= t * union. The sets of both sides are brought to each pair."""
     j = pairs.join(sets.select(F.col("k").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return j.where(100 * both >= t * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return j.where(100 * both >= t * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+
+
+def _bound(shared, n, m, t: int):
+    """Whether sets of n and m tokens that share so many of their first tokens can reach the threshold: all later tokens
+    of the smaller rest may be shared too. Two tokens of slack stand for the rounding."""
+    rest = F.least(n, m) * t / 100.0
+    return (shared + rest + 2) * (100 + t) >= t * (n + m)
+
+
+def _dense(postings: DataFrame, t: int) -> DataFrame:
+    """The rows of classes that have so many tokens here that they could reach the threshold with a set of their own size,
+    for which least are needed."""
+    own = postings.groupBy("k").agg(F.count("*").alias("c"))
+    return postings.join(own, "k").where(_bound(F.col("c"), F.col("n"), F.col("n"), t)).drop("c")
+
+
+def _fetch(scratch: Scratch, d: DataFrame, reps: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(k, set) of the classes, from the text of the document that stands for each."""
+    ids = scratch.table(reps.join(classes.distinct(), "k").select("id").distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return scratch.table(d.join(ids, "id").select("text").mapInArrow(lambda b: _sets(b, k), "k long, set array<long>"))
 
 
 def links(scratch: Scratch, docs: DataFrame, id: str, text: str, k: int = SHINGLE, t: int = THRESHOLD):
-    """(summary(id, n, k), components(node, component) of classes) of all rows."""
-    d = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    summary = scratch.table(d.mapInArrow(lambda b: _summaries(b, k), d.select("id").schema.add("n", "long").add("k", "long")))
+    """(summary(id, row, n, k), components(node, component) of classes) of all rows."""
+    d = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
+    summary = scratch.table(d.mapInArrow(lambda b: _summaries(b, k), d.select("id", "row").schema.add("n", "long").add("k", "long")))
     total = summary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     body = d.where("id is not null").select("text")
 
@@ -228,40 +255,64 @@ def links(scratch: Scratch, docs: DataFrame, id: str, text: str, k: int = SHINGL
     blobs = body.mapInArrow(lambda b: _prefixes(b, k, parts, frequent, t), "part int, k binary, n binary, counts binary, tokens binary")
     postings = scratch.table(blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_postings, "t long, k long, n int"))
 
-    # Round one: the smallest class of each token, with every other.
+    postings = scratch.table(_dense(postings, t))
     like = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * t
-    head = postings.groupBy("t").agg(F.min(F.struct("k", "n")).alias("h")).select("t", F.col("h.k").alias("b"), F.col("h.n").alias("m"))
-    first = postings.join(head, "t").where((F.col("k") != F.col("b")) & like(F.col("n"), F.col("m"))).groupBy(F.col("k").alias("a"), "b").agg(F.count("*").alias("shared"))
-    tested = scratch.table(first.select("a", "b"))
-    # Sets of all classes that share a token with another of a like size: those of round one and two.
-    wanted = postings.select("k").distinct()
-    reps = summary.where("id is not null and n > 0").groupBy("k").agg(F.min("id").alias("id")).join(wanted, "k").select("id").distinct()
-    sets = d.join(reps, "id").select("text").mapInArrow(lambda b: _sets(b, k), "k long, set array<long>")
-    sets = scratch.table(sets.dropDuplicates(["k"]))
-    found = scratch.table(_check(tested, sets, t))
-    groups = scratch.table(components(scratch, found))
-
-    # Round two: the matrix of tokens and groups; a class opens other groups that its tokens meet.
-    of = postings.join(groups.withColumnRenamed("node", "k"), "k", "left").select("t", "k", "n", F.coalesce("component", "k").alias("g"))
-    of = scratch.table(of)
-    mixed = of.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("t")
-    of = of.join(mixed, "t")
-    matrix = of.groupBy("t", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    ask = of.alias("q").join(matrix.alias("m"), F.col("q.t") == F.col("m.t")).where(
-        (F.col("q.g") > F.col("m.g")) & (F.col("q.n") * 100 >= F.col("m.least") * t) & (F.col("m.most") * 100 >= F.col("q.n") * t)
-    )
-    ask = ask.groupBy(F.col("q.k").alias("a"), F.col("q.n").alias("n"), F.col("m.g").alias("g")).agg(F.count("*").alias("met"))
-    members = of.select("k", "g", F.col("n").alias("m")).distinct()
-    opened = ask.join(members, "g").where(like(F.col("n"), F.col("m"))).select("a", F.col("k").alias("b"))
-    opened = opened.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = scratch.table(_check(opened, sets, t))
-    if more.take(1):
-        groups = scratch.table(components(scratch, found.union(more)))
-    return summary, groups
+    reps = summary.where("id is not null and n > 0").groupBy("k").agg(F.min("id").alias("id"))
+    tested, found, groups = None, None, None
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+    def compare(pairs: DataFrame) -> bool:
+        """Compares new pairs; whether any are linked."""
+        nonlocal tested, found, groups
+        new = scratch.table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        if not new.take(1):
+            tested = tested or new
+            return False
+        sets = _fetch(scratch, d, reps, new.select(F.explode(F.array("a", "b")).alias("k")), k)
+        linked = scratch.table(_check(new, sets, t))
+        scratch.drop(sets)
+        tested = new if tested is None else tested.union(new)
+        found = linked if found is None else found.union(linked)
+        if linked.take(1):
+            groups = scratch.table(components(scratch, found))
+            return True
+        return False
+
+    def grouped() -> DataFrame:
+        """(t, k, n, g): tokens that several groups have, of classes with enough of them."""
+        if groups is None:
+            return postings.withColumn("g", F.col("k"))
+        of = postings.join(groups.withColumnRenamed("node", "k"), "k", "left").select("t", "k", "n", F.coalesce("component", "k").alias("g"))
+        mixed = of.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("t")
+        return scratch.table(_dense(of.join(mixed, "t"), t))
+
+    for r in range(ROUNDS):
+        of = grouped()
+        hub = of.groupBy("t").agg(F.min(F.struct(F.xxhash64("k", F.pmod("t", F.lit(HUBS)), F.lit(r)).alias("x"), "k", "n", "g")).alias("h"))
+        hub = hub.select("t", F.col("h.k").alias("hk"), F.col("h.n").alias("m"), F.col("h.g").alias("hg"))
+        seen = of.join(hub, "t").where((F.col("g") != F.col("hg")) & like(F.col("n"), F.col("m")))
+        seen = seen.groupBy("k", "hk", "n", "m").agg(F.count("*").alias("shared")).where(_bound(HUBS * F.col("shared"), F.col("n"), F.col("m"), t))
+        if not compare(seen.select(*pair("k", "hk")).distinct()):
+            break
+
+    # The matrix of tokens and groups. A class opens the other groups whose bound qualifies.
+    of = grouped()
+    matrix = of.select("t", "g").distinct()
+    ask = of.alias("q").join(matrix.alias("m"), F.col("q.t") == F.col("m.t")).where(F.col("q.g") > F.col("m.g"))
+    ask = ask.groupBy(F.col("q.k").alias("k"), F.col("q.n").alias("n"), F.col("m.g").alias("g")).agg(F.count("*").alias("shared"))
+    extent = of.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    near = F.least(F.greatest(F.col("n"), F.col("lo")), F.col("hi"))  # no size in the group has a higher bound
+    ask = ask.join(extent, "g").where(like(F.col("n"), near) & _bound(F.col("shared"), F.col("n"), near, t))
+    members = of.select(F.col("k").alias("s"), "g", F.col("n").alias("m")).distinct()
+    opened = ask.join(members, "g").where(like(F.col("n"), F.col("m")) & _bound(F.col("shared"), F.col("n"), F.col("m"), t))
+    compare(opened.select(*pair("k", "s")))
+    none = scratch.spark.createDataFrame([], "node long, component long")
+    return summary, none if groups is None else groups
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHINGLE, t: int = THRESHOLD) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id (the smallest id reachable by links), class (equal sets)."""
+    """One row per row of docs: id, n_shingles, component_id (the smallest id reachable by links), class (equal sets), and
+    row, the hash of its text."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     summary, groups = links(scratch, docs, id, text, k, t)
     reps = summary.where("id is not null and n > 0").groupBy("k").agg(F.min("id").alias("rep"))
@@ -270,8 +321,19 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHING
     reps = scratch.table(reps.join(lowest, "component", "left").select("k", F.coalesce("low", "rep").alias("component_id")))
     s = summary.join(reps, "k", "left")
     component = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("id"))
-    return s.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("k").alias("class"))
+    return s.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("k").alias("class"), "row")
+
+
+def distinct(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHINGLE, t: int = THRESHOLD) -> DataFrame:
+    """The rows of docs that stay when one document of each group does: that with the smallest id, and one of rows that say
+    the same. Rows without words or without an id stay."""
+    found = join(docs, id, text, k, t)
+    stay = found.where((F.col("n_shingles") > 0) & (F.col(id) == F.col("component_id"))).groupBy(F.col(id).alias("__id")).agg(F.min("row").alias("__row"))
+    d = docs.withColumn("__h", F.xxhash64(text))
+    one = d.join(stay, (F.col(id) == F.col("__id")) & (F.col("__h") == F.col("__row"))).dropDuplicates(["__id"]).select(*docs.columns)
+    alone = docs.where(F.col(id).isNull() | F.coalesce(F.col(text), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$"))
+    return one.unionByName(alone)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("class")
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("class", "row")

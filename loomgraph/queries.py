@@ -1,8 +1,748 @@
-"""Queries for the engine's own operators, with SQL that says the same."""
+"""Queries for the engine's own operators, with SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.catalog import table
+from loomgraph.functions import identity as ID
+from loomgraph.functions import text as T
+from loomgraph.functions import values as V
+from loomgraph.operators import evaluate as E
+from loomgraph.operators import graph as G
+from loomgraph.operators import relational as RL
+from loomgraph.operators import retrieval as R
+from loomgraph.operators import similarity as S
+from loomgraph.plans import chunking, extract, strategies
+from loomgraph.streaming import incremental as I
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        name = f.__name__.rstrip("_")
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# --- shared pieces, in both languages ----------------------------------------------------------------------------------
+
+WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+')"
+ASKED = [("a", "the nation of children and their station"), ("b", "therein lies another reason for attention"), ("c", "der die das und nicht")]
+ASKED_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{q}')" for i, q in ASKED) + ") AS v(query_id, query))"
+TERMS_SQL = r"""t AS (SELECT DISTINCT doc_id, x AS term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+')) AS x FROM documents) WHERE regexp_full_match(x, '\p{L}{9,}')),
+ band AS (SELECT term FROM t GROUP BY term HAVING count(*) BETWEEN 3 AND 12),
+ k AS (SELECT doc_id, term FROM t SEMI JOIN band USING (term)),
+ g AS (SELECT a.term AS src, b.term AS dst, count(*)::DOUBLE AS weight FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY ALL HAVING count(*) >= 2),
+ v AS (SELECT DISTINCT unnest([src, dst]) AS id FROM g),
+ w AS (SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g)"""
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ASKED, "query_id string, query string")
+
+
+def doc_terms(spark: SparkSession, d: str) -> DataFrame:
+    w = F.array_distinct(F.filter(T.words(F.coalesce("text", F.lit(""))), lambda x: x.rlike(r"^\p{L}{9,}$")))
+    t = table(spark, d, "documents").select("doc_id", F.explode(w).alias("term"))
+    return t.join(t.groupBy("term").count().where(F.col("count").between(3, 12)).select("term"), "term", "left_semi")
+
+
+def term_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Long words that share documents: a graph that SQL can build too."""
+    k = doc_terms(spark, d)
+    a, b = k.alias("a"), k.alias("b")
+    e = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.term") < F.col("b.term")))
+    e = e.groupBy(F.col("a.term").alias("src"), F.col("b.term").alias("dst")).agg(F.count("*").cast("double").alias("weight")).where("weight >= 2")
+    e = G.cut(e)
+    return e, e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+
+
+# --- retrieval --------------------------------------------------------------------------------------------------------
+
+_BM25 = rf"""{ASKED_SQL},
+ terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{M}}\p{{N}}_]+')) AS term FROM asked),
+ d AS (SELECT doc_id, text, {WORDS} AS ws FROM documents),
+ p AS (SELECT doc_id, len(ws) AS len, unnest(ws) AS term FROM d),
+ i AS (SELECT term, doc_id, len, count(*) AS tf FROM p GROUP BY ALL),
+ n AS (SELECT count(*) AS n, avg(len(ws)) AS avglen FROM d),
+ df AS (SELECT term, count(*) AS df FROM i GROUP BY term),
+ bm AS (SELECT query_id, doc_id AS doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avglen))) AS score
+        FROM i JOIN terms USING (term) JOIN df USING (term) CROSS JOIN n GROUP BY ALL)"""
+
+
+def _bm25(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    terms = asked(spark).select("query_id", F.explode(F.array_distinct(T.words(F.col("query")))).alias("term"))
+    return R.bm25(R.postings(docs, "doc_id", "text"), docs.select(F.col("doc_id").alias("doc"), F.size(T.words(F.col("text"))).alias("len")), terms)
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc, round(score, 6) AS score FROM bm")
+def bm25(spark, d):
+    """SCR-1."""
+    return _bm25(spark, d).select("query_id", "doc", F.round("score", 6).alias("score"))
+
+
+@query(
+    rf"""WITH {_BM25},
+ r1 AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc) AS r FROM bm),
+ ov AS (SELECT query_id, doc_id AS doc, count(*)::DOUBLE / any_value(len) AS score FROM i JOIN terms USING (term) GROUP BY ALL),
+ r2 AS (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS r FROM ov),
+ f AS (SELECT query_id, doc, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM (SELECT * FROM r1 WHERE r <= 50 UNION ALL SELECT * FROM r2 WHERE r <= 50) GROUP BY ALL)
+ SELECT query_id, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM f) WHERE rank <= 10"""
+)
+def search_fused(spark, d):
+    """SCR-1, WIN-1, FUS-1, FUS-5: two buckets, by BM25 and by the share of a document's words, fused by rank."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    index = R.postings(docs, "doc_id", "text")
+    terms = asked(spark).select("query_id", F.explode(F.array_distinct(T.words(F.col("query")))).alias("term"))
+    one = _bm25(spark, d).select("query_id", "doc", F.round("score", 6).alias("score"))
+    two = index.join(F.broadcast(terms), "term").groupBy("query_id", "doc", "len").agg(F.count("*").alias("n")).select("query_id", "doc", F.round(F.col("n") / F.col("len"), 9).alias("score"))
+    ranked = RL.top_per(one, ["query_id"], [F.desc("score"), F.col("doc")], 50, "r").union(RL.top_per(two, ["query_id"], [F.desc("score"), F.col("doc")], 50, "r"))
+    fused = ranked.groupBy("query_id", "doc").agg(F.round(F.sum(1.0 / (60 + F.col("r"))), 9).alias("score"))
+    return RL.top_per(fused, ["query_id"], [F.desc("score"), F.col("doc")], 10)
+
+
+@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+')) AS term FROM documents)
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 20""")
+def inverted_index(spark, d):
+    """SCR-1: terms of the index with document and collection frequency."""
+    p = R.postings(table(spark, d, "documents"), "doc_id", "text")
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where("df >= 20")
+
+
+@query()
+def fuzzy_terms(spark, d):
+    """SCR-1, H-13. DuckDB counts edits in bytes, so a test holds this against a plain edit distance instead."""
+    v = table(spark, d, "documents").select(F.explode(T.words(F.col("text"))).alias("term")).distinct()
+    terms = asked(spark).select("query_id", F.explode(F.array_distinct(T.words(F.col("query")))).alias("term"))
+    return R.fuzzy_terms(v, terms)
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+ s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings CROSS JOIN q WHERE label < 8)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"""
+)
+def vector_knn(spark, d):
+    """SCR-2, with a filter before the search."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return R.knn(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label"), q, 5, F.col("label") < 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+_RESULTS = "SELECT user_id % 50 AS query_id, event_type AS bucket, user_id::VARCHAR AS source, props AS content, value AS score, event_id FROM events"
+
+
+def _results(spark, d):
+    return table(spark, d, "events").select((F.col("user_id") % 50).alias("query_id"), F.col("event_type").alias("bucket"), F.col("user_id").cast("string").alias("source"), F.col("props").alias("content"), F.col("value").alias("score"), "event_id")
+
+
+@query(f"""WITH r AS ({_RESULTS}), m AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM r WINDOW w AS (PARTITION BY query_id, bucket))
+SELECT query_id, bucket, event_id, round(CASE WHEN score IS NULL OR hi = lo THEN 0.5 ELSE (score - lo) / (hi - lo) END, 9) AS score FROM m""")
+def min_max_scores(spark, d):
+    """FUS-2, WIN-2."""
+    return R.min_max(_results(spark, d), ["query_id", "bucket"]).select("query_id", "bucket", "event_id", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH r AS ({_RESULTS}), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, bucket ORDER BY score DESC NULLS LAST, source, content) AS rank, coalesce(source, 'unknown') || '-' || substr(sha256(content), 1, 16) AS key FROM r)
+SELECT query_id, key, round(sum(CASE WHEN bucket = 'click' THEN 2.0 ELSE 1.0 END / (60 + rank)), 9) AS score FROM k GROUP BY ALL""")
+def rank_fusion(spark, d):
+    """FUS-1."""
+    return R.rank_fusion(_results(spark, d), {"click": 2.0}).select("query_id", "key", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH r AS ({_RESULTS}), m AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi, coalesce(source, 'unknown') || '-' || substr(sha256(content), 1, 16) AS key FROM r WINDOW w AS (PARTITION BY query_id, bucket))
+SELECT query_id, key, round(sum(CASE WHEN score IS NULL OR hi = lo THEN 0.5 ELSE (score - lo) / (hi - lo) END), 6) AS score FROM m GROUP BY ALL""")
+def score_fusion(spark, d):
+    """FUS-2."""
+    return R.score_fusion(_results(spark, d)).select("query_id", "key", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH r AS ({_RESULTS}), a AS (SELECT query_id, source AS id, max(score) AS score FROM r WHERE bucket = 'click' GROUP BY ALL), b AS (SELECT query_id, source AS id, max(score) AS score FROM r WHERE bucket = 'view' GROUP BY ALL),
+ x AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi, 0.3 AS w FROM a UNION ALL SELECT *, min(score) OVER (PARTITION BY query_id), max(score) OVER (PARTITION BY query_id), 0.7 FROM b)
+SELECT query_id, id, round(sum(w * CASE WHEN hi = lo THEN 0.5 ELSE (score - lo) / (hi - lo) END), 6) AS score FROM x GROUP BY ALL""")
+def hybrid_scores(spark, d):
+    """SCR-3."""
+    r = _results(spark, d)
+    best = lambda b: r.where(F.col("bucket") == b).groupBy("query_id", F.col("source").alias("id")).agg(F.max("score").alias("score"))
+    return R.hybrid(best("click"), best("view"), (0.3, 0.7)).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH r AS ({_RESULTS}) SELECT event_id, round(CASE WHEN score IS NULL OR score = 0 THEN 0.5 ELSE score END * CASE bucket WHEN 'click' THEN 1.3 WHEN 'view' THEN 1.2 ELSE 0.8 END, 6) AS priority FROM r""")
+def section_priority(spark, d):
+    """CTX-1, the priorities."""
+    kind = F.when(F.col("bucket") == "click", "TEXT").when(F.col("bucket") == "view", "ENTITY").otherwise("OTHER")
+    return _results(spark, d).select("event_id", F.round(R.section_priority(F.col("score"), kind), 6).alias("priority"))
+
+
+@query(f"""WITH r AS ({_RESULTS}), c AS (SELECT query_id, sum(score) AS p, count(DISTINCT bucket) AS t FROM r WHERE score > 50 GROUP BY 1), o AS (SELECT query_id, sum(score) AS p, count(DISTINCT bucket) AS t FROM r GROUP BY 1)
+SELECT query_id, round(least(1.0, 0.7 * coalesce(c.p / o.p, 0) + 0.3 * coalesce(c.t::DOUBLE / o.t, 0)), 6) AS quality FROM o LEFT JOIN c USING (query_id)""")
+def context_quality(spark, d):
+    """CTX-2."""
+    r = _results(spark, d).select("query_id", F.col("score").alias("priority"), F.col("bucket").alias("type"))
+    return R.context_quality(r.where("priority > 50"), r).select("query_id", F.round("quality", 6).alias("quality"))
+
+
+@query()
+def context_packed(spark, d):
+    """CTX-1, CTX-3: sections that fit a budget, as one text."""
+    r = _results(spark, d).select("query_id", F.col("event_id").cast("string").alias("key"), F.lit("TEXT").alias("type"), "content", F.length("content").cast("long").alias("tokens"), F.coalesce("score", F.lit(0.5)).alias("priority"))
+    return R.context_text(R.pack(r, 700))
+
+
+@query()
+def diverse_results(spark, d):
+    """FUS-3."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.left("text", F.lit(400)).alias("content"))
+    top = RL.top_per(_bm25(spark, d), ["query_id"], [F.desc("score"), F.col("doc")], 40).join(docs, "doc")
+    return R.diverse(top.select("query_id", F.col("doc").cast("string").alias("key"), "score", "content"), 10)
+
+
+# --- filters, joins, sets ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice >= 1000 AND o_totalprice < 200000 AND o_orderstatus <> 'P'")
+def filter_map(spark, d):
+    """FLT-1, FLT-2."""
+    return table(spark, d, "orders").where(RL.filter_map({"o_orderpriority": ["1-URGENT", "2-HIGH"], "o_totalprice": {"gte": 1000, "lt": 200000}, "o_orderstatus": {"neq": "P"}, "id": "seeds"})).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def by_ids(spark, d):
+    """FLT-3, JN-15."""
+    ids = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("id"))
+    return RL.by_ids(table(spark, d, "orders"), ids, "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+_EDGES = "SELECT l_orderkey::VARCHAR || '-' || l_linenumber AS id, l_partkey AS source_id, l_suppkey AS target_id, l_returnflag AS type, l_quantity AS weight, l_orderkey::VARCHAR AS unit, l_orderkey * 10 + l_linenumber AS ord, l_linestatus AS description FROM lineitem"
+
+
+def _edges(spark, d):
+    return table(spark, d, "lineitem").select(
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), F.col("l_returnflag").alias("type"),
+        F.col("l_quantity").alias("weight"), F.array(F.col("l_orderkey").cast("string")).alias("text_unit_ids"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_linestatus").alias("description"),
+    )
+
+
+@query(f"WITH e AS ({_EDGES}), n AS (SELECT p_partkey AS id FROM part WHERE p_size > 10 UNION SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) SELECT id FROM e WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n)")
+def edges_without_orphans(spark, d):
+    """FLT-6, JN-1, SNK-6."""
+    n = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("id")).union(table(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey")).distinct()
+    return RL.without_orphans(_edges(spark, d), n).select("id")
+
+
+@query(f"""WITH e AS ({_EDGES}), p AS (SELECT p_partkey AS id FROM part WHERE p_size > 25), c AS (SELECT (CASE WHEN source_id IN (SELECT id FROM p) THEN 1 ELSE 0 END) + (CASE WHEN target_id IN (SELECT id FROM p) THEN 1 ELSE 0 END) AS n FROM e)
+SELECT ['none', 'one', 'both'][n + 1] AS connection, count(*) AS claims FROM c GROUP BY 1""")
+def claim_connections(spark, d):
+    """JN-2."""
+    c = _edges(spark, d).select(F.col("source_id").alias("subject_id"), F.col("target_id").alias("object_id"))
+    return RL.claim_links(c, table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("id"))).groupBy("connection").agg(F.count("*").alias("claims"))
+
+
+@query(f"""WITH e AS ({_EDGES}), x AS (SELECT source_id AS id, ord, unit FROM e UNION ALL SELECT target_id, ord, unit FROM e)
+SELECT id, arg_min(unit, ord) AS unit FROM x WHERE id NOT IN (SELECT p_partkey FROM part WHERE p_size <> 7) GROUP BY id""")
+def stub_entities(spark, d):
+    """JN-3."""
+    e = _edges(spark, d).withColumn("source_name", F.col("source_id").cast("string")).withColumn("target_name", F.col("target_id").cast("string"))
+    return RL.stub_entities(e, table(spark, d, "part").where("p_size <> 7").select(F.col("p_partkey").alias("id"))).select("id", F.col("text_unit_ids")[0].alias("unit"))
+
+
+@query(f"""WITH e AS ({_EDGES}), m AS (SELECT p_partkey AS old, p_partkey % 100 AS new FROM part WHERE p_partkey % 2 = 0),
+ r AS (SELECT id, coalesce(a.new, source_id) AS source_id, coalesce(b.new, target_id) AS target_id FROM e LEFT JOIN m a ON source_id = a.old LEFT JOIN m b ON target_id = b.old) SELECT * FROM r WHERE source_id <> target_id""")
+def remapped_edges(spark, d):
+    """JN-4."""
+    m = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("old"), (F.col("p_partkey") % 100).alias("new"))
+    return RL.remap_edges(_edges(spark, d), m).select("id", "source_id", "target_id")
+
+
+@query("SELECT DISTINCT o_custkey AS document_id, l_partkey::VARCHAR AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def lineage(spark, d):
+    """JN-5, FLT-12."""
+    a = _edges(spark, d).select(F.col("source_id").cast("string").alias("id"), "text_unit_ids")
+    u = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("document_id"))
+    return RL.lineage(a, u)
+
+
+@query(r"""WITH l AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+')) AS id FROM documents)
+SELECT id FROM l WHERE doc_id % 7 = 0 EXCEPT SELECT id FROM l WHERE doc_id % 7 <> 0""")
+def exclusive_artifacts(spark, d):
+    """JN-8, SET-3, INC-3."""
+    l = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.words(F.coalesce("text", F.lit(""))))).alias("id"))
+    return I.exclusive(l, l.where("doc_id % 7 = 0").select("doc_id").distinct())
+
+
+@query("""WITH s AS (SELECT doc_id, substr(sha256(text || CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END), 1, 32) AS h FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, substr(sha256(text), 1, 32) AS h FROM documents WHERE doc_id % 4 <> 0)
+SELECT doc_id, CASE WHEN s.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'deleted' WHEN s.h = n.h THEN 'unchanged' ELSE 'changed' END AS change_type FROM s FULL JOIN n USING (doc_id)""")
+def registry_diff(spark, d):
+    """INC-1, INC-2, JN-7, SET-4."""
+    t = table(spark, d, "documents")
+    old = t.where("doc_id % 3 <> 0").withColumn("text", F.concat("text", F.when(F.col("doc_id") % 5 == 0, "x").otherwise("")))
+    return I.diff(I.registry(old), I.registry(t.where("doc_id % 4 <> 0")))
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 AND (doc_id % 3 = 0 OR doc_id % 5 = 0)""")
+def incremental_filter(spark, d):
+    """FLT-11."""
+    t = table(spark, d, "documents")
+    old = t.where("doc_id % 3 <> 0").withColumn("text", F.concat("text", F.when(F.col("doc_id") % 5 == 0, "x").otherwise("")))
+    now = t.where("doc_id % 4 <> 0")
+    return I.to_process(now, I.diff(I.registry(old), I.registry(now))).select("doc_id")
+
+
+@query("""WITH c AS (SELECT DISTINCT p_brand AS c, l_orderkey AS u FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT o_orderkey AS id, array_to_string(list_sort(coalesce(list(c) FILTER (WHERE c IS NOT NULL), [])), ',') AS communities FROM orders LEFT JOIN c ON o_orderkey = u GROUP BY 1""")
+def enriched_units(spark, d):
+    """JN-6."""
+    c = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("id")).agg(F.collect_set("l_orderkey").alias("text_unit_ids"))
+    return RL.enrich_units(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), c).select("id", F.array_join("community_ids", ",").alias("communities"))
+
+
+@query("SELECT DISTINCT l_orderkey AS id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN (SELECT min(p_brand) FROM part)")
+def units_of_communities(spark, d):
+    """JN-16, JN-17."""
+    u = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("p_brand").alias("community_ids"))
+    return RL.units_of_communities(u, table(spark, d, "part").agg(F.min("p_brand").alias("id"))).select("id")
+
+
+# --- aggregates -------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH e AS (SELECT source_id || '-' || target_id AS k, * FROM ({_EDGES})), m AS (SELECT k, lower(type) AS type, count(*) AS n FROM e GROUP BY ALL), t AS (SELECT k, type FROM m QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, type) = 1)
+SELECT k AS id, type, sum(weight) AS weight, string_agg(description, '; ' ORDER BY ord, description) AS description, count(DISTINCT unit) AS units FROM e JOIN t USING (k) GROUP BY k, t.type""".replace("SELECT k AS id, type,", "SELECT k AS id, t.type AS type,"))
+def merged_edges(spark, d):
+    """AGG-1, AGG-3, AGG-10."""
+    e = _edges(spark, d).withColumn("id", F.concat(F.col("source_id").cast("string"), F.lit("-"), F.col("target_id").cast("string")))
+    return RL.merge_extracted_edges(e).select("id", "type", "weight", "description", F.size("text_unit_ids").cast("long").alias("units"))
+
+
+_ENTS = "SELECT p_brand AS grp, p_partkey AS ord, p_partkey::VARCHAR AS id, p_type AS name, p_type AS type, p_name AS description, p_size::VARCHAR AS unit, p_retailprice AS confidence FROM part"
+
+
+def _ents(spark, d):
+    return table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("name"), F.col("p_type").alias("type"), F.col("p_name").alias("description"), F.array(F.col("p_size").cast("string")).alias("text_unit_ids"), F.col("p_retailprice").alias("confidence"))
+
+
+@query(f"""WITH e AS ({_ENTS}), m AS (SELECT grp, low AS type FROM (SELECT grp, lower(type) AS low, count(*) AS n FROM e GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n DESC, low) = 1),
+ x AS (SELECT grp, arg_min(name, ord) AS name, count(DISTINCT unit) AS frequency, max(confidence) AS confidence, string_agg(description, '; ' ORDER BY ord) AS d FROM e GROUP BY grp)
+SELECT x.grp AS id, name, m.type AS type, frequency, confidence, sha256(d) AS description FROM x JOIN m ON x.grp = m.grp""")
+def merged_entities(spark, d):
+    """AGG-1, AGG-2."""
+    out = RL.merge_extracted_entities(_ents(spark, d).withColumn("id", F.col("grp")))
+    return out.select("id", "name", "type", F.col("frequency").cast("long").alias("frequency"), "confidence", F.sha2("description", 256).alias("description"))
+
+
+@query(f"""WITH e AS ({_ENTS}), n AS (SELECT grp, name, count(*) AS n, min(ord) AS o FROM e GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY grp ORDER BY n DESC, o) = 1)
+SELECT n.o::VARCHAR AS id, n.name, max(confidence) AS confidence, count(DISTINCT unit) AS frequency FROM e JOIN n USING (grp) GROUP BY n.o, n.name""")
+def resolved_entities(spark, d):
+    """AGG-4."""
+    return RL.merge_resolved_entities(_ents(spark, d)).select("id", "name", "confidence", F.col("frequency").cast("long").alias("frequency"))
+
+
+@query(f"""WITH e AS ({_EDGES}) SELECT source_id, target_id, lower(trim(type)) AS type, arg_min(id, ord) AS id, CASE WHEN count(*) > 1 THEN count(DISTINCT unit)::DOUBLE ELSE sum(weight) END AS weight FROM e GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY 1, 2, 3"))
+def resolved_edges(spark, d):
+    """AGG-5, AGG-9."""
+    return RL.merge_resolved_edges(_edges(spark, d)).select("source_id", "target_id", "type", "id", "weight")
+
+
+@query("""WITH c AS (SELECT o_custkey AS subject_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS object_id, o_orderstatus AS type, o_orderkey AS ord FROM orders) SELECT subject_id, object_id, type, min(ord) AS id, count(*) AS n FROM c GROUP BY 1, 2, 3""")
+def merged_claims(spark, d):
+    """AGG-6, AGG-7: NULL objects are one group."""
+    c = table(spark, d, "orders").select(F.col("o_custkey").alias("subject_id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("object_id"), F.col("o_orderstatus").alias("type"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("id"), F.lit("Open").alias("status"), F.lit("x").alias("description"))
+    return RL.merge_claims(c).select("subject_id", "object_id", "type", "id", F.size(F.split("description", "\n")).cast("long").alias("n"))
+
+
+@query("""WITH b AS (SELECT lower(p_type) AS key, p_partkey AS id, p_partkey % 2 AS src FROM part), m AS (SELECT key, arg_min(id, src * 1000000000 + id) AS new FROM b GROUP BY key) SELECT b.id AS old, m.new FROM b JOIN m USING (key) WHERE src = 1""")
+def incremental_mapping(spark, d):
+    """AGG-8, JN-4: old ids stay."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"), F.array(F.col("p_size").cast("string")).alias("text_unit_ids"), F.lit(1.0).alias("confidence"))
+    return RL.merge_incremental(p.where("id % 2 = 0"), p.where("id % 2 = 1"), F.lower("name"))[1]
+
+
+_OWNED = "SELECT (o_custkey % 50)::VARCHAR AS id, CAST(floor(o_totalprice / 5000) AS INT)::VARCHAR AS content FROM orders WHERE o_orderkey % 2 ="
+
+
+@query(f"""WITH o AS ({_OWNED} 0 GROUP BY ALL), n AS ({_OWNED} 1 GROUP BY ALL),
+ f AS (SELECT n.* FROM n ANTI JOIN o USING (id, content)), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY content) - CASE WHEN id IN (SELECT id FROM o) THEN 0 ELSE 1 END AS k FROM f)
+SELECT CASE WHEN k = 0 THEN id WHEN k = 1 THEN id || '-delta' ELSE id || '-delta-' || k END AS id, content FROM k""")
+def appended_delta(spark, d):
+    """SET-5."""
+    p = table(spark, d, "orders").select((F.col("o_custkey") % 50).cast("string").alias("id"), F.floor(F.col("o_totalprice") / 5000).cast("int").cast("string").alias("content"), "o_orderkey")
+    half = lambda k: p.where(F.col("o_orderkey") % 2 == k).select("id", "content").distinct()
+    return RL.append_delta(half(0), half(1)).select("id", "content")
+
+
+@query("SELECT user_id, event_type AS k, arg_max(value, event_id) AS v FROM events GROUP BY 1, 2")
+def merged_attributes(spark, d):
+    """AGG-24."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("ord"), F.create_map("event_type", "value").alias("attributes"))
+    return RL.merge_attributes(e).select(F.col("id").alias("user_id"), F.explode("attributes").alias("k", "v"))
+
+
+@query("""SELECT event_type AS metric, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(coalesce(stddev_samp(value), 0), 6) AS stdev, min(value) AS least, max(value) AS most, count(value) AS n FROM events GROUP BY 1""")
+def metric_statistics(spark, d):
+    """AGG-18, AGG-25."""
+    s = RL.metric_statistics(table(spark, d, "events").withColumnRenamed("event_type", "metric"), "metric", "value")
+    return s.select("metric", *[F.round(c, 6).alias(c) for c in ("mean", "median", "stdev")], "least", "most", "n")
+
+
+@query("""WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) SELECT CAST(least(floor((l_extendedprice - lo) * 50 / (hi - lo)), 49) AS INT) AS bin, count(*) AS n FROM lineitem CROSS JOIN e GROUP BY 1""")
+def price_histogram(spark, d):
+    """AGG-22."""
+    return RL.histogram(table(spark, d, "lineitem"), "l_extendedprice")
+
+
+_UNITS = "u AS (SELECT doc_id, i AS number, substr(coalesce(text, ''), i * 600 + 1, 600) AS text FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil(length(coalesce(text, '')) / 600.0) AS BIGINT)))) AS i FROM documents))"
+
+
+@query(f"WITH {_UNITS} SELECT count(*) AS n, min(length(text)) AS least, round(avg(length(text)), 6) AS mean, median(length(text)) AS median, max(length(text)) AS most FROM u")
+def chunk_statistics(spark, d):
+    """AGG-16, WIN-7."""
+    s = RL.size_statistics(chunking.windows(table(spark, d, "documents")), F.length("text"))
+    return s.select("n", F.col("least").cast("long").alias("least"), F.round("mean", 6).alias("mean"), "median", F.col("most").cast("long").alias("most"))
+
+
+@query(f"WITH {_UNITS}, c AS (SELECT count(*) AS chunks, count(*) FILTER (WHERE trim(text) = '') AS empty, count(*) FILTER (WHERE length(text) > 590) AS oversize, count(*) FILTER (WHERE length(text) < 100 AND trim(text) <> '') AS undersize FROM u) SELECT *, empty = 0 AND oversize = 0 AND undersize * 2 <= chunks AS valid FROM c")
+def chunk_quality(spark, d):
+    """AGG-17."""
+    return RL.chunk_quality(chunking.windows(table(spark, d, "documents")), 100, 590)
+
+
+@query("""SELECT l_partkey::VARCHAR AS unit, count(*) AS citations FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, min(l_orderkey * 10 + l_linenumber), 1 LIMIT 25""")
+def cited_chunks(spark, d):
+    """AGG-21."""
+    return RL.cited_chunks(table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.array(F.col("l_partkey").cast("string")).alias("text_unit_ids")), 25)
+
+
+@query("""SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank FROM orders QUALIFY rank <= 3""")
+def top_per_group(spark, d):
+    """WIN-4, TOP-*, FUS-5."""
+    return RL.top_per(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rank")
+
+
+@query("""WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS running, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS place FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber FROM r WHERE running <= 500 OR place = 1""")
+def within_budget(spark, d):
+    """CTX-4, CTX-6, WIN-3."""
+    return RL.within_budget(table(spark, d, "lineitem"), ["l_suppkey"], [F.col("l_orderkey"), F.col("l_linenumber")], F.col("l_quantity"), 500, True).select("l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query("SELECT conv_id, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4")
+def recent_messages(spark, d):
+    """INC-8, WIN-5."""
+    return I.recent(table(spark, d, "conversations"), 4).select("conv_id", "turn", "text")
+
+
+@query()
+def conversation_memory(spark, d):
+    """INC-8, WIN-8, SET-8."""
+    return I.evict(I.memory(table(spark, d, "conversations")))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def windowed_events(spark, d):
+    """INC-10."""
+    return I.windowed_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+# --- scalar functions -------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT p_partkey, CASE WHEN b = '' THEN trim(lower(p_name)) ELSE b END AS name FROM (SELECT p_partkey, p_name, trim(regexp_replace(regexp_replace(lower(p_name || '_x-Y #' || p_brand), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')) AS b FROM part)""")
+def normalized_names(spark, d):
+    """STR-1."""
+    return table(spark, d, "part").select("p_partkey", T.normalize_name(F.concat("p_name", F.lit("_x-Y #"), "p_brand")).alias("name"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(len(list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '')), length(text) // 4, 1) END AS tokens FROM documents""")
+def token_estimates(spark, d):
+    """STR-3; the test texts have no dense script."""
+    return table(spark, d, "documents").select("doc_id", T.estimate_tokens("text").cast("long").alias("tokens"))
+
+
+@query(r"""WITH p AS (SELECT item_id, doc_id, trim(regexp_replace(lower(b.text), '\s+', ' ', 'g')) AS s, trim(regexp_replace(lower(d.text), '\s+', ' ', 'g')) AS c FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id),
+ w AS (SELECT *, list_filter(string_split(s, ' '), lambda x: x <> '') AS sw, string_split(c, ' ') AS cw FROM p)
+SELECT item_id, doc_id, s = '' OR c = '' OR len(sw) < 4 OR contains(c, s) OR len(list_filter(sw, lambda x: list_contains(cw, x)))::DOUBLE / greatest(len(sw), 1) >= 0.6 AS grounded FROM w""")
+def grounding(spark, d):
+    """STR-2, STR-5, FLT-7."""
+    j = table(spark, d, "benchmark").alias("b").join(table(spark, d, "documents").alias("d"), F.col("d.doc_id") % 40 == F.col("b.item_id"))
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    return j.select("item_id", "doc_id", T.is_grounded(plain(F.col("b.text")), plain(F.col("d.text"))).alias("grounded"))
+
+
+@query(r"""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_name), '[\p{L}\p{M}\p{N}_]+'), lambda x: length(x) > 1 OR regexp_full_match(x, '[0-9]+')))), ' ') AS tokens FROM part""")
+def name_token_sets(spark, d):
+    """STR-6."""
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(T.name_tokens(F.col("p_name"))), " ").alias("tokens"))
+
+
+@query(f"""WITH {TERMS_SQL}, s AS (SELECT id, list_distinct(list_transform(range(1, length(id) - 1), lambda i: substr(id, i, 3))) AS s FROM v),
+ j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) AS jaccard FROM s a JOIN s b ON a.id < b.id) SELECT a, b, round(jaccard, 9) AS jaccard FROM j WHERE jaccard >= 0.5""")
+def similar_names(spark, d):
+    """SIM-3, FUS-6, STR-11, SET-9: exact pairs."""
+    v = term_graph(spark, d)[1]
+    return S.exact_pairs(v, "id", T.char_shingles(F.col("id")), 0.5).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+
+
+@query()
+def similar_names_minhash(spark, d):
+    """SIM-1, SIM-2, JN-9."""
+    return S.similar_pairs(term_graph(spark, d)[1], "id", T.char_shingles(F.col("id")), 0.6)
+
+
+@query()
+def best_matches(spark, d):
+    """SIM-4, JN-11, JN-12, STR-7..10."""
+    n = term_graph(spark, d)[1].select(F.col("id").alias("name"))
+    return S.best_match(n.select(F.initcap("name").alias("name")), n.where(F.length("name") % 2 == 0))
+
+
+@query()
+def resolved_graph(spark, d):
+    """SIM-5, SIM-6, SIM-7, AGG-4, AGG-5: names that look alike become one."""
+    v = term_graph(spark, d)[1]
+    ents = v.select("id", F.col("id").alias("name"), F.lit("TERM").alias("type"), F.lit("").alias("description"), F.array("id").alias("text_unit_ids"), F.lit(1.0).alias("confidence"), F.col("id").alias("ord"))
+    none = spark.createDataFrame([], "id string, source_id string, target_id string, type string, weight double, text_unit_ids array<string>, ord string")
+    return S.resolve(ents, none)[0].select("id", "name", "frequency")
+
+
+@query()
+def near_duplicate_documents(spark, d):
+    """SIM-8, JN-10: what stays without the later of each pair of like documents."""
+    docs = table(spark, d, "documents")
+    p = S.similar_documents(docs, "doc_id", "text", 0.8)
+    return docs.join(p.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "source")
+
+
+@query(r"""SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, CASE WHEN value > 1 THEN greatest(0.0, least(1.0, value / 10)) ELSE greatest(0.0, least(1.0, value)) END AS confidence,
+ greatest(0, least(100, CAST(trunc(value) AS INT))) AS points FROM events""")
+def model_values(spark, d):
+    """MTH-1, MTH-2, MTH-5, JSN-1."""
+    e = table(spark, d, "events")
+    k = F.from_json(V.json_object(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))), "k int")["k"]
+    return e.select("event_id", k.alias("k"), V.confidence(F.col("value").cast("string")).alias("confidence"), V.map_score(F.col("value").cast("string")).alias("points"))
+
+
+@query(r"""SELECT o_orderkey, least(10.0, coalesce(TRY_CAST(nullif(regexp_extract(o_orderpriority, '[0-9]+(\.[0-9]+)?'), '') AS DOUBLE), 0)) AS rating, 0.4 * o_totalprice / 1000000 + 0.6 * least(10.0, coalesce(TRY_CAST(nullif(regexp_extract(o_orderpriority, '[0-9]+(\.[0-9]+)?'), '') AS DOUBLE), 5.0)) / 10 AS relevance FROM orders""".replace("AS relevance", "AS r").replace("SELECT o_orderkey,", "SELECT o_orderkey, rating, round(r, 9) AS relevance FROM (SELECT o_orderkey,") + ")")
+def ratings(spark, d):
+    """MTH-4, MTH-6."""
+    return table(spark, d, "orders").select("o_orderkey", V.rating(F.col("o_orderpriority")).alias("rating"), F.round(V.relevance(F.col("o_orderpriority"), F.col("o_totalprice") / 1000000), 9).alias("relevance"))
+
+
+@query("""SELECT p_partkey, substr(sha256(p_name), 1, 16) AS h FROM part""")
+def content_hashes(spark, d):
+    """STR-22."""
+    return table(spark, d, "part").select("p_partkey", ID.content_hash(F.col("p_name")).alias("h"))
+
+
+@query()
+def stable_ids(spark, d):
+    """STR-22: UUID version 5, in the JVM."""
+    return table(spark, d, "part").select("p_partkey", ID.entity_id(T.normalize_name("p_name")).alias("id"))
+
+
+@query(r"""SELECT p_partkey, array_to_string(list_filter([p_name, CASE WHEN p_type <> p_name THEN p_type END, CASE WHEN p_size > 25 THEN 'Size: ' || p_size END], lambda x: x IS NOT NULL AND trim(x) <> ''), chr(10) || chr(10)) AS content FROM part""")
+def content_projection(spark, d):
+    """PRJ-1, PRJ-2."""
+    return table(spark, d, "part").select("p_partkey", RL.content(F.col("p_name"), F.col("p_type"), F.when(F.col("p_size") > 25, F.concat(F.lit("Size: "), F.col("p_size").cast("string")))).alias("content"))
+
+
+@query(r"""WITH q AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS phrase FROM benchmark), tok AS (SELECT doc_id, ' ' || array_to_string(list_filter(list_transform(string_split_regex(lower(text), '\s+'), lambda x: regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda x: x <> ''), ' ') || ' ' AS t FROM documents),
+ p AS (SELECT item_id, ' ' || array_to_string(list_filter(list_transform(string_split_regex(lower(phrase), '\s+'), lambda x: regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda x: x <> ''), ' ') || ' ' AS t FROM q)
+SELECT item_id, count(*) AS docs FROM p JOIN tok ON contains(tok.t, p.t) GROUP BY 1""")
+def phrase_coverage(spark, d):
+    """STR-16, STR-17, EVL-1: a stated set of phrases against all documents."""
+    q = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("phrase"))
+    joined = lambda c: F.concat(F.lit(" "), F.array_join(T.coverage_tokens(F.col(c)), " "), F.lit(" "))
+    t = table(spark, d, "documents").select("doc_id", joined("text").alias("t"))
+    return t.join(F.broadcast(q.select("item_id", joined("phrase").alias("p"))), F.contains("t", "p")).groupBy("item_id").agg(F.count("*").alias("docs"))
+
+
+@query()
+def coverage_report(spark, d):
+    """EVL-1, EVL-3."""
+    b = table(spark, d, "benchmark")
+    a = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("context"), F.slice(F.split("text", " "), 1, 3).alias("expected_entities"), F.array().cast("array<string>").alias("expected_relationships"))
+    return E.coverage(a)
+
+
+@query("""WITH w AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[\\p{L}\\p{M}\\p{N}_]+')) AS b FROM benchmark) SELECT query_id, round(CASE WHEN len(list_intersect(a, b)) > 0 THEN 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) ELSE 0 END, 9) AS f1 FROM w""".replace("\\\\", "\\"))
+def answer_f1(spark, d):
+    """LLM-15, LLM-16."""
+    return E.token_f1(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer"), F.substring("text", 1, 200).alias("truth"))).select("query_id", F.round("f1", 9).alias("f1"))
+
+
+@query("SELECT conv_id AS query_id, count(*) AS contexts, round(avg(length(text)), 6) AS mean_length FROM conversations GROUP BY 1")
+def context_metadata(spark, d):
+    """EVL-2."""
+    return E.context_metadata(table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("text").alias("content"))).withColumn("mean_length", F.round("mean_length", 6))
+
+
+@query("SELECT count(*) AS questions, count(*) FILTER (WHERE trim(text) <> '') AS answered, round(avg(CASE WHEN coalesce(trim(text), '') <> '' THEN 1.0 ELSE 0.0 END), 9) AS success, round(avg(CASE WHEN turn > 0 THEN turn END), 9) AS mean_seconds FROM conversations")
+def evaluation_summary(spark, d):
+    """AGG-19."""
+    return E.summary(table(spark, d, "conversations").select(F.col("text").alias("answer"), F.col("turn").alias("seconds"))).select("questions", "answered", F.round("success", 9).alias("success"), F.round("mean_seconds", 9).alias("mean_seconds"))
+
+
+# --- graph ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {TERMS_SQL} SELECT v.id, count(w.src) AS degree, coalesce(sum(weight), 0) AS strength, round(count(w.src)::DOUBLE / ((SELECT count(*) FROM v) - 1), 9) AS centrality FROM v LEFT JOIN w ON v.id = w.src GROUP BY 1")
+def degree_centrality(spark, d):
+    """GRF-2."""
+    e, v = term_graph(spark, d)
+    return G.degrees(e, v).select("id", F.col("degree").cast("long").alias("degree"), "strength", F.round("centrality", 9).alias("centrality"))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = ", ".join(
+        f"r{i} AS MATERIALIZED (SELECT v.id, 0.85 * coalesce(sum(r.rank * w.weight / s.total), 0) + 0.15 / n.n AS rank FROM v CROSS JOIN n LEFT JOIN w ON w.dst = v.id LEFT JOIN r{i - 1} r ON r.id = w.src LEFT JOIN s ON s.src = w.src GROUP BY v.id, n.n)"
+        for i in range(1, rounds + 1)
+    )
+    return f"WITH {TERMS_SQL}, s AS (SELECT src, sum(weight) AS total FROM w GROUP BY 1), n AS (SELECT count(*) AS n FROM v), r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM v CROSS JOIN n), {steps} SELECT id, round(rank, 9) AS rank FROM r{rounds}"
+
+
+@query(_pagerank_sql(6))
+def pagerank(spark, d):
+    """GRF-4, with a fixed number of rounds."""
+    e, v = term_graph(spark, d)
+    return G.pagerank(e, v, rounds=6, tolerance=None).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query(f"""WITH RECURSIVE {TERMS_SQL}, r(id, root) AS (SELECT id, id FROM v UNION SELECT w.dst, r.root FROM r JOIN w ON w.src = r.id WHERE r.root < w.dst) SELECT id, min(root) AS component FROM r GROUP BY 1""")
+def graph_components(spark, d):
+    """GRF-9, SIM-6."""
+    e, v = term_graph(spark, d)
+    return G.components(e, v)
+
+
+_TRI = f"""WITH {TERMS_SQL}, tri AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM g a JOIN g b ON a.dst = b.src JOIN g c ON c.src = a.src AND c.dst = b.dst), t3 AS (SELECT unnest([x, y, z]) AS id FROM tri),
+ tc AS (SELECT id, count(*) AS t FROM t3 GROUP BY 1), dg AS (SELECT src AS id, count(*) AS d FROM w GROUP BY 1),
+ cl AS (SELECT v.id, coalesce(t, 0) AS triangles, CASE WHEN coalesce(d, 0) > 1 THEN 2.0 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END AS clustering FROM v LEFT JOIN tc USING (id) LEFT JOIN dg USING (id))"""
+
+
+@query(f"{_TRI} SELECT id, triangles, round(clustering, 9) AS clustering FROM cl")
+def clustering(spark, d):
+    """GRF-8."""
+    e, v = term_graph(spark, d)
+    return G.clustering(e, v).select("id", "triangles", F.round("clustering", 9).alias("clustering"))
+
+
+@query(f"{_TRI} SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM g) AS edges, round((SELECT avg(clustering) FROM cl), 9) AS clustering, round(2.0 * (SELECT count(*) FROM g) / ((SELECT count(*) FROM v) * ((SELECT count(*) FROM v) - 1)), 9) AS density")
+def graph_statistics(spark, d):
+    """AGG-15, GRF-7."""
+    e, v = term_graph(spark, d)
+    return G.statistics(e, v).select("nodes", "edges", F.round("clustering", 9).alias("clustering"), F.round("density", 9).alias("density"))
+
+
+@query(f"""WITH {TERMS_SQL}, m AS (SELECT sum(weight) AS m, sum(weight) FILTER (WHERE src[1] = dst[1]) AS i FROM g), ks AS (SELECT src[1] AS c, sum(weight) AS k FROM w GROUP BY 1) SELECT round(i / m - (SELECT sum(k * k) FROM ks) / (4 * m * m), 9) AS modularity FROM m""")
+def modularity(spark, d):
+    """GRF-15, of the partition by first letter."""
+    e, v = term_graph(spark, d)
+    return G.modularity(e, v.select("id", F.substring("id", 1, 1).alias("community"))).select(F.round("modularity", 9).alias("modularity"))
+
+
+@query(f"WITH {TERMS_SQL} SELECT least(src[1], dst[1]) AS src, greatest(src[1], dst[1]) AS dst, sum(weight) AS weight FROM g WHERE src[1] <> dst[1] GROUP BY 1, 2")
+def coarsened_graph(spark, d):
+    """AGG-11."""
+    e, v = term_graph(spark, d)
+    return G.coarsen(e, v.select("id", F.substring("id", 1, 1).alias("community")))
+
+
+@query(f"""WITH {TERMS_SQL}, dg AS (SELECT src AS id, count(*) AS d FROM w GROUP BY 1), i AS (SELECT src[1] AS c, count(*) AS e FROM g WHERE src[1] = dst[1] GROUP BY 1)
+SELECT v.id[1] AS community, count(*) AS size, coalesce(any_value(e), 0) AS edges, sum(d)::BIGINT AS rank FROM v JOIN dg USING (id) LEFT JOIN i ON i.c = v.id[1] GROUP BY 1""")
+def community_records(spark, d):
+    """AGG-12, AGG-13, AGG-14."""
+    e, v = term_graph(spark, d)
+    return G.community_records(v.select("id", F.substring("id", 1, 1).alias("community")), e, v.select("id", F.array("id").alias("text_unit_ids"))).select("community", "size", "edges", "rank")
+
+
+@query(f"""WITH {TERMS_SQL}, s AS (SELECT min(id) AS id FROM v), h1 AS (SELECT DISTINCT w.dst AS id FROM w JOIN s ON w.src = s.id), h2 AS (SELECT DISTINCT w.dst AS id FROM w JOIN h1 ON w.src = h1.id EXCEPT SELECT id FROM h1)
+SELECT id, 1 AS hop FROM h1 UNION ALL SELECT id, 2 FROM h2""")
+def k_hop(spark, d):
+    """JN-13, JN-14."""
+    e, v = term_graph(spark, d)
+    return G.k_hop(e, v.agg(F.min("id").alias("id")), 2, None)
+
+
+@query()
+def communities(spark, d):
+    """GRF-11..14."""
+    e, v = term_graph(spark, d)
+    return G.communities(e, v)
+
+
+@query()
+def betweenness(spark, d):
+    """GRF-3."""
+    return G.betweenness(*term_graph(spark, d), pivots=200)
+
+
+@query()
+def closeness(spark, d):
+    """GRF-5, GRF-10."""
+    return G.closeness(*term_graph(spark, d), pivots=200)
+
+
+@query()
+def eigenvector(spark, d):
+    """GRF-6."""
+    e, v = term_graph(spark, d)
+    return G.eigenvector(e, v) or v.select("id", F.lit(None).cast("double").alias("x")).limit(0)
+
+
+@query(f"WITH {TERMS_SQL}, dg AS (SELECT src AS id, count(*) AS degree FROM w GROUP BY 1) SELECT id, degree, round(10 + 30 * ln(1 + degree) / ln(1 + (SELECT max(degree) FROM dg)), 6) AS size FROM dg")
+def node_styles(spark, d):
+    """VIS-3, VIS-4."""
+    e, v = term_graph(spark, d)
+    return E.node_styles(G.degrees(e, v)).select("id", F.col("degree").cast("long").alias("degree"), F.round("size", 6).alias("size"))
+
+
+# --- plans ------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def chunks(spark, d):
+    """STR-12, STR-13."""
+    return chunking.chunk(table(spark, d, "documents"))
+
+
+@query()
+def page_sections(spark, d):
+    """STR-15, PRJ-6: pages by headings."""
+    return chunking.chunk(table(spark, d, "pages"), "page_id", "html", how="html")
+
+
+@query()
+def extracted_entities(spark, d):
+    """LLM-1, AGG-2."""
+    return extract.extract_graph(chunking.windows(table(spark, d, "documents")))[0]
+
+
+@query()
+def vector_layout(spark, d):
+    """VIS-2."""
+    return E.layout(table(spark, d, "embeddings"), "vec_id")
+
+
+@query()
+def corpus_profile(spark, d):
+    """LLM-17, SRC-12."""
+    return extract.profile(table(spark, d, "documents"))
+
+
+@query()
+def naive_search(spark, d):
+    """QRY-6, FUS-1, FUS-5."""
+
+    class Tables:
+        text_units = chunking.windows(table(spark, d, "documents")).select(F.concat_ws(":", F.col("document_id").cast("string"), F.col("number").cast("string")).alias("id"), "text")
+
+    return strategies.search(Tables, "naive", asked(spark), 10)
