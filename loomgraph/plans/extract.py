@@ -21,7 +21,7 @@ def terms(units: DataFrame, least: int = 6) -> DataFrame:
     return units.select("document_id", "number", F.explode(w).alias("term"))
 
 
-def extract_graph(units: DataFrame, low: int = 2, high: int = 50, per_unit: int = 50) -> tuple[DataFrame, DataFrame]:
+def extract_graph(units: DataFrame, low: int = 2, high: int = 12, per_unit: int = 16) -> tuple[DataFrame, DataFrame]:
     """LLM-1, offline: entities are long words that occur in low to high text units; two in one unit are related, with a
     weight of the units that they share. At most per_unit entities of a unit, the rarest first, so that no unit makes
     more than per_unit squared pairs."""
@@ -45,7 +45,7 @@ def glean(units: DataFrame, entities: DataFrame, edges: DataFrame, rounds: int =
     """LLM-2, offline: further passes with wider bands, until one adds fewer than least_gain of what there is."""
     n = entities.count()
     for i in range(1, rounds + 1):
-        e, r = extract_graph(units, 2, 50 * 2**i)
+        e, r = extract_graph(units, 2, 12 * 2**i)
         m = e.count()
         entities, edges = e, r
         if n and (m - n) / n < least_gain:
