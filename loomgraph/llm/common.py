@@ -32,7 +32,6 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.deleteOnExit(path)
@@ -43,14 +42,14 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._scratch_path = path  # keeps the pair together for drop()
+        out._scratch_path = path  # for drop()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that no later step reads."""
         for t in tables:
-            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path), True)
+            if path := getattr(t, "_scratch_path", None):
+                self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 # --- bytes, words and hashes -----------------------------------------------------------------------------------------

@@ -55,19 +55,19 @@ def _near(a: str, b: str):
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, role, at, k) from lines(at, k, w, n): role 0, one word replaced at a place; 1, a word less; 2, the line itself."""
-    words = lines.select("at", "k", "n", F.posexplode("w").alias("i", "x"))
-    words = words.select("at", "k", "n", "i", F.xxhash64("x", "i").alias("p"), F.xxhash64("x", F.col("i") - 1).alias("q"))
-    before = "bit_xor(p) over (partition by k order by i rows between unbounded preceding and 1 preceding)"
-    after = "bit_xor(q) over (partition by k order by i rows between 1 following and unbounded following)"
-    whole = "bit_xor(p) over (partition by k)"
-    v = words.select("at", "k", "n", "i", F.expr(f"coalesce({before}, 0L) ^ coalesce({after}, 0L)").alias("d"), F.expr(whole).alias("s"))
+    """(key, role, line) from lines(line, w, n): role 0, one word replaced at a place; 1, a word less; 2, the line itself."""
+    words = lines.select("line", "n", F.posexplode("w").alias("i", "x"))
+    words = words.select("line", "n", "i", F.xxhash64("x", "i").alias("p"), F.xxhash64("x", F.col("i") - 1).alias("q"))
+    before = "bit_xor(p) over (partition by line order by i rows between unbounded preceding and 1 preceding)"
+    after = "bit_xor(q) over (partition by line order by i rows between 1 following and unbounded following)"
+    whole = "bit_xor(p) over (partition by line)"
+    v = words.select("line", "n", "i", F.expr(f"coalesce({before}, 0L) ^ coalesce({after}, 0L)").alias("d"), F.expr(whole).alias("s"))
     each = F.array(
-        F.struct(F.xxhash64(F.lit(0), "d", "n", "i").alias("key"), F.lit(0).alias("role")),
-        F.struct(F.xxhash64(F.lit(1), "d", F.col("n") - 1).alias("key"), F.lit(1).alias("role")),
+        F.struct(F.xxhash64(F.lit(0), "d", "n", "i").alias("key"), F.lit(0).cast("tinyint").alias("role")),
+        F.struct(F.xxhash64(F.lit(1), "d", F.col("n") - 1).alias("key"), F.lit(1).cast("tinyint").alias("role")),
     )
-    own = F.array(F.struct(F.xxhash64(F.lit(1), "s", "n").alias("key"), F.lit(2).alias("role")))
-    return v.select("at", "k", F.explode(F.when(F.col("i") == 0, F.concat(each, own)).otherwise(each)).alias("e")).select("e.key", "e.role", "at", "k")
+    own = F.array(F.struct(F.xxhash64(F.lit(1), "s", "n").alias("key"), F.lit(2).cast("tinyint").alias("role")))
+    return v.select("line", F.explode(F.when(F.col("i") == 0, F.concat(each, own)).otherwise(each)).alias("e")).select("e.key", "e.role", "line")
 
 
 def removed(scratch: Scratch, docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -88,21 +88,24 @@ def removed(scratch: Scratch, docs: DataFrame, id: str, text: str) -> DataFrame:
     place = F.broadcast(place) if place.count() <= BROADCAST_ROWS else place
     picked = d.join(place, ["id", "row"]).dropDuplicates(["id", "row"]).select("id", "row", "places", F.split("text", "\n").alias("all"))
     picked = picked.select("id", "row", F.explode("places").alias("place"), "all").select(F.struct("id", "row", "place").alias("at"), F.trim(F.element_at("all", F.col("place") + 1)).alias("line"))
-    picked = scratch.table(picked.select("at", F.unhex(F.md5("line")).alias("k"), F.split("line", " ").alias("w")).withColumn("n", F.size("w")))
+    # Numbered in the order of ids and places, before they are written, so that a smaller number is an earlier line.
+    picked = picked.select("at", F.unhex(F.md5("line")).alias("k"), F.split("line", " ").alias("w")).orderBy("at")
+    numbered = scratch.table(picked.withColumn("n", F.size("w")).withColumn("line", F.monotonically_increasing_id()))
 
-    variants = scratch.table(_variants(picked))
-    least = lambda role: F.min(F.when(F.col("role") == role, F.struct("at", "k"))).alias(f"m{role}")
-    heads = variants.groupBy("key").agg(least(0), least(1), least(2), F.count("*").alias("c")).where("c > 1").drop("c")
+    variants = scratch.table(_variants(numbered))
+    whole = F.col("role") == 2
+    heads = variants.groupBy("key").agg(F.min(F.when(~whole, F.col("line"))).alias("part"), F.min(F.when(whole, F.col("line"))).alias("whole"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = variants.join(heads, "key")
-    witness = F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1"))
-    met = met.withColumn("by", witness).where("by.at < at").select("k", F.col("by.k").alias("b")).distinct()
-    words = picked.select("k", "w")
-    met = met.join(words, "k").join(words.select(F.col("k").alias("b"), F.col("w").alias("v")), "b")
-    gone = met.where(_near("w", "v")).select("k").distinct().withColumn("near", F.lit(True))
-
-    known = known.select("k", "first", "copies").join(gone, "k", "left").where("copies > 1 or near")
-    out = lines.select("k", "at").join(known, "k").where("near or at <> first")
-    return scratch.table(out.groupBy("at.id", "at.row").agg(F.collect_set("at.place").alias("gone")))
+    met = met.withColumn("by", F.when(F.col("role") == 1, F.col("whole")).otherwise(F.col("part"))).where("by < line").select("line", "by").distinct()
+    words = numbered.select("line", "w")
+    met = met.join(words, "line").join(words.select(F.col("line").alias("by"), F.col("w").alias("v")), "by").where(_near("w", "v")).select("line").distinct()
+    gone = numbered.join(met, "line").select("k").withColumn("near", F.lit(True))
+
+    some = known.select("k", "first", "copies").join(gone, "k", "left").where("copies > 1 or near")
+    out = lines.select("k", "at").join(some, "k").where("near or at <> first")
+    out = scratch.table(out.groupBy("at.id", "at.row").agg(F.collect_set("at.place").alias("gone")))
+    scratch.drop(lines, known, near, numbered, variants)
+    return out
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
