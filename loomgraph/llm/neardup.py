@@ -57,7 +57,7 @@ def _keyed(batches, d: int, passes: int):
             yield pa.record_batch([pa.array(np.full(len(x), p, np.int32)), batch.column(1), pa.array(code), batch.column(0), blobs], names=["pass", "label", "code", "id", "v"])
 
 
-_FOUND = "a long, b long, part int, side int, label long, id long, v binary"
+_FOUND = "a long, b long, part int, side int, at int, label long, id long, v binary"
 
 
 def _windows(batches, d: int, t: float, window: int):
@@ -65,12 +65,13 @@ def _windows(batches, d: int, t: float, window: int):
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
+    names = ["a", "b", "part", "side", "at", "label", "id", "v"]
 
     def edge(side, label, ids, x):
         n = len(ids)
         none = pa.nulls(n, pa.int64())
-        kinds = [np.full(n, v, np.int32) for v in (part + (side == 1), side)]
-        return pa.record_batch([none, none, *(pa.array(k) for k in kinds), pa.array(label), pa.array(ids), to_blobs(x)], names=["a", "b", "part", "side", "label", "id", "v"])
+        kinds = [np.full(n, v, np.int32) for v in (part + (side == 1), side)] + [np.arange(n, dtype=np.int32)]
+        return pa.record_batch([none, none, *(pa.array(k) for k in kinds), pa.array(label), pa.array(ids), to_blobs(x)], names=names)
 
     label, ids, x = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, d))
     head = False
@@ -83,7 +84,7 @@ def _windows(batches, d: int, t: float, window: int):
         label, ids, x = np.append(label, mine), np.append(ids, batch.column(3).to_numpy()), np.concatenate([x, stack(batch.column(4).to_pylist(), d)])
         got = _pairs(label, ids, x, t, window, old)
         none = pa.nulls(len(got), pa.int32())
-        yield pa.record_batch([pa.array(got[:, 0]), pa.array(got[:, 1]), none, none, pa.nulls(len(got), pa.int64()), pa.nulls(len(got), pa.int64()), pa.nulls(len(got), pa.binary())], names=["a", "b", "part", "side", "label", "id", "v"])
+        yield pa.record_batch([pa.array(got[:, 0]), pa.array(got[:, 1]), none, none, none, pa.nulls(len(got), pa.int64()), pa.nulls(len(got), pa.int64()), pa.nulls(len(got), pa.binary())], names=names)
         if not head:
             head = True
             yield edge(0, label[:window], ids[:window], x[:window])
@@ -135,8 +136,7 @@ def dedup(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label:
     n = max(1, min(4096, classes.count() * passes // 20_000))
     ordered = keyed.repartitionByRange(n, "pass", "label", "code", "id").sortWithinPartitions("pass", "label", "code", "id")
     found = scratch.table(ordered.mapInArrow(lambda b: _windows(b, d, threshold, window), _FOUND))
-    # Rows of a task's edge are few and in order in its output; "at" says how, for the order of files is not kept.
-    seam = found.where("part is not null").select("part", "side", "label", "id", "v", F.monotonically_increasing_id().alias("at"))
+    seam = found.where("part is not null").select("part", "side", "at", "label", "id", "v")
     seam = seam.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _seams(b, d, threshold, window), "a long, b long")
     links = scratch.table(found.where("a is not null").select("a", "b").union(seam).distinct())
     groups_ = scratch.table(components(scratch, links))
