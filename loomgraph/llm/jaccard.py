@@ -6,12 +6,13 @@ member of a group is at most its overlap with the union, so only groups whose bo
 
 The matrix is kept sparse without losing a link: under one order of tokens for all (frequent ones last), sets with
 Jaccard >= t share one of their first n - ceil(t n) + 1 tokens each, so a group whose union of these meets none of a query's
-has a bound below t and is never opened. A class with too few
-tokens in common with any others to reach the threshold is set aside first. Groups grow in a few rounds: each token has a
-hub among its classes, and classes are compared with the hubs that they share many tokens with; links make the groups
-(components). Then every class asks the matrix for other groups that it may overlap, and is compared with the members of
-those that qualify; inside a group nothing more is compared. So a group of thousands of near copies costs a few times as
-many comparisons as it has members, and components are exact.
+has a bound below t and is never opened.
+More closely: all but n - need tokens of a set are in common, so the first one in common stands near the start of both.
+
+Groups grow in a few rounds: each token has a hub among its classes, and classes are compared with the hubs that they share
+many tokens with; links make the groups (components). Then every class asks the matrix for other groups that it may
+overlap, and is compared with the members of those that qualify; inside a group nothing more is compared. So a group of
+thousands of near copies costs a few times as many comparisons as it has members, and components are exact.
 
 Which tokens count as frequent bears on speed alone. They are counted over all documents by 44-bit codes; the number that
 is sent to the tasks is bounded by raising the limit of frequency.
@@ -33,11 +34,11 @@ SHINGLE, THRESHOLD = 5, 75
 #: Tokens of more than FREQUENT documents come last in the order; FREQUENT doubles until there are at most LISTED of them.
 FREQUENT, LISTED = 24, 2_000_000
 #: Rounds in which groups grow before the exact one, and the hubs that a similar set of classes is compared with in each.
-ROUNDS, HUBS = 2, 4
+ROUNDS, HUBS = 3, 1
 #: Codes of tokens: CODE_BITS of the hash, of which the highest say the part. Only the lower COUNTED of 256 ranges of hashes
 #: are counted, as later tokens get into a prefix only where most of a set is frequent.
 CODE_BITS, COUNTED = 44, 104
-PART, GATHERED = 3_000_000, 2_000_000
+PART, GATHERED = 3_000_000, 1_000_000
 #: Ids (8 bytes each) that are broadcast at most, to fetch the texts of candidates; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -134,24 +135,24 @@ def _frequent(batches, bits: int, least: int):
 def _prefixes(batches, k: int, parts: int, frequent: np.ndarray, t: int):
     """The first tokens of each set in the common order, packed for each part: classes, sizes, counts, tokens."""
     held, size = [], 0
-    names = ["part", "k", "n", "counts", "tokens"]
+    names = ["part", "k", "n", "counts", "places", "tokens"]
 
     def flush():
         key, n = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
         doc = np.concatenate([x[2] + sum(len(y[0]) for y in held[:i]) for i, x in enumerate(held)])
-        tok = np.concatenate([x[3] for x in held])
+        tok, place = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
         _, one = np.unique(key, return_index=True)  # equal sets go once
         keep = np.isin(doc, one)
-        doc, tok = doc[keep], tok[keep]
+        doc, tok, place = doc[keep], tok[keep], place[keep]
         part = mix(tok) % np.uint64(parts)
         order = np.argsort(part.astype(np.int32), kind="stable")
-        doc, tok, part = doc[order], tok[order], part[order]
+        doc, tok, part, place = doc[order], tok[order], part[order], place[order].astype(np.int32)
         ends = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
         for p in range(parts):
             a, b = ends[p], ends[p + 1]
             if a < b:
                 own, c = np.unique(doc[a:b], return_counts=True)
-                body = [key[own].tobytes(), n[own].astype(np.int32).tobytes(), c.astype(np.int32).tobytes(), tok[a:b].tobytes()]
+                body = [key[own].tobytes(), n[own].astype(np.int32).tobytes(), c.astype(np.int32).tobytes(), place[a:b].tobytes(), tok[a:b].tobytes()]
                 yield pa.record_batch([pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in body)], names=names)
 
     for batch in batches:
@@ -165,7 +166,7 @@ def _prefixes(batches, k: int, parts: int, frequent: np.ndarray, t: int):
                 h = h[order]
             place = np.arange(len(h)) - ends[doc]
             first = place < n[doc] - (n[doc] * t + 99) // 100 + 1
-            held.append((as_long(key), n, doc[first], h[first]))
+            held.append((as_long(key), n, doc[first], h[first], place[first]))
             size += int(first.sum())
             if size >= GATHERED:
                 yield from flush()
@@ -175,29 +176,30 @@ def _prefixes(batches, k: int, parts: int, frequent: np.ndarray, t: int):
 
 
 def _postings(batches):
-    """(t, k, n) of the tokens that several classes have; of a part that is too large for one run, of all its tokens."""
-    for _, whole, (ks, ns, counts, toks) in _runs(batches, [1, 2, 3, 4]):
+    """(t, k, n, p) of the tokens that several classes have; of a part that is too large for one run, of all its tokens."""
+    for _, whole, (ks, ns, counts, places, toks) in _runs(batches, [1, 2, 3, 4, 5]):
         key, n = np.concatenate([np.frombuffer(x, np.int64) for x in ks]), np.concatenate([np.frombuffer(x, np.int32) for x in ns])
         doc = np.repeat(np.arange(len(key)), np.concatenate([np.frombuffer(x, np.int32) for x in counts]))
         tok = np.concatenate([np.frombuffer(x, np.uint64) for x in toks])
+        place = np.concatenate([np.frombuffer(x, np.int32) for x in places])
         if whole:
             order = np.argsort(tok)
-            tok, doc = tok[order], doc[order]
+            tok, doc, place = tok[order], doc[order], place[order]
             twin = np.zeros(len(tok), bool)
             twin[1:] = tok[1:] == tok[:-1]
             twin[:-1] |= twin[1:]
-            tok, doc = tok[twin], doc[twin]
+            tok, doc, place = tok[twin], doc[twin], place[twin]
         order = np.lexsort((key[doc], tok))
-        tok, doc = tok[order], doc[order]
+        tok, doc, place = tok[order], doc[order], place[order]
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (key[doc[1:]] != key[doc[:-1]])
-        tok, doc = tok[new], doc[new]
+        tok, doc, place = tok[new], doc[new], place[new]
         if whole and len(tok):
             twin = np.zeros(len(tok), bool)
             twin[1:] = tok[1:] == tok[:-1]
             twin[:-1] |= twin[1:]
-            tok, doc = tok[twin], doc[twin]
-        yield pa.record_batch({"t": pa.array(as_long(tok)), "k": pa.array(key[doc]), "n": pa.array(n[doc].astype(np.int32))})
+            tok, doc, place = tok[twin], doc[twin], place[twin]
+        yield pa.record_batch({"t": pa.array(as_long(tok)), "k": pa.array(key[doc]), "n": pa.array(n[doc].astype(np.int32)), "p": pa.array(place)})
 
 
 def _sets(batches, k: int):
@@ -215,18 +217,14 @@ def _check(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return j.where(100 * both >= t * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
-def _bound(shared, n, m, t: int):
-    """Whether sets of n and m tokens that share so many of their first tokens can reach the threshold: all later tokens
-    of the smaller rest may be shared too. Two tokens of slack stand for the rounding."""
-    rest = F.least(n, m) * t / 100.0
-    return (shared + rest + 2) * (100 + t) >= t * (n + m)
+def _need(n, m, t: int):
+    """The least number of tokens in common with which sets of n and m reach the threshold."""
+    return F.floor((t * (n + m) + 99 + t) / (100 + t))
 
 
-def _dense(postings: DataFrame, t: int) -> DataFrame:
-    """The rows of classes that have so many tokens here that they could reach the threshold with a set of their own size,
-    for which least are needed."""
-    own = postings.groupBy("k").agg(F.count("*").alias("c"))
-    return postings.join(own, "k").where(_bound(F.col("c"), F.col("n"), F.col("n"), t)).drop("c")
+def _promising(shared, n, m, t: int):
+    """Whether sets that share so many of their first tokens are worth a comparison before the exact round."""
+    return shared + F.least(n, m) * t / 100.0 + 2 >= _need(n, m, t)
 
 
 def _fetch(scratch: Scratch, d: DataFrame, reps: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -252,10 +250,9 @@ def links(scratch: Scratch, docs: DataFrame, id: str, text: str, k: int = SHINGL
     frequent = np.sort(often.where(F.col("n") >= least).select("code").toArrow()["code"].to_numpy().view(np.uint64))
 
     parts = max(8, int(-(-total // (4 * PART))) * 2)
-    blobs = body.mapInArrow(lambda b: _prefixes(b, k, parts, frequent, t), "part int, k binary, n binary, counts binary, tokens binary")
-    postings = scratch.table(blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_postings, "t long, k long, n int"))
+    blobs = body.mapInArrow(lambda b: _prefixes(b, k, parts, frequent, t), "part int, k binary, n binary, counts binary, places binary, tokens binary")
+    postings = scratch.table(blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_postings, "t long, k long, n int, p int"))
 
-    postings = scratch.table(_dense(postings, t))
     like = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * t
     reps = summary.where("id is not null and n > 0").groupBy("k").agg(F.min("id").alias("id"))
     tested, found, groups = None, None, None
@@ -278,34 +275,45 @@ def links(scratch: Scratch, docs: DataFrame, id: str, text: str, k: int = SHINGL
             return True
         return False
 
-    def grouped() -> DataFrame:
-        """(t, k, n, g): tokens that several groups have, of classes with enough of them."""
+    def grouped(rows: DataFrame) -> DataFrame:
+        """(t, k, n, p, g): rows of postings of tokens that several groups have."""
         if groups is None:
-            return postings.withColumn("g", F.col("k"))
-        of = postings.join(groups.withColumnRenamed("node", "k"), "k", "left").select("t", "k", "n", F.coalesce("component", "k").alias("g"))
+            return rows.withColumn("g", F.col("k"))
+        of = rows.join(groups.withColumnRenamed("node", "k"), "k", "left").select("t", "k", "n", "p", F.coalesce("component", "k").alias("g"))
         mixed = of.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("t")
-        return scratch.table(_dense(of.join(mixed, "t"), t))
+        return of.join(mixed, "t")
 
+    # The rounds before the exact one take only classes that share many tokens with any other.
+    own = postings.groupBy("k", "n").agg(F.count("*").alias("c")).where(_promising(F.col("c"), F.col("n"), F.col("n"), t)).select("k")
+    busy = scratch.table(postings.join(own, "k").select(postings.columns))
     for r in range(ROUNDS):
-        of = grouped()
+        of = grouped(busy)
         hub = of.groupBy("t").agg(F.min(F.struct(F.xxhash64("k", F.pmod("t", F.lit(HUBS)), F.lit(r)).alias("x"), "k", "n", "g")).alias("h"))
         hub = hub.select("t", F.col("h.k").alias("hk"), F.col("h.n").alias("m"), F.col("h.g").alias("hg"))
         seen = of.join(hub, "t").where((F.col("g") != F.col("hg")) & like(F.col("n"), F.col("m")))
-        seen = seen.groupBy("k", "hk", "n", "m").agg(F.count("*").alias("shared")).where(_bound(HUBS * F.col("shared"), F.col("n"), F.col("m"), t))
+        seen = seen.groupBy("k", "hk", "n", "m").agg(F.count("*").alias("shared")).where(_promising(HUBS * F.col("shared"), F.col("n"), F.col("m"), t))
         if not compare(seen.select(*pair("k", "hk")).distinct()):
             break
 
-    # The matrix of tokens and groups. A class opens the other groups whose bound qualifies.
-    of = grouped()
-    matrix = of.select("t", "g").distinct()
-    ask = of.alias("q").join(matrix.alias("m"), F.col("q.t") == F.col("m.t")).where(F.col("q.g") > F.col("m.g"))
-    ask = ask.groupBy(F.col("q.k").alias("k"), F.col("q.n").alias("n"), F.col("m.g").alias("g")).agg(F.count("*").alias("shared"))
-    extent = of.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    near = F.least(F.greatest(F.col("n"), F.col("lo")), F.col("hi"))  # no size in the group has a higher bound
-    ask = ask.join(extent, "g").where(like(F.col("n"), near) & _bound(F.col("shared"), F.col("n"), near, t))
+    # The matrix of tokens and groups, with the sizes of each group's members and the earliest place of the token in one.
+    # Sets of n and m that reach the threshold have all but n - need and m - need of their tokens in common, so the first
+    # one in common is at most that far from either's start. For a group the sizes that bound least are taken.
+    # Of two sets the smaller needs that token among its first n - need(n, n); tokens that no class has there are left out.
+    ahead = postings.where(F.col("p") <= F.col("n") - _need(F.col("n"), F.col("n"), t)).select("t").distinct()
+    scratch.drop(busy)
+    of = scratch.table(grouped(postings.join(ahead, "t")))
+    extent = of.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = of.groupBy("t", "g").agg(F.min("p").alias("mp")).join(extent, "g").withColumnRenamed("g", "mg")
+    n, p = F.col("n"), F.col("p")
+    small, large = F.greatest(F.col("least"), F.ceil(n * t / 100.0)), F.least(F.col("most"), F.floor(n * 100.0 / t))
+    ask = of.join(matrix, "t").where((F.col("g") > F.col("mg")) & (small <= large) & (p <= n - _need(n, small, t)) & (F.col("mp") <= large - _need(n, large, t)))
+    ask = ask.select("k", "n", F.col("mg").alias("g")).distinct()
     members = of.select(F.col("k").alias("s"), "g", F.col("n").alias("m")).distinct()
-    opened = ask.join(members, "g").where(like(F.col("n"), F.col("m")) & _bound(F.col("shared"), F.col("n"), F.col("m"), t))
-    compare(opened.select(*pair("k", "s")))
+    opened = scratch.table(ask.join(members, "g").where(like(n, F.col("m"))).select("k", "n", "s", "m"))
+    # What two sets share beyond the first tokens of both is in the rest of one of them.
+    shared = opened.join(postings.select("k", "t"), "k").join(postings.select(F.col("k").alias("s"), "t"), ["s", "t"]).groupBy("k", "n", "s", "m").agg(F.count("*").alias("shared"))
+    rest = F.ceil(F.greatest("n", "m") * t / 100.0) - 1
+    compare(shared.where(F.col("shared") + rest >= _need(F.col("n"), F.col("m"), t)).select(*pair("k", "s")))
     none = scratch.spark.createDataFrame([], "node long, component long")
     return summary, none if groups is None else groups
 
