@@ -32,7 +32,7 @@ from loomgraph.llm.common import Scratch, Words, as_long, chunks, components, mi
 
 SHINGLE, THRESHOLD = 5, 75
 #: Tokens of more than FREQUENT documents come last in the order; FREQUENT doubles until there are at most LISTED of them.
-FREQUENT, LISTED = 24, 2_000_000
+FREQUENT, LISTED = 8, 2_000_000
 #: Rounds in which groups grow before the exact one, and the hubs that a similar set of classes is compared with in each.
 ROUNDS, HUBS = 3, 1
 #: Codes of tokens: CODE_BITS of the hash, of which the highest say the part. Only the lower COUNTED of 256 ranges of hashes
@@ -307,9 +307,12 @@ def links(scratch: Scratch, docs: DataFrame, id: str, text: str, k: int = SHINGL
     n, p = F.col("n"), F.col("p")
     small, large = F.greatest(F.col("least"), F.ceil(n * t / 100.0)), F.least(F.col("most"), F.floor(n * 100.0 / t))
     ask = of.join(matrix, "t").where((F.col("g") > F.col("mg")) & (small <= large) & (p <= n - _need(n, small, t)) & (F.col("mp") <= large - _need(n, large, t)))
-    ask = ask.select("k", "n", F.col("mg").alias("g")).distinct()
-    members = of.select(F.col("k").alias("s"), "g", F.col("n").alias("m")).distinct()
-    opened = scratch.table(ask.join(members, "g").where(like(n, F.col("m"))).select("k", "n", "s", "m"))
+    # Of a group that qualifies, the members that have the token early enough are opened.
+    ask = ask.select("t", "k", "n", "p", F.col("mg").alias("g"))
+    members = of.select("t", "g", F.col("k").alias("s"), F.col("n").alias("m"), F.col("p").alias("sp"))
+    need = _need(F.col("n"), F.col("m"), t)
+    opened = ask.join(members, ["t", "g"]).where(like(F.col("n"), F.col("m")) & (F.col("p") <= F.col("n") - need) & (F.col("sp") <= F.col("m") - need))
+    opened = scratch.table(opened.select("k", "n", "s", "m").distinct())
     # What two sets share beyond the first tokens of both is in the rest of one of them.
     shared = opened.join(postings.select("k", "t"), "k").join(postings.select(F.col("k").alias("s"), "t"), ["s", "t"]).groupBy("k", "n", "s", "m").agg(F.count("*").alias("shared"))
     rest = F.ceil(F.greatest("n", "m") * t / 100.0) - 1
