@@ -2,15 +2,18 @@
 
 Method. Maximum-likelihood estimates of bigrams, unigrams and a uniform distribution are mixed; the mixture weights depend
 on how often the context occurred in training (buckets of powers of two) and are learned by expectation-maximisation on
-the counts of held-out documents. The classes of the bigrams are the VOCABULARY most frequent words, the end of a text
-(which is also the context of its first word) and one class for all other words; inside that class a word has its own
-smoothed share, so the probabilities of all texts sum to at most one.
-
-What is gathered. Word counts over all training texts; bigram counts over all of them; held-out counts over all held-out
-texts. Only the most frequent words and the counts among the HOT most frequent of them (both bounded by parameters) are
-sent to every task. All other bigrams and rare words are looked up where they are counted: occurrences travel, packed, to
-the part of the key space that holds them, which counts the training ones and returns one sum for each document. No pair
-outside the HOT words can be more frequent than the first word after them, so no part is made large by one key.
+the counts of held-out documents. The model knows every word of the training texts, the end of a text (which is also the
+context of its first word) and one unknown word, so the probabilities of all texts sum to at most one.
+
+What is gathered. Word counts over all training texts; bigram counts over all of them, of any words; held-out counts over
+all held-out texts. The counts of the VOCABULARY most frequent words and of the pairs among the HOT most frequent of them
+are only a cache that is sent to every task; results don't depend on it. All else is looked up where it is counted:
+occurrences travel, packed, to a part of the key space, which counts the training ones and returns one sum for each
+document. A pair of cached words goes by the pair, any other by the hash of a word that isn't cached: the first if it
+isn't, else the second. So the part of a word outside the cache sees each of its occurrences as a context, which gives its
+count. Where neither word is cached, the count of the second is joined from the word counts to the part of the first. No
+pair outside the HOT words can be more frequent than the first word after them, and words outside the cache are rarer
+still, so no part is made large by one key.
 
 Cases. Null or empty text: one token, the end. Null id: scored, and not learned from. Repeated rows: learned from as often
 as they occur, each scored. With no training text, everything is as likely as in the uniform distribution.
@@ -18,6 +21,8 @@ as they occur, each scored. With no training text, everything is as likely as in
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,7 +77,7 @@ def _count_words(batches):
 
 
 class Classes:
-    """The frequent words: their hashes sorted, with ids by rank. Ids: 0.. by falling count, then one for all others."""
+    """The cached words: their hashes sorted, with ids by rank. Ids: 0.. by falling count, then one that says not cached."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
         order = np.lexsort((hashes, -counts))
@@ -81,13 +86,8 @@ class Classes:
         self.sorted, self.id = hashes[by], by.astype(np.uint32)
         self.other = len(hashes)
         self.total, self.distinct = total, distinct
-        self.other_total = total - int(counts.sum())
-        self.other_distinct = distinct - int((counts > 0).sum())
         self.end = int(self.of(np.array([END]))[0])
-        every = np.append(self.counts, self.other_total)
-        self.context = every  # each token is followed by one, and an end precedes each text, so contexts occur as tokens do
-        self.unigram = every / max(1, total)
-        self.uniform = 1 / len(every)
+        self.uniform = 1 / (max(1, distinct) + 1)  # all words, the end, and one unknown word
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.sorted, tokens), len(self.sorted) - 1)
@@ -103,12 +103,16 @@ class Classes:
         return before << np.uint32(16) | cls
 
     def bucket(self, context: np.ndarray) -> np.ndarray:
-        """0 for an unseen context, else 1 + the power of two below its count."""
-        return np.minimum(np.frexp(self.context[context].astype(float))[1], BUCKETS - 1)
+        """Of counts of contexts: 0 for an unseen one, else 1 + the power of two below its count."""
+        return np.minimum(np.frexp(context.astype(float))[1], BUCKETS - 1)
 
-    def rates(self, pair: np.ndarray, count: np.ndarray):
-        context, word = pair >> np.uint32(16), pair & np.uint32(0xFFFF)
-        return self.bucket(context), count / np.maximum(1, self.context[context]), self.unigram[word]
+    def rates(self, count: np.ndarray, context: np.ndarray, word: np.ndarray):
+        """Of the counts of pairs, of their contexts (each token is followed by one, and an end precedes each text, so
+        contexts occur as tokens do) and of their words."""
+        return self.bucket(context), count / np.maximum(1, context), word / max(1, self.total)
+
+    def smooth(self, count: np.ndarray) -> np.ndarray:
+        return np.log10((count + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
 
 def _hot_pairs(batches, k: Classes):
@@ -118,7 +122,7 @@ def _hot_pairs(batches, k: Classes):
         for _, tokens, doc in _sequences(batch.column(0)):
             pair = k.pairs(k.of(tokens), doc)
             a, b = pair >> np.uint32(16), pair & np.uint32(0xFFFF)
-            hot = (a < HOT) & (b < HOT)
+            hot = (a < HOT) & (b < HOT) & (a != k.other) & (b != k.other)
             sums += np.bincount(a[hot].astype(np.int64) * HOT + b[hot], minlength=HOT * HOT)
     cell = np.flatnonzero(sums)
     yield pa.record_batch({"cell": pa.array(cell.astype(np.int32)), "c": pa.array(sums[cell])})
@@ -162,42 +166,80 @@ def learn(grades: np.ndarray, count: np.ndarray, uniform: float) -> np.ndarray:
     return out
 
 
-def _send(batches, k: Classes, parts: int, rare_too: bool):
-    """Packs occurrences that are looked up elsewhere, for each part: documents (row, in training), how many each has, keys.
-    Kind 0 are pairs that aren't hot; kind 1, which only scoring needs, words outside the classes."""
-    names = ["part", "kind", "sender", "rows", "train", "counts", "keys"]
+#: What a blob holds: counts of words that follow; pairs whose first word isn't cached, whose words both aren't, whose second
+#: isn't; pairs of cached words that aren't hot.
+FOLLOW, FIRST, BOTH, SECOND, CACHED = range(5)
+_BLOBS = "part int, kind int, sender long, rows binary, train binary, counts binary, keys binary, others binary"
+_NAMES = [c.split()[0] for c in _BLOBS.split(", ")]
+_OTHERS = {FIRST: np.uint16, BOTH: np.uint64, SECOND: np.uint16, CACHED: np.uint16}
+
+
+def _blob(part: int, kind: int, sender: int, *body: bytes) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([sender], pa.int64()), *(pa.array([x], pa.binary()) for x in body)], names=_NAMES)
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(key.astype(np.uint64)) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+
+
+def _classed(tokens: np.ndarray, doc: np.ndarray, k: Classes):
+    """Ids of each token's context and of the token, and which of the two aren't cached."""
+    pair = k.pairs(k.of(tokens), doc)
+    a, b = pair >> np.uint32(16), pair & np.uint32(0xFFFF)
+    return pair, a, b, a == k.other, b == k.other
+
+
+def _follow(batches, k: Classes, parts: int):
+    """(part, word): words outside the cache that follow one, with that one's part."""
+    for batch in batches:
+        for _, tokens, doc in _sequences(batch.column(0)):
+            _, _, _, ra, rb = _classed(tokens, doc, k)
+            at = np.flatnonzero(ra & rb)
+            got = np.unique(np.stack([_part(tokens[at - 1], parts), as_long(tokens[at])], 1), axis=0)
+            yield pa.record_batch({"part": pa.array(got[:, 0].astype(np.int32)), "h": pa.array(got[:, 1])})
+
+
+def _follow_blobs(batches):
+    for batch in batches:
+        part, h, c = (_flat(batch, i) for i in range(3))
+        for p in np.unique(part):
+            yield _blob(p, FOLLOW, 0, b"", b"", c[part == p].tobytes(), h[part == p].tobytes(), b"")
+
+
+def _send(batches, k: Classes, parts: int):
+    """Packs occurrences that are looked up elsewhere, for each part and kind: documents (row, in training), how many each
+    has, and for each the key that decides the part, and the other word."""
     held: list = []
     size = 0
 
     def flush():
-        for kind in (0, 1) if rare_too else (0,):
-            doc = np.concatenate([np.repeat(np.arange(len(h["row"])), h["n"][kind]) + sum(len(x["row"]) for x in held[:i]) for i, h in enumerate(held)])
-            key = np.concatenate([h["key"][kind] for h in held])
-            row, train = np.concatenate([h["row"] for h in held]), np.concatenate([h["train"] for h in held])
-            part = (mix(key.astype(np.uint64)) >> np.uint64(20)) % np.uint64(parts)
+        row, train = np.concatenate([h["row"] for h in held]), np.concatenate([h["train"] for h in held])
+        before = np.cumsum([0, *(len(h["row"]) for h in held)])
+        for kind, other_type in _OTHERS.items():
+            doc = np.concatenate([h[kind][0] + n for h, n in zip(held, before, strict=False)])
+            key = np.concatenate([h[kind][1] for h in held])
+            other = np.zeros(len(key), np.uint8) if kind == CACHED else np.concatenate([h[kind][2] for h in held])
+            part = _part(key, parts)
             order = np.argsort(part.astype(np.int32), kind="stable")
-            doc, key, part = doc[order], key[order], part[order].astype(np.int64)
+            doc, key, other, part = doc[order], key[order], other[order].astype(other_type), part[order]
             ends = np.searchsorted(part, np.arange(parts + 1))
             for p in range(parts):
                 a, b = ends[p], ends[p + 1]
                 if a == b:
                     continue
                 own, n = np.unique(doc[a:b], return_counts=True)
-                body = [row[own].tobytes(), train[own].tobytes(), n.astype(np.int32).tobytes(), key[a:b].tobytes()]
-                yield pa.record_batch([pa.array([p], pa.int32()), pa.array([kind], pa.int32()), pa.array(row[:1].astype(np.int64)), *(pa.array([x], pa.binary()) for x in body)], names=names)
+                yield _blob(p, kind, int(row[0]), row[own].tobytes(), train[own].tobytes(), n.astype(np.int32).tobytes(), key[a:b].tobytes(), b"" if kind == CACHED else other[a:b].tobytes())
 
     for batch in batches:
         rows, train = _flat(batch, 1), _flat(batch, 2)
         for first, tokens, doc in _sequences(batch.column(0)):
             docs = int(doc[-1]) + 1
-            cls = k.of(tokens)
-            pair = k.pairs(cls, doc)
-            a, b = pair >> np.uint32(16), pair & np.uint32(0xFFFF)
-            is_hot = (a < HOT) & (b < HOT)
-            rare = cls == k.other
+            pair, a, b, ra, rb = _classed(tokens, doc, k)
+            one, both, two, cached = (np.flatnonzero(x) for x in (ra & ~rb, ra & rb, rb & ~ra, ~ra & ~rb & ((a >= HOT) | (b >= HOT))))
             held.append({
-                "row": rows[first : first + docs], "train": train[first : first + docs], "key": [pair[~is_hot], tokens[rare]],
-                "n": [np.bincount(doc[~is_hot], minlength=docs), np.bincount(doc[rare], minlength=docs)],
+                "row": rows[first : first + docs], "train": train[first : first + docs],
+                FIRST: (doc[one], tokens[one - 1], b[one]), BOTH: (doc[both], tokens[both - 1], tokens[both]),
+                SECOND: (doc[two], tokens[two], a[two]), CACHED: (doc[cached], pair[cached], None),
             })
             size += len(pair)
             if size >= GATHERED:
@@ -207,33 +249,18 @@ def _send(batches, k: Classes, parts: int, rare_too: bool):
         yield from flush()
 
 
-def _unpack(part: list[pa.RecordBatch], kind: type):
-    """rows, in training, index of each occurrence's row, and keys of all blobs of one part."""
-    rows, train, counts, keys = ([x for b in part for x in b.column(3 + i).to_pylist()] for i in range(4))
-    rows = np.concatenate([np.frombuffer(x, np.int64) for x in rows])
-    train = np.concatenate([np.frombuffer(x, bool) for x in train])
-    counts = np.concatenate([np.frombuffer(x, np.int32) for x in counts])
-    return rows, train, np.repeat(np.arange(len(rows)), counts), np.concatenate([np.frombuffer(x, kind) for x in keys])
-
-
 def _by_part(batches):
-    """Blobs that agree in part and kind, of a task's rows sorted by these."""
+    """Rows that agree in part, CACHED apart from the other kinds, of a task's rows sorted by part and kind."""
     now, held = None, []
     for batch in batches:
-        at = list(zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True))
-        i = 0
-        while i < len(at):
-            j = i
-            while j < len(at) and at[j] == at[i]:
-                j += 1
-            if at[i] != now:
+        for part, kind, *body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (part, kind == CACHED) != now:
                 if held:
-                    yield now, held
-                now, held = at[i], []
-            held.append(batch.slice(i, j - i))
-            i = j
+                    yield held
+                now, held = (part, kind == CACHED), []
+            held.append((kind, *body))
     if held:
-        yield now, held
+        yield held
 
 
 def _counted(key, doc, train):
@@ -241,13 +268,47 @@ def _counted(key, doc, train):
     return np.bincount(at, train[doc])[at]
 
 
+def _looked_up(part: list, k: Classes):
+    """(blobs, rows, in training, index of each occurrence's row, counts of the pair, its context and its word, whether the
+    context is outside the cache) for each kind."""
+
+    def opened(kind, key_type=np.uint64):
+        blobs = [x for x in part if x[0] == kind]
+        cat = lambda i, t: np.frombuffer(b"".join(x[i] for x in blobs), t)
+        rows = cat(2, np.int64)
+        return (blobs, rows, cat(3, bool), np.repeat(np.arange(len(rows)), cat(4, np.int32))), cat(5, key_type), cat(6, _OTHERS[kind])
+
+    if part[0][0] == CACHED:
+        of, pair, _ = opened(CACHED, np.uint32)
+        yield *of, _counted(pair, of[3], of[2]), k.counts[pair >> np.uint32(16)], k.counts[pair & np.uint32(0xFFFF)], False
+        return
+    (one, a1, b1), (both, a2, b2), (two, b3, a3) = opened(FIRST), opened(BOTH), opened(SECOND)
+    word, at = np.unique(np.concatenate([a1, a2]), return_inverse=True)  # each occurrence of the part's words, as a context
+    count = np.bincount(at, np.concatenate([one[2][one[3]], both[2][both[3]]]), len(word))
+    at1, at2, at3 = at[: len(a1)], at[len(a1) :], np.searchsorted(word, b3)
+    if len(at1):
+        yield *one, _counted(at1 * 65536 + b1, one[3], one[2]), count[at1], k.counts[b1], True
+    if len(at2):
+        after, to = np.unique(b2, return_inverse=True)
+        known = [x for x in part if x[0] == FOLLOW]
+        h, c = (np.frombuffer(b"".join(x[i] for x in known), t) for i, t in ((5, np.uint64), (4, np.int64)))
+        follow = np.zeros(len(after), np.int64)
+        follow[np.searchsorted(after, h)] = c
+        yield *both, _counted(at2 * len(after) + to, both[3], both[2]), count[at2], follow[to], True
+    if len(at3):
+        yield *two, _counted(at3 * 65536 + a3, two[3], two[2]), k.counts[a3], count[at3], False
+
+
+def _grade(rates, k: Classes):
+    g, n = _grades(*rates, k.uniform)
+    return pa.record_batch({"g": pa.array(g.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+
 def _grade_parts(batches, k: Classes):
-    for _, part in _by_part(batches):
-        _, train, doc, pair = _unpack(part, np.uint32)
-        c = _counted(pair, doc, train)
-        out = ~train[doc]
-        g, n = _grades(*k.rates(pair[out], c[out]), k.uniform)
-        yield pa.record_batch({"g": pa.array(g.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+    for part in _by_part(batches):
+        for _, _, train, doc, *counts, _ in _looked_up(part, k):
+            out = ~train[doc]
+            yield _grade(k.rates(*(c[out] for c in counts)), k)
 
 
 def _grade_hot(batches, k: Classes, hot: np.ndarray):
@@ -255,9 +316,8 @@ def _grade_hot(batches, k: Classes, hot: np.ndarray):
         for _, tokens, doc in _sequences(batch.column(0)):
             pair = k.pairs(k.of(tokens), doc)
             a, b = (pair >> np.uint32(16)).astype(np.int64), (pair & np.uint32(0xFFFF)).astype(np.int64)
-            x = (a < HOT) & (b < HOT)
-            g, n = _grades(*k.rates(pair[x], hot[a[x] * HOT + b[x]]), k.uniform)
-            yield pa.record_batch({"g": pa.array(g.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+            x = (a < HOT) & (b < HOT) & (a != k.other) & (b != k.other)
+            yield _grade(k.rates(hot[a[x] * HOT + b[x]], k.counts[a[x]], k.counts[b[x]]), k)
 
 
 _SUMS = "row long, n_tokens long, n_known long, base double, score double"
@@ -270,15 +330,15 @@ def _sums(row, tokens=None, known=None, base=None, score=None):
     return pa.record_batch([pa.array(c.astype(t)) for c, t in zip(cols, kinds, strict=True)], names=["row", "n_tokens", "n_known", "base", "score"])
 
 
-def _mixed(k: Classes, weights: np.ndarray, pair, count) -> np.ndarray:
-    b, f2, f1 = k.rates(pair, count)
+def _mixed(k: Classes, weights: np.ndarray, *counts) -> np.ndarray:
+    b, f2, f1 = k.rates(*counts)
     w = weights[b]
     return np.log10(w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] * k.uniform)
 
 
 def _score_here(batches, k: Classes, hot: np.ndarray, weights: np.ndarray):
     """For each document what needs no look-up elsewhere."""
-    smooth = np.log10((k.counts + 0.1) / (k.total + 0.1 * (k.distinct + 1)))
+    smooth = k.smooth(k.counts)
     for batch in batches:
         rows = _flat(batch, 1)
         for first, tokens, doc in _sequences(batch.column(0)):
@@ -286,12 +346,12 @@ def _score_here(batches, k: Classes, hot: np.ndarray, weights: np.ndarray):
             cls = k.of(tokens)
             pair = k.pairs(cls, doc)
             a, b = (pair >> np.uint32(16)).astype(np.int64), (pair & np.uint32(0xFFFF)).astype(np.int64)
-            x = (a < HOT) & (b < HOT)
+            x = (a < HOT) & (b < HOT) & (a != k.other) & (b != k.other)
             own = cls != k.other
             yield _sums(
                 rows[first : first + docs], np.bincount(doc, minlength=docs),
                 np.bincount(doc[own], k.counts[cls[own]] > 0, docs), np.bincount(doc[own], smooth[cls[own]], docs),
-                np.bincount(doc[x], _mixed(k, weights, pair[x], hot[a[x] * HOT + b[x]]), docs),
+                np.bincount(doc[x], _mixed(k, weights, hot[a[x] * HOT + b[x]], k.counts[a[x]], k.counts[b[x]]), docs),
             )
 
 
@@ -300,19 +360,14 @@ _REPLY = "sender long, rows binary, known binary, base binary, score binary"
 
 def _score_parts(batches, k: Classes, weights: np.ndarray):
     """What each part knows of the documents in a blob goes back as one row, to where the blob's sender is summed up."""
-    for (_, kind), part in _by_part(batches):
-        rows, train, doc, key = _unpack(part, np.uint64 if kind else np.uint32)
-        c = _counted(key, doc, train)
-        known = base = np.zeros(len(rows))
-        if kind:
-            known = np.bincount(doc, c > 0, len(rows))
-            base = np.bincount(doc, np.log10((c + 0.1) / (k.total + 0.1 * (k.distinct + 1))), len(rows))
-            score = np.bincount(doc, np.log10((c + 0.1) / (k.other_total + 0.1 * (k.other_distinct + 1))), len(rows))
-        else:
-            score = np.bincount(doc, _mixed(k, weights, key, c), len(rows))
-        at = 0
-        for b in part:
-            for sender, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+    for part in _by_part(batches):
+        for blobs, rows, _, doc, pair, context, word, own in _looked_up(part, k):
+            known = base = np.zeros(len(rows))
+            if own:  # here each occurrence of a word outside the cache is met once, as a context
+                known, base = np.bincount(doc, context > 0, len(rows)), np.bincount(doc, k.smooth(context), len(rows))
+            score = np.bincount(doc, _mixed(k, weights, pair, context, word), len(rows))
+            at = 0
+            for _, sender, x, *_ in blobs:
                 to = at + len(x) // 8
                 body = [x, *(np.ascontiguousarray(y[at:to], float).tobytes() for y in (known, base, score))]
                 yield pa.record_batch([pa.array([sender]), *(pa.array([y], pa.binary()) for y in body)], names=["sender", "rows", "known", "base", "score"])
@@ -341,9 +396,22 @@ def _summed(batches):
         yield work(held)
 
 
+@contextlib.contextmanager
+def _cleaning(spark):
+    """Shuffle files of what is planned and run inside are removed when it has run."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 10, vocabulary: int = VOCABULARY) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities).
-    Documents with crc32(id as text) mod folds = 0 are held out; all others are learned from."""
+    Documents with crc32(id as text) mod folds = 0 are held out; all others are learned from. vocabulary: how many words'
+    counts are cached, which changes no result."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     held = F.coalesce(F.crc32(F.col(id).cast("string")) % folds == 0, F.lit(False))
@@ -363,16 +431,20 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
     hot[cells["cell"].to_numpy()] = cells["c"].to_numpy()
     parts = max(8, -(-total // PART))
 
-    def send(rare_too: bool) -> DataFrame:
-        blobs = body.mapInArrow(lambda b: _send(b, k, parts, rare_too), "part int, kind int, sender long, rows binary, train binary, counts binary, keys binary")
+    follow = body.select("text").mapInArrow(lambda b: _follow(b, k, parts), "part int, h long").distinct().join(words, "h").select("part", "h", "c")
+    follow = scratch.table(follow.mapInArrow(_follow_blobs, _BLOBS))
+
+    def sent(docs: DataFrame) -> DataFrame:
+        blobs = docs.mapInArrow(lambda b: _send(b, k, parts), _BLOBS).union(follow)
         return blobs.repartition(parts, "part").sortWithinPartitions("part", "kind")
 
-    graded = send(False).mapInArrow(lambda b: _grade_parts(b, k), "g long, n long")
-    graded = graded.union(d.where("held").select("text").mapInArrow(lambda b: _grade_hot(b, k, hot), "g long, n long"))
-    grades = graded.groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # bounded: buckets and two grades of rates
+    with _cleaning(spark):
+        graded = sent(d.where("train or held").select(*body.columns)).mapInArrow(lambda b: _grade_parts(b, k), "g long, n long")
+        graded = graded.union(d.where("held").select("text").mapInArrow(lambda b: _grade_hot(b, k, hot), "g long, n long"))
+        grades = graded.groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # bounded: buckets and two grades of rates
     weights = learn(grades["g"].to_numpy(), grades["n"].to_numpy().astype(float), k.uniform) if total else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
 
-    replies = send(True).mapInArrow(lambda b: _score_parts(b, k, weights), _REPLY)
+    replies = sent(body).mapInArrow(lambda b: _score_parts(b, k, weights), _REPLY)
     sums = replies.repartition("sender").sortWithinPartitions("sender").mapInArrow(_summed, _SUMS)
     here = body.select("text", "row").mapInArrow(lambda b: _score_here(b, k, hot, weights), _SUMS)
     ids = d.select("row", "id", "held")

@@ -239,6 +239,37 @@ def test_lm(docs, empty, vocabulary):
     assert lm.score(empty).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary", [65_000, 800, 20])
+def test_lm_counts_all_words_and_pairs(spark, monkeypatch, vocabulary):
+    monkeypatch.setattr(lm, "PART", 500)
+    rnd = random.Random(3)
+    texts = [r[:2] for r in corpus()] + [(i, " ".join(f"w{int(rnd.paretovariate(0.4)) % 4000}" for _ in range(300))) for i in range(100, 140)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    data = [(i, [w.lower() for w in words(x)] + [None]) for i, x in texts]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    pairs = lambda x: list(zip([None, *x], x, strict=False))
+    known = [x for i, x in data if i is not None and not held(i)]
+    one, two = collections.Counter(w for x in known for w in x), collections.Counter(p for x in known for p in pairs(x))
+    uniform = 1 / (len(one) + 1)
+
+    def rates(x):
+        a, b = (np.array([one[p[i]] for p in pairs(x)], float) for i in (0, 1))
+        return np.minimum(np.frexp(a)[1], lm.BUCKETS - 1), np.array([two[p] for p in pairs(x)]) / np.maximum(1, a), b / sum(one.values())
+
+    out = [rates(x) for i, x in data if held(i)]
+    grades, n = lm._grades(*(np.concatenate([r[i] for r in out]) for i in range(3)), uniform)
+    weights = lm.learn(grades, n.astype(float), uniform)
+
+    def score(x):
+        b, f2, f1 = rates(x)
+        return np.log10(weights[b, 0] * f2 + weights[b, 1] * f1 + weights[b, 2] * uniform).sum()
+
+    want = sorted((str(i), len(x), round(score(x), 5)) for i, x in data)
+    got = sorted((str(r.doc_id), r.n_tokens, round(r.score, 5)) for r in lm.score(docs, vocabulary=vocabulary).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-4)
+
+
 def test_lm_sums_to_one(spark):
     d = spark.createDataFrame([(i, x) for i, x in enumerate(["a b a c", "b a", "c c a b", "a", "a b"] * 5)], "doc_id long, text string")
     total = 0.0
