@@ -1,13 +1,16 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by sign hashes of random projections.
 
-Method. In each of PASSES passes, vectors are ordered by label and by BITS concatenated sign hashes of random projections,
-lexicographically; each is compared with the WINDOW vectors after it. Close vectors share long prefixes in most passes, so
-they come near each other in one of them. The order is that of a range partitioning; the edges of neighbouring partitions
-are compared in a small second step. Verified pairs of all passes are united to components.
+Method. Vectors of a label with up to BUCKET of them are compared all with all, which is exact. A larger label is split into
+buckets by the signs of random projections, one bit for each doubling, in several passes; inside a bucket all are compared
+with all, in blocks where it has more than BUCKET, so nothing bounds a vector's partners. Two vectors at the threshold
+differ in a bit with a probability that depends on their angle alone, not on how the others lie, so the number of passes
+follows from the number of bits: a pair shares a bucket in none of them with a probability of MISS at most. Links of all
+passes are united to components; of each block, only as many leave as join what it links.
 
-A window is a bound on partners, so links are counted once more inside each component, all against all in blocks: groups
-of any number of near copies have all their links, and only pairs that no chain of windows connects are missed. Vectors
-that are equal count once, with their number. Nothing but counts leaves the blocks.
+Links are counted once more inside each component, all against all in blocks: groups of any number of near copies have all
+their links, and only pairs that no chain of links connects are missed. Vectors that are equal count once, with their
+number. Nothing but counts leaves the blocks. Vectors so close together that the bits don't part them make large buckets,
+whose work grows with the square of their size.
 
 Cases. Vectors that are null, zero, hold null or non-finite components, or aren't of the most common length, rows without a
 label or an id: linked with nothing, and kept. Repeated rows are equal vectors; with one id, they count as links.
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import Scratch, components
 from loomgraph.llm.vectors import dimension, groups, matrix, stack, to_blobs, usable
 
-PASSES, BITS, WINDOW, BLOCK = 10, 62, 32, 512
+BUCKET, MISS, BITS, BLOCK = 4096, 0.001, 62, 512
 THRESHOLD = 0.98
 
 
@@ -32,75 +35,56 @@ def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
 
 
-def _pairs(label: np.ndarray, ids: np.ndarray, x: np.ndarray, t: float, window: int, old: int = 0):
-    """(smaller id, larger id) of the linked pairs among ordered rows at most `window` apart; the second is at `old` or after."""
-    out = []
-    u = x / np.sqrt((x * x).sum(1))[:, None]
-    for step in range(1, min(window, len(ids) - 1) + 1):
-        a = np.arange(max(0, old - step), len(ids) - step)
-        a = a[(label[a] == label[a + step]) & ((u[a] * u[a + step]).sum(1) >= t - 1e-9)]
-        a = a[_cosines(x[a], x[a + step]) >= t]
-        out.append(np.stack([np.minimum(ids[a], ids[a + step]), np.maximum(ids[a], ids[a + step])], 1))
-    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+def passes_for(bits: int, t: float) -> int:
+    """So many that a pair at the threshold agrees in all bits of none of them with a probability of MISS at most."""
+    agree = (1 - np.arccos(t) / np.pi) ** bits
+    return 1 if bits == 0 else max(1, int(np.ceil(np.log(MISS) / np.log1p(-agree))))
 
 
-def _keyed(batches, d: int, passes: int):
-    planes = np.random.default_rng(11).standard_normal((passes, d, BITS))
-    weights = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+def _keyed(batches, d: int, bucket: int, t: float):
+    """Each vector once for each pass of its label, with its bits there. Rows: id, label, v, number of the label's vectors."""
+    bits_of = lambda n: np.clip(np.ceil(np.log2(np.maximum(n, 1) / bucket)), 0, BITS).astype(np.int64)
+    passes = np.array([passes_for(b, t) for b in range(BITS + 1)])
+    planes: dict = {}
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = matrix(batch.column(2), d)
+        x, bits = matrix(batch.column(2), d), bits_of(batch.column(3).to_numpy())
         blobs = to_blobs(x)
-        for p in range(passes):
-            code = ((x @ planes[p]) > 0) @ weights
-            yield pa.record_batch([pa.array(np.full(len(x), p, np.int32)), batch.column(1), pa.array(code), batch.column(0), blobs], names=["pass", "label", "code", "id", "v"])
-
-
-_FOUND = "a long, b long, part int, side int, at int, label long, id long, v binary"
-
-
-def _windows(batches, d: int, t: float, window: int):
-    """Pairs within the task's ordered rows; and its first and last rows, with the task's place in the order."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    names = ["a", "b", "part", "side", "at", "label", "id", "v"]
-
-    def edge(side, label, ids, x):
-        n = len(ids)
-        none = pa.nulls(n, pa.int64())
-        kinds = [np.full(n, v, np.int32) for v in (part + (side == 1), side)] + [np.arange(n, dtype=np.int32)]
-        return pa.record_batch([none, none, *(pa.array(k) for k in kinds), pa.array(label), pa.array(ids), to_blobs(x)], names=names)
-
-    label, ids, x = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, d))
-    head = False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        # Rows of another pass are rows of another label.
-        mine = batch.column(1).to_numpy() * 1024 + batch.column(0).to_numpy()
-        old = len(ids)
-        label, ids, x = np.append(label, mine), np.append(ids, batch.column(3).to_numpy()), np.concatenate([x, stack(batch.column(4).to_pylist(), d)])
-        got = _pairs(label, ids, x, t, window, old)
-        none = pa.nulls(len(got), pa.int32())
-        yield pa.record_batch([pa.array(got[:, 0]), pa.array(got[:, 1]), none, none, none, pa.nulls(len(got), pa.int64()), pa.nulls(len(got), pa.int64()), pa.nulls(len(got), pa.binary())], names=names)
-        if not head:
-            head = True
-            yield edge(0, label[:window], ids[:window], x[:window])
-        label, ids, x = label[-window:], ids[-window:], x[-window:]
-    if head:
-        yield edge(1, label, ids, x)
-
-
-def _seams(batches, d: int, t: float, window: int):
-    """Pairs across each border: the last rows before it are of side 1, the first after it of side 0."""
-    for _, g in groups(batches, 1):
-        g = g.sort_by([("side", "descending"), ("at", "ascending")])
-        n = int((g["side"].to_numpy() == 1).sum())
-        if 0 < n < g.num_rows:
-            got = _pairs(g["label"].to_numpy(), g["id"].to_numpy(), stack(g["v"].to_pylist(), d), t, window, n)
-            yield pa.record_batch([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+        for p in range(passes[bits].max()):
+            if p not in planes:
+                planes[p] = np.random.default_rng([11, p]).standard_normal((d, BITS))
+            own = np.flatnonzero(passes[bits] > p)
+            code, most = np.zeros(len(own), np.int64), int(bits[own].max())
+            for b, positive in enumerate((x[own] @ planes[p][:, :most] > 0).T):
+                code |= (positive & (b < bits[own])).astype(np.int64) << b
+            at = pa.array(own)
+            yield pa.record_batch([pa.array(np.full(len(own), p, np.int32)), batch.column(1).take(at), pa.array(code), batch.column(0).take(at), blobs.take(at)], names=["pass", "label", "code", "id", "v"])
+
+
+def _links(batches, d: int, t: float):
+    """(a, b): links that join all vectors of two blocks of a bucket that a chain of links among them joins."""
+    for (*_, i, j), g in groups(batches, 5):
+        side, ids = g["side"].to_numpy(), g["id"].to_numpy()
+        x = stack(g["v"].to_pylist(), d)
+        u = x / np.sqrt((x * x).sum(1))[:, None]
+        a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        root = np.arange(len(ids))
+        for k in range(0, len(a), BLOCK):
+            near = u[a[k : k + BLOCK]] @ u[b].T
+            p, q = np.nonzero(near >= t - 1e-9)
+            close = near[p, q] < t + 1e-9  # so near the threshold, the plain formula decides
+            p, q = a[k + p], b[q]
+            close[close] = _cosines(x[p[close]], x[q[close]]) < t
+            p, q = p[~close], q[~close]
+            while len(p):
+                r, s = root[p], root[q]
+                p, q, r, s = (y[r != s] for y in (p, q, r, s))
+                np.minimum.at(root, np.maximum(r, s), np.minimum(r, s))
+                while (root[root] != root).any():
+                    root = root[root]
+        own = np.flatnonzero(root != np.arange(len(ids)))
+        yield pa.record_batch([pa.array(ids[root[own]]), pa.array(ids[own])], names=["a", "b"])
 
 
 def _recount(batches, d: int, t: float):
@@ -122,7 +106,7 @@ def _recount(batches, d: int, t: float):
             yield pa.record_batch([pa.array(ids[b]), pa.array(n[a] @ linked)], names=["id", "n"])
 
 
-def dedup(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def dedup(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, bucket: int = BUCKET) -> DataFrame:
     """One row per row of rows: id, n_links, component_id, kept."""
     scratch = Scratch(rows.sparkSession, "neardup")
     r = rows.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("long").alias("label"))
@@ -132,13 +116,15 @@ def dedup(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label:
     r = r.withColumn("key", key)
     classes = scratch.table(r.where("key is not null").groupBy("key").agg(F.min(F.col("id").cast("long")).alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")))
 
-    keyed = classes.select("id", "label", "v").mapInArrow(lambda b: _keyed(b, d, passes), "pass int, label long, code long, id long, v binary")
-    n = max(1, min(4096, classes.count() * passes // 20_000))
-    ordered = keyed.repartitionByRange(n, "pass", "label", "code", "id").sortWithinPartitions("pass", "label", "code", "id")
-    found = scratch.table(ordered.mapInArrow(lambda b: _windows(b, d, threshold, window), _FOUND))
-    seam = found.where("part is not null").select("part", "side", "at", "label", "id", "v")
-    seam = seam.repartition("part").sortWithinPartitions("part").mapInArrow(lambda b: _seams(b, d, threshold, window), "a long, b long")
-    links = scratch.table(found.where("a is not null").select("a", "b").union(seam).distinct())
+    many = classes.select("id", "label", "v").join(classes.groupBy("label").agg(F.count("*").alias("n")), "label").select("id", "label", "v", "n")
+    keyed = scratch.table(many.mapInArrow(lambda b: _keyed(b, d, bucket, threshold), "pass int, label long, code long, id long, v binary"))
+    where = ["pass", "label", "code"]
+    large = keyed.groupBy(*where).agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts")).where("parts > 1")
+    keyed = keyed.join(large, where, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    keyed = keyed.withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keyed = keyed.select(*where, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "v")
+    place = [*where, "i", "j"]
+    links = scratch.table(keyed.repartition(*place).sortWithinPartitions(*place).mapInArrow(lambda b: _links(b, d, threshold), "a long, b long"))
     groups_ = scratch.table(components(scratch, links))
 
     member = groups_.join(classes, groups_.node == classes.id).select("component", "id", "label", "copies", "v")

@@ -421,3 +421,22 @@ def test_neardup(spark):
         assert r.kept == (i is None or r.component_id == i)
     assert got[8].n_links == got[16].n_links == 0 and got[8].component_id == 8
     assert neardup.dedup(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [4096, 300])
+def test_neardup_in_a_tight_label(spark, bucket):
+    """All vectors of a label lie close together, and pairs at the threshold are linked with nothing else."""
+    rng = np.random.default_rng(4)
+    n, d = 3000, 64
+    middle, apart = rng.standard_normal(d), lambda s: s * rng.standard_normal((n // 2, d))
+    x = np.repeat(middle[None] + apart(0.45), 2, axis=0)
+    x[1::2] += 0.95 * np.sqrt(0.04 / d) * np.linalg.norm(x[::2], axis=1)[:, None] * rng.standard_normal((n // 2, d))
+    x = x[rng.permutation(n)].astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = u @ u.T >= 0.98
+    np.fill_diagonal(linked, False)
+    rows_ = [(i, [float(y) for y in v], 1) for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in neardup.dedup(spark.createDataFrame(rows_, VECTORS).repartition(3), bucket=bucket).collect()}
+    found = sum(got.values()) / linked.sum()
+    assert linked.sum() > 1000 and all(got[i] <= k for i, k in enumerate(linked.sum(1)))
+    assert found == 1 if bucket > n else found >= 0.995
