@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Betweenness and closeness run from at most so many vertices, each of which needs the adjacency, which is sent to tasks
+#: Betweenness runs from at most so many vertices. It and closeness need the adjacency in each search, which is sent to tasks
 #: only up to so many edges.
 PIVOTS, ADJACENCY = 2000, 2_000_000
 
@@ -169,22 +170,66 @@ def betweenness(edges: DataFrame, vertices: DataFrame, pivots: int = PIVOTS) ->
     return vertices.select("id").join(got, "id", "left").select("id", (F.coalesce("g", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def closeness(edges: DataFrame, vertices: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """GRF-5, GRF-10: closeness within the component, weighted by its share of the graph, and eccentricity, of the pivots."""
-    n = vertices.count()
-    kind = vertices.schema["id"].dataType.simpleString()
+def _far(df: pd.DataFrame, adjacent: np.ndarray, first: np.ndarray, n: int) -> pd.DataFrame:
+    """Closeness and eccentricity of up to 64 vertices (id, at), whose searches run together, one bit of a word each."""
+    seen = np.zeros(len(first), np.uint64)
+    seen[df["at"].to_numpy()] = np.uint64(1) << np.arange(len(df), dtype=np.uint64)
+    front, far, total, reached, most = seen.copy(), 0, np.zeros(64, np.int64), np.zeros(64, np.int64), np.zeros(64, np.int32)
+    while True:
+        far += 1
+        front = np.bitwise_or.reduceat(front[adjacent], first) & ~seen
+        if not front.any():
+            break
+        seen |= front
+        new = np.unpackbits(front[front != 0].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        total, reached = total + far * new, reached + new
+        most[new > 0] = far
+    total, reached, most = (x[: len(df)] for x in (total, reached, most))
+    return pd.DataFrame({"id": df["id"].to_numpy(), "closeness": reached / np.maximum(1, total) * reached / max(1, n - 1), "eccentricity": most})
 
-    def each(s, near):
-        far, order = {s: 0}, [s]
-        for v in order:
-            for w in near.get(v, ()):
-                if w not in far:
-                    far[w] = far[v] + 1
-                    order.append(w)
-        total, r = sum(far.values()), len(order) - 1
-        return [(s, r / total * r / (n - 1) if total else 0.0, max(far.values()))]
 
-    return _searches(edges, vertices, min(pivots, n), each, f"id {kind}, closeness double, eccentricity int")
+def closeness(edges: DataFrame, vertices: DataFrame, block: int = 500, sent: int = ADJACENCY) -> DataFrame:
+    """GRF-5, GRF-10: closeness within the component, weighted by its share of the graph, and eccentricity, of every vertex.
+    Beyond `sent` edges, searches run as joins, from `block` vertices at a time."""
+    n = vertices.count()
+    kind = vertices.schema["id"].dataType.simpleString()
+    if edges.count() <= sent:
+        spark = edges.sparkSession
+        ids = both_ways(edges).select(F.col("src").alias("id")).distinct().orderBy("id").toPandas()["id"]  # at most twice `sent` rows
+        known = cut(spark.createDataFrame(pd.DataFrame({"id": ids, "at": np.arange(len(ids))}), f"id {kind}, at long") if len(ids) else spark.createDataFrame([], f"id {kind}, at long"))
+        a, b = (known.select(F.col("id").alias(c), F.col("at").cast("int").alias(x)) for c, x in (("src", "a"), ("dst", "b")))
+        pairs = edges.join(a, "src").join(b, "dst").select("a", "b").toArrow()  # at most `sent` rows
+        a, b = (pairs[c].to_numpy() for c in ("a", "b"))
+        place, adjacent = np.append(a, b), np.append(b, a)
+        order = np.argsort(place, kind="stable")
+        adjacent, first = adjacent[order], np.searchsorted(place[order], np.arange(len(ids)))
+        held = spark.sparkContext.broadcast((adjacent, first))
+
+        def run(batches):
+            adjacent, first = held.value
+            for df in batches:
+                for k in range(0, len(df), 64):
+                    yield _far(df.iloc[k : k + 64], adjacent, first, n)
+
+        got = known.repartition(max(8, min(256, len(ids) // 512))).mapInPandas(run, f"id {kind}, closeness double, eccentricity int")
+        return vertices.select("id").join(got, "id", "left").select("id", F.coalesce("closeness", F.lit(0.0)).alias("closeness"), F.coalesce("eccentricity", F.lit(0)).alias("eccentricity"))
+    e = cut(both_ways(edges).select("src", "dst").distinct())
+    place = vertices.select("id", F.pmod(F.xxhash64("id"), F.lit(-(-n // block))).alias("block"))
+    place, out = cut(place), None
+    for b in range(-(-n // block)):
+        front = place.where(F.col("block") == b).select(F.col("id").alias("source"), "id", F.lit(0).alias("far"))
+        met, far = cut(front), 0
+        while not front.isEmpty():
+            far += 1
+            new = e.join(front.withColumnRenamed("id", "src"), "src").select("source", F.col("dst").alias("id")).distinct()
+            new = new.join(met.select("source", "id"), ["source", "id"], "left_anti").withColumn("far", F.lit(far))
+            front = cut(new)
+            met = met.union(front)
+        total, r = F.sum("far"), F.count("*") - 1
+        value = F.when(total > 0, r / total * r / F.lit(n - 1)).otherwise(F.lit(0.0))
+        got = cut(met.groupBy(F.col("source").alias("id")).agg(value.alias("closeness"), F.max("far").cast("int").alias("eccentricity")))
+        out = got if out is None else out.union(got)
+    return out
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 3, per_hop: int | None = 50, keep=None) -> DataFrame:

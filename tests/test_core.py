@@ -171,6 +171,19 @@ def test_centralities(spark):
     assert max(x.values()) == pytest.approx(min(x.values()))
 
 
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_closeness_of_every_vertex(spark, sent):
+    e, v = graph(spark, ("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), more=["z"])
+    got = {r.id: (round(r.closeness, 9), r.eccentricity) for r in G.closeness(e, v, block=3, sent=sent).collect()}
+    far = {"a": (3, 6, 3), "b": (3, 4, 2), "c": (3, 4, 2), "d": (3, 6, 3), "x": (1, 1, 1), "y": (1, 1, 1)}
+    assert got == {k: (round(r / t * r / 6, 9), m) for k, (r, t, m) in far.items()} | {"z": (0.0, 0)}
+    if sent:
+        n = 2100
+        ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"), F.lit(1.0).alias("weight"))
+        got = G.closeness(G.simple(ring), spark.range(n)).collect()
+        assert len(got) == n and {r.eccentricity for r in got} == {n // 2}
+
+
 def test_structure(spark):
     e, v = graph(spark, ("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y"), more=["z"])
     assert {r.id: r.component for r in G.components(e, v).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x", "z": "z"}
