@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +13,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once in a Python worker; a longer text is one chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+#: Bytes of one Arrow batch that goes to a Python worker, where the session doesn't say: rows alone don't bound long texts.
+BATCH_BYTES, _BATCH_KEY = "4MB", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+# --- Python workers ---------------------------------------------------------------------------------------------------
+
+_asked: set[str] = set()
+
+
+def _release() -> None:
+    """Gives back what a task has freed; workers are used again by later stages."""
+    _pow.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, work: Callable, schema) -> DataFrame:
+    """df.mapInArrow(work, schema) with batches bounded by bytes, and memory given back after each task."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            _release()
+
+    conf = df.sparkSession.conf
+    if df.sparkSession.sparkContext.getConf().get(_BATCH_KEY, None) is None and df.sparkSession.sparkContext.applicationId not in _asked:
+        conf.set(_BATCH_KEY, BATCH_BYTES)
+        _asked.add(df.sparkSession.sparkContext.applicationId)
+    return df.mapInArrow(run, schema)
 
 
 # --- tables in the shared folder -------------------------------------------------------------------------------------
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, one of our own in local mode, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -4,18 +4,21 @@ Method. A document's set is its distinct 5-word shingles, as 64-bit hashes. Docu
 Similar documents are partitioned into groups; the matrix holds each group's union of tokens. A query's overlap with any
 member of a group is at most its overlap with the union, so only groups whose bound reaches the threshold are opened.
 
-The matrix is kept sparse without losing a link: under one order of tokens for all (frequent ones last), sets with
-Jaccard >= t share one of their first n - ceil(t n) + 1 tokens each, so a group whose union of these meets none of a query's
-has a bound below t and is never opened.
-More closely: all but n - need tokens of a set are in common, so the first one in common stands near the start of both.
-
-Groups grow in a few rounds: each token has a hub among its classes, and classes are compared with the hubs that they share
-many tokens with; links make the groups (components). Then every class asks the matrix for other groups that it may
-overlap, and is compared with the members of those that qualify; inside a group nothing more is compared. So a group of
-thousands of near copies costs a few times as many comparisons as it has members, and components are exact.
-
-Which tokens count as frequent bears on speed alone. They are counted over all documents by 44-bit codes; the number that
-is sent to the tasks is bounded by raising the limit of frequency.
+The matrix is kept sparse without losing a link. Under one order of tokens for all, rare ones first, sets with Jaccard >= t
+share one of their first n - ceil(t n) + 1 tokens each; only these are stored. The first token in common of two sets stands
+so near the start of both that what follows it still makes up the overlap that they need, which bounds the sizes of the
+partners that a token can stand for; so the matrix is kept by token, band of sizes and group, and a query asks only for
+bands that its token's place allows. Groups that it meets there are bounded by the sum of the tokens that the query shares with
+their union, and what is beyond the first tokens; members of those that reach the threshold are opened and compared.
+
+Groups grow in a few rounds before that: each token has a hub among its classes, first that with the fewest rare tokens
+(near copies of one text have that text in common, and rare tokens where they were changed), then another; classes are compared
+with the hubs that they share many tokens with, and links make the groups (components). Inside a group nothing more is
+compared. So a group of thousands of near copies costs a few times as many comparisons as it has members, and components
+are exact.
+
+How frequent a token is bears on speed alone. All tokens of all documents are counted, by codes of 32 bits in each part;
+the number of frequent ones whose grades are sent to the tasks is bounded by raising the limit of frequency.
 
 Cases. Null or empty text: an empty set, linked with nothing. Fewer than 5 words: one shingle of the whole sequence. Null
 id: linked with nothing, component null. Repeated rows are equal sets and so linked. Texts are used whole.
@@ -28,16 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, Words, as_long, chunks, components, mix
+from loomgraph.llm.common import Scratch, Words, as_long, chunks, components, in_arrow, mix
 
 SHINGLE, THRESHOLD = 5, 75
-#: Tokens of more than FREQUENT documents come last in the order; FREQUENT doubles until there are at most LISTED of them.
-FREQUENT, LISTED = 8, 2_000_000
-#: Rounds in which groups grow before the exact one, and the hubs that a similar set of classes is compared with in each.
-ROUNDS, HUBS = 3, 1
-#: Codes of tokens: CODE_BITS of the hash, of which the highest say the part. Only the lower COUNTED of 256 ranges of hashes
-#: are counted, as later tokens get into a prefix only where most of a set is frequent.
-CODE_BITS, COUNTED = 44, 104
+#: Tokens of FREQUENT documents or more come later in the order, by doublings; FREQUENT itself doubles until there are at
+#: most LISTED of them.
+FREQUENT, LISTED = 4, 2_000_000
+#: Rounds in which groups grow before the exact one, and bands of sizes to a factor of e.
+ROUNDS, BANDS = 2, 20
+#: Tokens that one part counts, on average, and that a task gathers before it sends them.
 PART, GATHERED = 3_000_000, 1_000_000
 #: Ids (8 bytes each) that are broadcast at most, to fetch the texts of candidates; more are joined by shuffle.
 BROADCAST_IDS = 500_000
@@ -81,23 +83,20 @@ def _summaries(batches, k: int):
 
 
 def _codes(batches, k: int, bits: int):
-    """Codes of the tokens, packed for each part."""
+    """Codes of the tokens, the highest 32 + bits of their hash, packed for each part, which the first bits say."""
     held, size = [], 0
 
     def flush():
         c = np.sort(np.concatenate(held))
-        part = c >> np.uint64(CODE_BITS - bits)
+        part = c >> np.uint64(32)
         ends = np.searchsorted(part, np.arange((1 << bits) + 1).astype(np.uint64))
         for p in range(1 << bits):
             if ends[p] < ends[p + 1]:
-                low = c[ends[p] : ends[p + 1]] & np.uint64((1 << (CODE_BITS - bits)) - 1)
-                low = low.astype(np.uint32) if CODE_BITS - bits <= 32 else low
-                yield pa.record_batch({"part": pa.array([p], pa.int32()), "low": pa.array([low.tobytes()], pa.binary())})
+                yield pa.record_batch({"part": pa.array([p], pa.int32()), "low": pa.array([c[ends[p] : ends[p + 1]].astype(np.uint32).tobytes()], pa.binary())})
 
     for batch in batches:
         for _, _, h, _, _ in shingles(batch.column(0), k):
-            h = h[h < np.uint64(COUNTED << 56)]
-            held.append(h >> np.uint64(64 - CODE_BITS))
+            held.append(h >> np.uint64(32 - bits))
             size += len(h)
             if size >= GATHERED:
                 yield from flush()
@@ -124,25 +123,28 @@ def _runs(batches, columns: list[int]):
         yield now, not split, held
 
 
-def _frequent(batches, bits: int, least: int):
-    width = np.uint32 if CODE_BITS - bits <= 32 else np.uint64
+def _frequent(batches, least: int):
     for p, _, (low,) in _runs(batches, [1]):
-        c, n = np.unique(np.concatenate([np.frombuffer(x, width) for x in low]), return_counts=True)
-        c, n = c[n >= least].astype(np.uint64) | np.uint64(p << (CODE_BITS - bits)), n[n >= least]
+        c, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in low]), return_counts=True)
+        c, n = c[n >= least].astype(np.uint64) | np.uint64(p << 32), n[n >= least]
         yield pa.record_batch({"code": pa.array(as_long(c)), "n": pa.array(n.astype(np.int64))})
 
 
-def _prefixes(batches, k: int, parts: int, frequent: np.ndarray, t: int):
-    """The first tokens of each set in the common order, packed for each part: classes, sizes, counts, tokens."""
+def _prefixes(batches, k: int, parts: int, bits: int, frequent: np.ndarray, grade: np.ndarray, t: int):
+    """The first tokens of each set in the common order, packed for each part: classes, sizes, shares of rare tokens (in
+    thousandths), counts, places, tokens."""
     held, size = [], 0
-    names = ["part", "k", "n", "counts", "places", "tokens"]
+    names = ["part", "k", "n", "rare", "counts", "places", "tokens"]
 
     def flush():
-        key, n = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        doc = np.concatenate([x[2] + sum(len(y[0]) for y in held[:i]) for i, x in enumerate(held)])
-        tok, place = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
+        key, n, rare = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2))
+        before = np.cumsum([0, *(len(x[0]) for x in held)])
+        doc = np.concatenate([x[3] + y for x, y in zip(held, before, strict=False)])
+        tok, place = np.concatenate([x[4] for x in held]), np.concatenate([x[5] for x in held])
         _, one = np.unique(key, return_index=True)  # equal sets go once
-        keep = np.isin(doc, one)
+        stays = np.zeros(len(key), bool)
+        stays[one] = True
+        keep = stays[doc]
         doc, tok, place = doc[keep], tok[keep], place[keep]
         part = mix(tok) % np.uint64(parts)
         order = np.argsort(part.astype(np.int32), kind="stable")
@@ -152,21 +154,23 @@ def _prefixes(batches, k: int, parts: int, frequent: np.ndarray, t: int):
             a, b = ends[p], ends[p + 1]
             if a < b:
                 own, c = np.unique(doc[a:b], return_counts=True)
-                body = [key[own].tobytes(), n[own].astype(np.int32).tobytes(), c.astype(np.int32).tobytes(), place[a:b].tobytes(), tok[a:b].tobytes()]
-                yield pa.record_batch([pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in body)], names=names)
+                body = [key[own], n[own].astype(np.int32), rare[own].astype(np.int16), c.astype(np.int32), place[a:b], tok[a:b]]
+                yield pa.record_batch([pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in body)], names=names)
 
     for batch in batches:
         for _, docs, h, doc, _ in shingles(batch.column(0), k):
             key, n, ends = _keys(h, doc, docs)
-            code = h >> np.uint64(64 - CODE_BITS)
+            late = np.zeros(len(h), np.uint8)
             if len(frequent):
+                code = h >> np.uint64(32 - bits)
                 at = np.minimum(np.searchsorted(frequent, code), len(frequent) - 1)
-                late = frequent[at] == code
-                order = np.lexsort((h, late, doc))  # rows stay where they are, so ends hold
-                h = h[order]
+                late[frequent[at] == code] = grade[at[frequent[at] == code]]
+            rare = np.bincount(doc, late == 0, docs) * 1000 // np.maximum(n, 1)
+            if late.any():
+                h = h[np.lexsort((h, late, doc))]  # rows stay where they are, so ends hold
             place = np.arange(len(h)) - ends[doc]
             first = place < n[doc] - (n[doc] * t + 99) // 100 + 1
-            held.append((as_long(key), n, doc[first], h[first], place[first]))
+            held.append((as_long(key), n, rare, doc[first], h[first], place[first]))
             size += int(first.sum())
             if size >= GATHERED:
                 yield from flush()
@@ -175,31 +179,34 @@ def _prefixes(batches, k: int, parts: int, frequent: np.ndarray, t: int):
         yield from flush()
 
 
+def _twins(tok: np.ndarray) -> np.ndarray:
+    """Which of sorted tokens occur more than once."""
+    twin = np.zeros(len(tok), bool)
+    twin[1:] = tok[1:] == tok[:-1]
+    twin[:-1] |= twin[1:]
+    return twin
+
+
 def _postings(batches):
-    """(t, k, n, p) of the tokens that several classes have; of a part that is too large for one run, of all its tokens."""
-    for _, whole, (ks, ns, counts, places, toks) in _runs(batches, [1, 2, 3, 4, 5]):
-        key, n = np.concatenate([np.frombuffer(x, np.int64) for x in ks]), np.concatenate([np.frombuffer(x, np.int32) for x in ns])
-        doc = np.repeat(np.arange(len(key)), np.concatenate([np.frombuffer(x, np.int32) for x in counts]))
-        tok = np.concatenate([np.frombuffer(x, np.uint64) for x in toks])
-        place = np.concatenate([np.frombuffer(x, np.int32) for x in places])
+    """(t, k, n, p, rare) of the tokens that several classes have; of a part that is too large for one run, of all its tokens."""
+    for _, whole, (ks, ns, rares, counts, places, toks) in _runs(batches, [1, 2, 3, 4, 5, 6]):
+        cat = lambda x, kind: np.concatenate([np.frombuffer(y, kind) for y in x])
+        key, n, rare = cat(ks, np.int64), cat(ns, np.int32), cat(rares, np.int16)
+        doc = np.repeat(np.arange(len(key)), cat(counts, np.int32))
+        tok, place = cat(toks, np.uint64), cat(places, np.int32)
         if whole:
             order = np.argsort(tok)
+            order = order[_twins(tok[order])]
             tok, doc, place = tok[order], doc[order], place[order]
-            twin = np.zeros(len(tok), bool)
-            twin[1:] = tok[1:] == tok[:-1]
-            twin[:-1] |= twin[1:]
-            tok, doc, place = tok[twin], doc[twin], place[twin]
         order = np.lexsort((key[doc], tok))
         tok, doc, place = tok[order], doc[order], place[order]
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (key[doc[1:]] != key[doc[:-1]])
         tok, doc, place = tok[new], doc[new], place[new]
         if whole and len(tok):
-            twin = np.zeros(len(tok), bool)
-            twin[1:] = tok[1:] == tok[:-1]
-            twin[:-1] |= twin[1:]
+            twin = _twins(tok)
             tok, doc, place = tok[twin], doc[twin], place[twin]
-        yield pa.record_batch({"t": pa.array(as_long(tok)), "k": pa.array(key[doc]), "n": pa.array(n[doc].astype(np.int32)), "p": pa.array(place)})
+        yield pa.record_batch({"t": pa.array(as_long(tok)), "k": pa.array(key[doc]), "n": pa.array(n[doc]), "p": pa.array(place), "rare": pa.array(rare[doc])})
 
 
 def _sets(batches, k: int):
@@ -222,6 +229,10 @@ def _need(n, m, t: int):
     return F.floor((t * (n + m) + 99 + t) / (100 + t))
 
 
+def _band(n):
+    return F.floor(F.log(n) * BANDS).cast("int")
+
+
 def _promising(shared, n, m, t: int):
     """Whether sets that share so many of their first tokens are worth a comparison before the exact round."""
     return shared + F.least(n, m) * t / 100.0 + 2 >= _need(n, m, t)
@@ -231,27 +242,29 @@ def _fetch(scratch: Scratch, d: DataFrame, reps: DataFrame, classes: DataFrame,
     """(k, set) of the classes, from the text of the document that stands for each."""
     ids = scratch.table(reps.join(classes.distinct(), "k").select("id").distinct())
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return scratch.table(d.join(ids, "id").select("text").mapInArrow(lambda b: _sets(b, k), "k long, set array<long>"))
+    return scratch.table(d.join(ids, "id").select("text").transform(in_arrow, lambda b: _sets(b, k), "k long, set array<long>"))
 
 
 def links(scratch: Scratch, docs: DataFrame, id: str, text: str, k: int = SHINGLE, t: int = THRESHOLD):
     """(summary(id, row, n, k), components(node, component) of classes) of all rows."""
     d = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
-    summary = scratch.table(d.mapInArrow(lambda b: _summaries(b, k), d.select("id", "row").schema.add("n", "long").add("k", "long")))
+    summary = scratch.table(d.transform(in_arrow, lambda b: _summaries(b, k), d.select("id", "row").schema.add("n", "long").add("k", "long")))
     total = summary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     body = d.where("id is not null").select("text")
 
     bits = max(5, min(20, int(-(-total // PART)).bit_length()))
-    codes = body.mapInArrow(lambda b: _codes(b, k, bits), "part int, low binary").repartition(1 << bits, "part").sortWithinPartitions("part")
-    often = scratch.table(codes.mapInArrow(lambda b: _frequent(b, bits, FREQUENT), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+    codes = body.transform(in_arrow, lambda b: _codes(b, k, bits), "part int, low binary").repartition(1 << bits, "part").sortWithinPartitions("part")
+    often = scratch.table(codes.transform(in_arrow, lambda b: _frequent(b, FREQUENT), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
     least = FREQUENT
     while often.where(F.col("n") >= least).count() > LISTED:
         least *= 2
-    frequent = np.sort(often.where(F.col("n") >= least).select("code").toArrow()["code"].to_numpy().view(np.uint64))
+    listed = often.where(F.col("n") >= least).orderBy("code").toArrow()  # at most LISTED rows
+    frequent, grade = listed["code"].to_numpy().view(np.uint64), np.frexp(listed["n"].to_numpy().astype(float))[1].astype(np.uint8)
 
     parts = max(8, int(-(-total // (4 * PART))) * 2)
-    blobs = body.mapInArrow(lambda b: _prefixes(b, k, parts, frequent, t), "part int, k binary, n binary, counts binary, places binary, tokens binary")
-    postings = scratch.table(blobs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_postings, "t long, k long, n int, p int"))
+    blobs = body.transform(in_arrow, lambda b: _prefixes(b, k, parts, bits, frequent, grade, t), "part int, k binary, n binary, rare binary, counts binary, places binary, tokens binary")
+    postings = scratch.table(blobs.repartition(parts, "part").sortWithinPartitions("part").transform(in_arrow, _postings, "t long, k long, n int, p int, rare short"))
+    scratch.drop(often)
 
     like = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * t
     reps = summary.where("id is not null and n > 0").groupBy("k").agg(F.min("id").alias("id"))
@@ -276,10 +289,10 @@ def links(scratch: Scratch, docs: DataFrame, id: str, text: str, k: int = SHINGL
         return False
 
     def grouped(rows: DataFrame) -> DataFrame:
-        """(t, k, n, p, g): rows of postings of tokens that several groups have."""
+        """(t, k, n, p, rare, g): rows of postings of tokens that several groups have."""
         if groups is None:
             return rows.withColumn("g", F.col("k"))
-        of = rows.join(groups.withColumnRenamed("node", "k"), "k", "left").select("t", "k", "n", "p", F.coalesce("component", "k").alias("g"))
+        of = rows.join(groups.withColumnRenamed("node", "k"), "k", "left").select("t", "k", "n", "p", "rare", F.coalesce("component", "k").alias("g"))
         mixed = of.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("t")
         return of.join(mixed, "t")
 
@@ -288,35 +301,39 @@ def links(scratch: Scratch, docs: DataFrame, id: str, text: str, k: int = SHINGL
     busy = scratch.table(postings.join(own, "k").select(postings.columns))
     for r in range(ROUNDS):
         of = grouped(busy)
-        hub = of.groupBy("t").agg(F.min(F.struct(F.xxhash64("k", F.pmod("t", F.lit(HUBS)), F.lit(r)).alias("x"), "k", "n", "g")).alias("h"))
-        hub = hub.select("t", F.col("h.k").alias("hk"), F.col("h.n").alias("m"), F.col("h.g").alias("hg"))
+        first = [F.xxhash64("k", F.lit(r)).alias("x")] if r else [F.col("rare"), F.xxhash64("k").alias("x")]
+        hub = of.groupBy("t").agg(F.min(F.struct(*first, "k", "n", "g")).alias("h")).select("t", F.col("h.k").alias("hk"), F.col("h.n").alias("m"), F.col("h.g").alias("hg"))
         seen = of.join(hub, "t").where((F.col("g") != F.col("hg")) & like(F.col("n"), F.col("m")))
-        seen = seen.groupBy("k", "hk", "n", "m").agg(F.count("*").alias("shared")).where(_promising(HUBS * F.col("shared"), F.col("n"), F.col("m"), t))
+        seen = seen.groupBy("k", "hk", "n", "m").agg(F.count("*").alias("shared")).where(_promising(F.col("shared"), F.col("n"), F.col("m"), t))
         if not compare(seen.select(*pair("k", "hk")).distinct()):
             break
-
-    # The matrix of tokens and groups, with the sizes of each group's members and the earliest place of the token in one.
-    # Sets of n and m that reach the threshold have all but n - need and m - need of their tokens in common, so the first
-    # one in common is at most that far from either's start. For a group the sizes that bound least are taken.
-    # Of two sets the smaller needs that token among its first n - need(n, n); tokens that no class has there are left out.
-    ahead = postings.where(F.col("p") <= F.col("n") - _need(F.col("n"), F.col("n"), t)).select("t").distinct()
     scratch.drop(busy)
-    of = scratch.table(grouped(postings.join(ahead, "t")))
-    extent = of.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = of.groupBy("t", "g").agg(F.min("p").alias("mp")).join(extent, "g").withColumnRenamed("g", "mg")
-    n, p = F.col("n"), F.col("p")
-    small, large = F.greatest(F.col("least"), F.ceil(n * t / 100.0)), F.least(F.col("most"), F.floor(n * 100.0 / t))
-    ask = of.join(matrix, "t").where((F.col("g") > F.col("mg")) & (small <= large) & (p <= n - _need(n, small, t)) & (F.col("mp") <= large - _need(n, large, t)))
-    # Of a group that qualifies, the members that have the token early enough are opened.
-    ask = ask.select("t", "k", "n", "p", F.col("mg").alias("g"))
-    members = of.select("t", "g", F.col("k").alias("s"), F.col("n").alias("m"), F.col("p").alias("sp"))
+
+    # The matrix of tokens, bands of sizes and groups, with the earliest place of the token and the sizes of the members.
+    # Of two sets the larger, of n, asks; m, the smaller, is at least ceil(t n), and need(n, m) <= n - p bounds it from above.
+    of = scratch.table(grouped(postings).withColumn("band", _band(F.col("n"))))
+    extent = scratch.table(of.groupBy("g", "band").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    matrix = of.groupBy("t", "band", "g").agg(F.min("p").alias("mp"), F.min("n").alias("least"), F.max("n").alias("most"))
+    n, p, most = F.col("n"), F.col("p"), F.col("most")
+    low, high = F.ceil(n * t / 100.0), F.least(n.cast("long"), F.floor((100 + t) * (n - p) / t) - n)
+    ask = of.select("t", "k", "n", "p", F.col("g").alias("own"), low.alias("low"), high.alias("high")).where("low <= high")
+    ask = ask.withColumn("band", F.explode(F.sequence(_band(F.col("low")), _band(F.col("high")))))
+    top = F.least(most, F.col("high"))
+    met = ask.join(matrix, ["t", "band"]).where((F.col("own") != F.col("g")) & (F.col("least") <= F.col("high")) & (most >= F.col("low")) & (F.col("mp") <= top - _need(n, top, t)) & (p <= n - _need(n, F.greatest("least", "low"), t)))
+    met = scratch.table(met.select("k", "n", "p", "t", "band", "g"))
+    # The bound: the tokens shared with a group's union, and what is beyond the first tokens of one of the two.
+    rest = lambda x: F.ceil(x * t / 100.0) - 1
+    asked = met.select("k", "n", "band", "g").distinct().join(of.select("k", "t"), "k")
+    sums = asked.join(of.select("t", "band", "g").distinct(), ["t", "band", "g"]).groupBy("k", "n", "band", "g").agg(F.count("*").alias("shared"))
+    open_ = sums.join(extent, ["g", "band"]).where(F.col("shared") + F.greatest(rest(n), rest(most)) >= _need(n, F.greatest("least", F.ceil(n * t / 100.0)), t)).select("k", "band", "g")
+    # Of a group that is opened, the members that have the token early enough.
+    members = of.select("t", "band", "g", F.col("k").alias("s"), F.col("n").alias("m"), F.col("p").alias("sp"))
     need = _need(F.col("n"), F.col("m"), t)
-    opened = ask.join(members, ["t", "g"]).where(like(F.col("n"), F.col("m")) & (F.col("p") <= F.col("n") - need) & (F.col("sp") <= F.col("m") - need))
+    opened = met.join(open_, ["k", "band", "g"]).join(members, ["t", "band", "g"]).where(like(F.col("n"), F.col("m")) & (F.col("m") <= F.col("n")) & (F.col("p") <= F.col("n") - need) & (F.col("sp") <= F.col("m") - need))
     opened = scratch.table(opened.select("k", "n", "s", "m").distinct())
-    # What two sets share beyond the first tokens of both is in the rest of one of them.
     shared = opened.join(postings.select("k", "t"), "k").join(postings.select(F.col("k").alias("s"), "t"), ["s", "t"]).groupBy("k", "n", "s", "m").agg(F.count("*").alias("shared"))
-    rest = F.ceil(F.greatest("n", "m") * t / 100.0) - 1
-    compare(shared.where(F.col("shared") + rest >= _need(F.col("n"), F.col("m"), t)).select(*pair("k", "s")))
+    compare(shared.where(F.col("shared") + rest(F.greatest("n", "m")) >= _need(F.col("n"), F.col("m"), t)).select(*pair("k", "s")).distinct())
+    scratch.drop(postings, of, extent, met, opened)
     none = scratch.spark.createDataFrame([], "node long, component long")
     return summary, none if groups is None else groups
 
