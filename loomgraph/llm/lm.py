@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, Words, as_long, chunks, mix
+from loomgraph.llm.common import Scratch, Words, as_long, chunks, in_arrow, mix
 
 VOCABULARY, HOT, BUCKETS = 65_000, 512, 40
 #: Occurrences that one part of the key space counts, on average, and that a task gathers before it sends them.
@@ -420,33 +420,33 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
     d = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(id), F.col(text)).alias("row"), train.alias("train"), F.col(id).alias("id"), held.alias("held"))
     learn_from, body = d.where("train").select("text"), d.select("text", "row", "train")
 
-    words = scratch.table(learn_from.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    words = scratch.table(learn_from.transform(in_arrow, _count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = int(as_long(np.array([END]))[0])
     top = words.where(F.col("h") != end).orderBy(F.desc("c"), "h").limit(min(vocabulary, VOCABULARY)).toArrow()  # at most VOCABULARY rows
     ends = (words.where(F.col("h") == end).first() or [0, 0])[1]
     k = Classes(np.append(top["h"].to_numpy(), end).astype(np.int64).view(np.uint64), np.append(top["c"].to_numpy(), ends).astype(np.int64), total, distinct)
     hot = np.zeros(HOT * HOT, np.int64)
-    cells = learn_from.mapInArrow(lambda b: _hot_pairs(b, k), "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()  # HOT squared rows at most
+    cells = learn_from.transform(in_arrow, lambda b: _hot_pairs(b, k), "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()  # HOT squared rows at most
     hot[cells["cell"].to_numpy()] = cells["c"].to_numpy()
     parts = max(8, -(-total // PART))
 
-    follow = body.select("text").mapInArrow(lambda b: _follow(b, k, parts), "part int, h long").distinct().join(words, "h").select("part", "h", "c")
-    follow = scratch.table(follow.mapInArrow(_follow_blobs, _BLOBS))
+    follow = body.select("text").transform(in_arrow, lambda b: _follow(b, k, parts), "part int, h long").distinct().join(words, "h").select("part", "h", "c")
+    follow = scratch.table(follow.transform(in_arrow, _follow_blobs, _BLOBS))
 
     def sent(docs: DataFrame) -> DataFrame:
-        blobs = docs.mapInArrow(lambda b: _send(b, k, parts), _BLOBS).union(follow)
+        blobs = docs.transform(in_arrow, lambda b: _send(b, k, parts), _BLOBS).union(follow)
         return blobs.repartition(parts, "part").sortWithinPartitions("part", "kind")
 
     with _cleaning(spark):
-        graded = sent(d.where("train or held").select(*body.columns)).mapInArrow(lambda b: _grade_parts(b, k), "g long, n long")
-        graded = graded.union(d.where("held").select("text").mapInArrow(lambda b: _grade_hot(b, k, hot), "g long, n long"))
+        graded = sent(d.where("train or held").select(*body.columns)).transform(in_arrow, lambda b: _grade_parts(b, k), "g long, n long")
+        graded = graded.union(d.where("held").select("text").transform(in_arrow, lambda b: _grade_hot(b, k, hot), "g long, n long"))
         grades = graded.groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # bounded: buckets and two grades of rates
     weights = learn(grades["g"].to_numpy(), grades["n"].to_numpy().astype(float), k.uniform) if total else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
 
-    replies = sent(body).mapInArrow(lambda b: _score_parts(b, k, weights), _REPLY)
-    sums = replies.repartition("sender").sortWithinPartitions("sender").mapInArrow(_summed, _SUMS)
-    here = body.select("text", "row").mapInArrow(lambda b: _score_here(b, k, hot, weights), _SUMS)
+    replies = sent(body).transform(in_arrow, lambda b: _score_parts(b, k, weights), _REPLY)
+    sums = replies.repartition("sender").sortWithinPartitions("sender").transform(in_arrow, _summed, _SUMS)
+    here = body.select("text", "row").transform(in_arrow, lambda b: _score_here(b, k, hot, weights), _SUMS)
     ids = d.select("row", "id", "held")
     sums = sums.union(here).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     # Rows that say the same share a sum, which is so many times that of one.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, Words, chunks
+from loomgraph.llm.common import Scratch, Words, chunks, in_arrow
 
 HASH_BITS, STEP_BITS, LEVELS = 60, 12, 3
 #: A row for each source is broadcast up to this many sources (about 60 bytes each); beyond it they are joined by shuffle.
@@ -40,7 +40,7 @@ def sizes(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
 
     names = ["id", "source", "text", *(f"__{i}" for i in range(len(docs.columns) if carry else 0))]
     d = docs.select(F.col(id), F.col(source), F.col(text), *(docs.columns if carry else [])).toDF(*names)
-    counted = d.mapInArrow(run, d.drop("text").schema.add("size", "long"))
+    counted = d.transform(in_arrow, run, d.drop("text").schema.add("size", "long"))
     return counted.withColumn("h", F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long"))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, Words, as_long, chunks
+from loomgraph.llm.common import Scratch, Words, as_long, chunks, in_arrow
 
 #: Labelled rows that the model is fitted on at most, words it may know, and site rows that are broadcast at most.
 SAMPLE, WORDS, BROADCAST_SITES = 6000, 400, 200_000
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labelled: DataFrame, id: str = "doc_id", text: str =
                     "w": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(as_long(word))),
                 })
 
-    got = rows.mapInArrow(run, "y double, x array<double>, w array<long>").toArrow()
+    got = rows.transform(in_arrow, run, "y double, x array<double>, w array<long>").toArrow()
     y = np.asarray(got["y"], float)
     none = np.empty(0, np.uint64)
     if not len(y) or y.min() == y.max():
@@ -159,7 +159,7 @@ def _scored(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFr
             yield pa.record_batch([*(batch.column(i) for i in range(len(keep))), pa.array(model.logits(batch.column(len(keep))))], names=[*keep, "__z"])
 
     d = docs.select(*keep, F.col(text).alias("__text"))
-    return d.mapInArrow(run, d.drop("__text").schema.add("__z", "double"))
+    return d.transform(in_arrow, run, d.drop("__text").schema.add("__z", "double"))
 
 
 def _strength(n: str, rate: str, toward):

@@ -13,13 +13,17 @@ results. Texts of any length are scanned whole; offsets are code points. With no
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import in_arrow
+
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(
     r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -55,10 +59,6 @@ def _values(text: str, spans: list[tuple[int, int, int]]) -> Iterator[str]:
             yield value
 
 
-def _overlaps(start: int, end: int, spans: list[tuple[int, int, int]]) -> bool:
-    return any(a < end and start < b for a, _, b in spans)
-
-
 def _outside(text: str, spans: list[tuple[int, int, int]], by: str) -> str:
     """text with the spans, which may overlap, replaced."""
     done, parts = 0, []
@@ -104,7 +104,7 @@ def train(docs: DataFrame, text: str = "text") -> MarkovPair:
         kind, cell = np.nonzero(sums)
         yield pa.record_batch({"kind": pa.array(kind, pa.int32()), "cell": pa.array(cell, pa.int32()), "n": pa.array(sums[kind, cell], pa.int64())})
 
-    rows = docs.select(F.col(text).alias("t")).mapInArrow(count, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text).alias("t")).transform(in_arrow, count, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect()
     sums = np.zeros((2, _N * _N))
     for r in rows:  # at most 2 * 67 * 67 of them
         sums[r.kind, r.cell] = r.n
@@ -115,9 +115,11 @@ def find(text: str, model: MarkovPair, threshold: float, per_char: float) -> tup
     """The base spans, and all spans, of one text, sorted by start, then kind."""
     base = base_spans(text)
     more = []
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     for m in _TOKEN.finditer(text):
         token = m[0]
-        if any(c.isdigit() for c in token) and not _overlaps(m.start(), m.end(), base):
+        before = bisect_left(starts, m.end())  # base spans that start before its end; reach: how far they go
+        if any(c.isdigit() for c in token) and not (before and reach[before - 1] > m.start()):
             s = model.score(token)
             if s >= threshold and s >= per_char * len(token):
                 more.append((m.start(), 3, m.end()))
@@ -148,7 +150,7 @@ def scan(docs: DataFrame, model: MarkovPair, id: str = "doc_id", text: str = "te
 
     kind = docs.schema[id].dataType.simpleString()
     schema = f"id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_spans string, spans string" + ", redacted string" * redact
-    return docs.select(F.col(id), F.col(text)).toDF("id", "text").mapInArrow(run, schema).withColumnRenamed("id", id)
+    return docs.select(F.col(id), F.col(text)).toDF("id", "text").transform(in_arrow, run, schema).withColumnRenamed("id", id)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
