@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import phrase_in, words
+from loomgraph.functions.text import coverage_tokens, phrase_in, words
 from loomgraph.operators.relational import metric_statistics
 
 EVALUATORS: dict = {}
@@ -33,6 +33,20 @@ def coverage(answers: DataFrame) -> DataFrame:
     return d.withColumn("overall", F.when(F.size(both) > 0, F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / F.size(both)))
 
 
+def phrase_hits(phrases: DataFrame, docs: DataFrame) -> DataFrame:
+    """STR-17 of all phrases(item_id, text) against all docs(doc_id, text): (item_id, doc_id). A phrase meets the documents that
+    have the rarest of its words, and is looked for in these."""
+    joined = lambda ws: F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
+    p = phrases.select("item_id", coverage_tokens(F.col("text")).alias("ws")).where(F.size("ws") > 0)
+    d = docs.select("doc_id", coverage_tokens(F.col("text")).alias("ws"))
+    asked = p.select("item_id", F.explode(F.array_distinct("ws")).alias("t"))
+    has = d.select("doc_id", F.explode_outer("ws").alias("t")).join(asked.select("t").distinct(), "t", "left_semi").distinct()
+    rarest = asked.join(has.groupBy("t").agg(F.count("*").alias("n")), "t", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t")).alias("r"))
+    met = rarest.select("item_id", F.col("r.t").alias("t")).join(has, "t").select("item_id", "doc_id")
+    j = met.join(p.select("item_id", joined(F.col("ws")).alias("p")), "item_id").join(d.select("doc_id", joined(F.col("ws")).alias("x")), "doc_id")
+    return j.where(F.contains("x", "p")).select("item_id", "doc_id")
+
+
 @evaluator("overlap")
 def token_f1(answers: DataFrame) -> DataFrame:
     """LLM-15, LLM-16, offline: F1 of the words of answer and truth."""
@@ -74,6 +88,40 @@ def node_styles(degrees: DataFrame, base: float = 10.0, factor: float = 30.0) ->
     return j.select("id", "degree", (base + factor * F.when(F.col("top") > 0, F.log1p("degree") / F.log1p("top")).otherwise(F.lit(0.0))).alias("size"))
 
 
+def evaluate_each(answers: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """EVL-3: (query_id, evaluator, report) of each named evaluator over answers, as JSON; a query that an evaluator has nothing
+    for has an empty report."""
+    out = None
+    for n in names or sorted(EVALUATORS):
+        got = EVALUATORS[n](answers)
+        body = F.to_json(F.struct(*[c for c in got.columns if c != "query_id"])).alias("report")
+        part = answers.select("query_id").distinct().join(got.select("query_id", body), "query_id", "left").select("query_id", F.lit(n).alias("evaluator"), F.coalesce("report", F.lit("{}")).alias("report"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def scattered(vertices: DataFrame, seed: int = 0) -> DataFrame:
+    """MTH-10: (id, x, y), places by a hash of the id, for a picture without a layout; within 0 and 1, the same in each run."""
+    unit = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / (1 << 30))
+    return vertices.select("id", unit(1).alias("x"), unit(2).alias("y"))
+
+
+RENDERERS: dict = {}
+
+
+def renderer(name: str):
+    """EXT-3: registers a function from a DataFrame and a title to a text."""
+
+    def add(f):
+        if name in RENDERERS:
+            raise ValueError(f"{name} is registered")
+        RENDERERS[name] = f
+        return f
+
+    return add
+
+
+@renderer("html")
 def html_table(df: DataFrame, title: str, n: int = 10) -> str:
     """VIS-5, VIS-6, TOP-6: the first n rows as escaped HTML."""
     from html import escape

@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Betweenness runs from at most so many vertices. It and closeness need the adjacency in each search, which is sent to tasks
-#: only up to so many edges.
+#: Betweenness runs from at most so many vertices (above that it is estimated, as stated there). Searches run in tasks that hold
+#: the adjacency up to so many edges, and as joins beyond.
 PIVOTS, ADJACENCY = 2000, 2_000_000
+#: Vertices up to which resolutions are compared.
+SWEPT = 10_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, materialised in the checkpoint folder, so that loops keep short plans and survive lost executors."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        import tempfile
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, one of our own in local mode, else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
 
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix=f"loomgraph-{uuid.uuid4().hex[:8]}"))
-    return df.checkpoint()
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back, so that loops keep short plans and survive lost executors."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(at.toString())
+    return spark.read.schema(df.schema).parquet(at.toString())
 
 
 def simple(edges: DataFrame) -> DataFrame:
@@ -125,48 +139,74 @@ def statistics(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return one.withColumn("density", F.when(F.col("nodes") > 1, 2.0 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(F.lit(0.0)))
 
 
-def _searches(edges: DataFrame, vertices: DataFrame, pivots: int, each, schema: str) -> DataFrame:
-    """each(source, neighbours) for the pivots with the smallest hashes, in tasks that hold the adjacency."""
-    if edges.count() > ADJACENCY:
-        raise ValueError("the adjacency is too large to be sent to tasks")
+def _searches(edges: DataFrame, chosen: DataFrame, each, schema: str) -> DataFrame:
+    """each(source, neighbours) for the vertices chosen, in tasks that hold the adjacency."""
     near: dict = {}
     for a, b, _ in both_ways(edges).collect():  # at most twice ADJACENCY rows
         near.setdefault(a, []).append(b)
     held = edges.sparkSession.sparkContext.broadcast(near)
-    chosen = vertices.select("id").orderBy(F.xxhash64("id"), "id").limit(pivots).repartition(8)
 
     def run(batches):
         for df in batches:
             for s in df["id"]:
                 yield pd.DataFrame(each(s, held.value), columns=[c.split()[0] for c in schema.split(", ")])
 
-    return chosen.mapInPandas(run, schema)
+    return chosen.repartition(8).mapInPandas(run, schema)
+
+
+def _paths_through(s, near: dict) -> list:
+    """The shares of the shortest paths from s that lead through each other vertex."""
+    order, paths, far, before = [s], {s: 1.0}, {s: 0}, {s: []}
+    for v in order:
+        for w in near.get(v, ()):
+            if w not in far:
+                far[w], paths[w], before[w] = far[v] + 1, 0.0, []
+                order.append(w)
+            if far[w] == far[v] + 1:
+                paths[w] += paths[v]
+                before[w].append(v)
+    gain = dict.fromkeys(order, 0.0)
+    for w in reversed(order):
+        for v in before[w]:
+            gain[v] += paths[v] / paths[w] * (1 + gain[w])
+    return [(v, g) for v, g in gain.items() if v != s and g]
+
+
+def _paths_joined(edges: DataFrame, chosen: DataFrame, block: int) -> DataFrame:
+    """As _paths_through, for `block` sources at a time, level by level, as joins."""
+    e = cut(both_ways(edges).select("src", "dst").distinct())
+    n = -(-chosen.count() // block)
+    place, out = cut(chosen.select("id", F.pmod(F.xxhash64("id"), F.lit(max(1, n))).alias("block"))), None
+    for b in range(n):
+        levels = [cut(place.where(F.col("block") == b).select(F.col("id").alias("source"), "id", F.lit(1.0).alias("paths")))]
+        met = levels[0].select("source", "id")
+        while not levels[-1].isEmpty():
+            new = e.join(levels[-1].withColumnRenamed("id", "src"), "src").groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+            levels.append(cut(new.join(met, ["source", "id"], "left_anti")))
+            met = met.union(levels[-1].select("source", "id"))
+        gain = levels[-1].select("source", "id", "paths", F.lit(0.0).alias("g"))
+        for level in reversed(levels[:-1]):
+            sent = gain.select("source", F.col("id").alias("dst"), ((1 + F.col("g")) / F.col("paths")).alias("share"))
+            got = e.join(sent, "dst").groupBy("source", F.col("src").alias("id")).agg(F.sum("share").alias("share"))
+            gain = cut(level.join(got, ["source", "id"], "left").select("source", "id", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("g")))
+            part = gain.where("source <> id and g > 0").select("id", "g")
+            out = part if out is None else out.union(part)
+    return out
 
 
-def betweenness(edges: DataFrame, vertices: DataFrame, pivots: int = PIVOTS) -> DataFrame:
-    """GRF-3: the share of shortest paths through each vertex; exact up to `pivots` vertices, else scaled from that many."""
+def betweenness(edges: DataFrame, vertices: DataFrame, pivots: int = PIVOTS, sent: int = ADJACENCY, block: int = 200) -> DataFrame:
+    """GRF-3: the share of shortest paths through each vertex; exact up to `pivots` vertices, and above that estimated from
+    so many, those with the smallest hashes of their ids, as is the operator's definition. Beyond `sent` edges, searches run
+    as joins, from `block` vertices at a time."""
     n = vertices.count()
     kind = vertices.schema["id"].dataType.simpleString()
-
-    def each(s, near):
-        order, paths, far, before = [s], {s: 1.0}, {s: 0}, {s: []}
-        for v in order:
-            for w in near.get(v, ()):
-                if w not in far:
-                    far[w], paths[w], before[w] = far[v] + 1, 0.0, []
-                    order.append(w)
-                if far[w] == far[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        gain = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in before[w]:
-                gain[v] += paths[v] / paths[w] * (1 + gain[w])
-        return [(v, g) for v, g in gain.items() if v != s and g]
-
     k = min(pivots, n)
-    got = _searches(edges, vertices, k, each, f"id {kind}, g double").groupBy("id").agg(F.sum("g").alias("g"))
+    chosen = vertices.select("id").orderBy(F.xxhash64("id"), "id").limit(pivots)
+    got = _searches(edges, chosen, _paths_through, f"id {kind}, g double") if edges.count() <= sent else _paths_joined(edges, chosen, block)
     scale = (n / max(1, k)) / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    if got is None:
+        return vertices.select("id", F.lit(0.0).alias("betweenness"))
+    got = got.groupBy("id").agg(F.sum("g").alias("g"))
     return vertices.select("id").join(got, "id", "left").select("id", (F.coalesce("g", F.lit(0.0)) * scale).alias("betweenness"))
 
 
@@ -232,22 +272,25 @@ def closeness(edges: DataFrame, vertices: DataFrame, block: int = 500, sent: int
     return out
 
 
-def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 3, per_hop: int | None = 50, keep=None) -> DataFrame:
-    """JN-13, JN-14: (id, hop) of vertices reached from seeds(id), nearest first, at most per_hop new ones in each hop (those
-    with the smallest ids), filtered by keep before the limit. A seed is returned only if it is reached again."""
-    e = both_ways(edges).select("src", "dst")
-    front, out = seeds.select("id").distinct(), None
+def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 3, per_hop: int | None = 50, keep: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """JN-13, JN-14: (by, id, hop) of vertices reached from seeds(by, id), nearest first, at most per_hop new ones in each hop
+    (those with the smallest ids), filtered by keep before the limit. by: columns, such as a query's id, whose seeds are
+    expanded each on their own, with limits of their own. A seed is returned only if it is reached again."""
+    e, by = both_ways(edges).select("src", "dst"), list(by)
+    front, out = seeds.select(*by, "id").distinct(), None
     for h in range(1, hops + 1):
-        new = e.join(front.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
+        new = e.join(front.withColumnRenamed("id", "src"), "src").select(*by, F.col("dst").alias("id")).distinct()
         if keep is not None:
             new = new.join(keep.select("id"), "id", "left_semi")
         if out is not None:
-            new = new.join(out.select("id"), "id", "left_anti")
-        if per_hop is not None:
+            new = new.join(out.select(*by, "id"), [*by, "id"], "left_anti")
+        if per_hop is not None and by:
+            new = new.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("__r") <= per_hop)
+        elif per_hop is not None:
             new = new.orderBy("id").limit(per_hop)
-        new = new.withColumn("hop", F.lit(h))
+        new = new.select(*by, "id", F.lit(h).alias("hop"))
         out = cut(new if out is None else out.union(new))
-        front = out.where(F.col("hop") == h).select("id")
+        front = out.where(F.col("hop") == h).select(*by, "id")
     return out
 
 
@@ -267,106 +310,106 @@ def coarsen(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return e.groupBy(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
-def communities(edges: DataFrame, vertices: DataFrame, resolution: float = 1.0, smallest: int = 3, levels: int = 5, bounded: int = 10_000, rounds: int = 10) -> DataFrame:
-    """GRF-11..14: (level, id, community, parent): a hierarchy of communities. Local moves that raise modularity, in the
-    order of ids, on the edge list of a graph of at most `bounded` vertices; label propagation by DataFrames above that.
-    Communities of fewer than `smallest` members join the neighbour they share most weight with. Levels stop when the
-    partition no longer changes."""
+def communities(edges: DataFrame, vertices: DataFrame, resolution: float | None = 1.0, smallest: int = 3, levels: int = 5, rounds: int = 12) -> DataFrame:
+    """GRF-11, GRF-13, GRF-14: (level, id, community, parent): a hierarchy of communities by moves that raise modularity, the
+    same way at every size. Communities of fewer than `smallest` members join the neighbour they share most weight with. Levels
+    stop when the partition no longer changes. Without a resolution, the best of some is taken (GRF-12) for a graph of up to
+    SWEPT vertices, else 1, as is the sweep's definition."""
     n = vertices.count()
+    if resolution is None:
+        resolution = best_resolution(edges, vertices, rounds=rounds) if n <= SWEPT else 1.0
     out, level_edges, level_nodes, of = None, edges, vertices.select("id"), vertices.select("id", F.col("id").alias("node"))
     for level in range(levels):
         size = n if level == 0 else level_nodes.count()
         if size < 2 and level:
             break
-        labels = _move(level_edges, level_nodes, resolution, smallest if level == 0 else 1) if size <= bounded else _propagate(level_edges, level_nodes, rounds)
-        labels = cut(labels)
+        labels = moved(level_edges, level_nodes, resolution, rounds)
+        if level == 0:
+            labels = merge_small(level_edges, labels, smallest)
         parts = labels.select("community").distinct().count()
         if level and not 1 < parts < size:
             break
         of = cut(of.join(labels.select(F.col("id").alias("node"), "community"), "node").select("id", F.col("community").alias("node"), F.col("node").alias("child")))
         rows = of.select(F.lit(level).alias("level"), "id", F.col("node").alias("community"), "child")
         out = rows if out is None else out.union(rows)
-        level_edges, level_nodes, of = cut(coarsen(level_edges, labels)), labels.select(F.col("community").alias("id")).distinct(), of.select("id", "node")
+        # A community's inner weight goes on as a loop, so that the strength of its vertex stays right.
+        level_edges, level_nodes, of = cut(_inner(level_edges, labels)), labels.select(F.col("community").alias("id")).distinct(), of.select("id", "node")
         if parts < 2:
             break
     up = out.select((F.col("level") - 1).alias("level"), "id", F.col("community").alias("parent"))
     return out.join(up, ["level", "id"], "left").select("level", "id", "community", "parent")
 
 
-def _propagate(edges: DataFrame, vertices: DataFrame, rounds: int) -> DataFrame:
-    """Each vertex takes the label with the most weight around it, the smallest on a tie."""
-    labels, e = vertices.select("id", F.col("id").alias("community")), both_ways(edges)
-    for _ in range(rounds):
-        around = e.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
-        own = labels.select(F.col("id").alias("src"), "community", F.lit(1e-9).alias("w"))
-        best = around.union(own).groupBy("src", "community").agg(F.sum("w").alias("w")).groupBy(F.col("src").alias("id")).agg(F.min_by("community", F.struct((-F.col("w")).alias("w"), "community")).alias("community"))
-        labels = cut(best)
+def _inner(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Weights between and inside communities."""
+    a, b = labels.select(F.col("id").alias("src"), F.col("community").alias("p")), labels.select(F.col("id").alias("dst"), F.col("community").alias("q"))
+    e = edges.join(a, "src").join(b, "dst")
+    return e.groupBy(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst")).agg(F.sum("weight").alias("weight"))
+
+
+def moved(edges: DataFrame, vertices: DataFrame, resolution: float = 1.0, rounds: int = 12) -> DataFrame:
+    """(id, community): each vertex starts alone; in each round half of them, by a hash, go to the neighbouring community that
+    raises modularity most, if any does. Two rounds without a move end it, or so many rounds. Loops count in strengths only.
+    A community is named after its smallest member."""
+    e = cut(both_ways(edges.where("src <> dst")))
+    ends = e.select(F.col("src").alias("id"), "weight").union(edges.where("src = dst").select(F.col("src").alias("id"), 2 * F.col("weight")))
+    strength = ends.groupBy("id").agg(F.sum("weight").alias("k"))
+    labels = cut(vertices.select("id").join(strength, "id", "left").select("id", F.col("id").alias("community"), F.coalesce("k", F.lit(0.0)).alias("k")))
+    m2 = labels.agg(F.sum("k")).first()[0] or 1.0
+    still = 0
+    for r in range(rounds):
+        mass = labels.groupBy("community").agg(F.sum("k").alias("mass"), F.count("*").alias("size"))
+        own = labels.select("id", F.col("community").alias("own"), "k").where(F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0)
+        # (id, the community of a neighbour or of its own, weight): what is not active goes before the join.
+        around = e.join(own.select(F.col("id").alias("src")), "src", "left_semi").join(labels.select(F.col("id").alias("dst"), "community"), "dst").select(F.col("src").alias("id"), "community", "weight")
+        stay = own.select("id", F.col("own").alias("community"), F.lit(0.0).alias("weight"))
+        each = around.union(stay).groupBy("id", "community").agg(F.sum("weight").alias("w")).join(own, "id").join(mass, "community")
+        mine = F.col("community") == F.col("own")
+        gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("mass") - F.when(mine, F.col("k")).otherwise(0.0)) / m2, 9)
+        option = F.struct((-gain).alias("g"), F.when(mine, 0).otherwise(1).alias("o"), "community")
+        # A vertex that is alone joins another that is alone only if that has the smaller name, so that two don't change places.
+        apart = (F.col("size") == 1) & (F.col("community") > F.col("own"))
+        best = each.groupBy("id").agg(F.min(option).alias("any"), F.min(F.when(~apart, option)).alias("safe"), F.max(F.when(mine, F.col("size") == 1)).alias("alone"))
+        best = best.select("id", F.when(F.col("alone"), F.col("safe.community")).otherwise(F.col("any.community")).alias("to"))
+        new = cut(labels.join(best, "id", "left").select("id", F.coalesce("to", "community").alias("community"), "k", (F.col("to") != F.col("community")).alias("went")))
+        still = 0 if new.where("went").take(1) else still + 1
+        labels = new.drop("went")
+        if still == 2:
+            break
+    name = labels.groupBy("community").agg(F.min("id").alias("name"))
+    return cut(labels.join(name, "community").select("id", F.col("name").alias("community")))
+
+
+def merge_small(edges: DataFrame, labels: DataFrame, smallest: int) -> DataFrame:
+    """GRF-13: communities of fewer than `smallest` members join the neighbour they share most weight with (the smallest name on
+    a tie), again and again; those without neighbours stay."""
+    while smallest > 1:
+        size = labels.groupBy("community").agg(F.count("*").alias("size"))
+        between = coarsen(edges, labels)
+        near = both_ways(between).join(size.where(F.col("size") < smallest).select(F.col("community").alias("src")), "src")
+        to = cut(near.groupBy("src").agg(F.min_by("dst", F.struct((-F.col("weight")).alias("w"), "dst")).alias("dst")))
+        if to.isEmpty():
+            break
+        one = components(to.select("src", "dst"), size.select(F.col("community").alias("id")))
+        labels = cut(labels.join(one.select(F.col("id").alias("community"), "component"), "community").select("id", F.col("component").alias("community")))
     return labels
 
 
-def _move(edges: DataFrame, vertices: DataFrame, resolution: float, smallest: int) -> DataFrame:
-    kind = vertices.schema["id"].dataType.simpleString()
-    e = vertices.select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(0.0).alias("weight")).union(edges.select("src", "dst", "weight"))
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {v: {} for v in sorted(df.loc[df["dst"].isna(), "src"])}
-        for a, b, w in df.loc[df["dst"].notna(), ["src", "dst", "weight"]].sort_values(["src", "dst"]).itertuples(index=False):
-            b = type(a)(b)
-            near[a][b] = near[b][a] = near[a].get(b, 0.0) + w
-        strength = {v: sum(x.values()) for v, x in near.items()}
-        m2 = sum(strength.values()) or 1.0
-        label, mass = {v: v for v in near}, dict(strength)
-        for _ in range(20):
-            moved = False
-            for v in near:
-                around: dict = {}
-                for w, x in near[v].items():
-                    around[label[w]] = around.get(label[w], 0.0) + x
-                own = label[v]
-                mass[own] -= strength[v]
-                gain = lambda c: around.get(c, 0.0) - resolution * strength[v] * mass[c] / m2  # noqa: B023, E731
-                best = max(sorted(around), key=gain, default=own)
-                if best != own and gain(best) > gain(own) + 1e-12:
-                    label[v], moved = best, True
-                mass[label[v]] += strength[v]
-            if not moved:
-                break
-        while True:
-            members: dict = {}
-            for v, c in label.items():
-                members.setdefault(c, []).append(v)
-            for c in sorted(members, key=lambda c: (len(members[c]), c)):
-                if len(members[c]) < smallest:
-                    around = {}
-                    for v in members[c]:
-                        for w, x in near[v].items():
-                            if label[w] != c:
-                                around[label[w]] = around.get(label[w], 0.0) + x
-                    if around:
-                        to = min(around, key=lambda k: (-around[k], k))
-                        for v in members[c]:
-                            label[v] = to
-                        break
-            else:
-                break
-        least: dict = {}
-        for v, c in label.items():
-            least[c] = min(least.get(c, v), v)
-        return pd.DataFrame({"id": list(label), "community": [least[c] for c in label.values()]})
-
-    return e.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda df: run(df), f"id {kind}, community {kind}")
-
-
-def best_resolution(edges: DataFrame, vertices: DataFrame, candidates=(0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0)) -> float:
+def best_resolution(edges: DataFrame, vertices: DataFrame, candidates=(0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0), rounds: int = 12) -> float:
     """GRF-12: the resolution whose partition has two parts or more and the highest modularity."""
     found = []
     for r in candidates:
-        labels = cut(_move(edges, vertices, r, 1))
+        labels = moved(edges, vertices, r, rounds)
         if labels.select("community").distinct().count() >= 2:
             found.append((modularity(edges, labels).first()[0] or 0.0, -r))
     return -max(found)[1] if found else 1.0
 
 
+def with_community(vertices: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """GRF-17: vertices with their community of level 0."""
+    return vertices.join(hierarchy.where("level = 0").select("id", "community"), "id", "left")
+
+
 def community_records(labels: DataFrame, edges: DataFrame, entities: DataFrame, level: int = 0) -> DataFrame:
     """AGG-12, AGG-13, AGG-14, GRF-16: of labels(id, community): size, inner edges, density, text units and rank, the sum of
     the members' degrees. entities: id, text_unit_ids."""

@@ -52,6 +52,21 @@ def grounding_gate(df: DataFrame, grounded: Column, column: str = "confidence",
     return df.withColumn(column, F.when(grounded, F.col(column)).otherwise(F.coalesce(F.col(column), F.lit(1.0)) * penalty))
 
 
+def grounded_pairs(spans: DataFrame, chunks: DataFrame, least: float = 0.6) -> DataFrame:
+    """STR-5 of all spans(span, ...) against all chunks(chunk, ...) by a join on words: the columns of both for the pairs of which
+    the chunk holds the share `least` of the span's words, or the span itself. Spans of fewer than 4 words, which are grounded
+    in everything, are left out. Texts are normalised ones. A span that a chunk holds has all its words there but the first and
+    the last, which may be parts of others, so only pairs with so many are looked at."""
+    tokens = F.filter(F.split("span", " "), lambda x: x != "")
+    s = spans.withColumn("__k", F.size(tokens)).where(F.col("__k") >= 4).withColumn("__s", F.xxhash64(*spans.columns))
+    c = chunks.where(F.coalesce("chunk", F.lit("")) != "").withColumn("__c", F.xxhash64(*chunks.columns))
+    a = s.select("__s", "__k", F.explode(F.filter(F.split("span", " "), lambda x: x != "")).alias("t")).groupBy("__s", "__k", "t").agg(F.count("*").alias("m"))
+    b = c.select("__c", F.explode(F.array_distinct(F.split("chunk", " "))).alias("t"))
+    met = a.join(b, "t").groupBy("__s", "__k", "__c").agg(F.sum("m").alias("m")).where(F.col("m") >= F.least(F.col("__k") - 2, F.col("__k") * least))
+    j = met.join(s.drop("__k"), "__s").join(c, "__c")
+    return j.where((F.col("m") / F.col("__k") >= least) | F.contains("chunk", "span")).drop("__s", "__c", "__k", "m")
+
+
 def uncommon(entities: DataFrame, most: int = 20) -> DataFrame:
     """FLT-8: entities of at most so many text units."""
     return entities.where(F.coalesce(F.size("text_unit_ids"), F.lit(0)) <= most)
@@ -170,9 +185,14 @@ def merge_resolved_entities(df: DataFrame) -> DataFrame:
 
 
 def merge_resolved_edges(df: DataFrame, always: bool = False) -> DataFrame:
-    """AGG-5, AGG-9: by ends and type; the weight counts distinct text units (an edge alone keeps its own, unless always)."""
+    """AGG-5, AGG-9: by ends and type; the weight counts distinct text units (an edge alone keeps its own, unless always);
+    descriptions, where there are any, are joined, each once."""
     g = df.withColumn("type", F.lower(F.trim("type"))).groupBy("source_id", "target_id", "type")
-    out = g.agg(F.min_by("id", "ord").alias("id"), F.count("*").alias("__n"), F.sum("weight").alias("__w"), united("text_unit_ids").alias("text_unit_ids"))
+    said = []
+    if "description" in df.columns:
+        each = F.transform(F.array_sort(F.collect_list(F.when(F.coalesce("description", F.lit("")) != "", F.struct("ord", "description")))), lambda x: x["description"])
+        said = [F.array_join(F.array_distinct(F.flatten(F.transform(each, lambda x: F.split(x, "; ")))), "; ").alias("description")]
+    out = g.agg(F.min_by("id", "ord").alias("id"), F.count("*").alias("__n"), F.sum("weight").alias("__w"), united("text_unit_ids").alias("text_unit_ids"), *said)
     counted = F.size("text_unit_ids").cast("double")
     return out.withColumn("weight", counted if always else F.when(F.col("__n") > 1, counted).otherwise(F.col("__w"))).drop("__n", "__w")
 
@@ -183,9 +203,21 @@ def merge_claims(df: DataFrame) -> DataFrame:
 
 
 def merge_incremental(old: DataFrame, new: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
-    """AGG-8: entities of both runs by key; the old id stays. Also (old, new): what became of each new id."""
+    """AGG-8: entities of both runs by key; the old id, name and type stay (the first new one's otherwise), descriptions are joined,
+    each once, text units united, the largest confidence and rank taken. Also (old, new): what became of each new id."""
     both = old.withColumn("src", F.lit(0)).unionByName(new.withColumn("src", F.lit(1)), allowMissingColumns=True).withColumn("key", key)
-    merged = both.groupBy("key").agg(F.min_by("id", F.struct("src", "id")).alias("id"), F.min_by("name", F.struct("src", "id")).alias("name"), united("text_unit_ids").alias("text_unit_ids"), F.max("confidence").alias("confidence"))
+    first, out = F.struct("src", "id"), []
+    for c in dict.fromkeys([*old.columns, *new.columns]):
+        if c in ("name", "type"):
+            out.append(F.min_by(c, F.when(F.col(c).isNotNull(), first)).alias(c))
+        elif c == "description":
+            said = F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("src", "id", c)))), lambda x: x["description"])
+            out.append(F.array_join(F.array_distinct(F.flatten(F.transform(said, lambda x: F.split(x, "; ")))), "; ").alias(c))
+        elif c == "text_unit_ids":
+            out.append(united(c).alias(c))
+        elif c in ("confidence", "rank"):
+            out.append(F.max(c).alias(c))
+    merged = both.groupBy("key").agg(F.min_by("id", first).alias("id"), *out)
     mapping = both.where("src = 1").select("key", F.col("id").alias("old")).join(merged.select("key", F.col("id").alias("new")), "key").select("old", "new")
     return merged.drop("key").withColumn("frequency", F.size("text_unit_ids")), mapping
 
@@ -256,3 +288,44 @@ def within_budget(df: DataFrame, group: list[str], order: list[Column], size: Co
 def minus(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """JN-8, SET-3, SET-4, SET-7: rows of a whose keys b lacks."""
     return a.join(b.select(*keys).distinct(), keys, "left_anti")
+
+
+def first_seen(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """AGG-23, SET-2, SET-6: the first row, by order, of each distinct key."""
+    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
+
+
+def with_truth(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """JN-18: results with what was expected of their query; queries without results or truth are left out."""
+    return results.join(truth, "query_id")
+
+
+def lean(df: DataFrame, fields: list[str]) -> DataFrame:
+    """PRJ-5: for each field the first that isn't empty of the attributes, the metadata and the row's own column."""
+    own = lambda f: [F.col(f).cast("string")] if f in df.columns else []
+    given = lambda c: F.when(F.trim(c) != "", c)
+    return df.select("id", *[F.coalesce(*[given(x) for x in (F.try_element_at("attributes", F.lit(f)), F.try_element_at("metadata", F.lit(f)), *own(f))]).alias(f) for f in fields])
+
+
+def merged_times(df: DataFrame, key: str, now: Column) -> DataFrame:
+    """DAT-1: the earliest created_at of each key; updated_at is now."""
+    return df.groupBy(key).agg(F.min("created_at").alias("created_at")).withColumn("updated_at", now)
+
+
+def ids_of(results: DataFrame, field: str) -> DataFrame:
+    """ARR-2: (id) of a metadata field over results(source, metadata map of JSON texts): an item or a list; for the field id, the
+    source where there is none."""
+    from loomgraph.functions.values import ensure_list
+
+    value = F.try_element_at("metadata", F.lit(field))
+    got = ensure_list(value)
+    if field == "id":
+        got = F.when(F.size(got) == 0, F.array("source")).otherwise(got)
+    return results.select(F.explode(got).alias("id")).where("id is not null").distinct()
+
+
+def stage_metrics(stages: DataFrame) -> DataFrame:
+    """AGG-20: (stage, merge_rate, throughput) of stages(stage, inputs, outputs, seconds): how much smaller the output is than the
+    input, and rows a second."""
+    rate = F.when(F.col("inputs") > 0, 1 - F.col("outputs") / F.col("inputs")).otherwise(F.lit(0.0))
+    return stages.select("stage", rate.alias("merge_rate"), F.when(F.col("seconds") > 0, F.col("outputs") / F.col("seconds")).otherwise(F.lit(0.0)).alias("throughput"))

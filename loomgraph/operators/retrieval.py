@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,18 +16,25 @@ SECTION_WEIGHT = {"TEXT": 1.3, "ENTITY": 1.2, "RELATIONSHIP": 1.1, "CLAIM": 1.1,
 RESERVED = 512
 
 
-def postings(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(term, doc, tf, len): the inverted index, one shuffle by (term, doc) with partial counts."""
+#: Queries that are sent to all tasks at once, and edits that fuzzy terms may need at most.
+QUERIES_SENT, EDITS = 2000, 2
+
+
+def postings(docs: DataFrame, id: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """(term, doc, tf, len): the inverted index, one shuffle by (term, doc) with partial counts. With terms(term), only theirs:
+    other words go before the shuffle."""
     w = docs.select(F.col(id).alias("doc"), words(F.col(text)).alias("w"))
     # explode_outer: for explode, the optimizer would infer a filter that parts the text a second time.
-    return w.select("doc", F.size("w").alias("len"), F.explode_outer("w").alias("term")).where("term is not null").groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
+    each = w.select("doc", F.size("w").alias("len"), F.explode_outer("w").alias("term")).where("term is not null")
+    if terms is not None:
+        each = each.join(terms.select("term").distinct(), "term", "left_semi")
+    return each.groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
 
 
 def bm25(index: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFrame:
     """SCR-1: (query_id, doc, score) for terms(query_id, term). docs(doc, len): all documents, for their number and mean length."""
     n = docs.agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
-    t = F.broadcast(terms.distinct()) if terms.sparkSession else terms
-    hit = index.join(t.select("term").distinct(), "term", "left_semi")
+    hit = index.join(terms.select("term").distinct(), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     j = hit.join(df, "term").join(terms.distinct(), "term").crossJoin(F.broadcast(n))  # n is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -34,13 +42,28 @@ def bm25(index: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFrame:
     return j.groupBy("query_id", "doc").agg(F.sum(part).alias("score"))
 
 
+def _deletions(c: str, most: Column) -> Column:
+    """The distinct texts that up to `most` (0 to EDITS) deletions of a character leave, the text itself among them."""
+    once = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1, F.length(x))))
+    safe = lambda x: F.when(F.length(x) > 0, once(x)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    one = F.when(most >= 1, safe(F.col(c))).otherwise(none)
+    two = F.when(most >= 2, F.flatten(F.transform(safe(F.col(c)), safe))).otherwise(none)
+    return F.array_distinct(F.concat(F.array(c), one, two))
+
+
 def fuzzy_terms(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
-    """SCR-1, fuzziness: terms within 0, 1 or 2 edits by length (under 3, under 6, more), joined on length bands and a
-    letter of the two ends, so that no vocabulary-wide product is formed; the query's own terms always match."""
-    most = F.when(F.length("q") < 3, 0).when(F.length("q") < 6, 1).otherwise(2)
-    v = vocabulary.select("term", F.explode(F.array_distinct(F.array(F.substring("term", 1, 1), F.substring("term", -1, 1)))).alias("c"))
-    q = terms.select("query_id", F.col("term").alias("q")).withColumn("c", F.explode(F.array_distinct(F.array(F.substring("q", 1, 1), F.substring("q", -1, 1)))))
-    near = v.join(q, "c").where((F.abs(F.length("term") - F.length("q")) <= most) & (F.levenshtein("term", "q") <= most))
+    """SCR-1, fuzziness: terms within 0, 1 or 2 edits by the length of the query's (under 3, under 6, more). Texts within k edits
+    share one that k deletions of each leave, so both sides emit these and equal ones meet in a join; none is lost. Of the
+    vocabulary, only terms of a length near a query's emit any, and the query's own terms always match."""
+    most = lambda n: F.when(n < 3, 0).when(n < 6, 1).otherwise(EDITS)
+    q = terms.select("query_id", F.col("term").alias("q"), most(F.length("term")).alias("most")).distinct()
+    # A length in reach of several queries' needs as many deletions as the most tolerant of them allows.
+    lengths = q.select(F.explode(F.sequence(F.greatest(F.length("q") - F.col("most"), F.lit(0)), F.length("q") + F.col("most"))).alias("n"), "most").groupBy("n").agg(F.max("most").alias("most"))
+    v = vocabulary.select("term").distinct().withColumn("n", F.length("term")).join(F.broadcast(lengths), "n")  # a row for each length
+    left = v.select("term", F.explode(_deletions("term", F.col("most"))).alias("d"))
+    right = q.select("query_id", "q", "most", F.explode(_deletions("q", F.col("most"))).alias("d"))
+    near = left.join(right, "d").where(F.levenshtein("term", "q") <= F.col("most"))
     return near.select("query_id", "term").union(terms.select("query_id", "term")).distinct()
 
 
@@ -49,16 +72,41 @@ def dot(a, b) -> Column:
 
 
 def cosine(a, b) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """SCR-2: the k nearest of vectors(id, v) by cosine for queries(query_id, q), a set of stated size, after a filter."""
-    v = vectors if where is None else vectors.where(where)
-    j = v.crossJoin(F.broadcast(queries))  # a stated query set against all rows
-    s = j.select("query_id", "id", cosine("v", "q").alias("score"))
+    """SCR-2: (query_id, id, score, rank): the k nearest of vectors(id, v) by cosine for queries(query_id, q), after a filter.
+    QUERIES_SENT queries at a time go to all tasks, which keep the k best of each batch of rows; ties go to the smaller id.
+    Null and zero vectors, and those of another length than the query's, are near nothing."""
+    v = (vectors if where is None else vectors.where(where)).select("id", F.col("v").cast("array<double>").alias("v")).where("v is not null")
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).where("q is not null")
+    kinds = v.schema["id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+    schema, out = f"query_id {kinds[1]}, id {kinds[0]}, score double", None
+    blocks = -(-asked.count() // QUERIES_SENT)
+    for b in range(max(1, blocks)):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == b).toPandas()  # about QUERIES_SENT rows
+        by_length = {n: (g["query_id"].to_numpy(), np.stack(g["q"].to_list())) for n, g in part.groupby(part["q"].map(len)) if n}
+
+        def best(batches, by_length=by_length):
+            for df in batches:
+                size = df["v"].map(len)
+                for n, (who, q) in by_length.items():
+                    own = df[size == n]
+                    if own.empty:
+                        continue
+                    x, ids = np.stack(own["v"].to_list()), own["id"].to_numpy()
+                    norm = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]
+                    score = np.round(np.divide(x @ q.T, norm, out=np.full(norm.shape, -np.inf), where=norm > 0), 12)
+                    order = np.lexsort((np.broadcast_to(ids[:, None], score.shape), -score), axis=0)[:k]
+                    s = np.take_along_axis(score, order, 0)
+                    at, who_ = np.nonzero(np.isfinite(s))
+                    yield pd.DataFrame({"query_id": who[who_], "id": ids[order[at, who_]], "score": s[at, who_]})
+
+        got = v.mapInPandas(best, schema)
+        out = got if out is None else out.union(got)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def min_max(df: DataFrame, group: list[str], c: str = "score") -> DataFrame:
@@ -158,6 +206,38 @@ def pack(sections: DataFrame, budget: int) -> DataFrame:
     return sections.groupBy("query_id").applyInPandas(fill, sections.schema)
 
 
+def leading(items: DataFrame, budget: int, group: tuple[str, ...] = ("query_id",), order: str = "rank") -> DataFrame:
+    """CTX-6: items(content, tokens) of each group in order while they fit; the first that doesn't is cut to what is left,
+    with ... behind it, and the rest goes."""
+    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = items.withColumn("__before", F.sum("tokens").over(w) - F.col("tokens")).where(F.col("__before") < budget)
+    left = F.lit(budget) - F.col("__before")
+    part = F.concat(F.left("content", F.floor(F.length("content") * left / F.col("tokens")).cast("int")), F.lit("..."))
+    return d.withColumn("content", F.when(F.col("tokens") > left, part).otherwise(F.col("content"))).drop("__before")
+
+
+def merge_indices(results: list[DataFrame], k: int, multiplier: int = 2) -> DataFrame:
+    """SCR-4: the results of several indices together, by their raw scores, k * multiplier of each query."""
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "source", "content")
+    return out.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k * multiplier).drop("__r")
+
+
+def relevant(scored: DataFrame, threshold: float) -> DataFrame:
+    """FLT-9: rows whose score reaches the threshold; one that could not be scored counts as reaching it."""
+    return scored.where(F.coalesce("score", F.lit(threshold)) >= threshold)
+
+
+def section_type(index: Column) -> Column:
+    """PRJ-3: the kind of section that an index's name stands for."""
+    out = F.lit("GENERAL")
+    for prefix, kind in (("communit", "COMMUNITY"), ("report", "COMMUNITY"), ("claim", "CLAIM"), ("relationship", "RELATIONSHIP"), ("entit", "ENTITY"), ("text", "TEXT"), ("chunk", "TEXT")):
+        out = F.when(F.startswith(F.lower(index), F.lit(prefix)), kind).otherwise(out)
+    return out
+
+
 def context_quality(chosen: DataFrame, offered: DataFrame) -> DataFrame:
     """CTX-2: 0.7 of the priority covered and 0.3 of the types covered, at most 1."""
     c = chosen.groupBy("query_id").agg(F.sum("priority").alias("p"), F.countDistinct("type").alias("t"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import acronym, capitals, char_shingles, jaccard, meaningful_tokens, name_tokens, normalize_name, sequence_ratio
-from loomgraph.operators.graph import components
+from loomgraph.operators.graph import components, cut
 
 
 def minhash(shingles, k: int = 128) -> Column:
@@ -14,29 +14,65 @@ def minhash(shingles, k: int = 128) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(k)), lambda s: F.array_min(F.transform(shingles, lambda g: F.xxhash64(s, g))))
 
 
-def similar_pairs(df: DataFrame, id: str, shingles: Column, threshold: float, bands: int = 32, rows: int = 4) -> DataFrame:
-    """SIM-2, SIM-3, JN-9: (a, b, jaccard) with a < b, found by bands of minhashes and verified on the sets."""
-    s = df.select(F.col(id).alias("id"), shingles.alias("s"))
-    s = s.withColumn("m", minhash(F.col("s"), bands * rows))
-    bands_ = s.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("m", b * rows + 1, rows)))).alias("band", "h"))
-    p = bands_.alias("a").join(bands_.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")))
-    p = p.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    j = p.join(s.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of those of pairs(a, b) whose sets(id, s) are alike."""
+    j = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     return j.select("a", "b", jaccard("x", "y").alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def _met(bands: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Similar pairs of bands(id, band, h): each id with the least of its bucket first; those that aren't like it, with all in
+    the bucket. Two that are both like the least are joined by it, so a bucket of copies makes as many pairs as it has
+    members, every id with a smaller one like it has such a pair, and components are those of all pairs."""
+    least = bands.groupBy("band", "h").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = cut(bands.join(least, ["band", "h"]).where("a < id"))
+    first = later.select("a", F.col("id").alias("b")).distinct()
+    near = cut(_verified(first, sets, threshold))
+    rest = later.join(near.select("a", F.col("b").alias("id")), ["a", "id"], "left_anti").select("band", "h", F.col("id").alias("x"))
+    more = rest.join(bands, ["band", "h"]).where("x <> id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    return near.union(_verified(more.join(first, ["a", "b"], "left_anti"), sets, threshold))
+
+
+def _banded(df: DataFrame, id: str, shingles: Column, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    s = df.select(F.col(id).alias("id"), shingles.alias("s"))
+    m = s.select("id", minhash(F.col("s"), bands * rows).alias("m"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("m", b * rows + 1, rows)))
+    return s, cut(m.select("id", F.posexplode(each).alias("band", "h")))
+
+
+def similar_pairs(df: DataFrame, id: str, shingles: Column, threshold: float, bands: int = 32, rows: int = 4) -> DataFrame:
+    """SIM-2, SIM-3, JN-9: (a, b, jaccard) with a < b of all that share a band of minhashes, verified on the sets. Pairs of a
+    bucket are its output, so a group of N copies has N squared; to group or to drop copies, use linked_pairs."""
+    s, band = _banded(df, id, shingles, bands, rows)
+    p = band.alias("a").join(band.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")))
+    return _verified(p.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), s, threshold)
+
+
+def linked_pairs(df: DataFrame, id: str, shingles: Column, threshold: float, bands: int = 32, rows: int = 4) -> DataFrame:
+    """SIM-5: pairs (a, b, jaccard) that tell which names have a similar one, without all pairs of a group of copies."""
+    s, band = _banded(df, id, shingles, bands, rows)
+    return _met(band, s, threshold)
+
+
 def exact_pairs(df: DataFrame, id: str, shingles: Column, threshold: float) -> DataFrame:
-    """SIM-3, exactly: pairs that share one of the first tokens of their sets in one order. Empty sets are like nothing."""
-    s = df.select(F.col(id).alias("id"), F.array_sort(shingles).alias("s")).where(F.size("s") > 0)
-    first = s.select("id", F.explode(F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.size("s") * threshold) + 1).cast("int"))).alias("t"))
-    p = first.alias("a").join(first.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    j = p.join(s.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return j.select("a", "b", jaccard("x", "y").alias("jaccard")).where(F.col("jaccard") >= threshold)
+    """SIM-3, exactly: pairs that share one of the first tokens of their sets, rare tokens first. What follows the token in both
+    sets must still make up the overlap that their sizes need. Empty sets are like nothing."""
+    s = cut(df.select(F.col(id).alias("id"), shingles.alias("s")).where(F.size("s") > 0))
+    count = s.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").alias("c"))
+    ranked = s.select("id", F.size("s").alias("n"), F.explode("s").alias("t")).join(count, "t")
+    placed = ranked.withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy("c", "t")))
+    first = cut(placed.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("t", "id", "n", "p"))
+    a, b = first.select("t", F.col("id").alias("a"), F.col("n").alias("x"), F.col("p").alias("i")), first.select("t", F.col("id").alias("b"), F.col("n").alias("y"), F.col("p").alias("j"))
+    need = F.ceil((F.col("x") + F.col("y")) * (threshold / (1 + threshold)) - 1e-9)
+    fits = (F.least("x", "y") >= F.greatest("x", "y") * threshold - 1e-9) & (F.col("x") - F.col("i") + 1 >= need) & (F.col("y") - F.col("j") + 1 >= need)
+    p = a.join(b, "t").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    return _verified(p, s, threshold)
 
 
 def similar_documents(docs: DataFrame, id: str, text: str, threshold: float, n: int = 3, bins: int = 64, rows: int = 4) -> DataFrame:
     """SIM-2, SIM-8 for long texts: (a, b, jaccard) of sets of n-word shingles. Each shingle is hashed once and falls into
-    one of `bins` bins, whose least members make the signature: one aggregation instead of a hash for every seed."""
+    one of `bins` bins, whose least members make the signature: one aggregation instead of a hash for every seed. As in
+    linked_pairs, a group of copies has as many pairs as members."""
     w = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda x: x != "")
     d = docs.select(F.col(id).alias("id"), w.alias("w")).where(F.size("w") > 0)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, n)))
@@ -44,10 +80,7 @@ def similar_documents(docs: DataFrame, id: str, text: str, threshold: float, n:
     # explode_outer: for explode, the optimizer would infer a filter that computes the array's size from the text again.
     least = s.select("id", F.explode_outer("s").alias("h")).groupBy("id", F.pmod("h", F.lit(bins)).alias("bin")).agg(F.min("h").alias("h"))
     band = least.groupBy("id", F.floor(F.col("bin") / rows).alias("band")).agg(F.xxhash64(F.array_sort(F.collect_list("h"))).alias("h"))
-    p = band.alias("a").join(band.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")))
-    p = p.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    j = p.join(s.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return j.select("a", "b", jaccard("x", "y").alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return _met(cut(band), s, threshold)
 
 
 def groups(names: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -82,7 +115,7 @@ def resolve(entities: DataFrame, edges: DataFrame, threshold: float = 0.6):
     from loomgraph.operators.relational import merge_resolved_edges, merge_resolved_entities, remap_edges
 
     names = entities.select(normalize_name("name").alias("id")).distinct()
-    pairs = similar_pairs(names, "id", char_shingles(F.col("id")), threshold)
+    pairs = linked_pairs(names, "id", char_shingles(F.col("id")), threshold)
     of = groups(names, pairs).select(F.col("id").alias("norm"), F.col("component").alias("grp"))
     grouped = entities.withColumn("norm", normalize_name("name")).join(of, "norm").drop("norm")
     merged = merge_resolved_entities(grouped)

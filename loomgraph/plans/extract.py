@@ -10,57 +10,69 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.identity import content_hash, entity_id, relationship_id, stable_id
-from loomgraph.functions.text import estimate_tokens, normalize_name, words
-from loomgraph.operators.relational import merge_extracted_edges, merge_extracted_entities, report_body
+from loomgraph.functions.identity import content_hash, entity_id, relationship_id, stable_id, text_unit_id
+from loomgraph.functions.text import estimate_tokens, is_grounded, normalize_name, words
+from loomgraph.operators.relational import merge_extracted_edges, merge_extracted_entities, report_body, without_orphans
 
 
 def terms(units: DataFrame, least: int = 6) -> DataFrame:
-    """(document_id, number, term): distinct long words of each text unit."""
+    """(document_id, number, terms): the distinct long words of each text unit, in the order in which they first occur."""
     w = F.array_distinct(F.filter(words(F.col("text")), lambda x: (F.length(x) >= least) & x.rlike(r"^\p{L}+$")))
-    return units.select("document_id", "number", F.explode(w).alias("term"))
-
-
-def extract_graph(units: DataFrame, low: int = 2, high: int = 12, per_unit: int = 16) -> tuple[DataFrame, DataFrame]:
-    """LLM-1, offline: entities are long words that occur in low to high text units; two in one unit are related, with a
-    weight of the units that they share. At most per_unit entities of a unit, the rarest first, so that no unit makes
-    more than per_unit squared pairs."""
-    t = terms(units)
-    band = t.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(low, high))
-    t = t.join(band, "term")
-    w = Window.partitionBy("document_id", "number").orderBy("df", "term")
-    t = t.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_unit)
-    unit = stable_id(F.concat(F.lit("text_unit:"), F.col("document_id").cast("string"), F.lit(":"), F.col("number").cast("string")))
-    t = t.select("document_id", "number", "term", unit.alias("unit"), F.struct("document_id", "number").alias("ord"))
+    return units.select("document_id", "number", w.alias("terms"))
+
+
+def extract_graph(units: DataFrame, least: int = 6, reach: int = 4) -> tuple[DataFrame, DataFrame]:
+    """LLM-1, offline: every word of `least` letters or more is an entity; each is related to the next `reach` of its text unit,
+    so that a unit makes as many pairs as it has words, times reach. A unit is worked on alone, and the weight of a
+    relation counts the units that have it: extracting in parts and merging gives what extracting at once does."""
+    unit = text_unit_key("document_id", "number")
+    t = terms(units, least).select("document_id", "number", "terms", unit.alias("unit"), F.struct("document_id", "number").alias("ord"))
+    each = t.select("document_id", "number", "unit", "ord", F.explode("terms").alias("term"))
     name = normalize_name("term")
-    ents = t.select(entity_id(name).alias("id"), name.alias("name"), F.lit("TERM").alias("type"), F.lit("").alias("description"), F.array("unit").alias("text_unit_ids"), F.lit(1.0).alias("confidence"), "ord")
-    a, b = t.alias("a"), t.alias("b")
-    pair = a.join(b, (F.col("a.unit") == F.col("b.unit")) & (F.col("a.term") < F.col("b.term")))
-    s, d = normalize_name(F.col("a.term")), normalize_name(F.col("b.term"))
-    edges = pair.select(relationship_id(s, d, F.lit("related")).alias("id"), entity_id(s).alias("source_id"), entity_id(d).alias("target_id"), F.lit("RELATED").alias("type"), F.lit(1.0).alias("weight"), F.lit("").alias("description"), F.array("a.unit").alias("text_unit_ids"), F.col("a.ord").alias("ord"))
-    return merge_extracted_entities(ents), merge_extracted_edges(edges)
+    ents = each.select(entity_id(name).alias("id"), name.alias("name"), F.lit("TERM").alias("type"), F.lit("").alias("description"), F.array("unit").alias("text_unit_ids"), F.lit(1.0).alias("confidence"), "ord")
+    after = lambda d: F.zip_with(F.slice("terms", F.lit(1), F.greatest(F.size("terms") - d, F.lit(0))), F.slice("terms", d + 1, F.size("terms")), lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))
+    pairs = F.array_distinct(F.flatten(F.array(*[after(d) for d in range(1, reach + 1)])))
+    pair = t.select("unit", "ord", F.explode(pairs).alias("p"))
+    s, d = normalize_name(F.col("p.a")), normalize_name(F.col("p.b"))
+    edges = pair.select(relationship_id(s, d, F.lit("related")).alias("id"), entity_id(s).alias("source_id"), entity_id(d).alias("target_id"), F.lit("RELATED").alias("type"), F.lit(1.0).alias("weight"), F.lit("").alias("description"), F.array("unit").alias("text_unit_ids"), "ord")
+    return merge_extracted_entities(ents), merge_extracted_edges(edges.where("source_id <> target_id"))
+
 
+def text_unit_key(document: str, number: str):
+    """The id of a text unit that stands in text_unit_ids."""
+    return text_unit_id(F.col(document).cast("string"), F.col(number))
 
-def glean(units: DataFrame, entities: DataFrame, edges: DataFrame, rounds: int = 3, least_gain: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """LLM-2, offline: further passes with wider bands, until one adds fewer than least_gain of what there is."""
+
+def glean(units: DataFrame, entities: DataFrame, edges: DataFrame, rounds: int = 3, least_gain: float = 0.05, least: int = 6) -> tuple[DataFrame, DataFrame]:
+    """LLM-2, offline: further passes that take words of a letter less each, until one adds fewer than least_gain of what there is.
+    FLT-7b: what a pass adds must be grounded in one of its text units."""
     n = entities.count()
     for i in range(1, rounds + 1):
-        e, r = extract_graph(units, 2, 12 * 2**i)
+        e, r = extract_graph(units, least - i)
+        e = grounded(e, units)
         m = e.count()
-        entities, edges = e, r
+        entities, edges = e, without_orphans(r, e)
         if n and (m - n) / n < least_gain:
             break
         n = m
     return entities, edges
 
 
+def grounded(entities: DataFrame, units: DataFrame) -> DataFrame:
+    """FLT-7, FLT-7b: entities whose name is grounded in a text unit that they are said to come from."""
+    of = entities.select("id", "name", F.explode("text_unit_ids").alias("unit"))
+    j = of.join(units.select(text_unit_key("document_id", "number").alias("unit"), F.lower("text").alias("text")), "unit")
+    ok = j.where(is_grounded(F.lower("name"), F.col("text")) & F.contains("text", F.lower("name"))).select("id").distinct()
+    return entities.join(ok, "id", "left_semi")
+
+
 def extract_claims(units: DataFrame, entities: DataFrame) -> DataFrame:
     """LLM-3, offline: where two known names stand in one sentence, the first is the subject and the second the object."""
     s = units.select("document_id", "number", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("i", "sentence"))
     w = s.select("document_id", "number", "i", "sentence", F.posexplode(words(F.col("sentence"))).alias("p", "w"))
     hit = w.join(entities.select(F.col("name").alias("w"), F.col("id").alias("e")), "w")
     per = hit.groupBy("document_id", "number", "i", "sentence").agg(F.array_sort(F.collect_list(F.struct("p", "e"))).alias("h")).where(F.size("h") >= 2)
-    return per.select(stable_id(F.concat_ws(":", F.lit("claim"), F.col("h")[0]["e"], F.col("h")[1]["e"])).alias("id"), F.col("h")[0]["e"].alias("subject_id"), F.col("h")[1]["e"].alias("object_id"), F.lit("statement").alias("type"), F.lit("unknown").alias("status"), F.col("sentence").alias("description"), F.struct("document_id", "number", "i").alias("ord"))
+    return per.select(stable_id(F.concat_ws(":", F.lit("claim"), F.col("h")[0]["e"], F.col("h")[1]["e"])).alias("id"), F.col("h")[0]["e"].alias("subject_id"), F.col("h")[1]["e"].alias("object_id"), F.lit("statement").alias("type"), F.lit("unknown").alias("status"), F.col("sentence").alias("description"), F.array(text_unit_key("document_id", "number")).alias("text_unit_ids"), F.struct("document_id", "number", "i").alias("ord"))
 
 
 def summarise(df: DataFrame, c: str = "description", above: int = 600, most: int = 256) -> DataFrame:
@@ -84,25 +96,16 @@ def reports(records: DataFrame, labels: DataFrame, entities: DataFrame, top: int
 
 
 def embed(df: DataFrame, text: str, dimension: int = 256) -> DataFrame:
-    """EMB-1, VIS-1, offline: hashed word counts of unit length, computed once for each distinct text."""
-    d = df.withColumn("__h", content_hash(F.col(text), 64))
+    """EMB-1, VIS-1, offline: hashed word counts of unit length in a column embedding, computed once for each distinct text,
+    in the JVM. Null and empty texts have a vector of zeros."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zlib
-
-        for x in batches:
-            out = []
-            for t in x["t"]:
-                v = [0.0] * dimension
-                for w in (t or "").lower().split():
-                    h = zlib.crc32(w.encode())
-                    v[h % dimension] += 1.0 if h & 0x10000 else -1.0
-                n = sum(y * y for y in v) ** 0.5 or 1.0
-                out.append([y / n for y in v])
-            yield pd.DataFrame({"__h": x["__h"], "embedding": out})
-
-    own = d.select("__h", F.col(text).alias("t")).dropDuplicates(["__h"]).mapInPandas(run, "__h string, embedding array<float>")
-    return d.join(own, "__h").drop("__h")
+    d = df.withColumn("__h", content_hash(F.coalesce(F.col(text), F.lit("")), 64))
+    own = d.select("__h", words(F.coalesce(F.col(text), F.lit(""))).alias("__w")).dropDuplicates(["__h"])
+    counted = HashingTF(numFeatures=dimension, inputCol="__w", outputCol="__c").transform(own)
+    unit = Normalizer(p=2.0, inputCol="__c", outputCol="__u").transform(counted)
+    return d.join(unit.select("__h", vector_to_array("__u").alias("embedding")), "__h").drop("__h")
 
 
 def answer(context: DataFrame) -> DataFrame:
@@ -143,14 +146,74 @@ def robust(call: Callable[[list[str]], list[str]], tries: int = 3) -> Callable[[
     return run
 
 
+def translate(units: DataFrame, lexicon: dict[str, str] | None = None, source: str = "auto", target: str = "same") -> DataFrame:
+    """LLM-5, offline: words of the text replaced by a lexicon's, as whole words in lower case; as they are when the target is
+    the source or there is no lexicon, which is the operator's rule for equal languages."""
+    if not lexicon or source == target:
+        return units
+    table = F.create_map(*[F.lit(x) for kv in sorted(lexicon.items()) for x in kv])
+    each = F.transform(F.split("text", r"(?<=\s)|(?=\s)"), lambda x: F.coalesce(F.try_element_at(table, F.lower(x)), x))
+    return units.withColumn("text", F.array_join(each, ""))
+
+
+def relevance_of(reports_: DataFrame, queries: DataFrame) -> DataFrame:
+    """LLM-10, offline: (query_id, id, score 0..10): the share of the query's words that a report has, times ten."""
+    q = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("q"))
+    hit = q.select("query_id", F.size("q").alias("n"), F.explode("q").alias("w")).join(reports_.select("id", F.explode(F.array_distinct(words(F.col("full_content")))).alias("w")), "w")
+    return hit.groupBy("query_id", "id", "n").agg((10.0 * F.count("*") / F.col("n")).alias("score")).select("query_id", "id", "score")
+
+
+def with_history(queries: DataFrame, messages: DataFrame, last: int = 3) -> DataFrame:
+    """LLM-14, offline: queries(query_id, conv_id, query) with the last user messages of their conversation before them."""
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    m = messages.where("role = 'user'").withColumn("r", F.row_number().over(w)).where(F.col("r") <= last)
+    m = m.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("said"))
+    return queries.join(m, "conv_id", "left").select("query_id", F.concat_ws(" ", "said", "query").alias("query"))
+
+
+#: LLM-19: what a model would be asked, by use; {names} are filled in by prompt().
+PROMPTS = {
+    "extract": "List the entities of the text and how they are related.\n\n{text}",
+    "glean": "Which entities does the list lack?\n\nText: {text}\n\nList: {found}",
+    "claims": "List the claims that the text makes about {names}.\n\n{text}",
+    "summarise": "Say in at most {most} tokens what these descriptions say.\n\n{text}",
+    "report": "Write a report on this group of entities.\n\n{members}",
+    "translate": "Translate from {source} into {target}.\n\n{text}",
+    "route": "Which of {strategies} answers the question best?\n\n{query}",
+    "keywords": "List the broad and the narrow keywords of the question.\n\n{query}",
+    "relevance": "How relevant is the report to the question, from 0 to 10?\n\n{query}\n\n{report}",
+    "points": "List the points of the reports that bear on the question, each with a score from 0 to 100.\n\n{query}\n\n{report}",
+    "refine": "What should be asked next, given what is known?\n\n{query}\n\n{context}",
+    "answer": "Answer from the context alone.\n\n{context}\n\n{query}",
+    "judge": "How well does the answer agree with the truth, from 0 to 1?\n\n{answer}\n\n{truth}",
+}
+
+
+def prompt(name: str, own: dict[str, str] | None = None, **columns) -> F.Column:
+    """LLM-19, EXT-7: the prompt of that name, or one's own of the same name, with columns filled in for the names in braces."""
+    import re
+
+    text = (own or {}).get(name, PROMPTS[name])
+    parts = re.split(r"\{(\w+)\}", text)
+    if missing := set(parts[1::2]) - set(columns):
+        raise ValueError(f"{name}: no column for {sorted(missing)}")
+    return F.concat(*[F.coalesce(columns[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
 @dataclass
 class Models:
-    """EXT-5, EXT-6: what a model may take over; the defaults are the functions above."""
+    """EXT-5, EXT-6: what a model may take over; the defaults are the functions above. prompts: own texts in place of PROMPTS."""
 
     extract: Callable = extract_graph
+    glean: Callable = glean
     claims: Callable = extract_claims
+    summarise: Callable = summarise
     report: Callable = reports
     embed: Callable = embed
+    relevance: Callable = relevance_of
     answer: Callable = answer
-    translate: Callable = field(default=lambda df: df)  # LLM-5, offline: texts stay as they are
-    prompts: dict[str, str] = field(default_factory=dict)  # LLM-19, EXT-7
+    translate: Callable = translate
+    prompts: dict[str, str] = field(default_factory=dict)
+
+    def prompt(self, name: str, **columns) -> F.Column:
+        return prompt(name, self.prompts, **columns)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import words
 from loomgraph.operators import retrieval as R
-from loomgraph.operators.graph import k_hop
-from loomgraph.operators.relational import cited_chunks, top_per, uncommon
+from loomgraph.operators.graph import cut, k_hop
+from loomgraph.operators.relational import top_per, uncommon
 
 STRATEGIES: dict[str, Callable] = {}
 
@@ -28,21 +28,69 @@ def strategy(name: str):
     return add
 
 
-def lexical(table: DataFrame, queries: DataFrame, text: str, bucket: str, n: int = 20, id: str = "id") -> DataFrame:
-    """SCR-1 on one table, as results(query_id, bucket, source, content, score, id)."""
+#: Weights of words and of vectors in a search (SCR-3).
+BOTH = (0.5, 0.5)
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
+
+
+def _among(scored: DataFrame, only: DataFrame | None) -> DataFrame:
+    """Of scored(query_id, id, score), what only(query_id, id) names for the same query."""
+    return scored if only is None else scored.join(only.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi")
+
+
+def _results(best: DataFrame, table: DataFrame, bucket: str) -> DataFrame:
+    """results(query_id, bucket, source, content, score, id) of best(query_id, id, score) over table(id, content)."""
+    j = best.join(table, "id")
+    return j.select("query_id", F.lit(bucket).alias("bucket"), F.concat(F.lit(bucket + ":"), F.col("id").cast("string")).alias("source"), "content", "score", F.col("id").cast("string").alias("id"))
+
+
+def lexical(table: DataFrame, queries: DataFrame, text: str, bucket: str, n: int = 20, id: str = "id", only: DataFrame | None = None) -> DataFrame:
+    """SCR-1 on one table. only: the rows that each query may find; weights of words are those of the whole table."""
     t = table.select(F.col(id).alias("id"), F.col(text).alias("content"))
-    index = R.postings(t, "id", "content")
+    hit = _among(_bm25(t, queries), only)
+    return _results(top_per(hit, ["query_id"], [F.desc("score"), F.col("id")], n), t, bucket)
+
+
+def _bm25(t: DataFrame, queries: DataFrame) -> DataFrame:
+    asked = _asked(queries)
     lens = t.select(F.col("id").alias("doc"), F.size(words(F.col("content"))).alias("len"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    hit = R.bm25(index, lens, asked)
-    best = top_per(hit, ["query_id"], [F.desc("score"), F.col("doc")], n)
-    return best.join(t, best.doc == t.id).select("query_id", F.lit(bucket).alias("bucket"), F.concat(F.lit(bucket + ":"), F.col("id").cast("string")).alias("source"), "content", "score", F.col("id").cast("string").alias("id"))
+    return R.bm25(R.postings(t, "id", "content", asked), lens, asked).select("query_id", F.col("doc").alias("id"), "score")
+
+
+def found(e, kind: str, table: DataFrame, queries: DataFrame, text: str, bucket: str, n: int = 20, only: DataFrame | None = None) -> DataFrame:
+    """SCR-3 on one table: words and vectors, each scaled for each query, weighted and summed. Without vectors, words alone."""
+    vectors = e.vectors(kind)
+    t = table.select("id", F.col(text).alias("content"))
+    if vectors is None:
+        return lexical(table, queries, text, bucket, n, only=only)
+    asked = e.models.embed(queries.select("query_id", "query"), "query").select("query_id", F.col("embedding").alias("q"))
+    if only is None:
+        near = R.knn(vectors.select("id", F.col("embedding").alias("v")), asked, 4 * n)
+    else:  # the rows of each query, whatever others ask for
+        near = only.select("query_id", "id").distinct().join(vectors, "id").join(asked, "query_id").select("query_id", "id", R.cosine("embedding", "q").alias("score"))
+        near = top_per(near.where("score is not null"), ["query_id"], [F.desc("score"), F.col("id")], 4 * n)
+    near = near.where("score > 0").select("query_id", "id", "score")
+    said = top_per(_among(_bm25(t, queries), only), ["query_id"], [F.desc("score"), F.col("id")], 4 * n).select("query_id", "id", "score")
+    both = R.hybrid(said, near, BOTH)
+    return _results(top_per(both, ["query_id"], [F.desc("score"), F.col("id")], n), t, bucket)
+
+
+def _claims(e, queries: DataFrame, n: int, only: DataFrame | None = None) -> list[DataFrame]:
+    """FLT-10: the claims, where they are extracted; else nothing is searched."""
+    return [lexical(e.claims, queries, "description", "claims", n, only=only)] if e.has_claims else []
 
 
 @strategy("simple")
 def simple(e, queries: DataFrame, n: int) -> list[DataFrame]:
-    """QRY-1: all tables by words."""
-    return [lexical(e.text_units, queries, "text", "text", n), lexical(e.entities, queries, "name", "entity", n), lexical(e.reports, queries, "full_content", "community", n)]
+    """QRY-1, SCR-4: all tables by words and vectors, the best of each together."""
+    each = [
+        found(e, "text_units", e.text_units, queries, "text", "text", n), found(e, "entities", e.entities, queries, "name", "entity", n),
+        found(e, "reports", e.reports, queries, "full_content", "community", n), *_claims(e, queries, n),
+    ]
+    return [R.merge_indices(each, n)]
 
 
 @strategy("naive")
@@ -51,47 +99,96 @@ def naive(e, queries: DataFrame, n: int) -> list[DataFrame]:
     return [lexical(e.text_units, queries, "text", "chunks", n)]
 
 
-def _expanded(e, found: DataFrame, bucket: str, hops: int = 2) -> DataFrame:
-    """Graph neighbours of the entities found, for all queries together, nearer ones first."""
-    edges = e.edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "weight")
-    near = k_hop(edges, found.select("id").distinct(), hops)
-    asked = found.select("query_id").distinct()
-    hit = near.join(e.entities.select("id", "name", "text_unit_ids"), "id").crossJoin(F.broadcast(asked))  # a stated query set
+def _graph(e) -> DataFrame:
+    return e.edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "weight")
+
+
+def _expanded(e, seeds: DataFrame, bucket: str, hops: int = 2) -> DataFrame:
+    """Graph neighbours of each query's own seeds(query_id, id), nearer ones first."""
+    near = k_hop(_graph(e), seeds, hops, by=("query_id",))
+    hit = near.join(e.entities.select("id", "name"), "id")
     return hit.select("query_id", F.lit(bucket).alias("bucket"), F.concat(F.lit("entity:"), F.col("id")).alias("source"), F.col("name").alias("content"), R.graph_relevance(F.lit(None).cast("double"), F.col("hop") + 1, F.lit(0.0), F.lit(0.0)).alias("score"), "id")
 
 
+def _units_of(e, entities: DataFrame) -> DataFrame:
+    """(query_id, id) of the text units of each query's entities(query_id, id), without common ones (FLT-8)."""
+    rare = uncommon(e.entities.select("id", "text_unit_ids"))
+    return entities.select("query_id", "id").distinct().join(rare, "id").select("query_id", F.explode("text_unit_ids").alias("id")).distinct()
+
+
 @strategy("local")
 def local(e, queries: DataFrame, n: int) -> list[DataFrame]:
-    """QRY-2: entities of the query, their neighbours, and the text units that these come from."""
-    ents = lexical(e.entities, queries, "name", "entities", n)
-    around = _expanded(e, ents, "graph_entities")
-    units = uncommon(e.entities.join(around.select("id").distinct(), "id", "left_semi")).select(F.explode("text_unit_ids").alias("id")).distinct()
-    return [ents, around, lexical(e.text_units.join(units, "id", "left_semi"), queries, "text", "text_units", n), lexical(e.reports, queries, "full_content", "community_reports", n)]
+    """QRY-2: entities of the query, their neighbours, the text units that these come from, reports, the relations and the claims
+    that the entities have."""
+    ents = cut(found(e, "entities", e.entities, queries, "name", "entities", n))
+    around = cut(_expanded(e, ents, "graph_entities"))
+    units = _units_of(e, ents.select("query_id", "id").union(around.select("query_id", "id")))
+    touching = e.edges.select(F.col("id").alias("edge"), F.explode(F.array("source_id", "target_id")).alias("id")).join(ents.select("query_id", "id"), "id").select("query_id", F.col("edge").alias("id")).distinct()
+    claims = []
+    if e.has_claims:
+        about = e.claims.select(F.col("id").alias("claim"), F.explode(F.array("subject_id", "object_id")).alias("id")).join(ents.select("query_id", "id"), "id").select("query_id", F.col("claim").alias("id")).distinct()
+        claims = _claims(e, queries, n, about)
+    return [
+        ents, around, found(e, "text_units", e.text_units, queries, "text", "text_units", n, units), found(e, "reports", e.reports, queries, "full_content", "community_reports", n),
+        lexical(e.relation_names, queries, "name", "relationships", n, only=touching), *claims,
+    ]
 
 
 @strategy("global")
-def global_(e, queries: DataFrame, n: int) -> list[DataFrame]:
-    """QRY-3: reports of the query, the best by rank, and the text units of their communities."""
-    rep = lexical(e.reports, queries, "full_content", "reports", n)
-    top = e.reports.join(rep.select("id").distinct(), "id", "left_semi").orderBy(F.desc("rank"), F.desc("rating"), "id").limit(n)
-    units = e.labels.join(top.select(F.col("community_id").alias("community")), "community", "left_semi").join(e.entities.select("id", F.explode("text_unit_ids").alias("u")), "id").select(F.col("u").alias("id")).distinct()
-    return [rep, lexical(e.text_units.join(units, "id", "left_semi"), queries, "text", "text_units", n)]
+def global_(e, queries: DataFrame, n: int, threshold: float = 1.0) -> list[DataFrame]:
+    """QRY-3: reports of the query (candidates); communities that the graph links them with, and their reports (JN-14); of both,
+    those whose relevance reaches the threshold (LLM-10, FLT-9); the text units of their communities; and, of three
+    reports or more, the points that bear on the query."""
+    candidates = found(e, "reports", e.reports, queries, "full_content", "reports", n)
+    of = e.reports.select("id", "community_id")
+    members = e.labels.select(F.col("id").alias("entity"), F.col("community").alias("community_id"))
+    inside = candidates.select("query_id", "id").join(of, "id").join(members, "community_id").select("query_id", F.col("entity").alias("id"))
+    near = k_hop(_graph(e), inside, 1, by=("query_id",)).select("query_id", F.col("id").alias("entity"))
+    further = near.join(members, "entity").join(of, "community_id").select("query_id", "id").distinct()
+    pool = cut(candidates.select("query_id", "id").union(further).distinct())
+    scored = pool.join(e.models.relevance(e.reports, queries), ["query_id", "id"], "left")
+    kept = cut(R.relevant(scored.withColumn("score", F.coalesce("score", F.lit(0.0))), threshold))
+    rep = _results(top_per(kept, ["query_id"], [F.desc("score"), F.col("id")], n).select("query_id", "id", "score"), e.reports.select("id", F.col("full_content").alias("content")), "reports")
+    units = rep.select("query_id", "id").join(of, "id").join(members, "community_id").select("query_id", F.col("entity").alias("id"))
+    rare = units.distinct().join(e.entities.select("id", "text_unit_ids"), "id").select("query_id", F.explode("text_unit_ids").alias("id")).distinct()
+    return [rep, found(e, "text_units", e.text_units, queries, "text", "text_units", n, rare), _points(rep, queries, n)]
+
+
+def _points(rep: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """The map step: lines of the reports with words of the query, scored 0 to 100 by their share; the reduce step: the best of
+    each query that has three reports or more."""
+    enough = rep.groupBy("query_id").agg(F.count("*").alias("n")).where("n >= 3").select("query_id")
+    line = rep.join(enough, "query_id", "left_semi").select("query_id", "id", F.posexplode(F.split("content", r"\n+")).alias("place", "line"))
+    q = F.array_distinct(words(F.col("query")))
+    score = F.floor(100.0 * F.size(F.array_intersect(q, words(F.col("line")))) / F.greatest(F.size(q), F.lit(1))).cast("double")
+    got = line.join(queries, "query_id").withColumn("score", score).where("score > 0")
+    best = top_per(got, ["query_id"], [F.desc("score"), F.col("id"), F.col("place")], n)
+    return best.select("query_id", F.lit("points").alias("bucket"), F.concat_ws(":", F.lit("point"), "id", F.col("place").cast("string")).alias("source"), F.col("line").alias("content"), "score", F.col("id").cast("string").alias("id"))
 
 
 @strategy("drift")
-def drift(e, queries: DataFrame, n: int, rounds: int = 3) -> list[DataFrame]:
-    """QRY-4: reports as a start, then rounds of searching with a query that the last results' commonest words extend,
-    keeping what is new; stops when a round finds fewer than two."""
-    out = lexical(e.reports, queries, "full_content", "results", 5)
-    asked = queries
+def drift(e, queries: DataFrame, n: int, rounds: int = 3, least_gain: int = 2) -> list[DataFrame]:
+    """QRY-4, LLM-12: reports as a primer, then rounds of searching with a query that the last results' commonest words extend
+    and with the text units of the entities near it, keeping what is new. A query ends when two rounds running gain fewer
+    than least_gain (WIN-6)."""
+    out = cut(found(e, "reports", e.reports, queries, "full_content", "results", 5))
+    asked, before = queries, None
     for i in range(rounds):
-        got = lexical(e.text_units, asked, "text", "results", n).join(out.select("query_id", "source"), ["query_id", "source"], "left_anti")
+        ents = found(e, "entities", e.entities, asked, "name", "results", 5)
+        units = _units_of(e, ents.select("query_id", "id").union(k_hop(_graph(e), ents, 1, 10, by=("query_id",)).select("query_id", "id")))
+        near = found(e, "text_units", e.text_units, asked, "text", "results", n, units)
+        got = lexical(e.text_units, asked, "text", "results", n).union(near).groupBy("query_id", "bucket", "source", "content", "id").agg(F.max("score").alias("score"))
+        got = cut(got.select(out.columns).join(out.select("query_id", "source"), ["query_id", "source"], "left_anti"))
+        out = cut(out.union(got.withColumn("score", F.col("score") / (i + 1))))
+        gains = asked.select("query_id").join(got.groupBy("query_id").agg(F.count("*").alias("now")), "query_id", "left").select("query_id", F.coalesce("now", F.lit(0)).alias("now"))
+        both = gains.withColumn("was", F.lit(least_gain)) if before is None else gains.join(before, "query_id")
+        ended = both.where((F.col("now") < least_gain) & (F.col("was") < least_gain)).select("query_id")
         w = got.select("query_id", F.explode(F.array_distinct(F.filter(words(F.col("content")), lambda x: F.length(x) > 5))).alias("w")).groupBy("query_id", "w").agg(F.count("*").alias("c"))
         more = top_per(w, ["query_id"], [F.desc("c"), F.col("w")], 5).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("w")), " ").alias("more"))
-        if got.limit(2).count() < 2:
+        before = cut(gains.withColumnRenamed("now", "was"))
+        asked = cut(queries.join(ended, "query_id", "left_anti").join(asked.select("query_id"), "query_id", "left_semi").join(more, "query_id", "left").select("query_id", F.concat_ws(" ", "query", "more").alias("query")))
+        if asked.isEmpty():
             break
-        out = out.union(got.withColumn("score", F.col("score") / (i + 1)))
-        asked = queries.join(more, "query_id", "left").select("query_id", F.concat_ws(" ", "query", "more").alias("query"))
     return [out]
 
 
@@ -105,21 +202,23 @@ def keyword_split(queries: DataFrame) -> DataFrame:
 
 @strategy("hybrid")
 def hybrid(e, queries: DataFrame, n: int) -> list[DataFrame]:
-    """QRY-7: entities by the low keywords, relations by the high ones, and the graph around both."""
+    """QRY-7: entities by the low keywords, relations by the high ones, and the graph around both (SET-6: entities first, then
+    the ends of relations)."""
     k = keyword_split(queries)
-    ents = lexical(e.entities, k.select("query_id", F.concat_ws(" ", "low", "high").alias("query")), "name", "entities", n)
-    rels = lexical(e.relation_names, k.select("query_id", F.concat_ws(" ", "high", "low").alias("query")), "name", "relationships", n)
+    ents = cut(found(e, "entities", e.entities, k.select("query_id", F.concat_ws(" ", "low", "high").alias("query")), "name", "entities", n))
+    rels = cut(lexical(e.relation_names, k.select("query_id", F.concat_ws(" ", "high", "low").alias("query")), "name", "relationships", n))
     ends = rels.select("query_id", "id").join(e.edges.select("id", F.explode(F.array("source_id", "target_id")).alias("end")), "id").select("query_id", F.col("end").alias("id"))
     return [ents, rels, _expanded(e, ents.select("query_id", "id").union(ends), "graph_entities", 1)]
 
 
 @strategy("mix")
 def mix(e, queries: DataFrame, n: int) -> list[DataFrame]:
-    """QRY-8: hybrid, the text units that its entities cite most, and text units by words."""
+    """QRY-8: hybrid, the text units that each query's entities cite most (AGG-21), and text units by words."""
     parts = hybrid(e, queries, n)
-    items = e.entities.join(parts[0].select("id").distinct(), "id", "left_semi").select(F.col("id").alias("ord"), "text_unit_ids")
-    cited = cited_chunks(items, n).join(e.text_units.select(F.col("id").alias("unit"), "text"), "unit").crossJoin(F.broadcast(queries.select("query_id")))  # a stated query set
-    linked = cited.select("query_id", F.lit("linked_chunks").alias("bucket"), F.concat(F.lit("text:"), F.col("unit")).alias("source"), F.col("text").alias("content"), F.col("citations").cast("double").alias("score"), F.col("unit").alias("id"))
+    items = parts[0].select("query_id", "id").join(e.entities.select("id", F.posexplode("text_unit_ids").alias("place", "unit")), "id")
+    cited = items.groupBy("query_id", "unit").agg(F.count("*").alias("citations"), F.min(F.struct("id", "place")).alias("first"))
+    best = top_per(cited, ["query_id"], [F.desc("citations"), F.col("first"), F.col("unit")], n).select("query_id", F.col("unit").alias("id"), F.col("citations").cast("double").alias("score"))
+    linked = _results(best, e.text_units.select("id", F.col("text").alias("content")), "linked_chunks")
     return [*parts, linked, *naive(e, queries, n)]
 
 

@@ -39,11 +39,12 @@ def query(sql: str | None = None):
 WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+')"
 ASKED = [("a", "the nation of children and their station"), ("b", "therein lies another reason for attention"), ("c", "der die das und nicht")]
 ASKED_SQL = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{q}')" for i, q in ASKED) + ") AS v(query_id, query))"
-TERMS_SQL = r"""t AS (SELECT DISTINCT doc_id, x AS term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+')) AS x FROM documents) WHERE regexp_full_match(x, '\p{L}{9,}')),
- band AS (SELECT term FROM t GROUP BY term HAVING count(*) BETWEEN 3 AND 12),
- k AS (SELECT doc_id, term FROM t SEMI JOIN band USING (term)),
- g AS (SELECT a.term AS src, b.term AS dst, count(*)::DOUBLE AS weight FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY ALL HAVING count(*) >= 2),
- v AS (SELECT DISTINCT unnest([src, dst]) AS id FROM g),
+#: Names: words of 12 letters or more; each is linked with the next one of its document.
+TERMS_SQL = r"""x AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+')) AS term, generate_subscripts(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+'), 1) AS i FROM documents),
+ t AS (SELECT doc_id, term, i FROM x WHERE regexp_full_match(term, '\p{L}{12,}')),
+ l AS (SELECT term, lead(term) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM t),
+ g AS (SELECT least(term, next) AS src, greatest(term, next) AS dst, count(*)::DOUBLE AS weight FROM l WHERE next IS NOT NULL AND term <> next GROUP BY ALL),
+ v AS (SELECT DISTINCT term AS id FROM t),
  w AS (SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g)"""
 
 
@@ -51,20 +52,22 @@ def asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ASKED, "query_id string, query string")
 
 
-def doc_terms(spark: SparkSession, d: str) -> DataFrame:
-    w = F.array_distinct(F.filter(T.words(F.coalesce("text", F.lit(""))), lambda x: x.rlike(r"^\p{L}{9,}$")))
-    t = table(spark, d, "documents").select("doc_id", F.explode(w).alias("term"))
-    return t.join(t.groupBy("term").count().where(F.col("count").between(3, 12)).select("term"), "term", "left_semi")
+def _long_words(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.filter(T.words(F.coalesce("text", F.lit(""))), lambda x: x.rlike(r"^\p{L}{12,}$")).alias("ts"))
+
+
+def names(spark: SparkSession, d: str) -> DataFrame:
+    """(id): all names of the documents."""
+    return _long_words(spark, d).select(F.explode("ts").alias("id")).distinct()
 
 
 def term_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Long words that share documents: a graph that SQL can build too."""
-    k = doc_terms(spark, d)
-    a, b = k.alias("a"), k.alias("b")
-    e = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.term") < F.col("b.term")))
-    e = e.groupBy(F.col("a.term").alias("src"), F.col("b.term").alias("dst")).agg(F.count("*").cast("double").alias("weight")).where("weight >= 2")
-    e = G.cut(e)
-    return e, e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    """Names, linked with the next one of their document: a graph of the whole table that SQL can build too."""
+    t = _long_words(spark, d)
+    n = F.greatest(F.size("ts") - 1, F.lit(0))
+    each = t.select(F.explode(F.zip_with(F.slice("ts", F.lit(1), n), F.slice("ts", F.lit(2), n), lambda x, y: F.struct(x.alias("src"), y.alias("dst")))).alias("p"))
+    e = G.cut(G.simple(each.select("p.src", "p.dst", F.lit(1.0).alias("weight"))))
+    return e, G.cut(names(spark, d))
 
 
 # --- retrieval --------------------------------------------------------------------------------------------------------
@@ -113,11 +116,11 @@ def search_fused(spark, d):
 
 
 @query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{M}\p{N}_]+')) AS term FROM documents)
-SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 20""")
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term""")
 def inverted_index(spark, d):
     """SCR-1: terms of the index with document and collection frequency."""
     p = R.postings(table(spark, d, "documents"), "doc_id", "text")
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where("df >= 20")
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query()
@@ -467,14 +470,16 @@ def token_estimates(spark, d):
     return table(spark, d, "documents").select("doc_id", T.estimate_tokens("text").cast("long").alias("tokens"))
 
 
-@query(r"""WITH p AS (SELECT item_id, doc_id, trim(regexp_replace(lower(b.text), '\s+', ' ', 'g')) AS s, trim(regexp_replace(lower(d.text), '\s+', ' ', 'g')) AS c FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id),
- w AS (SELECT *, list_filter(string_split(s, ' '), lambda x: x <> '') AS sw, string_split(c, ' ') AS cw FROM p)
-SELECT item_id, doc_id, s = '' OR c = '' OR len(sw) < 4 OR contains(c, s) OR len(list_filter(sw, lambda x: list_contains(cw, x)))::DOUBLE / greatest(len(sw), 1) >= 0.6 AS grounded FROM w""")
+@query(r"""WITH b AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS s FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS c FROM documents WHERE text IS NOT NULL),
+ bw AS (SELECT item_id, s, list_filter(string_split(s, ' '), lambda x: x <> '') AS sw FROM b), dw AS (SELECT doc_id, c, list_distinct(string_split(c, ' ')) AS cw FROM d),
+ bt AS (SELECT item_id, unnest(sw) AS t FROM bw), dt AS (SELECT doc_id, unnest(cw) AS t FROM dw), n AS (SELECT item_id, doc_id, count(*) AS n FROM bt JOIN dt USING (t) GROUP BY ALL)
+SELECT item_id, doc_id FROM bw JOIN n USING (item_id) JOIN dw USING (doc_id) WHERE len(sw) >= 4 AND s <> '' AND c <> '' AND (n::DOUBLE / len(sw) >= 0.6 OR contains(c, s))""")
 def grounding(spark, d):
-    """STR-2, STR-5, FLT-7."""
-    j = table(spark, d, "benchmark").alias("b").join(table(spark, d, "documents").alias("d"), F.col("d.doc_id") % 40 == F.col("b.item_id"))
+    """STR-2, STR-5, FLT-7: which spans of four words or more are grounded in which documents, all against all, by the words in
+    common."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    return j.select("item_id", "doc_id", T.is_grounded(plain(F.col("b.text")), plain(F.col("d.text"))).alias("grounded"))
+    spans = table(spark, d, "benchmark").select("item_id", plain("text").alias("span"))
+    return RL.grounded_pairs(spans, table(spark, d, "documents").select("doc_id", plain("text").alias("chunk"))).select("item_id", "doc_id")
 
 
 @query(r"""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_name), '[\p{L}\p{M}\p{N}_]+'), lambda x: length(x) > 1 OR regexp_full_match(x, '[0-9]+')))), ' ') AS tokens FROM part""")
@@ -483,31 +488,31 @@ def name_token_sets(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(T.name_tokens(F.col("p_name"))), " ").alias("tokens"))
 
 
-@query(f"""WITH {TERMS_SQL}, s AS (SELECT id, list_distinct(list_transform(range(1, length(id) - 1), lambda i: substr(id, i, 3))) AS s FROM v),
+@query(f"""WITH {TERMS_SQL}, s AS MATERIALIZED (SELECT id, list_distinct(list_transform(range(1, length(id) - 1), lambda i: substr(id, i, 3))) AS s FROM v),
  j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) AS jaccard FROM s a JOIN s b ON a.id < b.id) SELECT a, b, round(jaccard, 9) AS jaccard FROM j WHERE jaccard >= 0.5""")
 def similar_names(spark, d):
     """SIM-3, FUS-6, STR-11, SET-9: exact pairs."""
-    v = term_graph(spark, d)[1]
+    v = names(spark, d)
     return S.exact_pairs(v, "id", T.char_shingles(F.col("id")), 0.5).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query()
 def similar_names_minhash(spark, d):
     """SIM-1, SIM-2, JN-9."""
-    return S.similar_pairs(term_graph(spark, d)[1], "id", T.char_shingles(F.col("id")), 0.6)
+    return S.similar_pairs(names(spark, d), "id", T.char_shingles(F.col("id")), 0.6)
 
 
 @query()
 def best_matches(spark, d):
     """SIM-4, JN-11, JN-12, STR-7..10."""
-    n = term_graph(spark, d)[1].select(F.col("id").alias("name"))
+    n = names(spark, d).select(F.col("id").alias("name"))
     return S.best_match(n.select(F.initcap("name").alias("name")), n.where(F.length("name") % 2 == 0))
 
 
 @query()
 def resolved_graph(spark, d):
     """SIM-5, SIM-6, SIM-7, AGG-4, AGG-5: names that look alike become one."""
-    v = term_graph(spark, d)[1]
+    v = names(spark, d)
     ents = v.select("id", F.col("id").alias("name"), F.lit("TERM").alias("type"), F.lit("").alias("description"), F.array("id").alias("text_unit_ids"), F.lit(1.0).alias("confidence"), F.col("id").alias("ord"))
     none = spark.createDataFrame([], "id string, source_id string, target_id string, type string, weight double, text_unit_ids array<string>, ord string")
     return S.resolve(ents, none)[0].select("id", "name", "frequency")
@@ -554,23 +559,24 @@ def content_projection(spark, d):
     return table(spark, d, "part").select("p_partkey", RL.content(F.col("p_name"), F.col("p_type"), F.when(F.col("p_size") > 25, F.concat(F.lit("Size: "), F.col("p_size").cast("string")))).alias("content"))
 
 
-@query(r"""WITH q AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS phrase FROM benchmark), tok AS (SELECT doc_id, ' ' || array_to_string(list_filter(list_transform(string_split_regex(lower(text), '\s+'), lambda x: regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda x: x <> ''), ' ') || ' ' AS t FROM documents),
- p AS (SELECT item_id, ' ' || array_to_string(list_filter(list_transform(string_split_regex(lower(phrase), '\s+'), lambda x: regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda x: x <> ''), ' ') || ' ' AS t FROM q)
-SELECT item_id, count(*) AS docs FROM p JOIN tok ON contains(tok.t, p.t) GROUP BY 1""")
+@query(r"""WITH tok AS (SELECT doc_id, ' ' || array_to_string(list_filter(list_transform(string_split_regex(lower(text), '\s+'), lambda x: regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda x: x <> ''), ' ') || ' ' AS t FROM documents),
+ p AS (SELECT item_id, ' ' || array_to_string(list_filter(list_transform(string_split_regex(lower(text), '\s+'), lambda x: regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda x: x <> ''), ' ') || ' ' AS t FROM benchmark)
+SELECT item_id, count(*) AS docs FROM p JOIN tok ON contains(tok.t, p.t) WHERE p.t <> '  ' GROUP BY 1""")
 def phrase_coverage(spark, d):
-    """STR-16, STR-17, EVL-1: a stated set of phrases against all documents."""
-    q = table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("phrase"))
-    joined = lambda c: F.concat(F.lit(" "), F.array_join(T.coverage_tokens(F.col(c)), " "), F.lit(" "))
-    t = table(spark, d, "documents").select("doc_id", joined("text").alias("t"))
-    return t.join(F.broadcast(q.select("item_id", joined("phrase").alias("p"))), F.contains("t", "p")).groupBy("item_id").agg(F.count("*").alias("docs"))
+    """STR-16, STR-17, EVL-1: which whole items stand in how many documents."""
+    return E.phrase_hits(table(spark, d, "benchmark").select("item_id", "text"), table(spark, d, "documents").select("doc_id", "text")).groupBy("item_id").agg(F.count("*").alias("docs"))
 
 
-@query()
+@query(r"""WITH f AS (SELECT conv_id, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1),
+ c AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS context FROM conversations GROUP BY 1),
+ p AS (SELECT conv_id, ' ' || array_to_string(list_filter(list_transform(string_split_regex(lower(c.context), '\s+'), lambda x: regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda x: x <> ''), ' ') || ' ' AS x, ' ' || array_to_string(list_filter(list_transform(string_split_regex(lower(f.text), '\s+'), lambda x: regexp_replace(x, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), lambda x: x <> ''), ' ') || ' ' AS y FROM f JOIN c USING (conv_id))
+SELECT conv_id AS query_id, CASE WHEN y <> '  ' AND contains(x, y) THEN 1.0::DOUBLE ELSE 0.0 END AS overall FROM p""")
 def coverage_report(spark, d):
-    """EVL-1, EVL-3."""
-    b = table(spark, d, "benchmark")
-    a = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("context"), F.slice(F.split("text", " "), 1, 3).alias("expected_entities"), F.array().cast("array<string>").alias("expected_relationships"))
-    return E.coverage(a)
+    """EVL-1, EVL-3: whether each conversation, as a context, holds its own first message."""
+    c = table(spark, d, "conversations")
+    ctx = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("context"), F.min_by("text", "turn").alias("first"))
+    a = ctx.select(F.col("conv_id").alias("query_id"), "context", F.array("first").alias("expected_entities"), F.array().cast("array<string>").alias("expected_relationships"))
+    return E.coverage(a).select("query_id", "overall")
 
 
 @query(r"""WITH p AS (SELECT a.conv_id, a.turn, a.text AS x, b.text AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
@@ -608,7 +614,7 @@ def degree_centrality(spark, d):
 
 def _pagerank_sql(rounds: int) -> str:
     steps = ", ".join(
-        f"r{i} AS MATERIALIZED (SELECT v.id, 0.85 * coalesce(sum(r.rank * w.weight / s.total), 0) + 0.15 / n.n AS rank FROM v CROSS JOIN n LEFT JOIN w ON w.dst = v.id LEFT JOIN r{i - 1} r ON r.id = w.src LEFT JOIN s ON s.src = w.src GROUP BY v.id, n.n)"
+        f"r{i} AS MATERIALIZED (SELECT v.id, 0.85 * (coalesce(sum(r.rank * w.weight / s.total), 0) + any_value(z{i}.lost) / any_value(n.n)) + 0.15 / any_value(n.n) AS rank FROM v CROSS JOIN n CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r{i - 1} WHERE id NOT IN (SELECT src FROM s)) z{i} LEFT JOIN w ON w.dst = v.id LEFT JOIN r{i - 1} r ON r.id = w.src LEFT JOIN s ON s.src = w.src GROUP BY v.id)"
         for i in range(1, rounds + 1)
     )
     return f"WITH {TERMS_SQL}, s AS (SELECT src, sum(weight) AS total FROM w GROUP BY 1), n AS (SELECT count(*) AS n FROM v), r0 AS (SELECT id, 1.0::DOUBLE / n AS rank FROM v CROSS JOIN n), {steps} SELECT id, round(rank, 9) AS rank FROM r{rounds}"
@@ -662,7 +668,7 @@ def coarsened_graph(spark, d):
 
 
 @query(f"""WITH {TERMS_SQL}, dg AS (SELECT src AS id, count(*) AS d FROM w GROUP BY 1), i AS (SELECT src[1] AS c, count(*) AS e FROM g WHERE src[1] = dst[1] GROUP BY 1)
-SELECT v.id[1] AS community, count(*) AS size, coalesce(any_value(e), 0) AS edges, sum(d)::BIGINT AS rank FROM v JOIN dg USING (id) LEFT JOIN i ON i.c = v.id[1] GROUP BY 1""")
+SELECT v.id[1] AS community, count(*) AS size, coalesce(any_value(e), 0) AS edges, coalesce(sum(d), 0)::BIGINT AS rank FROM v LEFT JOIN dg USING (id) LEFT JOIN i ON i.c = v.id[1] GROUP BY 1""")
 def community_records(spark, d):
     """AGG-12, AGG-13, AGG-14."""
     e, v = term_graph(spark, d)
@@ -690,10 +696,11 @@ def betweenness(spark, d):
     return G.betweenness(*term_graph(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TERMS_SQL}, f(source, id, far) USING KEY (source, id) AS (SELECT id, id, 0 FROM v UNION SELECT f.source, w.dst, min(f.far) + 1 FROM f JOIN w ON w.src = f.id LEFT JOIN recurring.f AS k ON k.source = f.source AND k.id = w.dst WHERE k.id IS NULL GROUP BY 1, 2),
+ c AS (SELECT source, sum(far) AS t, count(*) - 1 AS r, max(far) AS m FROM f GROUP BY 1) SELECT source AS id, round(CASE WHEN t > 0 THEN r::DOUBLE / t * r / ((SELECT count(*) FROM v) - 1) ELSE 0 END, 9) AS closeness, m AS eccentricity FROM c""")
 def closeness(spark, d):
     """GRF-5, GRF-10."""
-    return G.closeness(*term_graph(spark, d))
+    return G.closeness(*term_graph(spark, d)).select("id", F.round("closeness", 9).alias("closeness"), "eccentricity")
 
 
 @query()
@@ -703,7 +710,7 @@ def eigenvector(spark, d):
     return G.eigenvector(e, v) or v.select("id", F.lit(None).cast("double").alias("x")).limit(0)
 
 
-@query(f"WITH {TERMS_SQL}, dg AS (SELECT src AS id, count(*) AS degree FROM w GROUP BY 1) SELECT id, degree, round(10 + 30 * ln(1 + degree) / ln(1 + (SELECT max(degree) FROM dg)), 6) AS size FROM dg")
+@query(f"WITH {TERMS_SQL}, dg AS (SELECT v.id, count(w.src) AS degree FROM v LEFT JOIN w ON v.id = w.src GROUP BY 1) SELECT id, degree, round(10 + 30 * ln(1 + degree) / ln(1 + (SELECT max(degree) FROM dg)), 6) AS size FROM dg")
 def node_styles(spark, d):
     """VIS-3, VIS-4."""
     e, v = term_graph(spark, d)
@@ -757,18 +764,19 @@ _ENGINES: dict = {}
 
 
 def _engine(spark, d):
-    """A knowledge graph of the documents, built in the checkpoint folder, once for each session and folder."""
+    """A knowledge graph of the documents, built in the checkpoint folder, once for each session and state of the table; the
+    first query to ask for it bears the time."""
     import uuid
 
-    key = spark.sparkContext.applicationId, d
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    state = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength(), path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = spark.sparkContext.applicationId, d, *state
     if key in _ENGINES:
         return _ENGINES[key]
 
     from loomgraph.plans.engine import Engine
 
-    G.cut(spark.range(1))  # so that there is a folder
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    e = Engine(spark, f"{root}/kg-{uuid.uuid4().hex}")
+    e = Engine(spark, f"{G.shared_folder(spark)}/kg-{uuid.uuid4().hex}")
     e.ingest(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     _ENGINES[key] = e
     return e

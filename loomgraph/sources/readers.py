@@ -92,10 +92,19 @@ def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return docs, out.where(~ok).select(F.col("path").alias("file_path"), F.lit("no text").alias("error_info"))
 
 
+def digest_of(files: DataFrame) -> str:
+    """Of files(path, time, length): two sums of hashes, which don't depend on the order, with their number, hashed once more.
+    Sums are formed in the tasks, whatever the number of files."""
+    each = [F.xxhash64(F.lit(k), "path", "time", "length").cast("decimal(38, 0)") for k in (0, 1)]
+    n, a, b = files.agg(F.count("*"), *[F.coalesce(F.sum(x), F.lit(0)) for x in each]).first()
+    import hashlib
+
+    return hashlib.sha256(f"{n}:{a}:{b}".encode()).hexdigest()[:16]
+
+
 def fingerprint(spark: SparkSession, folder: str) -> str:
     """SRC-8: of the names, times and sizes of all files, whatever their content."""
-    f = discover(spark, folder).select(F.concat_ws(":", "path", F.col("modificationTime").cast("long").cast("string"), F.col("length").cast("string")).alias("x"))
-    return f.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256), 1, 16)).first()[0]
+    return digest_of(discover(spark, folder).select("path", F.col("modificationTime").cast("long").alias("time"), "length"))
 
 
 def evaluation_set(spark: SparkSession, path: str) -> DataFrame:
@@ -111,9 +120,65 @@ def evaluation_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def graph_export(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """SRC-10: nodes, edges and layout of an exported graph."""
+    """SRC-10: nodes, edges, layout(id, x, y) and communities(id, community_id, level) of an exported graph."""
     d = spark.read.json(path, multiLine=True)
-    return {"nodes": d.select(F.explode("nodes").alias("n")).select("n.*"), "edges": d.select(F.explode("edges").alias("e")).select("e.*")}
+    out = {"nodes": d.select(F.explode("nodes").alias("n")).select("n.*"), "edges": d.select(F.explode("edges").alias("e")).select("e.*")}
+    own = spark.read.text(path, wholetext=True)
+    if "layout" in d.columns:
+        at = F.from_json("value", "layout map<string, array<double>>")["layout"]
+        out["layout"] = own.select(F.explode(at).alias("id", "p")).select("id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    if "communities" in d.columns:
+        of = F.from_json("value", "communities struct<hierarchy: array<struct<community_id: string, level: int, nodes: array<string>>>>")["communities"]["hierarchy"]
+        c = own.select(F.explode(of).alias("c"))
+        out["communities"] = c.select(F.explode("c.nodes").alias("id"), F.col("c.community_id").alias("community_id"), F.col("c.level").alias("level"))
+    return out
+
+
+def configuration(path: str, defaults: dict, environment: dict[str, str] | None = None, prefix: str = "LOOMGRAPH") -> dict:
+    """SRC-11, on the driver: defaults, with a file's values on top (YAML where that library is there, else JSON), and on top of
+    these the variables PREFIX__SECTION__KEY, whose values are read as JSON where they can be. Unknown keys are errors."""
+    import copy
+    import json
+    import os
+
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        import yaml
+
+        given = yaml.safe_load(text) or {}
+    except ImportError:
+        given = json.loads(text or "{}")
+    out = copy.deepcopy(defaults)
+
+    def lay(onto: dict, values: dict, at: str) -> None:
+        for k, v in values.items():
+            if k not in onto:
+                raise ValueError(f"unknown setting {at}{k}")
+            if isinstance(onto[k], dict) and isinstance(v, dict):
+                lay(onto[k], v, f"{at}{k}.")
+            else:
+                onto[k] = v
+
+    lay(out, given, "")
+    for name, value in sorted((os.environ if environment is None else environment).items()):
+        if name.startswith(prefix + "__"):
+            try:
+                value = json.loads(value)
+            except ValueError:
+                pass
+            for k in reversed(name.lower().split("__")[1:]):
+                value = {k: value}
+            lay(out, value, "")
+    return out
+
+
+def parse_filter(text: str) -> dict[str, str]:
+    """STR-21: key:value, parted at the first colon."""
+    key, colon, value = text.partition(":")
+    if not colon or not key.strip():
+        raise ValueError(f"not a filter: {text!r}")
+    return {key.strip(): value.strip()}
 
 
 def tuning_sample(docs: DataFrame, n: int = 20, chars: int = 8000) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Versioned tables: every write is a new folder, and a manifest that is written last says which one counts (§2.2)."""
+"""Versioned tables: every write is a new folder, and a manifest that is written last says which folders count (§2.2)."""
 
 from __future__ import annotations
 
@@ -6,85 +6,150 @@ import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions.identity import check_suffix
 
+_BUCKET = "__bucket"
+
 
 class Store:
-    """Tables of one tenant under a root folder, on any file system that Spark reads."""
+    """Tables of one tenant under a root folder, on any file system that Spark reads.
+
+    Rows lie in buckets by a hash of the table's key. A manifest is a small file with a number: which folder each bucket is
+    read from, the key and the schema. The one with the greatest number counts; a new one is written beside it before
+    anything goes, so a write that breaks off leaves the table as it was. Upserts and deletes by the key write only the
+    buckets that they touch.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, suffix: str = "default"):
-        self.spark, self.root = spark, f"{root}/{check_suffix(suffix)}"
+    def __init__(self, spark: SparkSession, root: str, suffix: str = "default", buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, f"{root}/{check_suffix(suffix)}", buckets
         path = spark._jvm.org.apache.hadoop.fs.Path
         self._path = path
         self.fs = path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    # The manifest: one small text file for each table, replaced by a rename.
-    def _manifest(self, name: str) -> str | None:
-        p = self._path(f"{self.root}/{name}.current")
-        if not self.fs.exists(p):
-            return None
-        return self.spark.read.text(p.toString()).first()[0]
+    def _numbers(self, name: str) -> list[int]:
+        found = self.fs.globStatus(self._path(f"{self.root}/{name}.manifest-*")) or []
+        return sorted(int(s.getPath().getName().rsplit("-", 1)[1]) for s in found)
 
-    def _point(self, name: str, version: str) -> None:
-        new, old = self._path(f"{self.root}/{name}.next-{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}.current")
+    def _load(self, name: str, number: int) -> dict:
+        stream = self.fs.open(self._path(f"{self.root}/{name}.manifest-{number:09d}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _manifest(self, name: str) -> dict | None:
+        numbers = self._numbers(name)
+        return self._load(name, numbers[-1]) if numbers else None
+
+    def _point(self, name: str, manifest: dict, keep: int) -> None:
+        """Writes the next manifest, then drops those before the last `keep` and folders that none of the rest names."""
+        numbers = self._numbers(name)
+        number = numbers[-1] + 1 if numbers else 1
+        new, at = self._path(f"{self.root}/{name}.next-{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}.manifest-{number:09d}")
         out = self.fs.create(new, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        self.fs.delete(old, False)
-        if not self.fs.rename(new, old):
-            raise OSError(f"{name}: the manifest was not replaced")
+        if not self.fs.rename(new, at):
+            raise OSError(f"{name}: another write came first")
+        live, old = [manifest], [*numbers]
+        for n in numbers[len(numbers) - keep :] if keep else []:
+            live.append(self._load(name, n))
+            old.remove(n)
+        for n in old:
+            self.fs.delete(self._path(f"{self.root}/{name}.manifest-{n:09d}"), False)
+        named = {v for m in live for v in m["folders"].values()}
+        for s in self.fs.listStatus(self._path(f"{self.root}/{name}")):
+            if s.getPath().getName() not in named:
+                self.fs.delete(s.getPath(), True)
 
     def exists(self, name: str) -> bool:
-        return self._manifest(name) is not None
+        return bool(self._numbers(name))
+
+    def _of(self, key: str, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
+    def _rows(self, name: str, manifest: dict, buckets: set[str] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(manifest["schema"])
+        at = [f"{self.root}/{name}/{v}/{_BUCKET}={b}" for b, v in manifest["folders"].items() if buckets is None or b in buckets]
+        return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
 
     def read(self, name: str) -> DataFrame:
-        version = self._manifest(name)
-        if version is None:
+        manifest = self._manifest(name)
+        if manifest is None:
             raise FileNotFoundError(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
+        return self._rows(name, manifest)
 
-    def replace(self, name: str, df: DataFrame, keep: int = 1) -> int:
-        """SNK-1, SNK-4: the new version is written in full, then counts, then older ones but `keep` go. A failed write
-        leaves the table as it was. Returns the rows."""
+    def _write(self, name: str, df: DataFrame, key: str, buckets: int) -> dict[str, str]:
+        """A folder with df's rows by bucket; which bucket is in it."""
         version = f"{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-        at = f"{self.root}/{name}/{version}"
+        at = self._path(f"{self.root}/{name}/{version}")
         try:
-            df.write.parquet(at)
-            n = self.spark.read.schema(df.schema).parquet(at).count()
+            df.withColumn(_BUCKET, self._of(key, buckets)).hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(at.toString())
         except Exception:
-            self.fs.delete(self._path(at), True)
+            self.fs.delete(at, True)
             raise
-        self._point(name, version)
-        versions = sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(f"{self.root}/{name}")))
-        for old in [v for v in versions if v != version][: -keep or None]:
-            self.fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
-        return n
-
-    def upsert(self, name: str, df: DataFrame, key: str = "id") -> int:
-        """SNK-2, SNK-5, SNK-6: rows of df take the place of those with their keys."""
+        found = (s.getPath().getName() for s in self.fs.listStatus(at))
+        return {f.split("=")[1]: version for f in found if f.startswith(_BUCKET)}
+
+    def replace(self, name: str, df: DataFrame, key: str | None = None, keep: int = 1) -> int:
+        """SNK-1, SNK-4: the new version is written in full, then counts, then older ones but `keep` go. A failed write
+        leaves the table as it was. key: by default id, doc_id or the first column. Returns the rows."""
+        key = key or next((c for c in ("id", "doc_id") if c in df.columns), df.columns[0])
+        folders = self._write(name, df, key, self.buckets)
+        self._point(name, {"key": key, "buckets": self.buckets, "folders": folders, "schema": json.loads(df.schema.json())}, keep)
+        return self.read(name).count()
+
+    def _change(self, name: str, keys: DataFrame, more: DataFrame | None, key: str, keep: int) -> int:
+        """Without the rows whose key is in keys(key), and with more."""
+        m = self._manifest(name)
+        if m["key"] != key:  # the buckets don't tell where the keys are
+            rest = self._rows(name, m).join(keys, key, "left_anti")
+            rest = rest if more is None else rest.unionByName(more, allowMissingColumns=True)
+            return self.replace(name, rest, m["key"], keep)
+        touched = {str(r[0]) for r in keys.select(self._of(key, m["buckets"])).distinct().collect()}  # as many as there are buckets at most
+        old = self._rows(name, m, touched)
+        rest = old.join(keys, key, "left_anti").select(old.columns)
+        rest = rest if more is None else rest.unionByName(more, allowMissingColumns=True)
+        folders = {b: v for b, v in m["folders"].items() if b not in touched} | self._write(name, rest, key, m["buckets"])
+        schema = T.StructType([*rest.schema.fields])
+        self._point(name, m | {"folders": folders, "schema": json.loads(schema.json())}, keep)
+        return self.read(name).count()
+
+    def upsert(self, name: str, df: DataFrame, key: str = "id", keep: int = 1) -> int:
+        """SNK-2, SNK-5, SNK-6, SNK-11: rows of df take the place of those with their keys."""
         if not self.exists(name):
-            return self.replace(name, df)
-        old = self.read(name)
-        return self.replace(name, old.join(df.select(key).distinct(), key, "left_anti").select(old.columns).unionByName(df, allowMissingColumns=True))
+            return self.replace(name, df, key, keep)
+        return self._change(name, df.select(key).distinct(), df, key, keep)
 
-    def delete(self, name: str, ids: DataFrame, key: str = "id") -> int:
+    def delete(self, name: str, ids: DataFrame, key: str = "id", keep: int = 1) -> int:
         """SNK-3, SNK-8: without the rows whose keys are among ids(id)."""
-        old = self.read(name)
-        return self.replace(name, old.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_anti").select(old.columns))
+        return self._change(name, ids.select(F.col("id").alias(key)).distinct(), None, key, keep)
 
     def clear(self, names: list[str] | None = None) -> None:
         """SNK-20, SNK-22: drops tables, the registry with them."""
         for n in names or self.names():
-            self.fs.delete(self._path(f"{self.root}/{n}.current"), False)
+            for number in self._numbers(n):
+                self.fs.delete(self._path(f"{self.root}/{n}.manifest-{number:09d}"), False)
             self.fs.delete(self._path(f"{self.root}/{n}"), True)
 
     def names(self) -> list[str]:
-        if not self.fs.exists(self._path(self.root)):
-            return []
-        return sorted(s.getPath().getName().removesuffix(".current") for s in self.fs.listStatus(self._path(self.root)) if s.getPath().getName().endswith(".current"))
+        found = self.fs.globStatus(self._path(f"{self.root}/*.manifest-*")) or []
+        return sorted({s.getPath().getName().rsplit(".manifest-", 1)[0] for s in found})
+
+    def write_all(self, phases: list[dict[str, DataFrame]]) -> dict[str, int]:
+        """SNK-10: tables phase by phase, so that what others point to is there first; those of one phase at the same time."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        done: dict[str, int] = {}
+        for phase in phases:
+            with ThreadPoolExecutor(max(1, len(phase))) as pool:
+                jobs = {n: pool.submit(self.replace, n, df) for n, df in phase.items()}
+                done |= {n: j.result() for n, j in jobs.items()}
+        return done
 
     def counts(self) -> dict[str, int]:
         return {n: self.read(n).count() for n in self.names()}
@@ -144,3 +209,37 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 def log_metrics(metrics: dict) -> str:
     """SNK-17: a line of JSON; flags are no metrics."""
     return json.dumps({k: v for k, v in sorted(metrics.items()) if isinstance(v, (int, float)) and not isinstance(v, bool)})
+
+
+def export_results(results: DataFrame, folder: str, name: str, at: str) -> str:
+    """SNK-18: results as lines of JSON in a folder of their own, named after what they are and when."""
+    path = f"{folder}/{name}-{at}"
+    results.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    return path
+
+
+class Cache:
+    """SNK-15, SNK-16: stages' results by name and content hash, with a time to live; any path that Spark reads is shared by all
+    who use it, so nothing needs to be carried to and fro."""
+
+    def __init__(self, store: Store, hours: float = 24.0):
+        self.store, self.hours, self.hits, self.misses = store, hours, 0, 0
+
+    def get(self, name: str, content: str, build, now: float | None = None) -> DataFrame:
+        """The stored result of `name` if it was built from the same content and is young enough, else build()'s, stored."""
+        now, entry = time.time() if now is None else now, f"cache_{name}"
+        if self.store.exists(entry):
+            m = self.store._manifest(entry)
+            if m.get("content") == content and now - m.get("at", 0) <= self.hours * 3600:
+                self.hits += 1
+                return self.store.read(entry)
+        self.misses += 1
+        df = build()
+        key = next((c for c in ("id", "doc_id") if c in df.columns), df.columns[0])
+        folders = self.store._write(entry, df, key, self.store.buckets)
+        self.store._point(entry, {"key": key, "buckets": self.store.buckets, "folders": folders, "schema": json.loads(df.schema.json()), "content": content, "at": now}, 1)
+        return self.store.read(entry)
+
+    def statistics(self) -> dict[str, float]:
+        total = self.hits + self.misses
+        return {"hits": self.hits, "misses": self.misses, "hit_rate": self.hits / total if total else 0.0}
