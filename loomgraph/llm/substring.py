@@ -6,8 +6,12 @@ words, to the minimiser's bucket; equal windows have equal minimisers and so mee
 and tells in which documents each starts.
 
 Before any text travels, minimisers alone are counted: one that occurs in a single document has no window that starts in
-another, so its super-k-mers stay where they are. A minimiser of more than HOT documents (a passage that very many share)
-would make a bucket without bound; its windows go singly, as 128-bit fingerprints, through an aggregation with partial sums.
+another, so its super-k-mers stay where they are. Super-k-mers have at most LONGEST windows, so long runs come in pieces.
+
+A minimiser of more than HOT windows (of a passage that very many share, say) would make a large bucket. Its super-k-mers are
+parted once more where a second minimiser changes, which makes its windows' buckets, and equal strings are one by an
+aggregation with partial sums, with their least id: a passage that very many documents share goes to its bucket as often as it
+has different surroundings. What the bucket finds for a string is then joined to each place where the string stands.
 
 Windows in a bucket are sorted by 128-bit fingerprints, and windows taken for equal are then compared as strings.
 
@@ -25,9 +29,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import CHUNK_BYTES, Scratch, Words, as_long, chunks, mix
+from loomgraph.llm.common import CHUNK_BYTES, Scratch, Words, as_long, chunks, in_arrow, mix
 
-WINDOW, M, HOT = 50, 8, 2000
+WINDOW, M, HOT, LONGEST = 50, 8, 100_000, 4096
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -43,29 +47,40 @@ class Windows:
     """The windows of several texts, with the minimiser of each, and the runs that share one (super-k-mers)."""
 
     def __init__(self, w: Words, window: int):
-        m = min(M, window)
+        self.m = min(M, window)
+        self.words, self.width = w, window
         ok = np.flatnonzero(w.inside(window))
-        least = _least(w.grams(m), window - m + 1)[ok]
+        least = _least(w.grams(self.m), window - self.m + 1)[ok]
         self.start, self.least, self.doc = ok, least, w.doc[ok]
         new = np.ones(len(ok), bool)
         new[1:] = (np.diff(ok) != 1) | (np.diff(self.doc) != 0) | (least[1:] != least[:-1])
-        self.run = np.flatnonzero(new)
-        self.run_end = np.append(self.run[1:], len(ok))
+        self.run, self.run_end = self.pieces(new)
+
+    def pieces(self, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end of the runs that new marks the starts of, none longer than LONGEST."""
+        first = np.flatnonzero(new)
+        since = np.arange(len(new)) - np.repeat(first, np.diff(np.append(first, len(new))))
+        first = np.flatnonzero(since % LONGEST == 0)
+        return first, np.append(first[1:], len(new))
+
+    def second(self) -> np.ndarray:
+        """Another minimiser of each window."""
+        return _least(self.words.grams(self.m, 3), self.width - self.m + 1)[self.start]
 
 
 def _minimisers(batches, window: int):
+    """(m, id, row, n): the minimisers of each row, with their windows."""
     for batch in batches:
         ids, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
         for first, buf, off in chunks(batch.column(1)):
             v = Windows(Words(buf, off, lower=False), window)
-            doc, least = v.doc[v.run], v.least[v.run]
-            _, at = np.unique(mix(least) ^ doc.astype(np.uint64), return_index=True)
-            yield pa.record_batch({"m": pa.array(as_long(least[at])), "id": pa.array(ids[first + doc[at]]), "row": pa.array(rows[first + doc[at]])})
+            _, at, of = np.unique(mix(v.least) ^ v.doc.astype(np.uint64), return_index=True, return_inverse=True)
+            doc = first + v.doc[at]
+            yield pa.record_batch({"m": pa.array(as_long(v.least[at])), "id": pa.array(ids[doc]), "row": pa.array(rows[doc]), "n": pa.array(np.bincount(of, minlength=len(at)).astype(np.int64))})
 
 
 def _pack(batches, window: int):
-    """From (id, text, row, minimisers shared with other documents, those of them that are hot): packed super-k-mers and fingerprints."""
-    names = ["m", "id", "row", "at", "packed", "h1", "h2"]
+    """From (id, text, row, minimisers shared with other documents, those of them that are hot): packed super-k-mers."""
     for batch in batches:
         ids, rows = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
         for first, buf, off in chunks(batch.column(1)):
@@ -73,37 +88,38 @@ def _pack(batches, window: int):
             v = Windows(w, window)
             if not len(v.run):
                 continue
-            sets = []
-            for col in (3, 4):
-                lists = batch.column(col).slice(first, w.docs)
-                lens = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                sets.append(np.sort(mix(values) ^ np.repeat(np.arange(w.docs), lens).astype(np.uint64)))
-            key = mix(v.least[v.run]) ^ v.doc[v.run].astype(np.uint64)
-            base = w.first[v.doc]
-            cold = np.flatnonzero(np.isin(key, sets[0]))
-            if len(cold):
-                packed = []
-                for r in cold:
-                    a, b = v.start[v.run[r]], v.start[v.run_end[r] - 1] + window - 1
-                    packed.append(b" ".join(bytes(buf[w.start[a] : w.end[b]]).split()))
-                one = v.run[cold]
-                yield pa.record_batch([
-                    pa.array(as_long(v.least[one])), pa.array(ids[first + v.doc[one]]), pa.array(rows[first + v.doc[one]]), pa.array(v.start[one] - base[one]),
-                    pa.array(packed, pa.binary()), pa.nulls(len(cold), pa.int64()), pa.nulls(len(cold), pa.int64()),
-                ], names=names)
-            hot = np.flatnonzero(np.isin(key, sets[1]))
-            if len(hot):
-                each = np.concatenate([np.arange(v.run[r], v.run_end[r]) for r in hot])
-                h = [as_long(w.grams(window, seed)[v.start[each]]) for seed in (1, 2)]
+            cold, hot = (_in(batch.column(col).slice(first, w.docs), v) for col in (3, 4))
+            runs = [(*(x[cold[v.run]] for x in (v.run, v.run_end)), v.least, False)]
+            if hot.any():
+                second = v.second()
+                new = np.zeros(len(hot), bool)
+                new[v.run] = True
+                new[1:] |= second[1:] != second[:-1]
+                a, b = v.pieces(new)
+                runs.append((a[hot[a]], b[hot[a]], mix(v.least ^ mix(second)), True))
+            for a, b, key, is_hot in runs:
+                if not len(a):
+                    continue
+                packed = [b" ".join(bytes(buf[x:y]).split()) for x, y in zip(w.start[v.start[a]], w.end[v.start[b - 1] + window - 1], strict=True)]
+                doc = v.doc[a]
                 yield pa.record_batch([
-                    pa.nulls(len(each), pa.int64()), pa.array(ids[first + v.doc[each]]), pa.array(rows[first + v.doc[each]]), pa.array(v.start[each] - base[each]),
-                    pa.nulls(len(each), pa.binary()), pa.array(h[0]), pa.array(h[1]),
-                ], names=names)
+                    pa.array(as_long(key[a])), pa.array(np.full(len(a), is_hot)), pa.array(ids[first + doc]), pa.array(rows[first + doc]),
+                    pa.array(v.start[a] - w.first[doc]), pa.array(packed, pa.binary()),
+                ], names=["m", "hot", "id", "row", "at", "packed"])
 
 
-def _later(ids: np.ndarray, rows: np.ndarray, at: np.ndarray, packed: list[bytes], window: int):
-    """(row, from, to) word ranges of windows that also start in a document with a smaller id, for whole buckets."""
+def _in(lists: pa.Array, v: Windows) -> np.ndarray:
+    """Whose minimiser is among those listed for the window's text."""
+    lens = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    listed = mix(values) ^ np.repeat(np.arange(len(lens)), lens).astype(np.uint64)
+    return np.isin(mix(v.least) ^ v.doc.astype(np.uint64), listed)
+
+
+def _met(ids: np.ndarray, most: np.ndarray, packed: list[bytes], window: int):
+    """(string, from, to, least): runs of windows, by the place of the first word and the end of the last in their string, that
+    also start in a document with the id `least`, which is smaller than the largest of the string's own, for whole buckets.
+    ids, most: the least and the largest id of the documents that hold each string."""
     off = np.concatenate(([0], np.cumsum([len(p) for p in packed]))).astype(np.int64)
     buf = np.frombuffer(b"".join(packed), np.uint8)
     w = Words(buf, off, lower=False)
@@ -116,24 +132,25 @@ def _later(ids: np.ndarray, rows: np.ndarray, at: np.ndarray, packed: list[bytes
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
     group = np.flatnonzero(new)
     head = order[np.repeat(group, np.diff(np.append(group, len(order))))]  # the window of the smallest id in each group
-    dup = np.flatnonzero(ids[row[order]] > ids[row[head]])
-    mine, first = start[order[dup]], start[head[dup]]
+    dup = np.flatnonzero(most[row[order]] > ids[row[head]])
+    mine, first, least = start[order[dup]], start[head[dup]], ids[row[head[dup]]]
     text = buf.tobytes()
-    same = [text[a:b] == text[c:d] for a, b, c, d in zip(w.start[mine], w.end[mine + window - 1], w.start[first], w.end[first + window - 1], strict=True)]
-    mine = np.sort(mine[np.array(same, bool)])
-    if not len(mine):
-        return None
+    same = np.array([text[a:b] == text[c:d] for a, b, c, d in zip(w.start[mine], w.end[mine + window - 1], w.start[first], w.end[first + window - 1], strict=True)], bool)
+    mine, least = mine[same], least[same]
+    by = np.argsort(mine)
+    mine, least = mine[by], least[by]
     r = w.doc[mine]
-    place = at[r] + mine - w.first[r]
+    place = mine - w.first[r]
     cut = np.ones(len(mine), bool)
-    cut[1:] = (np.diff(mine) != 1) | (np.diff(r) != 0)
+    cut[1:] = (np.diff(mine) != 1) | (np.diff(r) != 0) | (np.diff(least) != 0)
     a = np.flatnonzero(cut)
-    b = np.append(a[1:], len(mine)) - 1
-    return rows[r[a]], place[a], place[b] + window
+    b = np.append(a[1:], len(mine))[: len(a)] - 1
+    return r[a], place[a], place[b] + window, least[a]
 
 
 def _buckets(batches, window: int, limit: int = CHUNK_BYTES):
-    """Over rows sorted by minimiser: whole buckets together, as many as make up about `limit` bytes."""
+    """Over (m, least id, largest id, packed, ...) sorted by m: whole buckets together, as many as make up about `limit` bytes.
+    Each run of windows found, with the other columns of its string."""
     held: list[pa.RecordBatch] = []
 
     def work(part: pa.Table):
@@ -145,9 +162,12 @@ def _buckets(batches, window: int, limit: int = CHUNK_BYTES):
             j = int(np.searchsorted(size, (size[i - 1] if i else 0) + limit, "right"))
             j = int(np.searchsorted(m, m[min(max(j, i + 1), len(m)) - 1], "right"))
             x = part.slice(i, j - i)
-            got = _later(x["id"].to_numpy(), x["row"].to_numpy(), x["at"].to_numpy(), x["packed"].to_pylist(), window)
-            if got:
-                yield pa.record_batch([pa.array(y.astype(np.int64)) for y in got], names=["row", "from", "to"])
+            at, a, b, least = _met(x["id"].to_numpy(), x["most"].to_numpy(), x["packed"].to_pylist(), window)
+            if len(at):
+                rest = x.drop_columns(["m", "id", "most", "packed"]).take(pa.array(at)).combine_chunks()
+                for c, y in (("from", a), ("to", b), ("least", least)):
+                    rest = rest.append_column(c, pa.array(y.astype(np.int64)))
+                yield from rest.to_batches()
             i = j
 
     for batch in batches:
@@ -169,20 +189,27 @@ def _row(id: str, text: str):
 
 
 def repeated(scratch: Scratch, docs: DataFrame, id: str, text: str, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """(row, ranges array<struct<from, to>>): ranges of words, from 0, that are to go from each row that has any."""
+    """(id, row, ranges array<struct<from, to>>): ranges of words, from 0, that are to go from each row that has any."""
     d = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), _row(id, text).alias("row"))
-    seen = scratch.table(d.mapInArrow(lambda b: _minimisers(b, window), "m long, id long, row long"))
-    shared = seen.groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b").select("m", (F.col("n") > hot).alias("hot"))
-    of_row = seen.join(shared, "m").groupBy("row").agg(F.collect_set(F.when(~F.col("hot"), F.col("m"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("m"))).alias("hot"))
-    d = d.join(of_row, "row").select("id", "text", "row", "cold", "hot")
-    parts = scratch.table(d.mapInArrow(lambda b: _pack(b, window), "m long, id long, row long, at long, packed binary, h1 long, h2 long"))
+    seen = scratch.table(d.transform(in_arrow, lambda b: _minimisers(b, window), "m long, id long, row long, n long"))
+    shared = seen.groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.sum("n").alias("n")).where("a < b").select("m", (F.col("n") > hot).alias("hot"))
+    of_row = seen.join(shared, "m").groupBy("id", "row").agg(F.collect_set(F.when(~F.col("hot"), F.col("m"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("m"))).alias("hot"))
+    d = d.join(of_row, ["id", "row"]).select("id", "text", "row", "cold", "hot")
+    parts = scratch.table(d.transform(in_arrow, lambda b: _pack(b, window), "m long, hot boolean, id long, row long, at long, packed binary"))
     scratch.drop(seen)
-    cold = parts.where("m is not null").select("m", "id", "row", "at", "packed").repartition("m").sortWithinPartitions("m")
-    ranges = cold.mapInArrow(lambda b: _buckets(b, window), "row long, `from` long, `to` long")
-    single = parts.where("m is null").select("h1", "h2", "id", "row", "at")
-    first = single.groupBy("h1", "h2").agg(F.min("id").alias("first"))
-    more = single.join(first, ["h1", "h2"]).where("id > first").select("row", F.col("at").alias("from"), (F.col("at") + window).alias("to"))
-    return ranges.union(more).groupBy("row").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
+
+    def met(strings: DataFrame, kept: str) -> DataFrame:
+        own = strings.repartition("m").sortWithinPartitions("m")
+        return own.transform(in_arrow, lambda b: _buckets(b, window), f"{kept}, `from` long, `to` long, least long")
+
+    place = lambda c: (F.col("at") + F.col(c)).alias(c)
+    one = parts.where("not hot").select("m", "id", F.col("id").alias("most"), "packed", F.col("id").alias("of"), "row", "at")
+    ranges = met(one, "of long, row long, at long").select(F.col("of").alias("id"), "row", place("from"), place("to"))
+    many = parts.where("hot").withColumn("string", F.unhex(F.md5("packed")))
+    strings = many.groupBy("m", "packed").agg(F.min("id").alias("id"), F.max("id").alias("most"), F.first("string").alias("string"))
+    found = met(strings.select("m", "id", "most", "packed", "string"), "string binary")
+    more = many.select("string", "id", "row", "at").join(found, "string").where("least < id").select("id", "row", place("from"), place("to"))
+    return ranges.union(more).groupBy("id", "row").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, hot: int = HOT, digests: bool = False) -> DataFrame:
@@ -211,8 +238,8 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
     last = "kept_sha256" if digests else "kept"
     kind = docs.schema[id].dataType.simpleString()
     d = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.when(F.col(id).isNotNull(), _row(id, text)).alias("row"))
-    j = d.join(gone, "row", "left").select("id", "text", "ranges")
-    return j.mapInArrow(run, f"id {kind}, n_words long, n_removed long, {last} string").withColumnRenamed("id", id)
+    j = d.join(gone.withColumnRenamed("id", "__id"), (F.col("id").cast("long") == F.col("__id")) & (d.row == gone.row), "left").select("id", "text", "ranges")
+    return j.transform(in_arrow, run, f"id {kind}, n_words long, n_removed long, {last} string").withColumnRenamed("id", id)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
