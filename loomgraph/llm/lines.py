@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import Scratch
 
 NEAR_WORDS = 8
-#: Rows (16 bytes each) that are broadcast at most.
-BROADCAST_ROWS = 500_000
+#: Bytes that are broadcast at most, of rows of 40 bytes and 4 for each place.
+BROADCAST_BYTES = 32 << 20
 
 
 def _halves():
@@ -85,7 +85,8 @@ def removed(scratch: Scratch, docs: DataFrame, id: str, text: str) -> DataFrame:
     shared = halves.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     near = scratch.table(halves.join(shared, "h").select("k", "first").distinct())
     place = near.groupBy("first.id", "first.row").agg(F.collect_set("first.place").alias("places"))
-    place = F.broadcast(place) if place.count() <= BROADCAST_ROWS else place
+    size = place.agg(F.sum(40 + 4 * F.size("places"))).first()[0] or 0
+    place = F.broadcast(place) if size <= BROADCAST_BYTES else place
     picked = d.join(place, ["id", "row"]).dropDuplicates(["id", "row"]).select("id", "row", "places", F.split("text", "\n").alias("all"))
     picked = picked.select("id", "row", F.explode("places").alias("place"), "all").select(F.struct("id", "row", "place").alias("at"), F.trim(F.element_at("all", F.col("place") + 1)).alias("line"))
     # Numbered in the order of ids and places, before they are written, so that a smaller number is an earlier line.
