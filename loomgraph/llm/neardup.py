@@ -1,8 +1,9 @@
 """Embedding near-dedup by sign hashes of random projections.
 
-Method. Vectors of a label with up to BUCKET of them are compared all with all, which is exact. A larger label is split into
-buckets by the signs of random projections, one bit for each doubling, in several passes; inside a bucket all are compared
-with all, in blocks where it has more than BUCKET, so nothing bounds a vector's partners. Two vectors at the threshold
+Method. Sorted passes: in each, the vectors of a label are ordered by concatenated hash bits, the signs of random projections, one
+bit for each doubling beyond BUCKET vectors. A vector's window is the run of those that agree with it in all bits, compared
+all with all, in blocks where it has more than BUCKET, so nothing bounds a vector's partners (a window of fixed width did:
+in tight labels it lost links). A label of up to BUCKET vectors is one run, which is exact. Two vectors at the threshold
 differ in a bit with a probability that depends on their angle alone, not on how the others lie, so the number of passes
 follows from the number of bits: a pair shares a bucket in none of them with a probability of MISS at most. Links of all
 passes are united to components; of each block, only as many leave as join what it links.
@@ -12,8 +13,9 @@ their links, and only pairs that no chain of links connects are missed. Vectors
 number. Nothing but counts leaves the blocks. Vectors so close together that the bits don't part them make large buckets,
 whose work grows with the square of their size.
 
-Cases. Vectors that are null, zero, hold null or non-finite components, or aren't of the most common length, rows without a
-label or an id: linked with nothing, and kept. Repeated rows are equal vectors; with one id, they count as links.
+Cases. Vectors that are null, zero or hold null or non-finite components, rows without a label or an id: linked with nothing,
+and kept. Vectors of different lengths have no cosine: a label's vectors of each length are compared on their own. Repeated
+rows are equal vectors; with one id, they count as links.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, components
-from loomgraph.llm.vectors import dimension, groups, matrix, stack, to_blobs, usable
+from loomgraph.llm.common import Scratch, components, in_arrow
+from loomgraph.llm.vectors import groups, matrix, stack, to_blobs, usable
 
 BUCKET, MISS, BITS, BLOCK = 4096, 0.001, 62, 512
 THRESHOLD = 0.98
@@ -41,30 +43,32 @@ def passes_for(bits: int, t: float) -> int:
     return 1 if bits == 0 else max(1, int(np.ceil(np.log(MISS) / np.log1p(-agree))))
 
 
-def _keyed(batches, d: int, bucket: int, t: float):
-    """Each vector once for each pass of its label, with its bits there. Rows: id, label, v, number of the label's vectors."""
+def _keyed(batches, bucket: int, t: float):
+    """Each vector once for each pass of its label, with its bits there. Rows: id, label, v, number of the label's vectors of
+    that length, length."""
     bits_of = lambda n: np.clip(np.ceil(np.log2(np.maximum(n, 1) / bucket)), 0, BITS).astype(np.int64)
     passes = np.array([passes_for(b, t) for b in range(BITS + 1)])
     planes: dict = {}
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        x, bits = matrix(batch.column(2), d), bits_of(batch.column(3).to_numpy())
-        blobs = to_blobs(x)
-        for p in range(passes[bits].max()):
-            if p not in planes:
-                planes[p] = np.random.default_rng([11, p]).standard_normal((d, BITS))
-            own = np.flatnonzero(passes[bits] > p)
-            code, most = np.zeros(len(own), np.int64), int(bits[own].max())
-            for b, positive in enumerate((x[own] @ planes[p][:, :most] > 0).T):
-                code |= (positive & (b < bits[own])).astype(np.int64) << b
-            at = pa.array(own)
-            yield pa.record_batch([pa.array(np.full(len(own), p, np.int32)), batch.column(1).take(at), pa.array(code), batch.column(0).take(at), blobs.take(at)], names=["pass", "label", "code", "id", "v"])
-
-
-def _links(batches, d: int, t: float):
-    """(a, b): links that join all vectors of two blocks of a bucket that a chain of links among them joins."""
-    for (*_, i, j), g in groups(batches, 5):
+        size = batch.column(4).to_numpy()
+        for d in np.unique(size).tolist():
+            part = batch.take(pa.array(np.flatnonzero(size == d)))
+            x, bits = matrix(part.column(2), d), bits_of(part.column(3).to_numpy())
+            blobs = to_blobs(x)
+            for p in range(passes[bits].max()):
+                if (p, d) not in planes:
+                    planes[p, d] = np.random.default_rng([11, p]).standard_normal((d, BITS))
+                own = np.flatnonzero(passes[bits] > p)
+                code, most = np.zeros(len(own), np.int64), int(bits[own].max())
+                for b, positive in enumerate((x[own] @ planes[p, d][:, :most] > 0).T):
+                    code |= (positive & (b < bits[own])).astype(np.int64) << b
+                at = pa.array(own)
+                yield pa.record_batch([pa.array(np.full(len(own), p, np.int32)), part.column(1).take(at), part.column(4).take(at), pa.array(code), part.column(0).take(at), blobs.take(at)], names=["pass", "label", "d", "code", "id", "v"])
+
+
+def _links(batches, t: float):
+    """(a, b): links that join all vectors of two blocks of a run that a chain of links among them joins."""
+    for (_, _, d, _, i, j), g in groups(batches, 6):
         side, ids = g["side"].to_numpy(), g["id"].to_numpy()
         x = stack(g["v"].to_pylist(), d)
         u = x / np.sqrt((x * x).sum(1))[:, None]
@@ -87,53 +91,56 @@ def _links(batches, d: int, t: float):
         yield pa.record_batch([pa.array(ids[root[own]]), pa.array(ids[own])], names=["a", "b"])
 
 
-def _recount(batches, d: int, t: float):
+def _recount(batches, t: float):
     """(id, n): links between the rows of two blocks of a component, each weighted with the other's number of copies."""
     for (_, i, j), g in groups(batches, 3):
-        side, ids, n, label = (g[c].to_numpy() for c in ("side", "id", "copies", "label"))
-        x = matrix(g["v"].combine_chunks(), d)
+        side, ids, n = (g[c].to_numpy() for c in ("side", "id", "copies"))
+        x = matrix(g["v"].combine_chunks(), len(g["v"][0]))
+        u = x / np.sqrt((x * x).sum(1))[:, None]
         a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        ua, ub = (x[s] / np.sqrt((x[s] * x[s]).sum(1))[:, None] for s in (a, b))
-        near = ua @ ub.T
-        linked = near >= t
-        close = np.argwhere(np.abs(near - t) < 1e-9)  # so near the threshold, the plain formula decides
-        if len(close):
-            linked[close[:, 0], close[:, 1]] = _cosines(x[a[close[:, 0]]], x[b[close[:, 1]]]) >= t
-        linked &= label[a][:, None] == label[b][None, :]
-        linked &= ids[a][:, None] != ids[b][None, :]
-        yield pa.record_batch([pa.array(ids[a]), pa.array(linked @ n[b])], names=["id", "n"])
-        if i != j:
-            yield pa.record_batch([pa.array(ids[b]), pa.array(n[a] @ linked)], names=["id", "n"])
+        met = np.zeros(len(ids), np.int64)
+        for k in range(0, len(a), BLOCK):
+            c = a[k : k + BLOCK]
+            near = u[c] @ u[b].T
+            linked = near >= t
+            close = np.argwhere(np.abs(near - t) < 1e-9)  # so near the threshold, the plain formula decides
+            if len(close):
+                linked[close[:, 0], close[:, 1]] = _cosines(x[c[close[:, 0]]], x[b[close[:, 1]]]) >= t
+            linked &= ids[c][:, None] != ids[b][None, :]
+            met[c] += linked @ n[b]
+            if i != j:
+                met[b] += n[c] @ linked
+        yield pa.record_batch([pa.array(ids), pa.array(met)], names=["id", "n"])
 
 
 def dedup(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, bucket: int = BUCKET) -> DataFrame:
     """One row per row of rows: id, n_links, component_id, kept."""
     scratch = Scratch(rows.sparkSession, "neardup")
     r = rows.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("long").alias("label"))
-    d = dimension(r.where(usable("v")), "v")
-    ok = usable("v") & (F.size("v") == d) & F.col("label").isNotNull() & F.col("id").isNotNull()
+    ok = usable("v") & F.col("label").isNotNull() & F.col("id").isNotNull()
     key = F.when(ok, F.struct(F.xxhash64("label", "v").alias("x"), F.xxhash64(F.reverse("v"), "label").alias("y")))
     r = r.withColumn("key", key)
     classes = scratch.table(r.where("key is not null").groupBy("key").agg(F.min(F.col("id").cast("long")).alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")))
 
-    many = classes.select("id", "label", "v").join(classes.groupBy("label").agg(F.count("*").alias("n")), "label").select("id", "label", "v", "n")
-    keyed = scratch.table(many.mapInArrow(lambda b: _keyed(b, d, bucket, threshold), "pass int, label long, code long, id long, v binary"))
-    where = ["pass", "label", "code"]
+    sized = classes.select("id", "label", "v", F.size("v").alias("d"))
+    many = sized.join(sized.groupBy("label", "d").agg(F.count("*").alias("n")), ["label", "d"]).select("id", "label", "v", "n", "d")
+    keyed = scratch.table(many.transform(in_arrow, lambda b: _keyed(b, bucket, threshold), "pass int, label long, d int, code long, id long, v binary"))
+    where = ["pass", "label", "d", "code"]
     large = keyed.groupBy(*where).agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts")).where("parts > 1")
     keyed = keyed.join(large, where, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     keyed = keyed.withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keyed = keyed.select(*where, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "v")
     place = [*where, "i", "j"]
-    links = scratch.table(keyed.repartition(*place).sortWithinPartitions(*place).mapInArrow(lambda b: _links(b, d, threshold), "a long, b long"))
+    links = scratch.table(keyed.repartition(*place).sortWithinPartitions(*place).transform(in_arrow, lambda b: _links(b, threshold), "a long, b long"))
     groups_ = scratch.table(components(scratch, links))
 
-    member = groups_.join(classes, groups_.node == classes.id).select("component", "id", "label", "copies", "v")
+    member = groups_.join(classes, groups_.node == classes.id).select("component", "id", "copies", "v")
     size = groups_.groupBy("component").agg(F.count("*").alias("size"))
-    member = member.join(size, "component").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
+    member = member.join(size, "component").withColumn("parts", F.ceil(F.col("size") / bucket).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     member = member.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    member = member.select("component", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "label", "copies", "v")
-    counted = member.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(lambda b: _recount(b, d, threshold), "id long, n long")
+    member = member.select("component", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "copies", "v")
+    counted = member.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").transform(in_arrow, lambda b: _recount(b, threshold), "id long, n long")
     counted = counted.groupBy("id").agg(F.sum("n").alias("n"))
     of = classes.select("key", "id", "copies").join(counted, "id", "left").join(groups_.withColumnRenamed("node", "id"), "id", "left")
     of = of.select("key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
