@@ -1,18 +1,21 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Method. Coarse centroids and the codebooks of the residuals are fitted on a bounded sample. Every row is put into the cell
-of its nearest centroid and its residual is coded by SUBSPACES codebooks of 256 entries. A query looks into the PROBED
-share of the cells with the largest inner products; asymmetric distance tables (the query against each codebook entry)
-score their rows, and the SHORT best of each block are ranked anew by exact inner products of the original vectors.
+of its nearest centroid and its residual is coded by SUBSPACES codebooks of 256 entries. A query looks into the cells with
+the largest inner products; asymmetric distance tables (the query against each codebook entry) score their rows, and the SHORT
+best of each block are ranked anew by exact inner products of the original vectors.
+
+How many cells a query looks into is measured when the index is fitted: so many that FOUND of the neighbours within the
+sample lie in them. Vectors without structure have theirs anywhere, which takes most cells; where vectors cluster, few do.
+A query goes on to further cells until those that it looked into hold k other ids, or there are no more.
 
 Cells are laid out in blocks of at most BLOCK rows: small cells together, a cell of more rows (copies of one vector, say)
 in several blocks by a hash of the id. Each block meets the queries that probe one of its cells; queries stream past it.
+Vectors of different lengths have no inner product: each length is searched on its own.
 
-The share of cells is large because the nearest of vectors without structure lie anywhere; where vectors cluster, a small
-one serves as well. With these parameters recall at 20 against brute force is over 0.9 (tests measure it).
-
-Cases. Vectors that are null, zero, hold null or non-finite components, or aren't of the most common length take no part,
-nor do rows without an id. Repeated ids: one query each, and never their own neighbour. Ties go to the smaller id.
+Cases. Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id. Repeated ids:
+one query each (with the least of their vectors), never their own neighbour, and one neighbour each (with the best of their
+scores). Ties go to the smaller id. Fewer than k candidates: all of them.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch
-from loomgraph.llm.vectors import dimension, groups, matrix, stack, to_blobs, usable
+from loomgraph.llm.common import Scratch, in_arrow
+from loomgraph.llm.vectors import groups, matrix, stack, to_blobs, usable
 
 SAMPLE, CELLS, SUBSPACES, ROUNDS = 16_384, 1024, 16, 6
-PROBED, BLOCK, SHORT, STREAM = 0.65, 4096, 256, 128
+FOUND, BLOCK, SHORT, STREAM = 0.97, 4096, 256, 128
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -50,7 +53,24 @@ class Index:
         left = sample - self.centroids[self.cell(sample)]
         self.cuts = np.linspace(0, d, min(SUBSPACES, d) + 1).astype(int)
         self.books = [_kmeans(left[:, a:b], 256, ROUNDS, rng) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
-        self.probed = max(1, int(np.ceil(self.cells * PROBED)))
+        self.counts = np.zeros(self.cells, np.int64)  # rows of each cell, once all rows are put into theirs
+        self.enough = 0
+        self.probed = self._measured(sample, rng)
+
+    def _measured(self, sample: np.ndarray, rng: np.random.Generator, queries: int = 512, k: int = 20) -> int:
+        """How many cells hold FOUND of the k nearest, within the sample, of some of its rows."""
+        if len(sample) < 2:
+            return self.cells
+        own = rng.permutation(len(sample))[:queries]
+        cell, places = self.cell(sample), []
+        for a in range(0, len(own), 64):
+            q = own[a : a + 64]
+            near = sample[q] @ sample.T
+            near[np.arange(len(q)), q] = -np.inf
+            best = np.argsort(-near, 1, kind="stable")[:, : min(k, len(sample) - 1)]
+            place = np.argsort(np.argsort(-(sample[q] @ self.centroids.T), 1, kind="stable"), 1)
+            places.append(np.take_along_axis(place, cell[best], 1).ravel())
+        return int(np.quantile(np.concatenate(places), FOUND, method="higher")) + 1
 
     def cell(self, x: np.ndarray) -> np.ndarray:
         return np.argmin((self.centroids**2).sum(1) - 2 * (x @ self.centroids.T), 1)
@@ -62,8 +82,11 @@ class Index:
     def probes(self, q: np.ndarray) -> np.ndarray:
         """For each query, which cells it looks into."""
         near = q @ self.centroids.T
+        order = np.argsort(-near, 1, kind="stable")
+        held = self.counts[order]
+        wanted = (np.cumsum(held, 1) - held < self.enough) | (np.arange(self.cells) < self.probed)
         out = np.zeros(near.shape, bool)
-        np.put_along_axis(out, np.argsort(-near, 1, kind="stable")[:, : self.probed], True, 1)
+        np.put_along_axis(out, order, wanted, 1)
         return out
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
@@ -96,16 +119,21 @@ def _layout(counts: dict[int, int], cells: int) -> tuple[np.ndarray, np.ndarray]
     return first, several
 
 
+_FOUND = "query_id long, rank int, vec_id long, score double"
+
+
 def search(rows: DataFrame, query, id: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row for which the column query is true."""
     scratch = Scratch(rows.sparkSession, "ann")
     r = rows.where(F.col(id).isNotNull() & usable(vector)).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), query.alias("q"))
-    d = dimension(r, "v")
-    r = r.where(F.size("v") == d)
-    n = r.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return rows.sparkSession.createDataFrame([], schema)
+    out = rows.sparkSession.createDataFrame([], _FOUND)
+    for d, n, ids in r.groupBy(F.size("v").alias("d")).agg(F.count("*"), F.countDistinct("id")).orderBy("d").collect():  # a row for each length
+        out = out.union(_search(scratch, r.where(F.size("v") == d), d, n, n - ids, k))
+    return out
+
+
+def _search(scratch: Scratch, r: DataFrame, d: int, n: int, repeated: int, k: int) -> DataFrame:
+    """Among r(id, v, q), n rows with vectors of d components, of which so many repeat an id."""
     index = fit(r, d, n)
 
     def assign(batches):
@@ -115,8 +143,11 @@ def search(rows: DataFrame, query, id: str = "vec_id", vector: str = "embedding"
                 cell = index.cell(x)
                 yield pa.record_batch([batch.column(0), pa.array(cell), pa.array([c.tobytes() for c in index.codes(x, cell)], pa.binary()), to_blobs(x)], names=["id", "cell", "codes", "v"])
 
-    coded = scratch.table(r.select("id", "v").mapInArrow(assign, "id long, cell long, codes binary, v binary"))
+    coded = scratch.table(r.select("id", "v").transform(in_arrow, assign, "id long, cell long, codes binary, v binary"))
     counts = {x.cell: x["count"] for x in coded.groupBy("cell").count().collect()}  # CELLS rows at most
+    for c, rows in counts.items():
+        index.counts[c] = rows
+    index.enough = k + 1 + repeated  # rows, with the query's own and those of repeated ids
     first, several = _layout(counts, index.cells)
     blocks = int((first + several).max())
 
@@ -144,8 +175,8 @@ def search(rows: DataFrame, query, id: str = "vec_id", vector: str = "embedding"
                 yield pa.record_batch([pa.array(b), pa.array(np.ones(len(i), np.int32)), pa.array(ids[a + i]), none, pa.nulls(len(i), pa.binary()), blobs.take(pa.array(i))], names=["block", "kind", "id", "cell", "codes", "v"])
 
     shape = "block long, kind int, id long, cell long, codes binary, v binary"
-    queries = r.where("q").dropDuplicates(["id"]).select("id", "v")
-    both = coded.mapInArrow(place, shape).union(queries.mapInArrow(ask, shape))
+    queries = r.where("q").groupBy("id").agg(F.min("v").alias("v"))
+    both = coded.transform(in_arrow, place, shape).union(queries.transform(in_arrow, ask, shape))
     both = both.repartition(min(blocks, 4096), "block").sortWithinPartitions("block", "kind", "id")
 
     def rank(batches):
@@ -160,7 +191,7 @@ def search(rows: DataFrame, query, id: str = "vec_id", vector: str = "embedding"
                     if got:
                         yield pa.record_batch([pa.array(c) for c in got], names=["query_id", "vec_id", "score"])
 
-    near = both.mapInArrow(rank, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    near = both.transform(in_arrow, rank, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -189,10 +220,11 @@ def _nearest(index: Index, qid, q, ids, cell, codes, x, k: int):
         score += table.astype(np.float32)[:, codes[:, s]]
     score[~index.probes(q)[:, cell]] = -np.inf
     score[qid[:, None] == ids[None, :]] = -np.inf
-    short = np.argsort(-score, 1, kind="stable")[:, :SHORT]  # rows lie by id, so ties keep the smaller
+    listed = SHORT + len(ids) - len(np.unique(ids))
+    short = np.argsort(-score, 1, kind="stable")[:, :listed]  # rows lie by id, so ties keep the smaller
     exact = (x[short] * q[:, None, :]).sum(2)
     exact[~np.isfinite(np.take_along_axis(score, short, 1))] = -np.inf
-    best = np.lexsort((ids[short], -exact), 1)[:, :k]
+    best = np.lexsort((ids[short], -exact), 1)[:, : k + listed - SHORT]
     exact, who = np.take_along_axis(exact, best, 1), np.take_along_axis(ids[short], best, 1)
     ok = np.isfinite(exact)
     return np.repeat(qid, ok.sum(1)), who[ok], exact[ok]
