@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -78,6 +79,25 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(empty, secrets.train(empty)).count() == 0
 
 
+SIMPLE = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 6), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile(r"[0-9a-f]+"), 0, 24)]
+
+
+def test_secrets_against_plain_patterns(spark, docs):
+    """base_spans of whole texts by the patterns as they are written down, and spans that hold all of them."""
+    rnd = random.Random(6)
+    bits = ["password", "PassWd", "token", "apikey", "Api_Key", "secret", "AKIA", "AKIAAKIA", "=", ":", " ", "'", '"', "  = ", "\t", "\n", "é", "0a1b2c3d4e5f", "ABCDEF", "x.y-z/+_=", "9f" * 13, "Q7ZK" * 5, "the quick_brown_fox"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40))) for _ in range(1500)] + [r[1] for r in corpus()]
+    texts.append(" ".join(rnd.choice(bits) for _ in range(200_000)))  # many spans in one long text
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in secrets.scan(d, secrets.train(d)).collect()}
+    assert len(got) == len(texts)
+    for i, x in enumerate(texts):
+        spans = sorted((m.start(), k, m.end()) for k, (_, p, group, least) in enumerate(SIMPLE) for m in p.finditer(x or "") if len(m[group]) >= least)
+        assert got[i].base_spans == ",".join(f"{SIMPLE[k][0]}:{a}:{b}" for a, k, b in spans)
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == j for _, k, _ in spans) for j in range(3)]
+        assert not collections.Counter(filter(None, got[i].base_spans.split(","))) - collections.Counter(got[i].spans.split(","))
+
+
 # --- BPE -------------------------------------------------------------------------------------------------------------
 
 
@@ -103,6 +123,24 @@ def test_bpe(spark, docs, empty):
     assert bpe.encode(empty).count() == 0
 
 
+def test_bpe_bounds_what_it_keeps(spark, monkeypatch):
+    """A chunk of many MB without white space, and a store that starts anew all the time."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    long = "".join(f"w{i % 977}-x" for i in range(600_000))
+    r = bpe.encode(spark.createDataFrame([(1, long + " " + long[:999])], "doc_id long, text string"), digests=True).first()
+    ids = library.encode(long + " " + long[:999], add_special_tokens=False).ids
+    assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    monkeypatch.setattr(bpe, "KEPT", 2000)
+    monkeypatch.setattr(bpe, "PIECE", 50)
+    own = bpe.WordBpe(bpe.vocabulary_path())
+    for _, x, *_ in corpus():
+        e = library.encode(x or "", add_special_tokens=False)
+        assert own.encode(x or "") == (len(e.ids), " ".join(map(str, e.ids)), library.decode(e.ids, skip_special_tokens=False))
+    assert len(own.recent) + len(own.older) < 40
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
@@ -158,6 +196,35 @@ def test_sparse_sites_are_shrunk(spark):
     assert got["big"] > 0.85 and got["low"] < 0.15 and got["one"] > got["low"]
 
 
+def test_quality_by_hand(spark, docs):
+    """Every path's and every document's posterior, from the documents' own odds."""
+    d = docs.select("doc_id", "text", "lang", "source")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 11 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = quality.classify(d, labels, cut=0.6).collect()
+    p = np.array([r.p_doc for r in got])
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for k, r in enumerate(got):
+        hosts[r.source].append(k)
+        paths[r.source, r.lang].append(k)
+
+    def strength(groups, toward):
+        n, rate = np.array([len(g) for g in groups]), np.array([p[g].mean() for g in groups])
+        spread, chance = (n * (rate - toward) ** 2).sum() / n.sum(), (toward * (1 - toward)).sum() / n.sum()
+        return max(1.0, (toward * (1 - toward)).mean() / max(1e-4, spread - chance) - 1)
+
+    world = p.mean()
+    k = strength(list(hosts.values()), np.full(len(hosts), world))
+    prior = {h: (p[g].sum() + k * world) / (len(g) + k) for h, g in hosts.items()}
+    s = strength(list(paths.values()), np.array([prior[h] for h, _ in paths]))
+    odds = lambda x: np.log(x / (1 - x))
+    for r in got:
+        g = paths[r.source, r.lang]
+        rest = (p[g].sum() - r.p_doc + s * prior[r.source]) / (len(g) - 1 + s)
+        assert r.p_path == pytest.approx(rest, abs=1e-9)
+        q = 1 / (1 + np.exp(-(odds(r.p_doc) + odds(rest) - odds(world))))
+        assert r.p_quality == pytest.approx(q, abs=1e-9) and r.keep == (r.p_quality >= 0.6)
+
+
 # --- lines -----------------------------------------------------------------------------------------------------------
 
 
@@ -211,7 +278,7 @@ def removed(data, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("window", "hot"), [(50, 2000), (50, 2), (6, 4), (3, 1)])
+@pytest.mark.parametrize(("window", "hot"), [(50, 2000), (50, 2), (6, 4), (3, 1), (50, 0), (3, 0)])
 def test_substrings(docs, empty, window, hot):
     want = removed([(r[0], r[1]) for r in corpus()], window)
     assert any(n for _, _, n, _ in want)
@@ -219,6 +286,18 @@ def test_substrings(docs, empty, window, hot):
     assert substring.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [100_000, 20])
+def test_substrings_of_one_word_and_of_many_copies(spark, hot, monkeypatch):
+    """A long text of one word repeated, whose super-k-mer is the text, and a passage that very many share."""
+    monkeypatch.setattr(substring, "LONGEST", 64)
+    rnd = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(70))
+    own = lambda i: " ".join(f"o{i}x{rnd.randrange(30)}" for _ in range(20))
+    data = [(0, "ha " * 700), (1, "ha " * 320 + "end"), (2, "ha " * 49)] + [(i, f"{own(i)} {passage} {own(i)}") for i in range(10, 90)] + [(95, passage), (96, f"{passage} {passage}")]
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert rows(substring.dedup(d, hot=hot)) == removed(data, 50)
+
+
 # --- language model --------------------------------------------------------------------------------------------------
 
 
@@ -404,6 +483,87 @@ def test_ann(spark):
     assert ann.search(d.limit(0), d.vec_id % 20 == 0).count() == 0
 
 
+def plain_ann(part, k=20):
+    """query -> [(id, score)] by brute force, for rows (id, v) that may repeat ids."""
+    out = {}
+    queries = {}
+    for i, v in part:
+        if i % 20 == 0:
+            queries[i] = min(queries.get(i, v), v)
+    for q, v in queries.items():
+        best = {}
+        for i, x in part:
+            if i != q and len(x) == len(v):
+                best[i] = max(best.get(i, -np.inf), float(np.dot(x, v)))
+        out[q] = sorted(best.items(), key=lambda r: (-round(r[1], 9), r[0]))[:k]
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 20, 21, 24, 28, 32, 40])
+def test_ann_of_few_rows(spark, n):
+    """As many neighbours as there are candidates, up to 20, however few rows there are; ties, and columns with other names."""
+    rng = np.random.default_rng(n)
+    x = rng.integers(-2, 3, (n, 6)).astype(float) + 0.25
+    data = [(i, x[i].tolist(), 0, "clash", 1.0) for i in range(n)]
+    d = spark.createDataFrame(data, "vec_id long, embedding array<float>, query_id int, rank string, score double")
+    want = plain_ann([(r[0], r[1]) for r in data])
+    got = collections.defaultdict(list)
+    for r in ann.search(d, d.vec_id % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q, near in want.items():
+        assert [round(s, 6) for _, s in got[q]] == [round(s, 6) for _, s in near]
+        assert got[q] == sorted(got[q], key=lambda r: (-r[1], r[0]))
+
+
+def test_ann_of_repeated_ids_and_other_lengths(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, rng.integers(-9, 10, 8).astype(float).tolist()) for i in range(300)]
+    data += [(40, v) for v in [data[7][1]] * 300]  # one id, very many rows
+    data += [(1000 + i, rng.integers(-9, 10, 5).astype(float).tolist()) for i in range(30)] + [(2000, [1.0])]
+    got = collections.defaultdict(list)
+    d = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    for r in ann.search(d, d.vec_id % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    want = plain_ann(data)
+    assert set(got) == {q for q in want if want[q]}
+    hits = 0
+    for q in got:
+        assert len(got[q]) == len(want[q]) == len({i for i, _ in got[q]})
+        hits += len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / len(want[q])
+    assert hits / len(got) >= 0.9
+
+
+def plain_links(part):
+    """(links, component) of each id by comparing all of (id, v, label)."""
+    links, up = collections.Counter(), {i: i for i, _, _ in part}
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a in range(len(part)):
+        for b in range(a):
+            (i, v, p), (j, w, q) = part[a], part[b]
+            if p == q and len(v) == len(w) and np.dot(v, w) / math.sqrt(np.dot(v, v) * np.dot(w, w)) >= 0.98:
+                links[i] += 1
+                links[j] += 1
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: (links[i], root(i)) for i in up}
+
+
+def test_neardup_of_other_lengths_and_components(spark):
+    """Equal vectors of a rare length are linked, and every component and number of links is that of all pairs."""
+    data = [r for r in vectors(seed=5, n=400) if r[0] is not None]
+    data += [(1000, [1.0, 2.0, 3.0, 4.0, 5.0], 0), (1001, [1.0, 2.0, 3.0, 4.0, 5.0], 0), (1002, [2.0, 4.0, 6.0, 8.0, 10.0], 0), (1003, [1.0, 2.0, 3.0, 4.0, 5.0], 1), (1004, [3.0], 0), (1005, [7.0], 0)]
+    d = spark.createDataFrame([(*r, "clash", 7) for r in data], VECTORS + ", n_links string, component_id int").repartition(3)
+    part = [(i, np.array(v, float), c) for i, v, c in data if v is not None and c is not None and None not in v and np.isfinite(v).all() and any(v)]
+    want = plain_links(part)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.dedup(d).collect()}
+    assert got == {i: want.get(i, (0, i)) for i, _, _ in data}
+    assert got[1001] == (2, 1000) and got[1004] == (1, 1004)
+
+
 def test_neardup(spark):
     data = vectors()
     d = spark.createDataFrame(data, VECTORS).repartition(3)
