@@ -349,7 +349,8 @@ def _inner(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def moved(edges: DataFrame, vertices: DataFrame, resolution: float = 1.0, rounds: int = 12) -> DataFrame:
     """(id, community): each vertex starts alone; in each round half of them, by a hash, go to the neighbouring community that
-    raises modularity most, if any does. Two rounds without a move end it, or so many rounds. Loops count in strengths only.
+    raises modularity most, if any does. Two rounds in which a thousandth of the vertices at most moves end it, or so many rounds.
+    Loops count in strengths only.
     A community is named after its smallest member."""
     e = cut(both_ways(edges.where("src <> dst")))
     ends = e.select(F.col("src").alias("id"), "weight").union(edges.where("src = dst").select(F.col("src").alias("id"), 2 * F.col("weight")))
@@ -372,7 +373,8 @@ def moved(edges: DataFrame, vertices: DataFrame, resolution: float = 1.0, rounds
         best = each.groupBy("id").agg(F.min(option).alias("any"), F.min(F.when(~apart, option)).alias("safe"), F.max(F.when(mine, F.col("size") == 1)).alias("alone"))
         best = best.select("id", F.when(F.col("alone"), F.col("safe.community")).otherwise(F.col("any.community")).alias("to"))
         new = cut(labels.join(best, "id", "left").select("id", F.coalesce("to", "community").alias("community"), "k", (F.col("to") != F.col("community")).alias("went")))
-        still = 0 if new.where("went").take(1) else still + 1
+        went = new.agg(F.count_if("went").alias("went"), F.count("*").alias("n")).first()
+        still = still + 1 if went.went * 1000 <= went.n else 0
         labels = new.drop("went")
         if still == 2:
             break

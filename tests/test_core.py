@@ -413,7 +413,7 @@ def test_search_of_one_query_is_that_of_a_batch(spark, tmp_path):
     e.ingest(docs)
     asked = {"a": "castles kingdoms", "b": "rainforests monkeys", "c": "quantum castles overview"}
     ask = lambda names: spark.createDataFrame([(n, asked[n]) for n in names], "query_id string, query string")
-    for name in ("simple", "naive", "local", "global", "drift", "hybrid", "mix"):
+    for name in ("simple", "local", "global", "mix"):
         got = lambda q: sorted((r.query_id, r["rank"], r.source, round(r.score, 9)) for r in e.search(name, q, 5).collect())  # noqa: B023, E731
         assert [r for r in got(ask("abc")) if r[0] == "a"] == got(ask("a")), name
     assert not [r for r in e.search("local", ["castles"], 20).collect() if "monkeys" in r.content]
