@@ -312,7 +312,7 @@ def links(scratch: Scratch, docs: DataFrame, id: str, text: str, k: int = SHINGL
     # The matrix of tokens, bands of sizes and groups, with the earliest place of the token and the sizes of the members.
     # Of two sets the larger, of n, asks; m, the smaller, is at least ceil(t n), and need(n, m) <= n - p bounds it from above.
     of = scratch.table(grouped(postings).withColumn("band", _band(F.col("n"))))
-    extent = scratch.table(of.groupBy("g", "band").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    extent = scratch.table(of.groupBy("g", "band").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("k").alias("one"), (F.min("k") != F.max("k")).alias("several")))
     matrix = of.groupBy("t", "band", "g").agg(F.min("p").alias("mp"), F.min("n").alias("least"), F.max("n").alias("most"))
     n, p, most = F.col("n"), F.col("p"), F.col("most")
     low, high = F.ceil(n * t / 100.0), F.least(n.cast("long"), F.floor((100 + t) * (n - p) / t) - n)
@@ -321,19 +321,25 @@ def links(scratch: Scratch, docs: DataFrame, id: str, text: str, k: int = SHINGL
     top = F.least(most, F.col("high"))
     met = ask.join(matrix, ["t", "band"]).where((F.col("own") != F.col("g")) & (F.col("least") <= F.col("high")) & (most >= F.col("low")) & (F.col("mp") <= top - _need(n, top, t)) & (p <= n - _need(n, F.greatest("least", "low"), t)))
     met = scratch.table(met.select("k", "n", "p", "t", "band", "g"))
-    # The bound: the tokens shared with a group's union, and what is beyond the first tokens of one of the two.
+    # The bound: the tokens shared with a group's union, and what is beyond the first tokens of one of the two. A group of one
+    # class is that class, and its bound is the comparison itself.
     rest = lambda x: F.ceil(x * t / 100.0) - 1
-    asked = met.select("k", "n", "band", "g").distinct().join(of.select("k", "t"), "k")
-    sums = asked.join(of.select("t", "band", "g").distinct(), ["t", "band", "g"]).groupBy("k", "n", "band", "g").agg(F.count("*").alias("shared"))
-    open_ = sums.join(extent, ["g", "band"]).where(F.col("shared") + F.greatest(rest(n), rest(most)) >= _need(n, F.greatest("least", F.ceil(n * t / 100.0)), t)).select("k", "band", "g")
+    asked = scratch.table(met.select("k", "n", "band", "g").distinct().join(extent, ["g", "band"]))
+    alone = asked.where("not several").select("k", "n", F.col("one").alias("s"), F.col("least").alias("m"))
+    sums = asked.where("several").select("k", "n", "band", "g", "least", "most").join(of.select("k", "t"), "k").join(of.select("t", "band", "g").distinct(), ["t", "band", "g"])
+    sums = sums.groupBy("k", "n", "band", "g", "least", "most").agg(F.count("*").alias("shared"))
+    open_ = sums.where(F.col("shared") + F.greatest(rest(n), rest(most)) >= _need(n, F.greatest("least", F.ceil(n * t / 100.0)), t)).select("k", "band", "g")
     # Of a group that is opened, the members that have the token early enough.
     members = of.select("t", "band", "g", F.col("k").alias("s"), F.col("n").alias("m"), F.col("p").alias("sp"))
     need = _need(F.col("n"), F.col("m"), t)
     opened = met.join(open_, ["k", "band", "g"]).join(members, ["t", "band", "g"]).where(like(F.col("n"), F.col("m")) & (F.col("m") <= F.col("n")) & (F.col("p") <= F.col("n") - need) & (F.col("sp") <= F.col("m") - need))
-    opened = scratch.table(opened.select("k", "n", "s", "m").distinct())
-    shared = opened.join(postings.select("k", "t"), "k").join(postings.select(F.col("k").alias("s"), "t"), ["s", "t"]).groupBy("k", "n", "s", "m").agg(F.count("*").alias("shared"))
+    opened = scratch.table(opened.select("k", "n", "s", "m").union(alone).distinct())
+    # What a pair shares of the first tokens, which several groups have, as it is of different groups: one row for each pair.
+    first = scratch.table(of.join(opened.select(F.explode(F.array("k", "s")).alias("k")).distinct(), "k", "left_semi").groupBy("k").agg(F.collect_set("t").alias("ts")))
+    both = opened.join(first, "k").withColumnRenamed("ts", "x").join(first.select(F.col("k").alias("s"), F.col("ts").alias("y")), "s")
+    shared = both.select("k", "n", "s", "m", F.size(F.array_intersect("x", "y")).alias("shared"))
     compare(shared.where(F.col("shared") + rest(F.greatest("n", "m")) >= _need(F.col("n"), F.col("m"), t)).select(*pair("k", "s")).distinct())
-    scratch.drop(postings, of, extent, met, opened)
+    scratch.drop(postings, of, extent, asked, met, opened, first)
     none = scratch.spark.createDataFrame([], "node long, component long")
     return summary, none if groups is None else groups
 
@@ -356,9 +362,10 @@ def distinct(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = S
     """The rows of docs that stay when one document of each group does: that with the smallest id, and one of rows that say
     the same. Rows without words or without an id stay."""
     found = join(docs, id, text, k, t)
-    stay = found.where((F.col("n_shingles") > 0) & (F.col(id) == F.col("component_id"))).groupBy(F.col(id).alias("__id")).agg(F.min("row").alias("__row"))
-    d = docs.withColumn("__h", F.xxhash64(text))
-    one = d.join(stay, (F.col(id) == F.col("__id")) & (F.col("__h") == F.col("__row"))).dropDuplicates(["__id"]).select(*docs.columns)
+    stay = found.where((F.col("n_shingles") > 0) & (F.col(id) == F.col("component_id"))).groupBy(F.col(id).alias("id")).agg(F.min("row").alias("row"))
+    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id).alias("id"), F.xxhash64(text).alias("row"))
+    # Of rows that say the same, whose other columns may differ, that with the smallest hash.
+    one = d.join(stay, ["id", "row"]).groupBy("id").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc.*")
     alone = docs.where(F.col(id).isNull() | F.coalesce(F.col(text), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$"))
     return one.unionByName(alone)
 
