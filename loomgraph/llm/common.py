@@ -9,23 +9,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once in a Python worker; a longer text is one chunk of its own.
 CHUNK_BYTES = 1 << 20
 #: Bytes of one Arrow batch that goes to a Python worker, where the session doesn't say: rows alone don't bound long texts.
-BATCH_BYTES, _BATCH_KEY = "4MB", "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, _BATCH_KEY, _DEFAULT = "4MB", "spark.sql.execution.arrow.maxBytesPerBatch", ("64MB", "67108864b")
 
 
 # --- Python workers ---------------------------------------------------------------------------------------------------
 
-_asked: set[str] = set()
-
-
 def _release() -> None:
     """Gives back what a task has freed; workers are used again by later stages."""
-    _pow.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
     if trim:
@@ -42,9 +39,8 @@ def in_arrow(df: DataFrame, work: Callable, schema) -> DataFrame:
             _release()
 
     conf = df.sparkSession.conf
-    if df.sparkSession.sparkContext.getConf().get(_BATCH_KEY, None) is None and df.sparkSession.sparkContext.applicationId not in _asked:
+    if conf.get(_BATCH_KEY) in _DEFAULT:  # a session that says otherwise keeps what it says
         conf.set(_BATCH_KEY, BATCH_BYTES)
-        _asked.add(df.sparkSession.sparkContext.applicationId)
     return df.mapInArrow(run, schema)
 
 
@@ -91,25 +87,11 @@ class Scratch:
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
-_rng = np.random.default_rng(20240229)
-_T = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_T_LOWER = _T[_LOWER]
-_B = np.uint64(0x9E3779B97F4A7C13 | 3)
-_B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
-_pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    size = 1 << max(CHUNK_BYTES.bit_length() - 1, max(1, int(n) - 1).bit_length())
-    if size not in _pow:
-        _pow.clear()  # one pair of tables at a time: 32 MB, but for texts that are longer than a chunk
-        up, down = np.full(size, _B), np.full(size, _B_INV)
-        up[0] = down[0] = 1
-        _pow[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _pow[size]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word that are hashed with those of all other words at once; longer words are hashed one by one.
+_AT_ONCE = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,6 +104,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _chain(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each byte range: its 8-byte blocks go one after the other through mix(), so that, unlike with a polynomial,
+    no family of strings is known to collide; two given ones do with a chance of 2**-64."""
+    h = mix(size.astype(np.uint64) * _ODD)
+    blocks = np.lib.stride_tricks.as_strided(np.append(buf, np.zeros(8, np.uint8)), (len(buf) + 1, 8), (1, 1))
+    todo, at = np.arange(len(start)), 0
+    long = np.flatnonzero(size > _AT_ONCE)
+    for i in long.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(buf[start[i] : start[i] + size[i]].tobytes())
+    if len(long):
+        todo = np.flatnonzero(size <= _AT_ONCE)
+    while len(todo):
+        left = size[todo] - at
+        block = np.ascontiguousarray(blocks[start[todo] + at]).view("<u8")[:, 0]
+        block &= _FULL >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64))
+        h[todo] = mix((h[todo] ^ block) * _ODD + np.uint64(at + 1))
+        todo = todo[left > 8]
+        at += 8
+    return h
+
+
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def follow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of a followed by b."""
+    return mix(a * _ODD + mix(b ^ np.uint64(0xD1B54A32D192ED03)))
+
+
 class Words:
     """The words [^\\x20\\x09-\\x0D]+ of several texts: byte ranges, the text each belongs to, and a 64-bit hash of each."""
 
@@ -142,26 +153,25 @@ class Words:
         self.count = np.bincount(self.doc, minlength=self.docs)
         self.first = np.concatenate(([0], np.cumsum(self.count)))
         if hashed:
-            up, down = _powers(n)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((_T_LOWER if lower else _T)[buf] * up[:n], out=total[1:])
-            self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+            self.hash = _chain(_LOWER[buf] if lower else buf, self.start, self.end - self.start)
 
     def grams(self, k: int, seed: int = 0) -> np.ndarray:
-        """A hash of the k words from each word on; those that run over the end of a text have no meaning (see inside())."""
+        """A hash of the k words from each word on; those that run over the end of a text have no meaning (see inside()). Hashes
+        of 1, 2, 4, ... words are chained, so k costs its logarithm. Other seeds give hashes that say nothing of one another."""
         w = mix(self.hash + np.uint64(0x9E3779B97F4A7C15 * (seed + 1) % 2**64)) if seed else self.hash
         m = len(w) - k + 1
         if m <= 0:
             return np.empty(0, np.uint64)
-        if k <= 8:
-            acc = w[:m].copy()
-            for j in range(1, k):
-                acc = acc * _B + w[j : j + m]
-            return mix(acc)
-        up, down = _powers(len(w))
-        total = np.zeros(len(w) + 1, np.uint64)
-        np.cumsum(w * up[: len(w)], out=total[1:])
-        return mix((total[k:] - total[:-k]) * down[:m])
+        done, acc, width = 0, None, 1
+        while True:
+            if k & width:
+                part = w[done : done + m]
+                acc = part if acc is None else follow(acc, part)
+                done += width
+            if done == k:
+                return mix(acc + np.uint64(k))
+            w = follow(w[:-width], w[width:])
+            width *= 2
 
     def inside(self, k: int) -> np.ndarray:
         """Which starts have all their k words in one text."""

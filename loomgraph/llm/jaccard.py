@@ -20,6 +20,10 @@ are exact.
 How frequent a token is bears on speed alone. All tokens of all documents are counted, by codes of 32 bits in each part;
 the number of frequent ones whose grades are sent to the tasks is bounded by raising the limit of frequency.
 
+Hashes. Words, shingles and sets are known by 64-bit hashes that chain mixed blocks. Sets that share a key are told apart by a
+second one of 64 bits, and then all keys are formed anew; so classes err with a chance of 2**-128 a pair. Shingles aren't
+compared as strings: two that share a hash (2**-64 a pair) count as one in the sets that hold them.
+
 Cases. Null or empty text: an empty set, linked with nothing. Fewer than 5 words: one shingle of the whole sequence. Null
 id: linked with nothing, component null. Repeated rows are equal sets and so linked. Texts are used whole.
 """
@@ -37,6 +41,8 @@ SHINGLE, THRESHOLD = 5, 75
 #: Tokens of FREQUENT documents or more come later in the order, by doublings; FREQUENT itself doubles until there are at
 #: most LISTED of them.
 FREQUENT, LISTED = 4, 2_000_000
+#: The seed of the keys that prove those of classes; no other seed comes near it.
+_PROOF = 1 << 40
 #: Rounds in which groups grow before the exact one, and bands of sizes to a factor of e.
 ROUNDS, BANDS = 2, 20
 #: Tokens that one part counts, on average, and that a task gathers before it sends them.
@@ -67,19 +73,20 @@ def shingles(texts: pa.Array, k: int = SHINGLE):
         yield first, w.docs, h[new], doc[new], w.count
 
 
-def _keys(h: np.ndarray, doc: np.ndarray, docs: int):
-    """A 64-bit key of each row's set, and its size."""
+def _keys(h: np.ndarray, doc: np.ndarray, docs: int, seed: int):
+    """A 64-bit key of each row's set, which another seed gives anew, and its size."""
     n = np.bincount(doc, minlength=docs)
     ends = np.concatenate(([0], np.cumsum(n)))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(1)))))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(2 * seed + 1)))))
     return mix((total[ends[1:]] - total[ends[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)), n, ends
 
 
-def _summaries(batches, k: int):
+def _summaries(batches, k: int, seed: int):
     for batch in batches:
         for first, docs, h, doc, _ in shingles(batch.column(1), k):
-            key, n, _ = _keys(h, doc, docs)
-            yield pa.record_batch([batch.column(0).slice(first, docs), batch.column(2).slice(first, docs), pa.array(n.astype(np.int64)), pa.array(as_long(key))], names=["id", "row", "n", "k"])
+            key, n, _ = _keys(h, doc, docs, seed)
+            proof = _keys(h, doc, docs, _PROOF)[0]
+            yield pa.record_batch([batch.column(0).slice(first, docs), batch.column(2).slice(first, docs), pa.array(n.astype(np.int64)), pa.array(as_long(key)), pa.array(as_long(proof))], names=["id", "row", "n", "k", "proof"])
 
 
 def _codes(batches, k: int, bits: int):
@@ -130,7 +137,7 @@ def _frequent(batches, least: int):
         yield pa.record_batch({"code": pa.array(as_long(c)), "n": pa.array(n.astype(np.int64))})
 
 
-def _prefixes(batches, k: int, parts: int, bits: int, frequent: np.ndarray, grade: np.ndarray, t: int):
+def _prefixes(batches, k: int, seed: int, parts: int, bits: int, frequent: np.ndarray, grade: np.ndarray, t: int):
     """The first tokens of each set in the common order, packed for each part: classes, sizes, shares of rare tokens (in
     thousandths), counts, places, tokens."""
     held, size = [], 0
@@ -159,7 +166,7 @@ def _prefixes(batches, k: int, parts: int, bits: int, frequent: np.ndarray, grad
 
     for batch in batches:
         for _, docs, h, doc, _ in shingles(batch.column(0), k):
-            key, n, ends = _keys(h, doc, docs)
+            key, n, ends = _keys(h, doc, docs, seed)
             late = np.zeros(len(h), np.uint8)
             if len(frequent):
                 code = h >> np.uint64(32 - bits)
@@ -209,10 +216,10 @@ def _postings(batches):
         yield pa.record_batch({"t": pa.array(as_long(tok)), "k": pa.array(key[doc]), "n": pa.array(n[doc]), "p": pa.array(place), "rare": pa.array(rare[doc])})
 
 
-def _sets(batches, k: int):
+def _sets(batches, k: int, seed: int):
     for batch in batches:
         for first, docs, h, doc, _ in shingles(batch.column(0), k):
-            key, n, ends = _keys(h, doc, docs)
+            key, n, ends = _keys(h, doc, docs, seed)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(as_long(h)))
             yield pa.record_batch({"k": pa.array(as_long(key)), "set": lists})
 
@@ -238,17 +245,23 @@ def _promising(shared, n, m, t: int):
     return shared + F.least(n, m) * t / 100.0 + 2 >= _need(n, m, t)
 
 
-def _fetch(scratch: Scratch, d: DataFrame, reps: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def _fetch(scratch: Scratch, d: DataFrame, reps: DataFrame, classes: DataFrame, k: int, seed: int) -> DataFrame:
     """(k, set) of the classes, from the text of the document that stands for each."""
     ids = scratch.table(reps.join(classes.distinct(), "k").select("id").distinct())
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return scratch.table(d.join(ids, "id").select("text").transform(in_arrow, lambda b: _sets(b, k), "k long, set array<long>"))
+    return scratch.table(d.join(ids, "id").select("text").transform(in_arrow, lambda b: _sets(b, k, seed), "k long, set array<long>"))
 
 
 def links(scratch: Scratch, docs: DataFrame, id: str, text: str, k: int = SHINGLE, t: int = THRESHOLD):
     """(summary(id, row, n, k), components(node, component) of classes) of all rows."""
     d = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
-    summary = scratch.table(d.transform(in_arrow, lambda b: _summaries(b, k), d.select("id", "row").schema.add("n", "long").add("k", "long")))
+    seed = 0
+    while True:
+        summary = scratch.table(d.transform(in_arrow, lambda b, seed=seed: _summaries(b, k, seed), d.select("id", "row").schema.add("n", "long").add("k", "long").add("proof", "long")))
+        if not summary.groupBy("k").agg(F.min("proof").alias("a"), F.max("proof").alias("b")).where("a <> b").take(1):
+            break
+        seed += 1  # two sets share a key: all keys anew, by the next seed
+        scratch.drop(summary)
     total = summary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     body = d.where("id is not null").select("text")
 
@@ -262,7 +275,7 @@ def links(scratch: Scratch, docs: DataFrame, id: str, text: str, k: int = SHINGL
     frequent, grade = listed["code"].to_numpy().view(np.uint64), np.frexp(listed["n"].to_numpy().astype(float))[1].astype(np.uint8)
 
     parts = max(8, int(-(-total // (4 * PART))) * 2)
-    blobs = body.transform(in_arrow, lambda b: _prefixes(b, k, parts, bits, frequent, grade, t), "part int, k binary, n binary, rare binary, counts binary, places binary, tokens binary")
+    blobs = body.transform(in_arrow, lambda b: _prefixes(b, k, seed, parts, bits, frequent, grade, t), "part int, k binary, n binary, rare binary, counts binary, places binary, tokens binary")
     postings = scratch.table(blobs.repartition(parts, "part").sortWithinPartitions("part").transform(in_arrow, _postings, "t long, k long, n int, p int, rare short"))
     scratch.drop(often)
 
@@ -278,7 +291,7 @@ def links(scratch: Scratch, docs: DataFrame, id: str, text: str, k: int = SHINGL
         if not new.take(1):
             tested = tested or new
             return False
-        sets = _fetch(scratch, d, reps, new.select(F.explode(F.array("a", "b")).alias("k")), k)
+        sets = _fetch(scratch, d, reps, new.select(F.explode(F.array("a", "b")).alias("k")), k, seed)
         linked = scratch.table(_check(new, sets, t))
         scratch.drop(sets)
         tested = new if tested is None else tested.union(new)
@@ -363,9 +376,10 @@ def distinct(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = S
     the same. Rows without words or without an id stay."""
     found = join(docs, id, text, k, t)
     stay = found.where((F.col("n_shingles") > 0) & (F.col(id) == F.col("component_id"))).groupBy(F.col(id).alias("id")).agg(F.min("row").alias("row"))
-    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id).alias("id"), F.xxhash64(text).alias("row"))
-    # Of rows that say the same, whose other columns may differ, that with the smallest hash.
-    one = d.join(stay, ["id", "row"]).groupBy("id").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc.*")
+    # Of rows that say the same, whose other columns may differ, that with the smallest hash; maps are hashed by their entries.
+    parts = [F.array_sort(F.map_entries(c)) if kind.startswith("map<") else F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else F.col(c) for c, kind in docs.dtypes]
+    d = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id).alias("id"), F.xxhash64(text).alias("row"), F.xxhash64(*parts).alias("all"))
+    one = d.join(stay, ["id", "row"]).groupBy("id").agg(F.min_by("doc", "all").alias("doc")).select("doc.*")
     alone = docs.where(F.col(id).isNull() | F.coalesce(F.col(text), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$"))
     return one.unionByName(alone)
 

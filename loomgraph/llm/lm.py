@@ -2,7 +2,9 @@
 
 Method. Maximum-likelihood estimates of bigrams, unigrams and a uniform distribution are mixed; the mixture weights depend
 on how often the context occurred in training (buckets of powers of two) and are learned by expectation-maximisation on
-the counts of held-out documents. The model knows every word of the training texts, the end of a text (which is also the
+held-out counts: a second hash sets one in FIT training documents aside, whose events are measured by the counts of the other
+training documents. Scores then use the counts of all training documents. Nothing is learned from the documents that the
+contract holds out (crc32 mod folds = 0). Rates are rounded to an eighth of a doubling in the fit, and only there. The model knows every word of the training texts, the end of a text (which is also the
 context of its first word) and one unknown word, so the probabilities of all texts sum to at most one.
 
 What is gathered. Word counts over all training texts; bigram counts over all of them, of any words; held-out counts over
@@ -22,6 +24,7 @@ as they occur, each scored. With no training text, everything is as likely as in
 from __future__ import annotations
 
 import contextlib
+import copy
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import Scratch, Words, as_long, chunks, in_arrow, mix
 
 VOCABULARY, HOT, BUCKETS = 65_000, 512, 40
+#: One in so many training documents, by a hash of id and text, has its events explained by the others when weights are learned.
+FIT = 10
 #: Occurrences that one part of the key space counts, on average, and that a task gathers before it sends them.
 PART, GATHERED = 3_000_000, 2_000_000
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text among the words' hashes
@@ -54,33 +59,38 @@ def _flat(batch, k: int) -> np.ndarray:
 
 
 def _count_words(batches):
-    """Counts of tokens, merged over the whole task as far as memory allows."""
+    """(h, c, f): counts of tokens, and those of them in documents set aside, merged over the whole task as far as memory
+    allows. Batches: text, whether it is set aside."""
     held, size = [], 0
 
     def merged():
-        h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-        return h, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+        h, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        return h, *(np.bincount(at, np.concatenate([x[i] for x in held]), len(h)).astype(np.int64) for i in (1, 2))
+
+    def out(h, c, f):
+        return pa.record_batch({"h": pa.array(as_long(h)), "c": pa.array(c), "f": pa.array(f)})
 
     for batch in batches:
-        for _, tokens, _ in _sequences(batch.column(0)):
-            held.append(np.unique(tokens, return_counts=True))
-            size += len(held[-1][0])
+        aside = _flat(batch, 1)
+        for first, tokens, doc in _sequences(batch.column(0)):
+            h, at, c = np.unique(tokens, return_inverse=True, return_counts=True)
+            held.append((h, c, np.bincount(at, aside[first + doc], len(h))))
+            size += len(h)
             if size > 3_000_000:
                 held = [merged()]
                 size = len(held[0][0])
                 if size > 2_000_000:
-                    yield pa.record_batch({"h": pa.array(as_long(held[0][0])), "c": pa.array(held[0][1])})
+                    yield out(*held[0])
                     held, size = [], 0
     if held:
-        h, n = merged()
-        yield pa.record_batch({"h": pa.array(as_long(h)), "c": pa.array(n)})
+        yield out(*merged())
 
 
 class Classes:
     """The cached words: their hashes sorted, with ids by rank. Ids: 0.. by falling count, then one that says not cached."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        order = np.lexsort((hashes, -counts))
+        self.order = order = np.lexsort((hashes, -counts))
         hashes, self.counts = hashes[order], counts[order]
         by = np.argsort(hashes)
         self.sorted, self.id = hashes[by], by.astype(np.uint32)
@@ -89,6 +99,12 @@ class Classes:
         self.end = int(self.of(np.array([END]))[0])
         self.uniform = 1 / (max(1, distinct) + 1)  # all words, the end, and one unknown word
 
+    def without(self, counts: np.ndarray, total: int) -> Classes:
+        """The same words with the counts that are left without the documents set aside. counts: theirs, by id."""
+        left = copy.copy(self)
+        left.counts, left.total = self.counts - counts, self.total - total
+        return left
+
     def of(self, tokens: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.sorted, tokens), len(self.sorted) - 1)
         return np.where(self.sorted[at] == tokens, self.id[at], np.uint32(self.other))
@@ -116,30 +132,34 @@ class Classes:
 
 
 def _hot_pairs(batches, k: Classes):
-    """Counts of the pairs of HOT classes in training texts: a table of HOT squared numbers for each task."""
-    sums = np.zeros(HOT * HOT, np.int64)
+    """(cell, c, f): counts of the pairs of HOT classes in training texts, and those in documents set aside: two tables of HOT
+    squared numbers for each task."""
+    sums = np.zeros((2, HOT * HOT), np.int64)
     for batch in batches:
-        for _, tokens, doc in _sequences(batch.column(0)):
+        aside = _flat(batch, 1)
+        for first, tokens, doc in _sequences(batch.column(0)):
             pair = k.pairs(k.of(tokens), doc)
             a, b = pair >> np.uint32(16), pair & np.uint32(0xFFFF)
             hot = (a < HOT) & (b < HOT) & (a != k.other) & (b != k.other)
-            sums += np.bincount(a[hot].astype(np.int64) * HOT + b[hot], minlength=HOT * HOT)
-    cell = np.flatnonzero(sums)
-    yield pa.record_batch({"cell": pa.array(cell.astype(np.int32)), "c": pa.array(sums[cell])})
+            cell = a[hot].astype(np.int64) * HOT + b[hot]
+            sums[0] += np.bincount(cell, minlength=HOT * HOT)
+            sums[1] += np.bincount(cell[aside[first + doc[hot]]], minlength=HOT * HOT)
+    cell = np.flatnonzero(sums[0])
+    yield pa.record_batch({"cell": pa.array(cell.astype(np.int32)), "c": pa.array(sums[0][cell]), "f": pa.array(sums[1][cell])})
 
 
 _STEPS = 8  # to a doubling, when rates are put into classes for expectation-maximisation
 
 
 def _grades(b, f2, f1, uniform):
-    """Held-out events with like rates, counted together."""
+    """Events of documents set aside with like rates, counted together."""
     with np.errstate(divide="ignore"):
         q = [np.where(f > 0, np.clip(np.round(np.log2(f / uniform) * _STEPS), -400, 400), -500).astype(np.int64) for f in (f2, f1)]
     return np.unique((b * 1000 + q[0] + 500) * 1000 + q[1] + 500, return_counts=True)
 
 
 def learn(grades: np.ndarray, count: np.ndarray, uniform: float) -> np.ndarray:
-    """(BUCKETS, 3) weights of bigram, unigram and uniform by expectation-maximisation; a bucket without held-out events
+    """(BUCKETS, 3) weights of bigram, unigram and uniform by expectation-maximisation; a bucket without such events
     has the weights of all events together."""
     b = grades // 1_000_000
     q = np.stack([grades // 1000 % 1000 - 500, grades % 1000 - 500], 1)
@@ -200,6 +220,7 @@ def _follow(batches, k: Classes, parts: int):
 
 
 def _follow_blobs(batches):
+    """Batches: part, word, its count."""
     for batch in batches:
         part, h, c = (_flat(batch, i) for i in range(3))
         for p in np.unique(part):
@@ -293,7 +314,10 @@ def _looked_up(part: list, k: Classes):
         known = [x for x in part if x[0] == FOLLOW]
         h, c = (np.frombuffer(b"".join(x[i] for x in known), t) for i, t in ((5, np.uint64), (4, np.int64)))
         follow = np.zeros(len(after), np.int64)
-        follow[np.searchsorted(after, h)] = c
+        if len(after):
+            place = np.minimum(np.searchsorted(after, h), len(after) - 1)
+            met = after[place] == h  # others follow a word of this part in other texts only
+            follow[place[met]] = c[met]
         yield *both, _counted(at2 * len(after) + to, both[3], both[2]), count[at2], follow[to], True
     if len(at3):
         yield *two, _counted(at3 * 65536 + a3, two[3], two[2]), k.counts[a3], count[at3], False
@@ -417,34 +441,39 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
     held = F.coalesce(F.crc32(F.col(id).cast("string")) % folds == 0, F.lit(False))
     train = F.col(id).isNotNull() & ~held
     kind = docs.schema[id].dataType.simpleString()
-    d = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(id), F.col(text)).alias("row"), train.alias("train"), F.col(id).alias("id"), held.alias("held"))
-    learn_from, body = d.where("train").select("text"), d.select("text", "row", "train")
+    row = F.xxhash64(F.col(id), F.col(text))
+    aside = F.pmod(F.xxhash64(row, F.lit("aside")), F.lit(FIT)) == 0
+    d = docs.select(F.col(text).alias("text"), row.alias("row"), train.alias("train"), F.col(id).alias("id"), held.alias("held"), aside.alias("aside"))
+    learn_from, body = d.where("train").select("text", "aside"), d.select("text", "row", "train")
 
-    words = scratch.table(learn_from.transform(in_arrow, _count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    words = scratch.table(learn_from.transform(in_arrow, _count_words, "h long, c long, f long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("f").alias("f")))
+    total, distinct, put_aside = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum("f"), F.lit(0))).first()
     end = int(as_long(np.array([END]))[0])
     top = words.where(F.col("h") != end).orderBy(F.desc("c"), "h").limit(min(vocabulary, VOCABULARY)).toArrow()  # at most VOCABULARY rows
-    ends = (words.where(F.col("h") == end).first() or [0, 0])[1]
+    _, ends, ends_aside = words.where(F.col("h") == end).first() or (end, 0, 0)
     k = Classes(np.append(top["h"].to_numpy(), end).astype(np.int64).view(np.uint64), np.append(top["c"].to_numpy(), ends).astype(np.int64), total, distinct)
-    hot = np.zeros(HOT * HOT, np.int64)
-    cells = learn_from.transform(in_arrow, lambda b: _hot_pairs(b, k), "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()  # HOT squared rows at most
+    left = k.without(np.append(top["f"].to_numpy(), ends_aside).astype(np.int64)[k.order], put_aside)
+    hot, hot_left = np.zeros(HOT * HOT, np.int64), np.zeros(HOT * HOT, np.int64)
+    cells = learn_from.transform(in_arrow, lambda b: _hot_pairs(b, k), "cell int, c long, f long").groupBy("cell").agg(F.sum("c").alias("c"), F.sum("f").alias("f")).toArrow()  # HOT squared rows at most
     hot[cells["cell"].to_numpy()] = cells["c"].to_numpy()
+    hot_left[cells["cell"].to_numpy()] = cells["c"].to_numpy() - cells["f"].to_numpy()
     parts = max(8, -(-total // PART))
 
-    follow = body.select("text").transform(in_arrow, lambda b: _follow(b, k, parts), "part int, h long").distinct().join(words, "h").select("part", "h", "c")
-    follow = scratch.table(follow.transform(in_arrow, _follow_blobs, _BLOBS))
+    follow = scratch.table(body.select("text").transform(in_arrow, lambda b: _follow(b, k, parts), "part int, h long").distinct().join(words, "h").select("part", "h", "c", "f"))
 
-    def sent(docs: DataFrame) -> DataFrame:
-        blobs = docs.transform(in_arrow, lambda b: _send(b, k, parts), _BLOBS).union(follow)
+    def sent(docs: DataFrame, count) -> DataFrame:
+        known = follow.select("part", "h", count).transform(in_arrow, _follow_blobs, _BLOBS)
+        blobs = docs.transform(in_arrow, lambda b: _send(b, k, parts), _BLOBS).union(known)
         return blobs.repartition(parts, "part").sortWithinPartitions("part", "kind")
 
     with _cleaning(spark):
-        graded = sent(d.where("train or held").select(*body.columns)).transform(in_arrow, lambda b: _grade_parts(b, k), "g long, n long")
-        graded = graded.union(d.where("held").select("text").transform(in_arrow, lambda b: _grade_hot(b, k, hot), "g long, n long"))
+        # Here a text counts as one learned from if it isn't set aside, and those set aside are what is to be explained.
+        graded = sent(d.where("train").select("text", "row", (~F.col("aside")).alias("train")), F.col("c") - F.col("f")).transform(in_arrow, lambda b: _grade_parts(b, left), "g long, n long")
+        graded = graded.union(d.where("train and aside").select("text").transform(in_arrow, lambda b: _grade_hot(b, left, hot_left), "g long, n long"))
         grades = graded.groupBy("g").agg(F.sum("n").alias("n")).toArrow()  # bounded: buckets and two grades of rates
     weights = learn(grades["g"].to_numpy(), grades["n"].to_numpy().astype(float), k.uniform) if total else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
 
-    replies = sent(body).transform(in_arrow, lambda b: _score_parts(b, k, weights), _REPLY)
+    replies = sent(body, F.col("c")).transform(in_arrow, lambda b: _score_parts(b, k, weights), _REPLY)
     sums = replies.repartition("sender").sortWithinPartitions("sender").transform(in_arrow, _summed, _SUMS)
     here = body.select("text", "row").transform(in_arrow, lambda b: _score_here(b, k, hot, weights), _SUMS)
     ids = d.select("row", "id", "held")

@@ -13,7 +13,8 @@ parted once more where a second minimiser changes, which makes its windows' buck
 aggregation with partial sums, with their least id: a passage that very many documents share goes to its bucket as often as it
 has different surroundings. What the bucket finds for a string is then joined to each place where the string stands.
 
-Windows in a bucket are sorted by 128-bit fingerprints, and windows taken for equal are then compared as strings.
+Windows in a bucket are sorted by 128-bit fingerprints, and windows taken for equal are then compared as strings; where a
+fingerprint stands for several strings, its windows are parted by the strings.
 
 Cases. Null or empty texts have no windows, as have those of fewer than 50 words. Rows with a null id are never compared
 and keep all. Rows with the same id are one document: they don't remove each other's words. Whole texts are used.
@@ -136,6 +137,21 @@ def _met(ids: np.ndarray, most: np.ndarray, packed: list[bytes], window: int):
     mine, first, least = start[order[dup]], start[head[dup]], ids[row[head[dup]]]
     text = buf.tobytes()
     same = np.array([text[a:b] == text[c:d] for a, b, c, d in zip(w.start[mine], w.end[mine + window - 1], w.start[first], w.end[first + window - 1], strict=True)], bool)
+    if not same.all():  # other windows have the fingerprint too: those groups are parted by the windows themselves
+        of = np.cumsum(new) - 1
+        odd = np.unique(of[dup[~same]])
+        rest = ~np.isin(of[dup], odd)
+        mine, least, same = mine[rest], least[rest], same[rest]
+        more: list[tuple[int, int]] = []
+        for g in odd.tolist():
+            firsts: dict[bytes, int] = {}
+            for x in order[group[g] : group[g + 1] if g + 1 < len(group) else len(order)].tolist():  # by rising ids
+                a = firsts.setdefault(text[w.start[start[x]] : w.end[start[x] + window - 1]], x)
+                if most[row[x]] > ids[row[a]]:
+                    more.append((start[x], ids[row[a]]))
+        if more:
+            mine, least = (np.append(y, np.array(z, y.dtype)) for y, z in zip((mine, least), zip(*more, strict=True), strict=True))
+            same = np.append(same, np.ones(len(more), bool))
     mine, least = mine[same], least[same]
     by = np.argsort(mine)
     mine, least = mine[by], least[by]
