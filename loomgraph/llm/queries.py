@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from loomgraph.llm import ann, bpe, jaccard, lines, lm, mixing, neardup, quality, secrets, substring
+from loomgraph.llm import ann, bpe, collocations, jaccard, lines, lm, mixing, neardup, quality, secrets, substring
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_classifier": quality.op1,
@@ -18,9 +18,11 @@ QUERIES: dict[str, Callable] = {
     "op8_embedding_near_dedup": neardup.op8,
     "op9_lm_scoring": lm.op9,
     "op10_ngram_jaccard_join": jaccard.op10,
+    "op11_phrase_collocations": collocations.op11,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op3_line_dedup": lines.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op11_phrase_collocations": collocations.OP11_SQL,
 }
