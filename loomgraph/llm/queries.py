@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from loomgraph.llm import ann, bpe, collocations, jaccard, lines, lm, mixing, neardup, quality, secrets, substring
+from loomgraph.llm import alignment, ann, bpe, collocations, jaccard, lines, lm, mixing, neardup, quality, secrets, substring
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_classifier": quality.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable] = {
     "op9_lm_scoring": lm.op9,
     "op10_ngram_jaccard_join": jaccard.op10,
     "op11_phrase_collocations": collocations.op11,
+    "op12_cross_tokenizer_alignment": alignment.op12,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
