@@ -1,7 +1,7 @@
 """Phrase collocation mining: weighted n-gram counts of distinct pieces, in DuckDB per hash bucket.
 
 Method. Texts are cut at punctuation into pieces; equal pieces of a language become one with a multiplicity, by partial sums.
-The n-grams of distinct pieces, weighted by that, are summed within a task and go to hash buckets by Spark's shuffle; in each
+The n-grams of distinct pieces, weighted by that, are summed within a task and go packed to hash buckets by Spark's shuffle; in each
 bucket DuckDB counts them out of core. Only n-grams that reach the least count are kept: parts of a phrase occur at least as
 often as the phrase, so every count that a score needs is among them. Candidates lie in parts by the hash of the phrase; a part
 sends one request for each distinct first part or rest that its phrases have, wherever how many of them share it, to where
@@ -19,10 +19,13 @@ aren't used, and further columns, whatever their names, neither. An empty table
 from __future__ import annotations
 
 import contextlib
+import itertools
+import math
 import tempfile
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -33,6 +36,9 @@ from loomgraph.llm.common import Scratch, chunks, in_arrow
 LEAST, LONGEST, TOP, COVERED = 10, 3, 2000, 50
 #: What a DuckDB within a task works in, bytes of pieces whose n-grams are summed before they are sent, and candidates of one part.
 MEMORY, GATHERED, PART = "192MB", 8 << 20, 250_000
+#: Characters of text whose n-grams make up one hash bucket, and how many buckets a task sends to at once at most: beyond, n-grams go
+#: to the square root of their number first and from there to each, so that what is packed together stays large.
+BUCKET, FAN = 8_000_000, 1024
 
 
 @contextlib.contextmanager
@@ -68,42 +74,81 @@ _PIECE = pa.schema([("lang", pa.string()), ("piece", pa.string()), ("m", pa.int6
 _GRAM = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
-def _ngrams(batches, longest: int):
-    """(lang, phrase, f): n-grams of some distinct pieces with their weights summed; the empty phrase has the number of words."""
+def _sent(found: pa.Table):
+    """(part, grams): the rows of each part, packed; found is sorted by part."""
+    part = found["part"].to_numpy()
+    grams = found.drop_columns(["part"]).combine_chunks()
+    cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
+        if i < j:
+            sink = pa.BufferOutputStream()
+            x = grams.slice(i, j - i)
+            with pa.ipc.new_stream(sink, x.schema, options=_PACKED) as out:
+                out.write_table(x, max_chunksize=65536)
+            yield pa.record_batch({"part": pa.array([part[i]], pa.int32()), "grams": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+_PACKED = pa.ipc.IpcWriteOptions(compression="zstd")
+
+
+def _parted(con, name: str, sql: str, parts: int, width: int, rows):
+    """Sums of the grams that sql gives from each of some tables, sent to the parts of their hashes, `width` to one."""
+    for table in rows:
+        con.register(name, table)
+        yield from _sent(con.sql(f"SELECT ((hash(lang, phrase) % {parts}) // {width})::INT AS part, lang, phrase, sum(f)::BIGINT AS f FROM ({sql}) GROUP BY ALL ORDER BY part").to_arrow_table())
+
+
+def _gathered(batches, limit: int):
+    """Tables of consecutive batches, of about `limit` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 16384):
+            part = batch.slice(at, 16384)
+            held.append(part)
+            size += part.nbytes
+            if size >= limit:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _ngrams(batches, longest: int, parts: int, width: int):
+    """The n-grams of distinct pieces, with their weights summed; the empty phrase has the number of words."""
     grams = ", ".join(f"list_transform(range(1, len(w) - {n - 2}), lambda i: {" || ' ' || ".join(f'w[i + {j}]' if j else 'w[i]' for j in range(n))})" for n in range(2, longest + 1))
     sql = f"""
         WITH p AS (SELECT lang, m, string_split(piece, ' ') AS w FROM pieces)
-        SELECT lang, phrase, sum(m)::BIGINT AS f FROM (SELECT lang, m, unnest(flatten([w, {grams}])) AS phrase FROM p) GROUP BY ALL
-        UNION ALL SELECT lang, '', sum(m * len(w))::BIGINT FROM p GROUP BY ALL"""
-
-    held, size = [], 0
+        SELECT lang, m AS f, unnest(flatten([w, {grams}])) AS phrase FROM p UNION ALL SELECT lang, m * len(w), '' FROM p"""
     with database() as con:
+        yield from _parted(con, "pieces", sql, parts, width, _gathered(batches, GATHERED))
+
+
+def _rows(batches):
+    """(part, packed grams) of a task's rows, sorted by part."""
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-        def counted():
-            con.register("pieces", pa.Table.from_batches(held))
-            for b in con.sql(sql).to_arrow_reader(65536):
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(b.columns, _GRAM, strict=True)], schema=_GRAM)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 16384):
-                part = batch.slice(at, 16384)
-                held.append(part)
-                size += part.get_total_buffer_size() * part.num_rows // max(1, batch.num_rows)
-                if size >= GATHERED:
-                    yield from counted()
-                    held, size = [], 0
-        if held:
-            yield from counted()
+def _opened(rows):
+    for _, x in rows:
+        with pa.ipc.open_stream(x) as grams:
+            yield from grams
+
+
+def _resent(batches, parts: int):
+    """What came to some parts together, sent on to each."""
+    with database() as con:
+        yield from _parted(con, "grams", "SELECT * FROM grams", parts, 1, _gathered(_opened(_rows(batches)), 4 * GATHERED))
 
 
 def _count(batches, least: int):
-    """Counts of the n-grams of one hash bucket that reach the least count, and the numbers of words."""
-    for first in batches:
+    """Counts of the n-grams of each hash bucket that reach the least count, and the numbers of words."""
+    for _, rows in itertools.groupby(_rows(batches), key=lambda r: r[0]):
         with database() as con:
-            con.register("grams", _reader(first, batches))
+            con.register("grams", pa.RecordBatchReader.from_batches(_GRAM, (b.cast(_GRAM) for b in _opened(rows))))
             sql = f"SELECT lang, phrase, sum(f)::BIGINT AS f FROM grams GROUP BY ALL HAVING sum(f) >= {least} OR phrase = ''"
             for b in con.sql(sql).to_arrow_reader(65536):
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(b.columns, _GRAM, strict=True)], schema=_GRAM)
+                yield b.cast(_GRAM)
 
 
 #: Rows that meet in a part: candidates, counts of parts of them, counts of the longer candidates that hold them.
@@ -133,7 +178,7 @@ def _scored(batches, top: int, covered: int):
             con.register("rows", _reader(first, batches))
             con.execute("INSERT INTO t SELECT * FROM rows")
             for b in con.sql(sql).to_arrow_reader(65536):
-                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(b.columns, _FOUND, strict=True)], schema=_FOUND)
+                yield b.cast(_FOUND)
 
 
 def _inside(phrase, n: int):
@@ -142,21 +187,27 @@ def _inside(phrase, n: int):
     return F.array(*[F.array_join(F.slice(w, i + 1, k), " ") for k in range(2, n) for i in range(n - k + 1)])
 
 
-def counts(scratch: Scratch, docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+def counts(scratch: Scratch, docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, fan: int = FAN) -> DataFrame:
     """(lang, phrase, f): how often each n-gram of up to `longest` words occurs within pieces, of those that reach `least`; for
     the empty phrase, the number of words of the language."""
     d = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    size = d.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = max(8, -(-size // BUCKET))
+    width = math.isqrt(parts) if parts > fan else 1
     pieces = d.transform(in_arrow, _pieces, "lang string, piece string, m long").groupBy("lang", "piece").agg(F.sum("m").alias("m"))
-    grams = pieces.transform(in_arrow, lambda b: _ngrams(b, longest), "lang string, phrase string, f long")
-    return scratch.table(grams.repartition("lang", "phrase").transform(in_arrow, lambda b: _count(b, least), "lang string, phrase string, f long"))
+    grams = pieces.transform(in_arrow, lambda b: _ngrams(b, longest, parts, width), "part int, grams binary")
+    if width > 1:
+        grams = grams.repartition(-(-parts // width), "part").transform(in_arrow, lambda b: _resent(b, parts), "part int, grams binary")
+    grams = grams.repartition(parts, "part").sortWithinPartitions("part")
+    return scratch.table(grams.transform(in_arrow, lambda b: _count(b, least), "lang string, phrase string, f long"))
 
 
 def collocations(
-    docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, top: int = TOP, covered: int = COVERED
+    docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, top: int = TOP, covered: int = COVERED, fan: int = FAN
 ) -> DataFrame:
     """The first `top` phrases of two to `longest` words of each language: lang, rank, phrase, a, l, r, n, score."""
     scratch = Scratch(docs.sparkSession, "collocations")
-    known = counts(scratch, docs, text, lang, longest, least)
+    known = counts(scratch, docs, text, lang, longest, least, fan)
     words = F.size(F.split("phrase", " "))
     found = known.where("phrase <> ''").withColumn("k", words)
     parts = max(8, -(-found.where("k > 1").count() // PART))
