@@ -87,8 +87,8 @@ class Scratch:
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of a word that are hashed with those of all other words at once; longer words are hashed one by one.
 _AT_ONCE = 64
@@ -104,7 +104,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _chain(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def byte_hash(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A hash of each byte range: its 8-byte blocks go one after the other through mix(), so that, unlike with a polynomial,
     no family of strings is known to collide; two given ones do with a chance of 2**-64."""
     h = mix(size.astype(np.uint64) * _ODD)
@@ -153,7 +153,7 @@ class Words:
         self.count = np.bincount(self.doc, minlength=self.docs)
         self.first = np.concatenate(([0], np.cumsum(self.count)))
         if hashed:
-            self.hash = _chain(_LOWER[buf] if lower else buf, self.start, self.end - self.start)
+            self.hash = byte_hash(LOWER[buf] if lower else buf, self.start, self.end - self.start)
 
     def grams(self, k: int, seed: int = 0) -> np.ndarray:
         """A hash of the k words from each word on; those that run over the end of a text have no meaning (see inside()). Hashes

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from loomgraph.llm import alignment, ann, bpe, collocations, jaccard, lines, lm, mixing, neardup, quality, secrets, substring
+from loomgraph.llm import alignment, ann, bpe, collocations, jaccard, lines, lm, mixing, neardup, quality, secrets, substring, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_classifier": quality.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable] = {
     "op10_ngram_jaccard_join": jaccard.op10,
     "op11_phrase_collocations": collocations.op11,
     "op12_cross_tokenizer_alignment": alignment.op12,
+    "op13_toxicity": toxicity.op13,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
