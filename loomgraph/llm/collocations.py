@@ -38,7 +38,7 @@ LEAST, LONGEST, TOP, COVERED = 10, 3, 2000, 50
 MEMORY, GATHERED, PART = "192MB", 8 << 20, 250_000
 #: Characters of text whose n-grams make up one hash bucket, and how many buckets a task sends to at once at most: beyond, n-grams go
 #: to the square root of their number first and from there to each, so that what is packed together stays large.
-BUCKET, FAN = 8_000_000, 1024
+BUCKET, FAN = 4_000_000, 1024
 
 
 @contextlib.contextmanager
@@ -95,7 +95,7 @@ def _parted(con, name: str, sql: str, parts: int, width: int, rows):
     """Sums of the grams that sql gives from each of some tables, sent to the parts of their hashes, `width` to one."""
     for table in rows:
         con.register(name, table)
-        yield from _sent(con.sql(f"SELECT ((hash(lang, phrase) % {parts}) // {width})::INT AS part, lang, phrase, sum(f)::BIGINT AS f FROM ({sql}) GROUP BY ALL ORDER BY part").to_arrow_table())
+        yield from _sent(con.sql(f"SELECT ((hash(lang, phrase) % {parts}) // {width})::INT AS part, lang, phrase, sum(f)::BIGINT AS f FROM ({sql}) GROUP BY ALL ORDER BY part, lang, phrase").to_arrow_table())
 
 
 def _gathered(batches, limit: int):
