@@ -311,8 +311,8 @@ def coarsen(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def communities(edges: DataFrame, vertices: DataFrame, resolution: float | None = 1.0, smallest: int = 3, levels: int = 5, rounds: int = 12) -> DataFrame:
-    """GRF-11, GRF-13, GRF-14: (level, id, community, parent): a hierarchy of communities by moves that raise modularity, the
-    same way at every size. Communities of fewer than `smallest` members join the neighbour they share most weight with. Levels
+    """GRF-11, GRF-13, GRF-14: (level, id, community, parent): a hierarchy of communities by moves that raise modularity, with a
+    refinement before each coarsening, the same way at every size. Every community hangs together. Communities of fewer than `smallest` members join the neighbour they share most weight with. Levels
     stop when the partition no longer changes. Without a resolution, the best of some is taken (GRF-12) for a graph of up to
     SWEPT vertices, else 1, as is the sweep's definition."""
     n = vertices.count()
@@ -325,7 +325,9 @@ def communities(edges: DataFrame, vertices: DataFrame, resolution: float | None
             break
         labels = moved(level_edges, level_nodes, resolution, rounds)
         if level == 0:
-            labels = merge_small(level_edges, labels, smallest)
+            labels = merge_small(level_edges, refined(level_edges, level_nodes, labels, resolution), smallest)
+        else:
+            labels = cut(hanging_together(level_edges, labels))
         parts = labels.select("community").distinct().count()
         if level and not 1 < parts < size:
             break
@@ -347,15 +349,45 @@ def _inner(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return e.groupBy(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
-def moved(edges: DataFrame, vertices: DataFrame, resolution: float = 1.0, rounds: int = 12) -> DataFrame:
-    """(id, community): each vertex starts alone; in each round half of them, by a hash, go to the neighbouring community that
+def hanging_together(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels(id, community) with communities that fall apart parted into their components, named after their smallest members. That
+    never lowers modularity: no weight inside is lost, and the strengths are split."""
+    return components(_within(edges, labels), labels).select("id", F.col("component").alias("community"))
+
+
+def _within(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edges whose ends share a community."""
+    a, b = labels.select(F.col("id").alias("src"), F.col("community").alias("p")), labels.select(F.col("id").alias("dst"), F.col("community").alias("q"))
+    return edges.join(a, "src").join(b, "dst").where("p = q").select("src", "dst", "weight")
+
+
+def refined(edges: DataFrame, vertices: DataFrame, labels: DataFrame, resolution: float = 1.0, rounds: int = 4) -> DataFrame:
+    """The refinement phase: inside each community, vertices start alone again and join only neighbours in it, by the gain that the
+    whole graph gives; what hangs together then moves as one vertex between the communities of labels. So a part that a community
+    took in early can leave it whole, which single vertices can't. The better of both partitions is kept; its communities hang
+    together."""
+    strength = both_ways(edges.where("src <> dst")).select(F.col("src").alias("id"), "weight").union(edges.where("src = dst").select(F.col("src").alias("id"), 2 * F.col("weight"))).groupBy("id").agg(F.sum("weight").alias("k"))
+    parts = cut(hanging_together(edges, moved(cut(_within(edges, labels)), vertices, resolution, rounds, strength=strength)))
+    start = parts.join(labels.withColumnRenamed("community", "start"), "id").groupBy(F.col("community").alias("id")).agg(F.min("start").alias("community"))
+    name = start.groupBy("community").agg(F.min("id").alias("name"))  # a community is named after a vertex of the coarse graph
+    start = cut(start.join(name, "community").select("id", F.col("name").alias("community")))
+    between = cut(_inner(edges, parts))
+    coarse = hanging_together(between, moved(between, start.select("id"), resolution, rounds, start=start))  # parts hang together, so theirs do
+    new = cut(parts.select("id", F.col("community").alias("part")).join(coarse.select(F.col("id").alias("part"), "community"), "part").select("id", "community"))
+    before, after = ((modularity(edges, x, resolution).first() or [0.0])[0] or 0.0 for x in (labels, new))
+    return new if after >= before else cut(hanging_together(edges, labels))
+
+
+def moved(edges: DataFrame, vertices: DataFrame, resolution: float = 1.0, rounds: int = 12, strength: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
+    """(id, community): each vertex starts alone, or where start(id, community) says, in a community named after a vertex; in each round half of them, by a hash, go to the neighbouring community that
     raises modularity most, if any does. Two rounds in which a thousandth of the vertices at most moves end it, or so many rounds.
-    Loops count in strengths only.
+    Loops count in strengths only; strength(id, k): the vertices' strengths, where edges aren't all that they have.
     A community is named after its smallest member."""
     e = cut(both_ways(edges.where("src <> dst")))
     ends = e.select(F.col("src").alias("id"), "weight").union(edges.where("src = dst").select(F.col("src").alias("id"), 2 * F.col("weight")))
-    strength = ends.groupBy("id").agg(F.sum("weight").alias("k"))
-    labels = cut(vertices.select("id").join(strength, "id", "left").select("id", F.col("id").alias("community"), F.coalesce("k", F.lit(0.0)).alias("k")))
+    strength = ends.groupBy("id").agg(F.sum("weight").alias("k")) if strength is None else strength
+    own = vertices.select("id", F.col("id").alias("community")) if start is None else start.select("id", "community")
+    labels = cut(own.join(strength, "id", "left").select("id", "community", F.coalesce("k", F.lit(0.0)).alias("k")))
     m2 = labels.agg(F.sum("k")).first()[0] or 1.0
     still = 0
     for r in range(rounds):

@@ -15,13 +15,15 @@ from loomgraph.operators.relational import grounding_gate, merge_claims, merge_i
 from loomgraph.operators.similarity import best_match
 from loomgraph.plans.chunking import chunk
 from loomgraph.plans.extract import Models, grounded
-from loomgraph.plans.strategies import search
+from loomgraph.plans.reports import bottom_up
+from loomgraph.plans.strategies import TEXTS, search
+from loomgraph.sources.inverted import InvertedIndex
 from loomgraph.sources.writers import Store
 from loomgraph.streaming import incremental as I
 
-STAGES = ("text_units", "entities", "edges", "claims", "communities", "reports", "vectors")
+STAGES = ("text_units", "entities", "edges", "claims", "communities", "reports", "vectors", "indexes")
 #: SNK-10: what is written at the same time; a phase's tables point to those of the phases before.
-PHASES = (("text_units",), ("entities", "edges"), ("claims", "communities"), ("reports",), ("vectors",))
+PHASES = (("text_units",), ("entities", "edges"), ("claims", "communities"), ("reports",), ("vectors",), ("indexes",))
 #: The tables that have vectors, and the column that is embedded.
 EMBEDDED = {"text_units": "text", "entities": "name", "reports": "full_content"}
 
@@ -49,6 +51,7 @@ class Engine:
         self.spark, self.store, self.models = spark, Store(spark, folder, suffix), models or Models()
         self.with_claims, self.gleanings, self.grounding, self.resolution, self.similar = claims, gleanings, grounding, resolution, similar
         self.metrics: dict[str, dict[str, float]] = {}
+        self._both: tuple[DataFrame, DataFrame] | None = None
 
     text_units = property(lambda self: self.store.read("text_units"))
     entities = property(lambda self: self.store.read("entities"))
@@ -63,10 +66,20 @@ class Engine:
     def vectors(self, kind: str) -> DataFrame | None:
         return self.store.read("vectors").where(F.col("kind") == kind).select("id", "embedding") if self.store.exists("vectors") else None
 
+    def index(self, kind: str) -> InvertedIndex | None:
+        """SCR-1: the stored index of a kind of rows, if there is one."""
+        found = InvertedIndex(self.store, f"words.{kind}")
+        return found if found.exists else None
+
     @property
     def labels(self) -> DataFrame:
         return self.store.read("communities").where("level = 0").select("id", "community")
 
+    @property
+    def members(self) -> DataFrame:
+        """(level, community_id, id) of all levels."""
+        return self.store.read("communities").select("level", F.col("community").alias("community_id"), "id")
+
     @property
     def relation_names(self) -> DataFrame:
         n = self.entities.select("id", "name")
@@ -80,11 +93,13 @@ class Engine:
         todo = I.resume(done, list(STAGES), start)
         if start and (lacking := self.store.verify([s for s in STAGES[: STAGES.index(start)] if s != "claims" or self.with_claims])):
             raise ValueError(f"{start} needs {lacking}")
+        self._both = None
         for s in todo:
             if s != "claims" or self.with_claims:
                 self._run(s, getattr(self, f"_{s}"), docs)
+        self._both = None
         self.store.replace("doc_status", I.registry(docs).withColumn("status", F.lit("processed")))
-        return self.store.counts()
+        return {n: self.store.read(n).count() for n in self.store.names() if "." not in n}
 
     def _run(self, stage: str, build, *args) -> None:
         """AGG-20: writes a stage's table and notes its rows, seconds and rows a second."""
@@ -112,11 +127,18 @@ class Engine:
     def _text_units(self, docs: DataFrame) -> DataFrame:
         return self._units(docs)
 
+    def _once(self) -> tuple[DataFrame, DataFrame]:
+        """Entities and edges of all text units, extracted once for both stages."""
+        if self._both is None:
+            ents, edges = self._extracted(self.text_units)
+            self._both = G.cut(ents), G.cut(edges)
+        return self._both
+
     def _entities(self, docs: DataFrame) -> DataFrame:
-        return self._extracted(self.text_units)[0]
+        return self._once()[0]
 
     def _edges(self, docs: DataFrame) -> DataFrame:
-        return self._extracted(self.text_units)[1]
+        return self._once()[1]
 
     def _claims(self, docs: DataFrame | None = None) -> DataFrame:
         return merge_claims(self.models.claims(self.text_units, self.entities))
@@ -125,8 +147,27 @@ class Engine:
         return G.communities(G.simple(_ends(self.edges)), self.entities.select("id"), self.resolution)
 
     def _reports(self, docs: DataFrame | None = None) -> DataFrame:
-        e = G.simple(_ends(self.edges))
-        return self.models.report(G.community_records(self.labels, e, self.entities), self.labels, self.entities)
+        return bottom_up(self.store.read("communities"), self.edges, self.entities, self.models.report)
+
+    def _texts(self, kind: str) -> DataFrame:
+        return getattr(self, kind).select("id", F.col(TEXTS[kind]).alias("text"))
+
+    def _indexes(self, before: dict[str, DataFrame] | None = None) -> DataFrame:
+        """SCR-1: the stored indexes, anew, or what became other since `before`(id, text)."""
+        kinds = [k for k in TEXTS if k != "claims" or self.has_claims]
+        for kind in kinds:
+            index, now = InvertedIndex(self.store, f"words.{kind}"), G.cut(self._texts(kind))
+            old = before.get(kind) if isinstance(before, dict) else None
+            if old is None or not index.exists:
+                index.build(now)
+                continue
+            same = (F.col("a.id") == F.col("b.id")) & F.col("a.text").eqNullSafe(F.col("b.text"))
+            gone, new = (G.cut(x.alias("a").join(y.alias("b"), same, "left_anti")) for x, y in ((old, now), (now, old)))
+            if not gone.isEmpty():
+                index.remove(gone)
+            if not new.isEmpty():
+                index.add(new)
+        return self.spark.createDataFrame([(k,) for k in kinds], "kind string")
 
     def _vectors(self, docs: DataFrame | None = None) -> DataFrame:
         out = None
@@ -140,13 +181,14 @@ class Engine:
         return I.diff(self.store.read("doc_status") if self.store.exists("doc_status") else now.limit(0), now)
 
     def update(self, docs: DataFrame) -> DataFrame:
-        """INC-*, SNK-11: indexes what is new or changed among docs, the whole corpus, and removes what is gone. Entities and edges
+        """INC-*, SNK-11: takes in what is new or changed among docs, the whole corpus, and removes what is gone. Entities and edges
         keep the text units of unchanged documents and gain those of the delta: ids of known entities stay (AGG-8), edges
         follow them (JN-4) and are weighed by the text units they have (AGG-9), and communities, reports, claims and vectors are
         built anew from the merged graph. Updating again changes nothing, and the tables are those of a full ingest."""
         changes = G.cut(self.diff(docs))
         if changes.where("change_type <> 'unchanged'").isEmpty():
             return changes
+        before = {k: G.cut(self._texts(k)) for k in TEXTS if k != "claims" or self.has_claims}
         delta = G.cut(self._units(I.to_process(docs, changes)))
         ents, edges = self._extracted(delta)
         left = changes.where(F.col("change_type").isin("changed", "deleted")).select(F.col("doc_id").cast("string").alias("document_id"))
@@ -164,7 +206,7 @@ class Engine:
         self.store.replace("edges", edges.select(self.edges.columns))
         for s in STAGES[3:]:
             if s != "claims" or self.with_claims:
-                self._run(s, getattr(self, f"_{s}"))
+                self._run(s, getattr(self, f"_{s}"), *([before] if s == "indexes" else []))
         self.store.replace("doc_status", I.registry(docs).withColumn("status", F.lit("processed")))
         return changes
 

@@ -3,16 +3,16 @@ model of one's own takes its place through Models."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.identity import content_hash, entity_id, relationship_id, stable_id, text_unit_id
 from loomgraph.functions.text import estimate_tokens, is_grounded, normalize_name, words
-from loomgraph.operators.relational import merge_extracted_edges, merge_extracted_entities, report_body, without_orphans
+from loomgraph.operators.relational import merge_extracted_edges, merge_extracted_entities, without_orphans
+from loomgraph.plans.reports import template
 
 
 def terms(units: DataFrame, least: int = 6) -> DataFrame:
@@ -83,18 +83,6 @@ def summarise(df: DataFrame, c: str = "description", above: int = 600, most: int
     return df.withColumn(c, F.when(estimate_tokens(c) > above, short).otherwise(F.col(c)))
 
 
-def reports(records: DataFrame, labels: DataFrame, entities: DataFrame, top: int = 10) -> DataFrame:
-    """LLM-7, CTX-5, PRJ-4, offline: for each community a report of its members with the most text units."""
-    w = Window.partitionBy("community").orderBy(F.desc(F.size("text_unit_ids")), "id")
-    m = labels.join(entities.select("id", "name", "text_unit_ids"), "id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= top)
-    m = m.groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "name", F.size("text_unit_ids").alias("n")))), lambda x: F.struct(x["name"].alias("summary"), F.concat(x["name"], F.lit(" occurs in "), x["n"].cast("string"), F.lit(" text units.")).alias("explanation"))).alias("findings"))
-    j = records.join(m, "community")
-    title = F.concat_ws(", ", F.transform(F.slice("findings", 1, 3), lambda x: x["summary"]))
-    rating = F.least(F.lit(10.0), F.round(F.log1p("rank"), 1))
-    summary = F.concat(F.lit("A group of "), F.col("size").cast("string"), F.lit(" entities around "), title, F.lit("."))
-    return j.select(stable_id(F.concat(F.lit("report:"), F.col("community"))).alias("id"), F.col("community").alias("community_id"), title.alias("name"), summary.alias("summary"), rating.alias("rating"), "rank", report_body(title, rating, F.lit("degree"), summary, F.col("findings")).alias("full_content"))
-
-
 def embed(df: DataFrame, text: str, dimension: int = 256) -> DataFrame:
     """EMB-1, VIS-1, offline: hashed word counts of unit length in a column embedding, computed once for each distinct text,
     in the JVM. Null and empty texts have a vector of zeros."""
@@ -121,31 +109,6 @@ def profile(docs: DataFrame, text: str = "text", n: int = 20) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(F.filter(words(F.col(text)), lambda x: F.length(x) > 5))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(n)
 
 
-def robust(call: Callable[[list[str]], list[str]], tries: int = 3) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """LLM-18: a model call for mapInPandas over (key, prompt): in batches; a batch that fails is tried item by item, with
-    growing pauses; an item that fails for good gives {} and keeps its place."""
-
-    def one(p: str) -> str:
-        import time
-
-        for i in range(tries):
-            try:
-                return call([p])[0]
-            except Exception:  # noqa: BLE001
-                time.sleep(0.05 * 2**i)
-        return "{}"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            try:
-                got = call(list(df["prompt"]))
-            except Exception:  # noqa: BLE001
-                got = [one(p) for p in df["prompt"]]
-            yield pd.DataFrame({"key": df["key"], "reply": got})
-
-    return run
-
-
 def translate(units: DataFrame, lexicon: dict[str, str] | None = None, source: str = "auto", target: str = "same") -> DataFrame:
     """LLM-5, offline: words of the text replaced by a lexicon's, as whole words in lower case; as they are when the target is
     the source or there is no lexicon, which is the operator's rule for equal languages."""
@@ -208,7 +171,7 @@ class Models:
     glean: Callable = glean
     claims: Callable = extract_claims
     summarise: Callable = summarise
-    report: Callable = reports
+    report: Callable = template
     embed: Callable = embed
     relevance: Callable = relevance_of
     answer: Callable = answer

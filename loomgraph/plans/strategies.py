@@ -47,11 +47,31 @@ def _results(best: DataFrame, table: DataFrame, bucket: str) -> DataFrame:
     return j.select("query_id", F.lit(bucket).alias("bucket"), F.concat(F.lit(bucket + ":"), F.col("id").cast("string")).alias("source"), "content", "score", F.col("id").cast("string").alias("id"))
 
 
-def lexical(table: DataFrame, queries: DataFrame, text: str, bucket: str, n: int = 20, id: str = "id", only: DataFrame | None = None) -> DataFrame:
-    """SCR-1 on one table. only: the rows that each query may find; weights of words are those of the whole table."""
-    t = table.select(F.col(id).alias("id"), F.col(text).alias("content"))
-    hit = _among(_bm25(t, queries), only)
-    return _results(top_per(hit, ["query_id"], [F.desc("score"), F.col("id")], n), t, bucket)
+#: What is searched: the column with the text of each kind.
+TEXTS = {"text_units": "text", "entities": "name", "reports": "full_content", "claims": "description", "relation_names": "name"}
+
+
+def _content(e, kind: str, best: DataFrame) -> DataFrame:
+    """(id, content) of what is shown; from a stored table, only where these rows may lie."""
+    text, store = TEXTS[kind], getattr(e, "store", None)
+    if store is not None and store.exists(kind):
+        return store.lookup(kind, best.select("id")).select("id", F.col(text).alias("content"))
+    return getattr(e, kind).select("id", F.col(text).alias("content"))
+
+
+def lexical(e, kind: str, queries: DataFrame, bucket: str, n: int = 20, only: DataFrame | None = None) -> DataFrame:
+    """SCR-1 on one kind of rows. only: the rows that each query may find; weights of words are those of the whole table."""
+    hit = cut(_said(e, kind, queries, n, only))
+    return _results(hit, _content(e, kind, hit), bucket)
+
+
+def _said(e, kind: str, queries: DataFrame, n: int, only: DataFrame | None) -> DataFrame:
+    """(query_id, id, score): the best n by words; from the stored index where there is one, else from the texts."""
+    index = e.index(kind) if hasattr(e, "index") else None
+    if index is not None:
+        return index.search(_asked(queries), n, only)
+    hit = _among(_bm25(getattr(e, kind).select("id", F.col(TEXTS[kind]).alias("content")), queries), only)
+    return top_per(hit, ["query_id"], [F.desc("score"), F.col("id")], n).select("query_id", "id", "score")
 
 
 def _bm25(t: DataFrame, queries: DataFrame) -> DataFrame:
@@ -60,12 +80,11 @@ def _bm25(t: DataFrame, queries: DataFrame) -> DataFrame:
     return R.bm25(R.postings(t, "id", "content", asked), lens, asked).select("query_id", F.col("doc").alias("id"), "score")
 
 
-def found(e, kind: str, table: DataFrame, queries: DataFrame, text: str, bucket: str, n: int = 20, only: DataFrame | None = None) -> DataFrame:
-    """SCR-3 on one table: words and vectors, each scaled for each query, weighted and summed. Without vectors, words alone."""
+def found(e, kind: str, queries: DataFrame, bucket: str, n: int = 20, only: DataFrame | None = None) -> DataFrame:
+    """SCR-3 on one kind of rows: words and vectors, each scaled for each query, weighted and summed. Without vectors, words alone."""
     vectors = e.vectors(kind)
-    t = table.select("id", F.col(text).alias("content"))
     if vectors is None:
-        return lexical(table, queries, text, bucket, n, only=only)
+        return lexical(e, kind, queries, bucket, n, only)
     asked = e.models.embed(queries.select("query_id", "query"), "query").select("query_id", F.col("embedding").alias("q"))
     if only is None:
         near = R.knn(vectors.select("id", F.col("embedding").alias("v")), asked, 4 * n)
@@ -73,22 +92,22 @@ def found(e, kind: str, table: DataFrame, queries: DataFrame, text: str, bucket:
         near = only.select("query_id", "id").distinct().join(vectors, "id").join(asked, "query_id").select("query_id", "id", R.cosine("embedding", "q").alias("score"))
         near = top_per(near.where("score is not null"), ["query_id"], [F.desc("score"), F.col("id")], 4 * n)
     near = near.where("score > 0").select("query_id", "id", "score")
-    said = top_per(_among(_bm25(t, queries), only), ["query_id"], [F.desc("score"), F.col("id")], 4 * n).select("query_id", "id", "score")
-    both = R.hybrid(said, near, BOTH)
-    return _results(top_per(both, ["query_id"], [F.desc("score"), F.col("id")], n), t, bucket)
+    both = R.hybrid(_said(e, kind, queries, 4 * n, only), near, BOTH)
+    best = cut(top_per(both, ["query_id"], [F.desc("score"), F.col("id")], n).select("query_id", "id", "score"))
+    return _results(best, _content(e, kind, best), bucket)
 
 
 def _claims(e, queries: DataFrame, n: int, only: DataFrame | None = None) -> list[DataFrame]:
     """FLT-10: the claims, where they are extracted; else nothing is searched."""
-    return [lexical(e.claims, queries, "description", "claims", n, only=only)] if e.has_claims else []
+    return [lexical(e, "claims", queries, "claims", n, only)] if e.has_claims else []
 
 
 @strategy("simple")
 def simple(e, queries: DataFrame, n: int) -> list[DataFrame]:
     """QRY-1, SCR-4: all tables by words and vectors, the best of each together."""
     each = [
-        found(e, "text_units", e.text_units, queries, "text", "text", n), found(e, "entities", e.entities, queries, "name", "entity", n),
-        found(e, "reports", e.reports, queries, "full_content", "community", n), *_claims(e, queries, n),
+        found(e, "text_units", queries, "text", n), found(e, "entities", queries, "entity", n),
+        found(e, "reports", queries, "community", n), *_claims(e, queries, n),
     ]
     return [R.merge_indices(each, n)]
 
@@ -96,7 +115,7 @@ def simple(e, queries: DataFrame, n: int) -> list[DataFrame]:
 @strategy("naive")
 def naive(e, queries: DataFrame, n: int) -> list[DataFrame]:
     """QRY-6: text units alone."""
-    return [lexical(e.text_units, queries, "text", "chunks", n)]
+    return [lexical(e, "text_units", queries, "chunks", n)]
 
 
 def _graph(e) -> DataFrame:
@@ -120,7 +139,7 @@ def _units_of(e, entities: DataFrame) -> DataFrame:
 def local(e, queries: DataFrame, n: int) -> list[DataFrame]:
     """QRY-2: entities of the query, their neighbours, the text units that these come from, reports, the relations and the claims
     that the entities have."""
-    ents = cut(found(e, "entities", e.entities, queries, "name", "entities", n))
+    ents = cut(found(e, "entities", queries, "entities", n))
     around = cut(_expanded(e, ents, "graph_entities"))
     units = _units_of(e, ents.select("query_id", "id").union(around.select("query_id", "id")))
     touching = e.edges.select(F.col("id").alias("edge"), F.explode(F.array("source_id", "target_id")).alias("id")).join(ents.select("query_id", "id"), "id").select("query_id", F.col("edge").alias("id")).distinct()
@@ -129,29 +148,37 @@ def local(e, queries: DataFrame, n: int) -> list[DataFrame]:
         about = e.claims.select(F.col("id").alias("claim"), F.explode(F.array("subject_id", "object_id")).alias("id")).join(ents.select("query_id", "id"), "id").select("query_id", F.col("claim").alias("id")).distinct()
         claims = _claims(e, queries, n, about)
     return [
-        ents, around, found(e, "text_units", e.text_units, queries, "text", "text_units", n, units), found(e, "reports", e.reports, queries, "full_content", "community_reports", n),
-        lexical(e.relation_names, queries, "name", "relationships", n, only=touching), *claims,
+        ents, around, found(e, "text_units", queries, "text_units", n, units), found(e, "reports", queries, "community_reports", n),
+        lexical(e, "relation_names", queries, "relationships", n, touching), *claims,
     ]
 
 
 @strategy("global")
-def global_(e, queries: DataFrame, n: int, threshold: float = 1.0) -> list[DataFrame]:
+def global_(e, queries: DataFrame, n: int, threshold: float = 1.0, dynamic: bool = True) -> list[DataFrame]:
     """QRY-3: reports of the query (candidates); communities that the graph links them with, and their reports (JN-14); of both,
-    those whose relevance reaches the threshold (LLM-10, FLT-9); the text units of their communities; and, of three
+    those whose relevance reaches the threshold (LLM-10, FLT-9), or, when not dynamic, those of the highest rank, then rating
+    (TOP-2); the text units of their communities; and, of three
     reports or more, the points that bear on the query."""
-    candidates = found(e, "reports", e.reports, queries, "full_content", "reports", n)
-    of = e.reports.select("id", "community_id")
-    members = e.labels.select(F.col("id").alias("entity"), F.col("community").alias("community_id"))
-    inside = candidates.select("query_id", "id").join(of, "id").join(members, "community_id").select("query_id", F.col("entity").alias("id"))
+    candidates = found(e, "reports", queries, "reports", n)
+    of = cut(e.reports.select("id", "level", "community_id", "rank", "rating"))
+    members = e.members.withColumnRenamed("id", "entity")
+    where = ["level", "community_id"]
+    inside = candidates.select("query_id", "id").join(of, "id").join(members, where).select("query_id", F.col("entity").alias("id")).distinct()
     near = k_hop(_graph(e), inside, 1, by=("query_id",)).select("query_id", F.col("id").alias("entity"))
-    further = near.join(members, "entity").join(of, "community_id").select("query_id", "id").distinct()
+    further = near.join(members, "entity").join(of, where).select("query_id", "id").distinct()
     pool = cut(candidates.select("query_id", "id").union(further).distinct())
-    scored = pool.join(e.models.relevance(e.reports, queries), ["query_id", "id"], "left")
-    kept = cut(R.relevant(scored.withColumn("score", F.coalesce("score", F.lit(0.0))), threshold))
-    rep = _results(top_per(kept, ["query_id"], [F.desc("score"), F.col("id")], n).select("query_id", "id", "score"), e.reports.select("id", F.col("full_content").alias("content")), "reports")
-    units = rep.select("query_id", "id").join(of, "id").join(members, "community_id").select("query_id", F.col("entity").alias("id"))
+    if dynamic:
+        shown = e.store.lookup("reports", pool.select("id")).select("id", "full_content")
+        scored = pool.join(e.models.relevance(shown, queries), ["query_id", "id"], "left")
+        kept = cut(R.relevant(scored.withColumn("score", F.coalesce("score", F.lit(0.0))), threshold))
+    else:
+        first = [F.desc(F.coalesce("rank", F.lit(0))), F.desc(F.coalesce("rating", F.lit(0.0))), F.col("id")]
+        kept = cut(top_per(pool.join(of, "id"), ["query_id"], first, n).select("query_id", "id", (1.0 / F.col("rank")).alias("score")))
+    best = cut(top_per(kept, ["query_id"], [F.desc("score"), F.col("id")], n).select("query_id", "id", "score"))
+    rep = _results(best, _content(e, "reports", best), "reports")
+    units = rep.select("query_id", "id").join(of, "id").join(members, where).select("query_id", F.col("entity").alias("id"))
     rare = units.distinct().join(e.entities.select("id", "text_unit_ids"), "id").select("query_id", F.explode("text_unit_ids").alias("id")).distinct()
-    return [rep, found(e, "text_units", e.text_units, queries, "text", "text_units", n, rare), _points(rep, queries, n)]
+    return [rep, found(e, "text_units", queries, "text_units", n, rare), _points(rep, queries, n)]
 
 
 def _points(rep: DataFrame, queries: DataFrame, n: int) -> DataFrame:
@@ -171,13 +198,13 @@ def drift(e, queries: DataFrame, n: int, rounds: int = 3, least_gain: int = 2) -
     """QRY-4, LLM-12: reports as a primer, then rounds of searching with a query that the last results' commonest words extend
     and with the text units of the entities near it, keeping what is new. A query ends when two rounds running gain fewer
     than least_gain (WIN-6)."""
-    out = cut(found(e, "reports", e.reports, queries, "full_content", "results", 5))
+    out = cut(found(e, "reports", queries, "results", 5))
     asked, before = queries, None
     for i in range(rounds):
-        ents = found(e, "entities", e.entities, asked, "name", "results", 5)
+        ents = found(e, "entities", asked, "results", 5)
         units = _units_of(e, ents.select("query_id", "id").union(k_hop(_graph(e), ents, 1, 10, by=("query_id",)).select("query_id", "id")))
-        near = found(e, "text_units", e.text_units, asked, "text", "results", n, units)
-        got = lexical(e.text_units, asked, "text", "results", n).union(near).groupBy("query_id", "bucket", "source", "content", "id").agg(F.max("score").alias("score"))
+        near = found(e, "text_units", asked, "results", n, units)
+        got = lexical(e, "text_units", asked, "results", n).union(near).groupBy("query_id", "bucket", "source", "content", "id").agg(F.max("score").alias("score"))
         got = cut(got.select(out.columns).join(out.select("query_id", "source"), ["query_id", "source"], "left_anti"))
         out = cut(out.union(got.withColumn("score", F.col("score") / (i + 1))))
         gains = asked.select("query_id").join(got.groupBy("query_id").agg(F.count("*").alias("now")), "query_id", "left").select("query_id", F.coalesce("now", F.lit(0)).alias("now"))
@@ -205,8 +232,8 @@ def hybrid(e, queries: DataFrame, n: int) -> list[DataFrame]:
     """QRY-7: entities by the low keywords, relations by the high ones, and the graph around both (SET-6: entities first, then
     the ends of relations)."""
     k = keyword_split(queries)
-    ents = cut(found(e, "entities", e.entities, k.select("query_id", F.concat_ws(" ", "low", "high").alias("query")), "name", "entities", n))
-    rels = cut(lexical(e.relation_names, k.select("query_id", F.concat_ws(" ", "high", "low").alias("query")), "name", "relationships", n))
+    ents = cut(found(e, "entities", k.select("query_id", F.concat_ws(" ", "low", "high").alias("query")), "entities", n))
+    rels = cut(lexical(e, "relation_names", k.select("query_id", F.concat_ws(" ", "high", "low").alias("query")), "relationships", n))
     ends = rels.select("query_id", "id").join(e.edges.select("id", F.explode(F.array("source_id", "target_id")).alias("end")), "id").select("query_id", F.col("end").alias("id"))
     return [ents, rels, _expanded(e, ents.select("query_id", "id").union(ends), "graph_entities", 1)]
 
@@ -218,7 +245,7 @@ def mix(e, queries: DataFrame, n: int) -> list[DataFrame]:
     items = parts[0].select("query_id", "id").join(e.entities.select("id", F.posexplode("text_unit_ids").alias("place", "unit")), "id")
     cited = items.groupBy("query_id", "unit").agg(F.count("*").alias("citations"), F.min(F.struct("id", "place")).alias("first"))
     best = top_per(cited, ["query_id"], [F.desc("citations"), F.col("first"), F.col("unit")], n).select("query_id", F.col("unit").alias("id"), F.col("citations").cast("double").alias("score"))
-    linked = _results(best, e.text_units.select("id", F.col("text").alias("content")), "linked_chunks")
+    linked = _results(best, _content(e, "text_units", best), "linked_chunks")
     return [*parts, linked, *naive(e, queries, n)]
 
 

@@ -13,6 +13,14 @@ from pyspark.sql import types as T
 from loomgraph.functions.identity import check_suffix
 
 _BUCKET = "__bucket"
+#: How often a change is tried when others write the table too.
+TRIES = 8
+#: Keys that a lookup lists for the scan at most; more are joined.
+LISTED = 2000
+
+
+class Conflict(OSError):
+    """Another writer came first."""
 
 
 class Store:
@@ -22,10 +30,17 @@ class Store:
     read from, the key and the schema. The one with the greatest number counts; a new one is written beside it before
     anything goes, so a write that breaks off leaves the table as it was. Upserts and deletes by the key write only the
     buckets that they touch.
+
+    A change remembers the number that it began with, and counts only as the next one: of two writers at once the second finds
+    that number taken, and does its work again on what the first left. A writer removes the folders that a manifest it drops
+    named, and no others. (A rename onto a manifest that is there must fail, as it does on HDFS and local file systems.)
+
+    How many buckets a table has follows from its bytes, about `target` each: a table that has outgrown them twice over is parted
+    anew when it is written.
     """
 
-    def __init__(self, spark: SparkSession, root: str, suffix: str = "default", buckets: int = 64):
-        self.spark, self.root, self.buckets = spark, f"{root}/{check_suffix(suffix)}", buckets
+    def __init__(self, spark: SparkSession, root: str, suffix: str = "default", buckets: int = 16, target: int = 128 << 20):
+        self.spark, self.root, self.buckets, self.target = spark, f"{root}/{check_suffix(suffix)}", buckets, target
         path = spark._jvm.org.apache.hadoop.fs.Path
         self._path = path
         self.fs = path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -45,26 +60,34 @@ class Store:
         numbers = self._numbers(name)
         return self._load(name, numbers[-1]) if numbers else None
 
-    def _point(self, name: str, manifest: dict, keep: int) -> None:
-        """Writes the next manifest, then drops those before the last `keep` and folders that none of the rest names."""
+    def _last(self, name: str) -> int:
+        return max(self._numbers(name), default=0)
+
+    def _point(self, name: str, manifest: dict, keep: int, base: int) -> None:
+        """Writes manifest base + 1, or raises Conflict if there is one; then drops those before the last `keep`, and the folders
+        that only they named."""
         numbers = self._numbers(name)
-        number = numbers[-1] + 1 if numbers else 1
-        new, at = self._path(f"{self.root}/{name}.next-{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}.manifest-{number:09d}")
+        new, at = self._path(f"{self.root}/{name}.next-{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}.manifest-{base + 1:09d}")
         out = self.fs.create(new, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if not self.fs.rename(new, at):
-            raise OSError(f"{name}: another write came first")
-        live, old = [manifest], [*numbers]
-        for n in numbers[len(numbers) - keep :] if keep else []:
-            live.append(self._load(name, n))
-            old.remove(n)
-        for n in old:
+        if max(numbers, default=0) != base or self.fs.exists(at) or not self.fs.rename(new, at):
+            self.fs.delete(new, False)
+            raise Conflict(f"{name}: another write came first")
+        stays = numbers[len(numbers) - keep :] if keep else []
+        named = {v for m in [manifest, *(self._load(name, n) for n in stays)] for v in m["folders"].values()}
+        for n in numbers[: len(numbers) - len(stays)]:
+            gone = set(self._load(name, n)["folders"].values()) - named
             self.fs.delete(self._path(f"{self.root}/{name}.manifest-{n:09d}"), False)
-        named = {v for m in live for v in m["folders"].values()}
-        for s in self.fs.listStatus(self._path(f"{self.root}/{name}")):
-            if s.getPath().getName() not in named:
-                self.fs.delete(s.getPath(), True)
+            for v in gone:
+                self.fs.delete(self._path(f"{self.root}/{name}/{v}"), True)
+
+    def _bytes(self, name: str, folders: dict[str, str]) -> int:
+        return sum(self.fs.getContentSummary(self._path(f"{self.root}/{name}/{v}")).getLength() for v in set(folders.values()))
+
+    def _drop(self, name: str, folders: dict[str, str]) -> None:
+        for v in set(folders.values()):
+            self.fs.delete(self._path(f"{self.root}/{name}/{v}"), True)
 
     def exists(self, name: str) -> bool:
         return bool(self._numbers(name))
@@ -83,41 +106,79 @@ class Store:
             raise FileNotFoundError(name)
         return self._rows(name, manifest)
 
+    def lookup(self, name: str, keys: DataFrame) -> DataFrame:
+        """The rows whose key is among keys, one column. Of up to LISTED keys, only their buckets are read, and row groups that may
+        hold them, as rows are sorted by key there."""
+        m = self._manifest(name)
+        if m is None:
+            raise FileNotFoundError(name)
+        key, (own,) = m["key"], keys.columns
+        listed = keys.select(F.col(own).alias(key)).distinct().select(key, self._of(key, m["buckets"])).limit(LISTED + 1).collect()
+        if len(listed) > LISTED:
+            return self._rows(name, m).join(keys.select(F.col(own).alias(key)).distinct(), key, "left_semi")
+        return self._rows(name, m, {str(r[1]) for r in listed}).where(F.col(key).isin([r[0] for r in listed]))
+
     def _write(self, name: str, df: DataFrame, key: str, buckets: int) -> dict[str, str]:
         """A folder with df's rows by bucket; which bucket is in it."""
         version = f"{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
         at = self._path(f"{self.root}/{name}/{version}")
         try:
-            df.withColumn(_BUCKET, self._of(key, buckets)).hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(at.toString())
+            df.withColumn(_BUCKET, self._of(key, buckets)).hint("rebalance", _BUCKET).sortWithinPartitions(_BUCKET, key).write.partitionBy(_BUCKET).parquet(at.toString())
         except Exception:
             self.fs.delete(at, True)
             raise
         found = (s.getPath().getName() for s in self.fs.listStatus(at))
         return {f.split("=")[1]: version for f in found if f.startswith(_BUCKET)}
 
-    def replace(self, name: str, df: DataFrame, key: str | None = None, keep: int = 1) -> int:
-        """SNK-1, SNK-4: the new version is written in full, then counts, then older ones but `keep` go. A failed write
-        leaves the table as it was. key: by default id, doc_id or the first column. Returns the rows."""
+    def _fitted(self, name: str, df: DataFrame, key: str, buckets: int) -> tuple[dict[str, str], int]:
+        """df, written; with more buckets if these turn out too large for them."""
+        folders = self._write(name, df, key, buckets)
+        if (wanted := -(-self._bytes(name, folders) // self.target)) <= 2 * buckets:
+            return folders, buckets
+        rows = self._rows(name, {"schema": json.loads(df.schema.json()), "folders": folders})
+        again = self._write(name, rows, key, wanted)
+        self._drop(name, folders)
+        return again, wanted
+
+    def replace(self, name: str, df: DataFrame, key: str | None = None, keep: int = 1, **notes) -> int:
+        """SNK-1, SNK-4: the new version is written in full, then counts, then older ones but `keep` go. A failed write leaves
+        the table as it was; of two at once the later one stays. notes: what else the manifest says. Returns the rows."""
         key = key or next((c for c in ("id", "doc_id") if c in df.columns), df.columns[0])
-        folders = self._write(name, df, key, self.buckets)
-        self._point(name, {"key": key, "buckets": self.buckets, "folders": folders, "schema": json.loads(df.schema.json())}, keep)
-        return self.read(name).count()
+        old = self._manifest(name)
+        folders, buckets = self._fitted(name, df, key, old["buckets"] if old else self.buckets)
+        manifest = {"key": key, "buckets": buckets, "folders": folders, "schema": json.loads(df.schema.json())} | notes
+        for _ in range(TRIES):
+            try:
+                self._point(name, manifest, keep, self._last(name))
+                return self._rows(name, manifest).count()
+            except Conflict:
+                continue
+        self._drop(name, folders)
+        raise Conflict(name)
 
     def _change(self, name: str, keys: DataFrame, more: DataFrame | None, key: str, keep: int) -> int:
-        """Without the rows whose key is in keys(key), and with more."""
-        m = self._manifest(name)
-        if m["key"] != key:  # the buckets don't tell where the keys are
-            rest = self._rows(name, m).join(keys, key, "left_anti")
+        """Without the rows whose key is in keys(key), and with more; on what another writer left, if one comes first."""
+        for _ in range(TRIES):
+            base = self._last(name)
+            m = self._load(name, base)
+            by_key = m["key"] == key  # else the buckets don't tell where the keys are
+            touched = {str(r[0]) for r in keys.select(self._of(key, m["buckets"])).distinct().collect()} if by_key else set(m["folders"])  # as many as there are buckets at most
+            old = self._rows(name, m, touched)
+            rest = old.join(keys, key, "left_anti").select(old.columns)
             rest = rest if more is None else rest.unionByName(more, allowMissingColumns=True)
-            return self.replace(name, rest, m["key"], keep)
-        touched = {str(r[0]) for r in keys.select(self._of(key, m["buckets"])).distinct().collect()}  # as many as there are buckets at most
-        old = self._rows(name, m, touched)
-        rest = old.join(keys, key, "left_anti").select(old.columns)
-        rest = rest if more is None else rest.unionByName(more, allowMissingColumns=True)
-        folders = {b: v for b, v in m["folders"].items() if b not in touched} | self._write(name, rest, key, m["buckets"])
-        schema = T.StructType([*rest.schema.fields])
-        self._point(name, m | {"folders": folders, "schema": json.loads(schema.json())}, keep)
-        return self.read(name).count()
+            schema = json.loads(T.StructType([*rest.schema.fields]).json())
+            new = self._write(name, rest, m["key"], m["buckets"])
+            folders = {b: v for b, v in m["folders"].items() if b not in touched} | new
+            try:
+                self._point(name, m | {"folders": folders, "schema": schema}, keep, base)
+            except Conflict:
+                self._drop(name, new)
+                continue
+            rows = self._rows(name, {"folders": folders, "schema": schema})
+            if self._bytes(name, folders) > 4 * self.target * m["buckets"]:
+                return self.replace(name, rows, m["key"], keep)
+            return rows.count()
+        raise Conflict(name)
 
     def upsert(self, name: str, df: DataFrame, key: str = "id", keep: int = 1) -> int:
         """SNK-2, SNK-5, SNK-6, SNK-11: rows of df take the place of those with their keys."""
@@ -130,8 +191,8 @@ class Store:
         return self._change(name, ids.select(F.col("id").alias(key)).distinct(), None, key, keep)
 
     def clear(self, names: list[str] | None = None) -> None:
-        """SNK-20, SNK-22: drops tables, the registry with them."""
-        for n in names or self.names():
+        """SNK-20, SNK-22: drops tables, by default all, the registry with them."""
+        for n in self.names() if names is None else names:
             for number in self._numbers(n):
                 self.fs.delete(self._path(f"{self.root}/{n}.manifest-{number:09d}"), False)
             self.fs.delete(self._path(f"{self.root}/{n}"), True)
@@ -235,9 +296,7 @@ class Cache:
                 return self.store.read(entry)
         self.misses += 1
         df = build()
-        key = next((c for c in ("id", "doc_id") if c in df.columns), df.columns[0])
-        folders = self.store._write(entry, df, key, self.store.buckets)
-        self.store._point(entry, {"key": key, "buckets": self.store.buckets, "folders": folders, "schema": json.loads(df.schema.json()), "content": content, "at": now}, 1)
+        self.store.replace(entry, df, content=content, at=now)
         return self.store.read(entry)
 
     def statistics(self) -> dict[str, float]:
