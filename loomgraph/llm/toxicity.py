@@ -30,8 +30,8 @@ from loomgraph.llm.common import LOWER, Words, as_long, byte_hash, chunks, in_ar
 #: Labelled documents that the model is fitted on at most, features it may know, the deviation (in standard errors) and the number of
 #: documents from which a word is one, and the weight of the penalty.
 SAMPLE, FEATURES, DEVIATION, SEEN, COUNTERFACTUAL = 20_000, 1500, 4.0, 3, 4.0
-#: Bytes that make up the beginning of a longer word.
-BEGINNING = 6
+#: Bytes that make up the beginning of a longer word, and rows of the fit that are worked on at once.
+BEGINNING, BLOCK = 6, 1024
 #: Folds of the ids, the one that is held out, and the score from which a document is called toxic.
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 
@@ -112,14 +112,24 @@ def _pattern(groups: tuple[tuple[str, ...], ...]) -> tuple[dict[str, tuple[str,
     return kinds, re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(kinds, key=len, reverse=True))) + r")\b", re.IGNORECASE)
 
 
-def fit(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, weight: np.ndarray, ridge: np.ndarray, penalty: float = COUNTERFACTUAL) -> np.ndarray:
-    """The weights with the least loss: logistic loss of rows x with labels y, plus the ridge, plus penalty / 2 times the weighted
-    squares of the changes of log odds. swapped: for each counterfactual, the change of its features."""
+def fit(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, weight: np.ndarray, ridge: np.ndarray, penalty: float = COUNTERFACTUAL, times: np.ndarray | None = None) -> np.ndarray:
+    """The weights with the least loss: logistic loss of rows x with labels y (each `times` often), plus the ridge, plus penalty / 2
+    times the weighted squares of the changes of log odds. swapped: for each counterfactual, the change of its features. Rows
+    are taken BLOCK at a time, so that besides x no more than the square of the features is held."""
     w = np.zeros(x.shape[1])
-    pull = penalty * (swapped.T * weight) @ swapped + np.diag(ridge)
+    pull = np.diag(ridge)
+    for i in range(0, len(swapped), BLOCK):
+        s = swapped[i : i + BLOCK].astype(float)
+        pull += penalty * (s.T * weight[i : i + BLOCK]) @ s
+    times = np.ones(len(y)) if times is None else times
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + pull, x.T @ (y - p) - pull @ w)
+        slope, bend = -pull @ w, pull.copy()
+        for i in range(0, len(x), BLOCK):
+            part, n = x[i : i + BLOCK].astype(float), times[i : i + BLOCK]
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope += part.T @ (n * (y[i : i + BLOCK] - p))
+            bend += (part.T * (n * p * (1 - p))) @ part
+        step = np.linalg.solve(bend, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -192,16 +202,15 @@ def train(
     made = rows.select("text", "y").transform(in_arrow, design, "y double, length double, has array<int>, gets array<int>")
     made = made.groupBy("y", "length", "has", "gets").agg(F.count("*").alias("n")).toArrow()  # documents of the sample, and pairs of terms
     y, n = made["y"].to_numpy(), made["n"].to_numpy().astype(float)
-    has, gets = made["has"].to_pylist(), made["gets"].to_pylist()
-    full = np.zeros((len(y), len(words) + 2))
-    for i, (a, b) in enumerate(zip(has, gets, strict=True)):
-        full[i, a] = 1 if b is None else -1
-        full[i, b or []] = 1
     doc = ~np.isnan(y)
-    full[doc, -2], full[doc, -1] = made["length"].to_numpy()[doc], 1
-    x, t = np.repeat(full[doc], n[doc].astype(int), 0), np.repeat(y[doc], n[doc].astype(int))
+    full = np.zeros((len(y), len(words) + 2), np.float32)
+    full[:, -2], full[:, -1] = np.where(doc, made["length"].to_numpy(), 0), doc
+    for c, one in (("has", np.where(doc, 1, -1)), ("gets", np.ones(len(y)))):
+        lists = made[c].combine_chunks()
+        row = np.repeat(np.arange(len(y)), lists.value_lengths().fill_null(0).to_numpy())
+        full[row, lists.flatten().to_numpy()] = one[row]
     ridge = np.array([0.05] * len(words) + [0.1, 1e-6])
-    w = fit(x, t, full[~doc], n[~doc], ridge, penalty)
+    w = fit(full[doc], y[doc], full[~doc], n[~doc], ridge, penalty, n[doc])
     return Model(words, w[:-2], w[-2], w[-1])
 
 
