@@ -44,12 +44,12 @@ class Engine:
 
     claims: whether claims are extracted (FLT-10). gleanings: further passes of extraction. grounding: None, or what the
     confidence of an entity whose name its text units don't hold is multiplied with (0: it goes). resolution: of communities;
-    None takes the best (GRF-12). similar: the likeness from which names of two runs are one entity (SIM-9; None: equal names).
+    None takes the best (GRF-12). levels: of communities, at most. similar: the likeness from which names of two runs are one entity (SIM-9; None: equal names).
     """
 
-    def __init__(self, spark: SparkSession, folder: str, suffix: str = "default", models: Models | None = None, claims: bool = True, gleanings: int = 0, grounding: float | None = None, resolution: float | None = 1.0, similar: float | None = None):
+    def __init__(self, spark: SparkSession, folder: str, suffix: str = "default", models: Models | None = None, claims: bool = True, gleanings: int = 0, grounding: float | None = None, resolution: float | None = 1.0, similar: float | None = None, levels: int = 5):
         self.spark, self.store, self.models = spark, Store(spark, folder, suffix), models or Models()
-        self.with_claims, self.gleanings, self.grounding, self.resolution, self.similar = claims, gleanings, grounding, resolution, similar
+        self.with_claims, self.gleanings, self.grounding, self.resolution, self.similar, self.levels = claims, gleanings, grounding, resolution, similar, levels
         self.metrics: dict[str, dict[str, float]] = {}
         self._both: tuple[DataFrame, DataFrame] | None = None
 
@@ -144,7 +144,7 @@ class Engine:
         return merge_claims(self.models.claims(self.text_units, self.entities))
 
     def _communities(self, docs: DataFrame | None = None) -> DataFrame:
-        return G.communities(G.simple(_ends(self.edges)), self.entities.select("id"), self.resolution)
+        return G.communities(G.simple(_ends(self.edges)), self.entities.select("id"), self.resolution, levels=self.levels)
 
     def _reports(self, docs: DataFrame | None = None) -> DataFrame:
         return bottom_up(self.store.read("communities"), self.edges, self.entities, self.models.report)

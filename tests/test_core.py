@@ -424,7 +424,7 @@ def test_update_is_a_full_ingest(spark, tmp_path):
     texts_ = ["castles and armies guard kingdoms", "castles shelter armies from winter", "monkeys cross canopy bridges", "castles of monkeys"]
     old = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts_)], "doc_id string, text string")
     new = spark.createDataFrame([("0", texts_[0]), ("1", "castles shelter nobody"), ("4", "bridges near castles"), ("5", "winter castles of kingdoms")], "doc_id string, text string")
-    a, b = Engine(spark, str(tmp_path / "a")), Engine(spark, str(tmp_path / "b"))
+    a, b = Engine(spark, str(tmp_path / "a"), levels=2), Engine(spark, str(tmp_path / "b"), levels=2)
     a.ingest(old)
     a.update(new)
     b.ingest(new)
@@ -433,6 +433,10 @@ def test_update_is_a_full_ingest(spark, tmp_path):
         sorted((r.id, r.community) for r in e.labels.collect()), sorted(r.id for r in e.reports.collect()), sorted((r.kind, r.id) for r in e.store.read("vectors").collect()),
     )
     assert state(a) == state(b)
+    for kind in ("text_units", "entities", "reports", "claims", "relation_names"):  # the stored indexes find what fresh ones do
+        asked = spark.createDataFrame([("q", t) for t in ("castles", "winter", "monkeys", "bridges", "armies")], "query_id string, term string")
+        got = [sorted((r.id, round(r.score, 9)) for r in e.index(kind).search(asked, 50).collect()) for e in (a, b)]
+        assert got[0] == got[1], kind
     once = state(a)
     assert a.update(new).where("change_type <> 'unchanged'").count() == 0 and state(a) == once
     assert {r.name: r.frequency for r in a.entities.collect()}["castles"] == 4
