@@ -274,7 +274,7 @@ def cited_chunks(items: DataFrame, k: int) -> DataFrame:
 
 
 def top_per(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    """WIN-1, WIN-4, WIN-5, TOP-*, FUS-5, JN-20: the first n rows of each group, with their rank."""
+    """WIN-1, WIN-4, WIN-5, TOP-1, TOP-6, FUS-5, JN-20: the first n rows of each group, with their rank."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= n)
 
 
