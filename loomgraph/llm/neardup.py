@@ -1,21 +1,24 @@
-"""Embedding near-dedup by sign hashes of random projections.
-
-Method. Sorted passes: in each, the vectors of a label are ordered by concatenated hash bits, the signs of random projections, one
-bit for each doubling beyond BUCKET vectors. A vector's window is the run of those that agree with it in all bits, compared
-all with all, in blocks where it has more than BUCKET, so nothing bounds a vector's partners (a window of fixed width did:
-in tight labels it lost links). A label of up to BUCKET vectors is one run, which is exact. Two vectors at the threshold
-differ in a bit with a probability that depends on their angle alone, not on how the others lie, so the number of passes
-follows from the number of bits: a pair shares a bucket in none of them with a probability of MISS at most. Links of all
-passes are united to components; of each block, only as many leave as join what it links.
+"""Embedding near-dedup by sorted projection passes.
+
+Method. In each pass the vectors of a label are ordered lexicographically by concatenated hash bits, the signs of random
+projections. A vector is compared with the next WINDOW in that order, and beyond them with all that agree with it in its first
+bits, one bit for each doubling of the label beyond WINDOW vectors: such a run has about WINDOW vectors, and one of any size is
+compared in full (in blocks where it has more than BUCKET), so nothing bounds a vector's partners. Tasks hold four
+neighbouring runs, whose windows cross from run to run. Two vectors at the threshold differ in a bit with a probability that
+depends on their angle alone, not on how the others lie, so the number of passes follows from the number of bits: a pair shares
+a run in none of them with a probability of MISS at most. (Bits of vectors centred by their label would part tight labels
+better, but near the centre no such bound holds.) Verified pairs of all passes are united to components; of each window, only as
+many leave as join what it links.
 
 Links are counted once more inside each component, all against all in blocks: groups of any number of near copies have all
-their links, and only pairs that no chain of links connects are missed. Vectors that are equal count once, with their
-number. Nothing but counts leaves the blocks. Vectors so close together that the bits don't part them make large buckets,
-whose work grows with the square of their size.
-
-Cases. Vectors that are null, zero or hold null or non-finite components, rows without a label or an id: linked with nothing,
-and kept. Vectors of different lengths have no cosine: a label's vectors of each length are compared on their own. Repeated
-rows are equal vectors; with one id, they count as links.
+their links, and only pairs that no chain of links connects can be missed. Vectors that are equal count once, with their
+number. Nothing but counts leaves the blocks. Vectors so close together that the bits don't part them make long runs, whose
+work grows with the square of their length.
+
+Cases. Vectors that are null, zero or hold null or non-finite components, rows without a label, and rows whose id is null or no
+whole number: linked with nothing, and kept. Labels of any type are compared as text. Vectors of different lengths have no
+cosine: a label's vectors of each length are compared on their own. Repeated rows are equal vectors; with one id, they count
+as links.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import Scratch, components, in_arrow
 from loomgraph.llm.vectors import groups, matrix, stack, to_blobs, usable
 
-BUCKET, MISS, BITS, BLOCK = 4096, 0.001, 62, 512
+WINDOW, BUCKET, MISS, BITS, BLOCK = 64, 2048, 0.0001, 62, 512
+#: Bits more than a run's own are sorted by; bits fewer make four runs that a task holds together.
+FINER, COARSER = 16, 2
 THRESHOLD = 0.98
 
 
@@ -43,10 +48,10 @@ def passes_for(bits: int, t: float) -> int:
     return 1 if bits == 0 else max(1, int(np.ceil(np.log(MISS) / np.log1p(-agree))))
 
 
-def _keyed(batches, bucket: int, t: float):
-    """Each vector once for each pass of its label, with its bits there. Rows: id, label, v, number of the label's vectors of
-    that length, length."""
-    bits_of = lambda n: np.clip(np.ceil(np.log2(np.maximum(n, 1) / bucket)), 0, BITS).astype(np.int64)
+def _keyed(batches, window: int, t: float):
+    """Each vector once for each pass of its label, with the order there. Rows: id, label, v, number of the label's vectors of
+    that length, length. Columns: pass, label, d, group (four runs), run, code (what is sorted by, first bit highest), id, v."""
+    bits_of = lambda n: np.clip(np.ceil(np.log2(np.maximum(n, 1) / window)), 0, BITS - FINER).astype(np.int64)
     passes = np.array([passes_for(b, t) for b in range(BITS + 1)])
     planes: dict = {}
     for batch in batches:
@@ -59,36 +64,69 @@ def _keyed(batches, bucket: int, t: float):
                 if (p, d) not in planes:
                     planes[p, d] = np.random.default_rng([11, p]).standard_normal((d, BITS))
                 own = np.flatnonzero(passes[bits] > p)
-                code, most = np.zeros(len(own), np.int64), int(bits[own].max())
-                for b, positive in enumerate((x[own] @ planes[p, d][:, :most] > 0).T):
-                    code |= (positive & (b < bits[own])).astype(np.int64) << b
-                at = pa.array(own)
-                yield pa.record_batch([pa.array(np.full(len(own), p, np.int32)), part.column(1).take(at), part.column(4).take(at), pa.array(code), part.column(0).take(at), blobs.take(at)], names=["pass", "label", "d", "code", "id", "v"])
+                most = int(bits[own].max()) + FINER
+                code = np.zeros(len(own), np.int64)
+                for positive in (x[own] @ planes[p, d][:, :most] > 0).T:
+                    code = code << 1 | positive
+                run = code >> (most - bits[own])
+                group = code >> (most - np.maximum(bits[own] - COARSER, 0))
+                at, same = pa.array(own), pa.array(np.full(len(own), p, np.int32))
+                # rows of other labels in a batch may be longer by some bits: only the order within a label counts, and there
+                # all rows have the label's own number
+                code = code >> (most - bits[own] - FINER)
+                yield pa.record_batch([same, part.column(1).take(at), part.column(4).take(at), pa.array(group), pa.array(run), pa.array(code), part.column(0).take(at), blobs.take(at)], names=["pass", "label", "d", "grp", "run", "code", "id", "v"])
+
+
+class _Verified:
+    """Vectors of one task's group, and which of them links join."""
+
+    def __init__(self, x: np.ndarray, t: float):
+        self.x, self.t = x, t
+        self.u = x / np.sqrt((x * x).sum(1))[:, None]
+        self.root = np.arange(len(x))
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        """All of a with all of b: verifies, and unites what is linked."""
+        near = self.u[a] @ self.u[b].T
+        p, q = np.nonzero(near >= self.t - 1e-9)
+        close = near[p, q] < self.t + 1e-9  # so near the threshold, the plain formula decides
+        p, q = a[p], b[q]
+        close[close] = _cosines(self.x[p[close]], self.x[q[close]]) < self.t
+        p, q, root = p[~close], q[~close], self.root
+        while len(p):
+            r, s = root[p], root[q]
+            p, q, r, s = (y[r != s] for y in (p, q, r, s))
+            np.minimum.at(root, np.maximum(r, s), np.minimum(r, s))
+            while (root[root] != root).any():
+                root = root[root]
+        self.root = root
+
+    def links(self, ids: np.ndarray) -> pa.RecordBatch:
+        own = np.flatnonzero(self.root != np.arange(len(ids)))
+        return pa.record_batch([pa.array(ids[self.root[own]]), pa.array(ids[own])], names=["a", "b"])
+
+
+def _windows(batches, window: int, t: float):
+    """(a, b): links that join what the windows of each group link. Rows lie in the order of the pass."""
+    for (_, _, d, _), g in groups(batches, 4):
+        ids, run = g["id"].to_numpy(), g["run"].to_numpy()
+        found = _Verified(stack(g["v"].to_pylist(), d), t)
+        last = np.searchsorted(run, run, "right")  # where each vector's run ends
+        for k in range(0, len(ids), window):
+            own = np.arange(k, min(k + window, len(ids)))
+            found.compare(own, np.arange(k, min(len(ids), max(own[-1] + 1 + window, last[own[-1]]))))
+        yield found.links(ids)
 
 
 def _links(batches, t: float):
     """(a, b): links that join all vectors of two blocks of a run that a chain of links among them joins."""
     for (_, _, d, _, i, j), g in groups(batches, 6):
         side, ids = g["side"].to_numpy(), g["id"].to_numpy()
-        x = stack(g["v"].to_pylist(), d)
-        u = x / np.sqrt((x * x).sum(1))[:, None]
+        found = _Verified(stack(g["v"].to_pylist(), d), t)
         a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        root = np.arange(len(ids))
         for k in range(0, len(a), BLOCK):
-            near = u[a[k : k + BLOCK]] @ u[b].T
-            p, q = np.nonzero(near >= t - 1e-9)
-            close = near[p, q] < t + 1e-9  # so near the threshold, the plain formula decides
-            p, q = a[k + p], b[q]
-            close[close] = _cosines(x[p[close]], x[q[close]]) < t
-            p, q = p[~close], q[~close]
-            while len(p):
-                r, s = root[p], root[q]
-                p, q, r, s = (y[r != s] for y in (p, q, r, s))
-                np.minimum.at(root, np.maximum(r, s), np.minimum(r, s))
-                while (root[root] != root).any():
-                    root = root[root]
-        own = np.flatnonzero(root != np.arange(len(ids)))
-        yield pa.record_batch([pa.array(ids[root[own]]), pa.array(ids[own])], names=["a", "b"])
+            found.compare(a[k : k + BLOCK], b)
+        yield found.links(ids)
 
 
 def _recount(batches, t: float):
@@ -113,25 +151,30 @@ def _recount(batches, t: float):
         yield pa.record_batch([pa.array(ids), pa.array(met)], names=["id", "n"])
 
 
-def dedup(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, bucket: int = BUCKET) -> DataFrame:
+def dedup(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, window: int = WINDOW, bucket: int = BUCKET) -> DataFrame:
     """One row per row of rows: id, n_links, component_id, kept."""
     scratch = Scratch(rows.sparkSession, "neardup")
-    r = rows.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("long").alias("label"))
-    ok = usable("v") & F.col("label").isNotNull() & F.col("id").isNotNull()
-    key = F.when(ok, F.struct(F.xxhash64("label", "v").alias("x"), F.xxhash64(F.reverse("v"), "label").alias("y")))
-    r = r.withColumn("key", key)
-    classes = scratch.table(r.where("key is not null").groupBy("key").agg(F.min(F.col("id").cast("long")).alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")))
+    r = rows.select(F.col(id).alias("id"), F.col(id).try_cast("long").alias("n"), F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("label"))
+    ok = usable("v") & F.col("label").isNotNull() & F.col("n").isNotNull()
+    fit, unfit = r.where(ok), r.where(~F.coalesce(ok, F.lit(False)))
+    fit = fit.withColumn("key", F.struct(F.xxhash64("label", "v").alias("x"), F.xxhash64(F.reverse("v"), "label").alias("y")))
+    classes = scratch.table(fit.groupBy("key").agg(F.min("n").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")))
 
     sized = classes.select("id", "label", "v", F.size("v").alias("d"))
     many = sized.join(sized.groupBy("label", "d").agg(F.count("*").alias("n")), ["label", "d"]).select("id", "label", "v", "n", "d")
-    keyed = scratch.table(many.transform(in_arrow, lambda b: _keyed(b, bucket, threshold), "pass int, label long, d int, code long, id long, v binary"))
-    where = ["pass", "label", "d", "code"]
-    large = keyed.groupBy(*where).agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts")).where("parts > 1")
-    keyed = keyed.join(large, where, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    keyed = keyed.withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    keyed = keyed.select(*where, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "v")
+    keyed = scratch.table(many.transform(in_arrow, lambda b: _keyed(b, window, threshold), "pass int, label string, d int, grp long, run long, code long, id long, v binary"))
+    where, group = ["pass", "label", "d", "run"], ["pass", "label", "d", "grp"]
+    long = scratch.table(keyed.groupBy(*where).agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts")).where("parts > 1"))
+    short = keyed.join(long, where, "left_anti").select(*group, "run", "code", "id", "v")
+    short = short.repartition(*group).sortWithinPartitions(*group, "code", "id")
+    links = short.transform(in_arrow, lambda b: _windows(b, window, threshold), "a long, b long")
+    side = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    blocks = keyed.join(long, where).withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = blocks.select(*where, F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "v")
     place = [*where, "i", "j"]
-    links = scratch.table(keyed.repartition(*place).sortWithinPartitions(*place).transform(in_arrow, lambda b: _links(b, threshold), "a long, b long"))
+    blocks = blocks.repartition(*place).sortWithinPartitions(*place)
+    links = scratch.table(links.union(blocks.transform(in_arrow, lambda b: _links(b, threshold), "a long, b long")))
+    scratch.drop(keyed)
     groups_ = scratch.table(components(scratch, links))
 
     member = groups_.join(classes, groups_.node == classes.id).select("component", "id", "copies", "v")
@@ -144,9 +187,10 @@ def dedup(rows: DataFrame, id: str = "vec_id", vector: str = "embedding", label:
     counted = counted.groupBy("id").agg(F.sum("n").alias("n"))
     of = classes.select("key", "id", "copies").join(counted, "id", "left").join(groups_.withColumnRenamed("node", "id"), "id", "left")
     of = of.select("key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = r.select("id", "key").join(of, "key", "left")
-    component = F.coalesce("component_id", F.col("id").cast("long"))
-    return out.select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    linked = fit.select("id", "n", "key").join(of, "key").select("id", "n", "n_links", "component_id")
+    alone = unfit.select("id", "n", F.lit(0).cast("long").alias("n_links"), F.col("n").alias("component_id"))
+    kept = F.coalesce(F.col("n") == F.col("component_id"), F.lit(True))
+    return linked.union(alone).select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", kept.alias("kept"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

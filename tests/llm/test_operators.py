@@ -688,3 +688,21 @@ def test_neardup_in_a_tight_label(spark, bucket):
     found = sum(got.values()) / linked.sum()
     assert linked.sum() > 1000 and all(got[i] <= k for i, k in enumerate(linked.sum(1)))
     assert found == 1 if bucket > n else found >= 0.995
+
+
+def test_neardup_windows_of_a_clustered_label(spark):
+    """Small windows and short runs: groups of copies and lone pairs of a label are those of all pairs; labels and ids may be text."""
+    rng = np.random.default_rng(9)
+    data = []
+    for c in range(220):
+        middle = rng.standard_normal(32)
+        for _ in range(int(rng.integers(1, 9)) if c else 300):
+            v = middle + 0.06 * rng.standard_normal(32)
+            data.append((len(data), [float(y) for y in v], 4))
+    want = plain_links([(i, np.array(v), c) for i, v, c in data])
+    d = spark.createDataFrame(data, VECTORS).repartition(3)
+    d = d.select(d.vec_id.cast("string"), "embedding", d.label.cast("string"))
+    d = d.union(spark.createDataFrame([("a1", data[0][1], "4"), (None, data[0][1], "4")], d.schema))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.dedup(d, window=8, bucket=64).collect()}
+    assert {i: got[str(i)] for i in want} == want
+    assert got["a1"] == (0, None) and len(got) == len(data) + 2
