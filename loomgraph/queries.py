@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,9 @@ from loomgraph.operators import relational as RL
 from loomgraph.operators import retrieval as R
 from loomgraph.operators import similarity as S
 from loomgraph.plans import chunking, extract, strategies
+from loomgraph.sources.writers import Store
 from loomgraph.streaming import incremental as I
+from loomgraph.streaming.memory import remember
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -443,10 +446,27 @@ def recent_messages(spark, d):
     return I.recent(table(spark, d, "conversations"), 4).select("conv_id", "turn", "text")
 
 
-@query()
+REMEMBERED = r"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, regexp_extract_all(coalesce(text, ''), '(?:^|[^\p{L}\p{N}_])(\p{Lu}\p{L}{3,})', 1) AS names FROM conversations), c AS (SELECT conv_id, count(*) AS messages, list_sort(list_distinct(flatten(list(names)))) AS mentioned, arg_max(names, turn) FILTER (role = 'user') AS said, max(turn) AS last_turn FROM m WHERE back <= 20 GROUP BY 1) SELECT conv_id, messages, array_to_string(mentioned, ' ') AS mentioned, array_to_string(list_filter(said, lambda x, i: list_position(said, x) = i)[1:5], ' ') AS focus, CAST(last_turn AS BIGINT) AS last_turn FROM c"""
+
+
+def _remembered(m: DataFrame) -> DataFrame:
+    return m.select("conv_id", "messages", F.array_join("mentioned", " ").alias("mentioned"), F.array_join("focus", " ").alias("focus"), F.col("last_turn").cast("long").alias("last_turn"))
+
+
+@query(REMEMBERED + " ORDER BY last_turn DESC, conv_id LIMIT 100")
 def conversation_memory(spark, d):
-    """INC-8, WIN-8, SET-8."""
-    return I.evict(I.memory(table(spark, d, "conversations")))
+    """INC-8, WIN-8, SET-8; the hundred used last are the feature."""
+    return _remembered(I.evict(I.memory(table(spark, d, "conversations"))))
+
+
+@query(REMEMBERED)
+def conversation_stream(spark, d):
+    """INC-8 as state: the table read as a stream, a memory kept for each conversation."""
+    at = f"{G.shared_folder(spark)}/conversations-{uuid.uuid4().hex}"
+    store = Store(spark, f"{at}/store")
+    rows = spark.readStream.schema(table(spark, d, "conversations").schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
+    remember(rows, store, f"{at}/state").awaitTermination()
+    return _remembered(store.read("memory"))
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

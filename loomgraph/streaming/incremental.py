@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.identity import content_hash
@@ -78,10 +78,15 @@ def recent(messages: DataFrame, n: int = 20) -> DataFrame:
     return messages.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
 
 
+def named(text: str) -> Column:
+    """The names of a text: words of four letters or more with a capital first."""
+    return F.regexp_extract_all(text, F.lit(r"(?:^|[^\p{L}\p{N}_])(\p{Lu}\p{L}{3,})"), F.lit(1))
+
+
 def memory(messages: DataFrame, n: int = 20, focus: int = 5) -> DataFrame:
-    """INC-8: for each conversation its recent text and the names it mentions, and the first few of the last user message."""
-    names = F.regexp_extract_all("text", F.lit(r"\b(\p{Lu}[\p{L}]{3,})"), F.lit(1))
-    m = recent(messages, n).withColumn("names", names)
+    """INC-8: for each conversation how many messages are recent, the names they mention, and the first few of the last user
+    message. streaming/memory.py keeps the same over a stream."""
+    m = recent(messages, n).withColumn("names", named("text"))
     last = F.max_by("names", F.when(F.col("role") == "user", F.col("turn")))
     return m.groupBy("conv_id").agg(F.count("*").alias("messages"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("mentioned"), F.slice(F.array_distinct(last), 1, focus).alias("focus"), F.max("turn").alias("last_turn"))
 

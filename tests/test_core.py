@@ -18,6 +18,7 @@ from loomgraph.plans.engine import Engine
 from loomgraph.plans.strategies import STRATEGIES, strategy
 from loomgraph.sources import readers, writers
 from loomgraph.streaming import incremental as I
+from loomgraph.streaming.memory import remember
 
 
 def one(spark, column, **values):
@@ -385,6 +386,27 @@ def test_stream(spark, tmp_path):
     assert store.counts() == {"t": 2}
 
 
+def test_memory_of_a_stream(spark, tmp_path):
+    """The state gives the batch result after each run, with late turns, and silent conversations go by their timer."""
+    schema = "conv_id long, turn int, role string, text string, extra string"
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"Anna met Peter{'xyzw'[t % 4]} and Paula{'abc'[c % 3]}, Anna", None) for c in range(4) for t in range(30)]
+    rows += [(9, 1, "assistant", None, "x"), (9, 2, None, "", None)]
+    late = [r for r in rows if r[0] == 2 and r[1] % 3 == 0] + [(7, 0, "user", "Only Étienne here", None)]
+    first = [r for r in rows if r not in late]
+    at, kept = str(tmp_path / "in"), writers.Store(spark, str(tmp_path / "store"))
+    columns = ("conv_id", "messages", "mentioned", "focus", "last_turn")
+    as_set = lambda df: {tuple(map(str, (r[c] for c in columns))) for r in df.collect()}
+    for part, seen in ((first, first), (late, first + late)):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(at)
+        remember(spark.readStream.schema(schema).parquet(at), kept, str(tmp_path / "cp")).awaitTermination(120)
+        assert as_set(kept.read("memory")) == as_set(I.memory(spark.createDataFrame(seen, schema)))
+    short = writers.Store(spark, str(tmp_path / "short"))
+    for conv in (1, 2):
+        spark.createDataFrame([(conv, 0, "user", "Martha", None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in2"))
+        remember(spark.readStream.schema(schema).parquet(str(tmp_path / "in2")), short, str(tmp_path / "cp2"), idle=1).awaitTermination(120)
+    assert {r.conv_id for r in short.read("memory").collect()} <= {2}
+
+
 def test_engine(spark, tmp_path):
     topics = ["quantum computers process information differently than classical machines", "medieval castles defended kingdoms against invading armies", "tropical rainforests shelter countless species of insects"]
     docs = spark.createDataFrame([(str(i), f"{topics[i % 3]}. {topics[i % 3].split()[i % 5]} number {i}.") for i in range(12)], "doc_id string, text string")
