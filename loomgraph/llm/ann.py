@@ -2,11 +2,14 @@
 
 Method. Coarse centroids and the codebooks of the residuals are fitted on a bounded sample. Every row is put into the cell
 of its nearest centroid and its residual is coded by SUBSPACES codebooks of 256 entries. A query looks into the cells with
-the largest inner products; asymmetric distance tables (the query against each codebook entry) score their rows, and the SHORT
-best of each block are ranked anew by exact inner products of the original vectors.
-
-How many cells a query looks into is measured when the index is fitted: so many that FOUND of the neighbours within the
-sample lie in them. Vectors without structure have theirs anywhere, which takes most cells; where vectors cluster, few do.
+the largest inner products; asymmetric distance tables (the query against each codebook entry) score their rows. The SHORT
+best of each block, and those whose score comes within the codes' error of the k-th of these, are ranked anew by exact inner
+products of the original vectors.
+
+How many cells a query looks into, and the error of the codes, are measured by brute force: TRIED of the queries against all
+rows. So many cells that FOUND of these queries' neighbours lie in them, and an error that CODED of them don't exceed. A sample
+of the rows would not tell: long vectors are few, near to many queries, and in cells and codes that were fitted without them.
+Vectors without structure have their neighbours anywhere, which takes most cells; where vectors cluster, few do.
 A query goes on to further cells until those that it looked into hold k other ids, or there are no more.
 
 Cells are laid out in blocks of at most BLOCK rows: small cells together, a cell of more rows (copies of one vector, say)
@@ -30,6 +33,7 @@ from loomgraph.llm.vectors import groups, matrix, stack, to_blobs, usable
 
 SAMPLE, CELLS, SUBSPACES, ROUNDS = 16_384, 1024, 16, 6
 FOUND, BLOCK, SHORT, STREAM = 0.97, 4096, 256, 128
+TRIED, CODED, PAIRS = 256, 0.995, 1 << 16
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -54,23 +58,11 @@ class Index:
         self.cuts = np.linspace(0, d, min(SUBSPACES, d) + 1).astype(int)
         self.books = [_kmeans(left[:, a:b], 256, ROUNDS, rng) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
         self.counts = np.zeros(self.cells, np.int64)  # rows of each cell, once all rows are put into theirs
-        self.enough = 0
-        self.probed = self._measured(sample, rng)
-
-    def _measured(self, sample: np.ndarray, rng: np.random.Generator, queries: int = 512, k: int = 20) -> int:
-        """How many cells hold FOUND of the k nearest, within the sample, of some of its rows."""
-        if len(sample) < 2:
-            return self.cells
-        own = rng.permutation(len(sample))[:queries]
-        cell, places = self.cell(sample), []
-        for a in range(0, len(own), 64):
-            q = own[a : a + 64]
-            near = sample[q] @ sample.T
-            near[np.arange(len(q)), q] = -np.inf
-            best = np.argsort(-near, 1, kind="stable")[:, : min(k, len(sample) - 1)]
-            place = np.argsort(np.argsort(-(sample[q] @ self.centroids.T), 1, kind="stable"), 1)
-            places.append(np.take_along_axis(place, cell[best], 1).ravel())
-        return int(np.quantile(np.concatenate(places), FOUND, method="higher")) + 1
+        self.enough, self.probed, self.error = 0, self.cells, 0.0  # error: of scores by codes, for a query of length 1
+
+    def places(self, q: np.ndarray) -> np.ndarray:
+        """Of each cell, its place in the order in which each query looks into cells."""
+        return np.argsort(np.argsort(-(q @ self.centroids.T), 1, kind="stable"), 1)
 
     def cell(self, x: np.ndarray) -> np.ndarray:
         return np.argmin((self.centroids**2).sum(1) - 2 * (x @ self.centroids.T), 1)
@@ -92,6 +84,13 @@ class Index:
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         return [q[:, i:j] @ b.T for b, i, j in zip(self.books, self.cuts[:-1], self.cuts[1:], strict=True)]
 
+    def scores(self, q: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """By codes, of each query and row."""
+        score = (q @ self.centroids.T)[:, cell].astype(np.float32)
+        for s, table in enumerate(self.tables(q)):
+            score += table.astype(np.float32)[:, codes[:, s]]
+        return score
+
 
 def fit(rows: DataFrame, d: int, n: int) -> Index:
     """rows: (id, v). The sample has the SAMPLE smallest hashes of ids."""
@@ -99,6 +98,45 @@ def fit(rows: DataFrame, d: int, n: int) -> Index:
     return Index(matrix(got["v"].combine_chunks(), d), n)
 
 
+def _measure(index: Index, coded: DataFrame, queries: DataFrame, d: int, k: int) -> None:
+    """Sets index.probed and index.error by the k nearest among all rows of TRIED of queries(id, v)."""
+    got = queries.orderBy(F.xxhash64("id"), "id").limit(TRIED).toArrow()
+    if not got.num_rows:
+        return
+    own, q = got["id"].to_numpy(), matrix(got["v"].combine_chunks(), d)
+    place, length = index.places(q), np.sqrt((q * q).sum(1))
+
+    def nearest(batches):
+        held = None  # (query, id, score, place, error) of the best so far
+        for batch in batches:
+            ids, cell, codes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            x, codes = stack(batch.column(3).to_pylist(), d), np.frombuffer(b"".join(codes), np.uint8).reshape(len(ids), -1)
+            for a in range(0, len(ids), BLOCK):
+                at = slice(a, a + BLOCK)
+                score = q @ x[at].T
+                wrong = (score - index.scores(q, cell[at], codes[at])) / length[:, None]
+                score[own[:, None] == ids[at][None, :]] = -np.inf
+                top = np.argpartition(-score, min(k, score.shape[1]) - 1, 1)[:, :k]
+                who = np.repeat(np.arange(len(q)), top.shape[1])
+                top = top.ravel()
+                new = [who, ids[at][top], score[who, top], place[who, cell[at][top]], wrong[who, top]]
+                new = new if held is None else [np.concatenate(c) for c in zip(held, new, strict=True)]
+                order = np.lexsort((-new[2], new[0]))
+                first = np.searchsorted(new[0][order], np.arange(len(q)))
+                order = order[(np.arange(len(order)) - first[new[0][order]] < k) & np.isfinite(new[2][order])]
+                held = [c[order] for c in new]
+        if held is not None:
+            yield pa.record_batch([pa.array(c) for c in held], names=["query", "id", "score", "place", "error"])
+
+    each = coded.transform(in_arrow, nearest, "query long, id long, score double, place long, error double")
+    each = each.groupBy("query", "id").agg(F.max(F.struct("score", "place", "error")).alias("x")).select("query", "id", "x.*")
+    best = each.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    found = best.select("place", "error").toArrow()  # TRIED times k rows at most
+    if found.num_rows:
+        index.probed = int(np.quantile(found["place"].to_numpy(), FOUND, method="higher")) + 1
+        index.error = max(0.0, float(np.quantile(found["error"].to_numpy(), CODED, method="higher")))
+
+
 def _layout(counts: dict[int, int], cells: int) -> tuple[np.ndarray, np.ndarray]:
     """First block and number of blocks of each cell."""
     first, several = np.zeros(cells, np.int64), np.ones(cells, np.int64)
@@ -148,6 +186,8 @@ def _search(scratch: Scratch, r: DataFrame, d: int, n: int, repeated: int, k: in
     for c, rows in counts.items():
         index.counts[c] = rows
     index.enough = k + 1 + repeated  # rows, with the query's own and those of repeated ids
+    queries = r.where("q").groupBy("id").agg(F.min("v").alias("v"))
+    _measure(index, coded, queries, d, k)
     first, several = _layout(counts, index.cells)
     blocks = int((first + several).max())
 
@@ -175,7 +215,6 @@ def _search(scratch: Scratch, r: DataFrame, d: int, n: int, repeated: int, k: in
                 yield pa.record_batch([pa.array(b), pa.array(np.ones(len(i), np.int32)), pa.array(ids[a + i]), none, pa.nulls(len(i), pa.binary()), blobs.take(pa.array(i))], names=["block", "kind", "id", "cell", "codes", "v"])
 
     shape = "block long, kind int, id long, cell long, codes binary, v binary"
-    queries = r.where("q").groupBy("id").agg(F.min("v").alias("v"))
     both = coded.transform(in_arrow, place, shape).union(queries.transform(in_arrow, ask, shape))
     both = both.repartition(min(blocks, 4096), "block").sortWithinPartitions("block", "kind", "id")
 
@@ -214,20 +253,25 @@ def _streamed(batches):
 
 
 def _nearest(index: Index, qid, q, ids, cell, codes, x, k: int):
-    """The k best of a block for each of some queries: short list by tables, order by exact inner products."""
-    score = (q @ index.centroids.T)[:, cell].astype(np.float32)
-    for s, table in enumerate(index.tables(q)):
-        score += table.astype(np.float32)[:, codes[:, s]]
+    """The k best of a block for each of some queries: listed by tables, ordered by exact inner products."""
+    score = index.scores(q, cell, codes)
     score[~index.probes(q)[:, cell]] = -np.inf
     score[qid[:, None] == ids[None, :]] = -np.inf
     listed = SHORT + len(ids) - len(np.unique(ids))
+    kept = k + listed - SHORT
     short = np.argsort(-score, 1, kind="stable")[:, :listed]  # rows lie by id, so ties keep the smaller
     exact = (x[short] * q[:, None, :]).sum(2)
     exact[~np.isfinite(np.take_along_axis(score, short, 1))] = -np.inf
-    best = np.lexsort((ids[short], -exact), 1)[:, : k + listed - SHORT]
-    exact, who = np.take_along_axis(exact, best, 1), np.take_along_axis(ids[short], best, 1)
-    ok = np.isfinite(exact)
-    return np.repeat(qid, ok.sum(1)), who[ok], exact[ok]
+    least = -np.partition(-exact, kept - 1, 1)[:, kept - 1] if exact.shape[1] >= kept else np.full(len(q), -np.inf)
+    further = np.isfinite(score) & (score >= (least - index.error * np.sqrt((q * q).sum(1)))[:, None])
+    np.put_along_axis(further, short, False, 1)
+    who, row = np.nonzero(further)
+    more = [(x[row[a : a + PAIRS]] * q[who[a : a + PAIRS]]).sum(1) for a in range(0, len(row), PAIRS)]
+    who, row, exact = np.append(np.repeat(np.arange(len(q)), short.shape[1]), who), np.append(short.ravel(), row), np.concatenate([exact.ravel(), *more])
+    order = np.lexsort((ids[row], -exact, who))
+    who, row, exact = who[order], row[order], exact[order]
+    ok = (np.arange(len(who)) - np.searchsorted(who, np.arange(len(q)))[who] < kept) & np.isfinite(exact)
+    return qid[who[ok]], ids[row[ok]], exact[ok]
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
