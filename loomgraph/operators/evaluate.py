@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import coverage_tokens, phrase_in, words
+from loomgraph.functions.text import phrase_in, words
+from loomgraph.operators.graph import cut
 from loomgraph.operators.relational import metric_statistics
 
 EVALUATORS: dict = {}
@@ -33,18 +34,35 @@ def coverage(answers: DataFrame) -> DataFrame:
     return d.withColumn("overall", F.when(F.size(both) > 0, F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / F.size(both)))
 
 
+#: Phrases that are sent to all tasks at most; more are joined.
+SENT = 100_000
+
+
+def _spaced(c) -> Column:
+    """The coverage_tokens of a text with a space before, between and after, by patterns over the whole text."""
+    bare = F.regexp_replace(F.lower(c), r"(?<!\S)\p{Punct}+|\p{Punct}+(?!\S)", "")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, r"\s+", " ")), F.lit(" "))
+
+
 def phrase_hits(phrases: DataFrame, docs: DataFrame) -> DataFrame:
     """STR-17 of all phrases(item_id, text) against all docs(doc_id, text): (item_id, doc_id). A phrase meets the documents that
-    have the rarest of its words, and is looked for in these."""
-    joined = lambda ws: F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
-    p = phrases.select("item_id", coverage_tokens(F.col("text")).alias("ws")).where(F.size("ws") > 0)
-    d = docs.select("doc_id", coverage_tokens(F.col("text")).alias("ws"))
-    asked = p.select("item_id", F.explode(F.array_distinct("ws")).alias("t"))
-    has = d.select("doc_id", F.explode_outer("ws").alias("t")).join(asked.select("t").distinct(), "t", "left_semi").distinct()
-    rarest = asked.join(has.groupBy("t").agg(F.count("*").alias("n")), "t", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t")).alias("r"))
-    met = rarest.select("item_id", F.col("r.t").alias("t")).join(has, "t").select("item_id", "doc_id")
-    j = met.join(p.select("item_id", joined(F.col("ws")).alias("p")), "item_id").join(d.select("doc_id", joined(F.col("ws")).alias("x")), "doc_id")
-    return j.where(F.contains("x", "p")).select("item_id", "doc_id")
+    have the rarest of its words, and is looked for in these. Each text is parted once, and phrases go where it is; documents
+    are shuffled only where there are more than SENT phrases."""
+    p = cut(phrases.select("item_id", _spaced("text").alias("p")).where("trim(p) <> ''"))
+    d = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _spaced("text").alias("x")).where("x is not null"))
+    few = p.count() <= SENT
+    send = F.broadcast if few else (lambda df: df)
+    asked = p.select("p").distinct().select("p", F.explode(F.array_distinct(F.split(F.trim("p"), " "))).alias("t"))
+    # explode_outer: for explode, the optimizer would infer a filter that parts the text a second time.
+    each = lambda *c: d.select(*c, F.explode_outer(F.array_distinct(F.split(F.trim("x"), " "))).alias("t"))
+    count = each().join(send(asked.select("t").distinct()), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n"))
+    rarest = asked.join(count, "t", "left").groupBy("p").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t")).alias("r"))
+    rare = cut(p.join(rarest.where("r.n > 0").select("p", F.col("r.t").alias("t")), "p"))
+    if few:
+        met = each("doc_id", "x").join(F.broadcast(rare), "t")
+    else:
+        met = each("row").join(rare, "t").select("row", "item_id", "p").join(d, "row")
+    return met.where(F.contains("x", "p")).select("item_id", "doc_id")
 
 
 @evaluator("overlap")
