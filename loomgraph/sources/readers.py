@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -31,20 +31,18 @@ def reader(*suffixes: str):
 
 
 @pandas_udf(StringType())
-def decode(content: pd.Series) -> pd.Series:
-    """SRC-3: UTF-8, else UTF-16 where a mark says so, else Latin-1; without a leading byte order mark."""
-
-    def one(b):
-        if b is None:
-            return None
-        if b[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            return b.decode("utf-16", "replace")
-        try:
-            return b.decode("utf-8-sig")
-        except UnicodeDecodeError:
-            return b.decode("latin-1")
-
-    return content.map(one)
+def _marked(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: None if b is None else b.decode("utf-16", "replace"))
+
+
+def decode(content) -> Column:
+    """SRC-3: UTF-8, else UTF-16 where a mark says so, else Latin-1; without a leading byte order mark. Only files in UTF-16
+    leave the JVM."""
+    c = F.col(content) if isinstance(content, str) else content
+    mark = F.hex(F.substring(c, 1, 2)).isin("FFFE", "FEFF")
+    text = c.cast("string")
+    plain = F.when(F.hex(F.substring(c, 1, 3)) == "EFBBBF", F.substring(text, 2, 1 << 30)).otherwise(text)
+    return F.when(F.is_valid_utf8(text), plain).when(mark, _marked(F.when(mark, c))).otherwise(F.decode(c, "ISO-8859-1"))
 
 
 @reader("csv", "txt", "md", "markdown")
