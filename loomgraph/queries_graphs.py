@@ -85,14 +85,7 @@ def report_contexts(spark, d):
 def communities_apart(spark, d):
     """GRF-11: how many communities, of all levels, fall apart into several components: none, after the refinement."""
     e, v = term_graph(spark, d)
-    h = G.cut(G.communities(e, v))
-    out = None
-    for level in sorted(r.level for r in h.select("level").distinct().collect()):
-        labels = h.where(F.col("level") == level).select("id", "community")
-        parts = G.hanging_together(e, labels).withColumnRenamed("community", "part").join(labels, "id")
-        apart = parts.groupBy("community").agg(F.countDistinct("part").alias("n")).where("n > 1").select("community")
-        out = apart if out is None else out.union(apart)
-    return out.agg(F.count("*").alias("apart"))
+    return G.falling_apart(e, G.cut(G.communities(e, v))).agg(F.count("*").alias("apart"))
 
 
 @query("""SELECT s_suppkey AS id FROM supplier ORDER BY coalesce(s_nationkey, 0) DESC, coalesce(s_acctbal, 0) DESC, s_suppkey LIMIT 10""")
