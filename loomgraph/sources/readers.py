@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,8 +74,10 @@ def discover(spark: SparkSession, folder: str, suffixes: tuple[str, ...] | None
     """SRC-1: files below a folder with a suffix that has a reader, without hidden ones. No content is read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     f = f.withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).where(F.col("suffix").isin(*(suffixes or tuple(READERS))))
+    root = urlsplit(folder).path if "://" in folder else folder.removeprefix("file:")
+    below = F.concat(F.lit("/"), F.substring_index("path", root.rstrip("/") + "/", -1))  # hidden folders above the given one don't count
     for x in EXCLUDED:
-        f = f.where(~F.col("path").rlike(x))
+        f = f.where(~below.rlike(x))
     return f
 
 
@@ -81,10 +85,11 @@ def load(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """SRC-7: (documents, failed): documents(doc_id, file_path, suffix, text, content_hash), and files that gave no text."""
     from loomgraph.functions.identity import content_hash, path_id
 
-    files, out = discover(spark, folder), None
-    for s, f in sorted(READERS.items()):
-        part = f(files.where(F.col("suffix") == s)).select("path", "suffix", "text")
-        out = part if out is None else out.unionByName(part)
+    files = discover(spark, folder)
+    # Only suffixes that occur are scanned, as each reader opens all files that are listed.
+    there = {r[0] for r in files.select("suffix").distinct().collect()}
+    parts = [f(files.where(F.col("suffix") == s)).select("path", "suffix", "text") for s, f in sorted(READERS.items()) if s in there or s == "txt"]
+    out = functools.reduce(DataFrame.unionByName, parts)
     ok = F.coalesce(F.trim("text"), F.lit("")) != ""
     docs = out.where(ok).select(path_id(F.col("path")).alias("doc_id"), F.col("path").alias("file_path"), "suffix", "text", content_hash(F.col("text"), 32).alias("content_hash"))
     return docs, out.where(~ok).select(F.col("path").alias("file_path"), F.lit("no text").alias("error_info"))
